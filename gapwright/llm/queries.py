@@ -7,13 +7,17 @@ import public_tokenizers
 from ..session import table
 from .media import media_query
 from .packing import packing_query
+from .quality_rules import RULES_SQL, rules_query
 from .token_files import token_files_query
+from .warc import WARC_SQL, warc_query
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
     "op2_media": lambda spark, sf: media_query(table(spark, sf, "documents")),
     "op3_packing": lambda spark, sf: packing_query(table(spark, sf, "documents"), BYTE_BPE),
+    "op4_quality_rules": lambda spark, sf: rules_query(table(spark, sf, "documents")),
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
+    "op10_warc": lambda spark, sf: warc_query(table(spark, sf, "pages")),
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL}

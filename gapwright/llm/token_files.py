@@ -62,6 +62,22 @@ class Store:
                 fill(f)
             self.fs.move(part, f"{self.root}/{name}")
 
+    def names(self) -> list[str]:
+        if self.local:
+            return sorted(os.listdir(self.root))
+        from pyarrow import fs
+
+        return sorted(i.base_name for i in self.fs.get_file_info(fs.FileSelector(self.root, allow_not_found=True)))
+
+    def rename(self, old: str, new: str) -> None:
+        if self.local:
+            os.replace(f"{self.root}/{old}", f"{self.root}/{new}")
+        else:
+            self.fs.move(f"{self.root}/{old}", f"{self.root}/{new}")
+
+    def open(self, name: str):
+        return open(f"{self.root}/{name}", "rb") if self.local else self.fs.open_input_file(f"{self.root}/{name}")
+
     def read(self, name: str) -> bytes:
         if self.local:
             with open(f"{self.root}/{name}", "rb") as f:
