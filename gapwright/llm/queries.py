@@ -7,8 +7,10 @@ import public_tokenizers
 from ..session import table
 from .media import media_query
 from .packing import packing_query
+from .quality_classifier import classifier_query
 from .quality_rules import RULES_SQL, rules_query
 from .token_files import token_files_query
+from .toxicity import toxicity_query
 from .warc import WARC_SQL, warc_query
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +19,8 @@ QUERIES = {
     "op2_media": lambda spark, sf: media_query(table(spark, sf, "documents")),
     "op3_packing": lambda spark, sf: packing_query(table(spark, sf, "documents"), BYTE_BPE),
     "op4_quality_rules": lambda spark, sf: rules_query(table(spark, sf, "documents")),
+    "op5_quality_classifier": lambda spark, sf: classifier_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op7_toxicity": lambda spark, sf: toxicity_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
     "op10_warc": lambda spark, sf: warc_query(table(spark, sf, "pages")),
 }
