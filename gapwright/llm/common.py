@@ -66,12 +66,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def skewed_left_join(big: DataFrame, small: DataFrame, key: str, count: str, values: list[str], spread: Column) -> DataFrame:
+def skewed_left_join(big: DataFrame, small: DataFrame, key: str, count: str, values: list[str], spread: Column, total: int | None = None) -> DataFrame:
     """``big`` left-joined with ``small`` (unique by key; ``count``: rows of big with that key) for ``values``.
 
     Hot keys, fewer than HOT_SHARE by their definition, are joined by a broadcast of that bounded table; the rows they
-    match then get a key of their own (``spread``) for the shuffled join of the rest, so that no task gets a hot key."""
-    total = small.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).collect()[0].t
+    match then get a key of their own (``spread``) for the shuffled join of the rest, so that no task gets a hot key.
+    ``total``: the sum of count, where it is known."""
+    total = total if total is not None else small.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).collect()[0].t
     limit = max(total // HOT_SHARE, HOT_SHARE)
     hot = small.where(F.col(count) > limit).select(F.col(key).alias("\0hot"), *[F.col(v).alias(f"\0h{v}") for v in values])
     rest = small.where(F.col(count) <= limit).select(F.col(key).alias("\0key"), *[F.col(v).alias(f"\0r{v}") for v in values])

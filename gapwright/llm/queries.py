@@ -6,6 +6,7 @@ import public_tokenizers
 
 from ..session import table
 from .media import media_query
+from .minhash import minhash_query
 from .packing import packing_query
 from .quality_classifier import classifier_query
 from .quality_rules import RULES_SQL, rules_query
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_quality_classifier": lambda spark, sf: classifier_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_toxicity": lambda spark, sf: toxicity_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
+    "op9_minhash": lambda spark, sf: minhash_query(table(spark, sf, "documents")),
     "op10_warc": lambda spark, sf: warc_query(table(spark, sf, "pages")),
 }
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL}
