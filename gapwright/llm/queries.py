@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from ..session import table
+from .bpe import bpe_query
 from .media import media_query
 from .minhash import minhash_query
 from .packing import packing_query
@@ -21,6 +22,7 @@ QUERIES = {
     "op3_packing": lambda spark, sf: packing_query(table(spark, sf, "documents"), BYTE_BPE),
     "op4_quality_rules": lambda spark, sf: rules_query(table(spark, sf, "documents")),
     "op5_quality_classifier": lambda spark, sf: classifier_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op6_bpe": lambda spark, sf: bpe_query(table(spark, sf, "documents"), BYTE_BPE),
     "op7_toxicity": lambda spark, sf: toxicity_query(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
     "op9_minhash": lambda spark, sf: minhash_query(table(spark, sf, "documents")),
