@@ -6,6 +6,7 @@ import public_tokenizers
 
 from ..session import table
 from .bpe import bpe_query
+from .line_dedup import line_dedup_query
 from .media import media_query
 from .minhash import minhash_query
 from .packing import packing_query
@@ -18,6 +19,7 @@ from .warc import WARC_SQL, warc_query
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES = {
+    "op1_line_dedup": lambda spark, sf: line_dedup_query(table(spark, sf, "documents")),
     "op2_media": lambda spark, sf: media_query(table(spark, sf, "documents")),
     "op3_packing": lambda spark, sf: packing_query(table(spark, sf, "documents"), BYTE_BPE),
     "op4_quality_rules": lambda spark, sf: rules_query(table(spark, sf, "documents")),
