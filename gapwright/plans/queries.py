@@ -1,4 +1,297 @@
 """The registered queries of the core, each with the DuckDB SQL that its rows are held against."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import degrade, liveness, resolve, temporal
+from ..session import table, written
+from ..sources.events import EventStore, sequenced, telemetry
+
+HOUR = 3_600_000_000
+#: Fixed values of the queries: the day of the examples, and windows in microseconds.
+DAY0 = 1_704_067_200_000_000
+SPAN = (DAY0, DAY0 + 30 * 24 * HOUR)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+E = "SELECT event_id, event_type AS source, epoch_us(ts) AS t, user_id, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+S = f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY t, event_id) - 1 AS seq FROM ({E})"
+
+
+def query(name: str, sql: str | None = None):
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def cte(*parts: str) -> str:
+    """A WITH clause of ``name: query`` parts, of which the last is the result."""
+    named = [p.split(": ", 1) for p in parts]
+    return "WITH " + ", ".join(f"{n} AS ({q})" for n, q in named[:-1]) + " " + named[-1][1]
+
+
+# --- the event store ---------------------------------------------------------------------------------------------
+
+
+@query("source_stats", f"SELECT source, count(*) AS n_events, min(t) AS first_t, max(t) AS last_t FROM ({E}) GROUP BY source")
+def source_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return EventStore(telemetry(spark, sf)).source_stats()
+
+
+@query("gaps", f"SELECT * FROM (SELECT source, lag(seq) OVER w AS prev_seq, seq, lag(t) OVER w AS prev_t, t, t - lag(t) OVER w AS delta FROM ({S}) WINDOW w AS (PARTITION BY source ORDER BY seq, event_id)) WHERE prev_t IS NOT NULL")
+def gaps(spark, sf):
+    return EventStore(sequenced(telemetry(spark, sf))).gaps()
+
+
+@query("window_scan", f"SELECT event_id, source, t, user_id FROM ({E}) WHERE source = 'purchase' AND t >= {DAY0 + 24 * HOUR} AND t < {DAY0 + 96 * HOUR}")
+def window_scan(spark, sf):
+    return EventStore(telemetry(spark, sf)).window("purchase", DAY0 + 24 * HOUR, DAY0 + 96 * HOUR).select("event_id", "source", "t", "user_id")
+
+
+@query("event_lookup", f"SELECT event_id, source, t, user_id, value FROM ({E}) WHERE event_id = 77")
+def event_lookup(spark, sf):
+    return EventStore(telemetry(spark, sf)).event(77).select("event_id", "source", "t", "user_id", "value")
+
+
+# --- profiles and timelines ---------------------------------------------------------------------------------------
+
+GAPS = f"SELECT * FROM (SELECT source, t, lag(t) OVER (PARTITION BY source ORDER BY t, event_id) AS prev_t FROM ({E})) WHERE prev_t IS NOT NULL"
+PROFILE = f"SELECT source, count(*) AS n_gaps, quantile_disc(t - prev_t, 0.95) AS order_statistic, min(t - prev_t) AS min_gap, max(t - prev_t) AS max_gap, CASE WHEN count(*) >= 100 THEN (quantile_disc(t - prev_t, 0.95) * 3 + 1) // 2 END AS threshold FROM ({GAPS}) GROUP BY source"
+
+
+@query("gap_profile", PROFILE)
+def gap_profile(spark, sf):
+    return liveness.gap_profile(telemetry(spark, sf), ["t", "event_id"])
+
+
+REGIMES = f"SELECT *, CASE WHEN t < {DAY0 + 10 * 24 * HOUR} THEN 'early' WHEN t < {DAY0 + 20 * 24 * HOUR} THEN 'middle' END AS regime FROM ({GAPS})"
+
+
+@query("regime_profile", f"SELECT source, regime, count(*) AS n_gaps, quantile_disc(t - prev_t, 0.95) AS order_statistic, min(t - prev_t) AS min_gap, max(t - prev_t) AS max_gap FROM ({REGIMES}) WHERE regime IS NOT NULL GROUP BY source, regime")
+def regime_profile(spark, sf):
+    """Gaps by the regime of their later event; events outside every phase have none."""
+    phases = spark.createDataFrame([("early", SPAN[0], DAY0 + 10 * 24 * HOUR), ("middle", DAY0 + 10 * 24 * HOUR, DAY0 + 20 * 24 * HOUR)], "regime string, t0 long, t1 long")
+    known = liveness.phase_of(liveness.gaps(telemetry(spark, sf), ["t", "event_id"]), phases).where("regime IS NOT NULL")
+    return liveness.rank_statistic(known, ["source", "regime"], "gap", 95, 100)
+
+
+AT = f"SELECT source, t, max(seq) AS seq, min(seq) AS first_seq FROM ({S}) GROUP BY source, t"
+GRID = f"""SELECT source, t AS t0, coalesce(lead(t) OVER w, {SPAN[1]}) AS t1, t AS l, lead(t) OVER w AS r, coalesce(lead(first_seq) OVER w > seq + 1, false) AS missing FROM ({AT}) WINDOW w AS (PARTITION BY source ORDER BY t)
+ UNION ALL SELECT source, {SPAN[0]}, min(t), NULL, min(t), false FROM ({AT}) GROUP BY source"""
+JUDGED = f"""SELECT g.source, t0, t1, CASE WHEN threshold IS NULL THEN 'B_PROFILE_INSUFFICIENT' WHEN missing THEN 'S_SEQ_GAP_UNAUTHENTICATED' WHEN l IS NULL OR r IS NULL THEN 'B_UNBRACKETED' WHEN r - l > threshold THEN 'B_GAP_EXCEEDS_THRESHOLD' ELSE 'L_CALIBRATED_OK' END AS reason
+ FROM ({GRID}) g JOIN ({PROFILE}) p USING (source) WHERE t0 < t1"""
+
+
+def islands_sql(of: str, keys: str, same: str) -> str:
+    also = "".join(f" OR {c} <> lag({c}) OVER w" for c in same.split(", ") if c)
+    same = same and f", {same}"
+    return f"""SELECT {keys}{same}, min(t0) AS t0, max(t1) AS t1, count(*) AS parts FROM (SELECT *, sum(opens) OVER (PARTITION BY {keys} ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS run FROM (
+ SELECT *, CASE WHEN lag(t1) OVER w IS NULL OR lag(t1) OVER w <> t0{also} THEN 1 ELSE 0 END AS opens FROM ({of}) WINDOW w AS (PARTITION BY {keys} ORDER BY t0))) GROUP BY {keys}, run{same}"""
+
+
+LINE = f"SELECT source, t0, t1, CASE left(reason, 1) WHEN 'L' THEN 'LIVE' WHEN 'S' THEN 'SUPPRESSED' ELSE 'BLIND' END AS verdict, reason, parts FROM ({islands_sql(JUDGED, 'source', 'reason')})"
+
+
+def line(spark, sf, events: DataFrame | None = None) -> DataFrame:
+    events = sequenced(telemetry(spark, sf)) if events is None else events
+    profile = liveness.gap_profile(telemetry(spark, sf), ["t", "event_id"])
+    return written(liveness.timeline(events, profile, F.lit(SPAN[0]), F.lit(SPAN[1])))
+
+
+@query("liveness_islands", LINE)
+def liveness_islands(spark, sf):
+    return line(spark, sf)
+
+
+# With the second purchase in every fifty gone, sequence numbers are missing: the timeline has SUPPRESSED parts.
+HOLED = f"SELECT * FROM ({S}) WHERE NOT (source = 'purchase' AND seq % 50 = 1)"
+
+
+@query("liveness_suppressed", LINE.replace(f"({S}) GROUP BY source, t", f"({HOLED}) GROUP BY source, t"))
+def liveness_suppressed(spark, sf):
+    return line(spark, sf, sequenced(telemetry(spark, sf)).where("NOT (source = 'purchase' AND seq % 50 = 1)"))
+
+
+@query("blind_volume", f"SELECT source, verdict, reason, CAST(sum(t1 - t0) AS BIGINT) AS volume, count(*) AS islands FROM ({LINE}) GROUP BY ALL")
+def blind_volume(spark, sf):
+    return liveness.volumes(line(spark, sf))
+
+
+@query("live_share", f"SELECT source, CAST(sum(CASE WHEN verdict = 'LIVE' THEN t1 - t0 ELSE 0 END) AS BIGINT) AS live, CAST(sum(t1 - t0) AS BIGINT) AS total, CAST(sum(CASE WHEN verdict = 'LIVE' THEN t1 - t0 ELSE 0 END) * 1000 // sum(t1 - t0) AS BIGINT) AS per_mille FROM ({LINE}) GROUP BY source")
+def live_share(spark, sf):
+    return liveness.live_share(line(spark, sf), ["source"])
+
+
+DARK = f"SELECT source, t0, t1 FROM ({LINE}) WHERE verdict <> 'LIVE'"
+BLIND_RUNS = islands_sql(f"SELECT source, t0, t1, verdict, reason FROM ({LINE}) WHERE verdict <> 'LIVE'", "source", "verdict, reason")
+
+
+@query("blind_runs", islands_sql(DARK, "source", ""))
+def blind_runs(spark, sf):
+    return liveness.blind_runs(line(spark, sf), merge_reasons=True)
+
+
+JOINT = f"""WITH r AS (SELECT * FROM ({islands_sql(DARK, 'source', '')}) WHERE source IN ('error', 'purchase')),
+ d AS (SELECT t, sum(d) AS d FROM (SELECT t0 AS t, 1 AS d FROM r UNION ALL SELECT t1, -1 FROM r) GROUP BY t HAVING sum(d) <> 0),
+ s AS (SELECT t, sum(d) OVER (ORDER BY t) AS depth, lead(t) OVER (ORDER BY t) AS t1 FROM d)
+ SELECT t AS t0, t1 FROM s WHERE depth = 2"""
+
+
+@query("joint_blind", JOINT)
+def joint_blind(spark, sf):
+    return liveness.joint_windows(line(spark, sf), ["error", "purchase"])
+
+
+@query("licences", f"SELECT source, t0, t1, verdict AS basis, reason FROM ({BLIND_RUNS})")
+def licences(spark, sf):
+    from ..functions.ids import fast
+
+    return liveness.licences(line(spark, sf), fast).drop("license_id")
+
+
+ASKED = f"SELECT event_id AS window_id, t - {2 * HOUR} AS w0, t AS w1 FROM ({E}) WHERE source = 'purchase'"
+PER = f"""SELECT window_id, s.source, w0, w1, coalesce(sum(CASE WHEN verdict = 'LIVE' THEN least(w1, t1) - greatest(w0, t0) END), 0) AS live, coalesce(sum(CASE WHEN verdict <> 'LIVE' THEN least(w1, t1) - greatest(w0, t0) END), 0) AS dark
+ FROM ({ASKED}) a CROSS JOIN (SELECT unnest(['signup', 'view']) AS source) s LEFT JOIN ({LINE}) l ON l.source = s.source AND t0 < w1 AND w0 < t1 GROUP BY window_id, s.source, w0, w1"""
+
+
+@query("absence_status", f"SELECT window_id, CASE WHEN count_if(live = w1 - w0) = 2 THEN 'OBSERVED' WHEN count_if(live = w1 - w0) = 0 THEN 'LICENSED' ELSE 'UNDETERMINED' END AS status, count_if(dark = w1 - w0) = 2 AS licensable FROM ({PER}) GROUP BY window_id")
+def absence_status(spark, sf):
+    """For each purchase: could the two hours before it have hidden a signup or a view?"""
+    windows = telemetry(spark, sf).where("source = 'purchase'").select(F.col("event_id").alias("window_id"), F.explode(F.array(F.lit("signup"), F.lit("view"))).alias("source"), (F.col("t") - 2 * HOUR).alias("w0"), F.col("t").alias("w1"))
+    return liveness.coverage(windows, line(spark, sf), 2)
+
+
+# --- temporal joins -----------------------------------------------------------------------------------------------
+
+
+@query("seq_join", f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id, l.user_id AS user_id, r.t - l.t AS lag FROM ({E}) l JOIN ({E}) r ON l.user_id = r.user_id AND l.source = 'signup' AND r.source = 'purchase' AND l.t < r.t AND r.t <= l.t + {24 * HOUR}")
+def seq_join(spark, sf):
+    e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
+    met = temporal.sequence_join(e.where("source = 'signup'").drop("source"), e.where("source = 'purchase'").drop("source"), ["user_id"], 24 * HOUR)
+    return met.select("l_event_id", "r_event_id", "user_id", (F.col("r_t") - F.col("l_t")).alias("lag"))
+
+
+ABSENT = f"SELECT event_id, user_id, t FROM ({E}) p WHERE source = 'purchase' AND NOT EXISTS (SELECT 1 FROM ({E}) v WHERE v.source = 'view' AND v.user_id = p.user_id AND v.t >= p.t - {24 * HOUR} AND v.t < p.t)"
+
+
+@query("absence_join", ABSENT)
+def absence_join(spark, sf):
+    e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
+    return temporal.absence_join(e.where("source = 'purchase'"), e.where("source = 'view'"), ["user_id"], 24 * HOUR).select("event_id", "user_id", "t")
+
+
+@query("distinct_window", f"SELECT event_id, user_id, t, n_distinct FROM (SELECT event_id, user_id, t, count(DISTINCT source) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {24 * HOUR} PRECEDING AND CURRENT ROW) AS n_distinct FROM ({E})) WHERE n_distinct >= 3")
+def distinct_window(spark, sf):
+    e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
+    return temporal.distinct_window(e, ["user_id"], "source", 3, 24 * HOUR).select("event_id", "user_id", "t", "n_distinct")
+
+
+@query("obligation_ghosts", f"SELECT event_id, user_id, t, NOT EXISTS (SELECT 1 FROM ({LINE}) l WHERE l.source = 'signup' AND verdict = 'LIVE' AND t0 < o.t AND o.t - {HOUR} < t1) AS licensed FROM ({E}) o WHERE source = 'purchase' AND NOT EXISTS (SELECT 1 FROM ({E}) s WHERE s.source = 'signup' AND s.user_id = o.user_id AND s.t = o.t)")
+def obligation_ghosts(spark, sf):
+    """Purchases without a signup at the same instant; licensed if no part of the hour before was LIVE for signups."""
+    e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
+    missing = temporal.obligations(e.where("source = 'purchase'"), e.where("source = 'signup'"), ["user_id"])
+    windows = missing.select(F.col("event_id").alias("window_id"), F.lit("signup").alias("source"), (F.col("t") - HOUR).alias("w0"), F.col("t").alias("w1"))
+    status = liveness.coverage(windows, line(spark, sf), 1).select(F.col("window_id").alias("event_id"), F.col("licensable").alias("licensed"))
+    return missing.join(status, "event_id").select("event_id", "user_id", "t", "licensed")
+
+
+# --- entity resolution --------------------------------------------------------------------------------------------
+
+NAMES = "SELECT 'account' AS role, CAST(c_custkey % 1000 AS VARCHAR) AS value, 'customer:' || c_custkey AS entity_id FROM customer UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR), 'supplier:' || s_suppkey FROM supplier"
+VALUES = f"SELECT event_id, 'account' AS role, CAST(user_id AS VARCHAR) AS value FROM ({E}) WHERE user_id IS NOT NULL UNION ALL SELECT event_id, 'supplier', CAST(k AS VARCHAR) FROM ({E}) WHERE k IS NOT NULL"
+RESOLVED = f"SELECT v.event_id, v.role, v.value, CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS outcome, candidates FROM ({VALUES}) v LEFT JOIN (SELECT role, value, count(DISTINCT entity_id) AS n, list_sort(list(DISTINCT entity_id)) AS candidates FROM ({NAMES}) GROUP BY role, value) n ON v.role = n.role AND v.value = n.value"
+
+
+def resolved(spark, sf) -> DataFrame:
+    customers = table(spark, sf, "customer").select(F.lit("account").alias("role"), (F.col("c_custkey") % 1000).cast("string").alias("value"), F.concat(F.lit("customer:"), F.col("c_custkey")).alias("entity_id"))
+    suppliers = table(spark, sf, "supplier").select(F.lit("supplier").alias("role"), F.col("s_suppkey").cast("string").alias("value"), F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("entity_id"))
+    return resolve.resolve(resolve.role_values(telemetry(spark, sf), {"account": "user_id", "supplier": "k"}), customers.unionByName(suppliers))
+
+
+@query("entity_resolve", RESOLVED)
+def entity_resolve(spark, sf):
+    return resolved(spark, sf)
+
+
+@query("resolve_counts", f"SELECT role, count_if(outcome = 'resolved') AS resolved, count_if(outcome = 'ambiguous') AS ambiguous, count_if(outcome = 'unresolved') AS unresolved FROM ({RESOLVED}) GROUP BY role")
+def resolve_counts(spark, sf):
+    return resolve.outcome_counts(resolved(spark, sf))
+
+
+@query("entity_finalise", f"SELECT candidates[1] AS entity_id, min(role) AS join_rule, count(DISTINCT event_id) AS n_events, min(event_id) AS first_event, max(event_id) AS last_event FROM ({RESOLVED}) WHERE outcome = 'resolved' GROUP BY candidates[1]")
+def entity_finalise(spark, sf):
+    return resolve.entities(resolved(spark, sf))
+
+
+# --- degradation and order ----------------------------------------------------------------------------------------
+
+def raw(spark, sf) -> DataFrame:
+    return sequenced(telemetry(spark, sf)).select("source", "seq", "t", "user_id", "k", F.col("source").alias("event_type"))
+
+
+@query("degrade_blackout", f"SELECT source, seq, t FROM ({S}) WHERE NOT (source IN ('signup', 'view') AND t >= {DAY0 + 120 * HOUR} AND t < {DAY0 + 240 * HOUR})")
+def degrade_blackout(spark, sf):
+    return degrade.blackout(raw(spark, sf), ["signup", "view"], DAY0 + 120 * HOUR, DAY0 + 240 * HOUR).select("source", "seq", "t")
+
+
+DIGEST = "sha256(concat_ws('|', '7', {}, source, CAST({} AS VARCHAR)))"
+BLOCKED = f"SELECT source, seq, t, t // 1200000000 AS block, {DIGEST.format(chr(39) + 'block' + chr(39), 't // 1200000000')} AS bd, {DIGEST.format(chr(39) + 'record' + chr(39), 'seq')} AS rd FROM ({S})"
+
+
+@query("degrade_delete", f"SELECT source, seq, t FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bd, block, rd, seq) AS place, count(*) OVER (PARTITION BY source) AS n FROM ({BLOCKED})) WHERE place > n - n * 7 // 10")
+def degrade_delete(spark, sf):
+    return degrade.delete(raw(spark, sf), degrade.Completeness(7, 10), 7, 1_000_000).select("source", "seq", "t")
+
+
+@query("degrade_backdate", f"SELECT source, seq, CASE WHEN source = 'purchase' AND seq = (SELECT max(seq) FROM ({S}) WHERE source = 'purchase') THEN t - {48 * HOUR} ELSE t END AS t FROM ({S})")
+def degrade_backdate(spark, sf):
+    return degrade.backdate(raw(spark, sf), "purchase", "purchase", -1, -48 * HOUR).select("source", "seq", "t")
+
+
+@query("strip_identity", f"SELECT source, seq, CASE WHEN source = 'view' THEN NULL ELSE user_id END AS user_id, k FROM ({S})")
+def strip_identity(spark, sf):
+    attrs = F.map_filter(F.create_map(F.lit("user"), F.col("user_id"), F.lit("k"), F.col("k")), lambda _, v: v.isNotNull())
+    rows = raw(spark, sf).withColumn("attrs", attrs)
+    done = degrade.strip_identity(rows, ["user"], F.col("source") == "view")
+    return done.select("source", "seq", F.try_element_at("attrs", F.lit("user")).alias("user_id"), F.try_element_at("attrs", F.lit("k")).alias("k"))
+
+
+FORGED = f"SELECT source, CASE WHEN source = 'view' AND seq > 20 THEN seq + 3 ELSE seq END AS seq, t, source AS event_type FROM ({S}) UNION ALL SELECT 'view', 20 + i, a + (i * (b - a)) // 4, 'forged' FROM (SELECT max(CASE WHEN seq = 20 THEN t END) AS a, max(CASE WHEN seq = 21 THEN t END) AS b FROM ({S}) WHERE source = 'view'), (SELECT unnest([1, 2, 3]) AS i)"
+
+
+@query("chain_forge", FORGED)
+def chain_forge(spark, sf):
+    return degrade.forge(raw(spark, sf), "view", 20, 3, "forged").select("source", "seq", "t", "event_type")
+
+
+@query("degrade_manifest", f"SELECT source, seq, 'removed' AS change FROM ({S}) WHERE source IN ('signup', 'view') AND t >= {DAY0 + 120 * HOUR} AND t < {DAY0 + 240 * HOUR}")
+def degrade_manifest(spark, sf):
+    before = raw(spark, sf)
+    return degrade.manifest(before, degrade.blackout(before, ["signup", "view"], DAY0 + 120 * HOUR, DAY0 + 240 * HOUR))
+
+
+MOVED = f"SELECT source, seq, CASE WHEN seq % 40 = 7 THEN t - {20 * HOUR} ELSE t END AS t FROM ({S})"
+
+
+@query("order_violations", f"SELECT * FROM (SELECT source, seq, t, lag(seq) OVER w AS prev_seq, lag(t) OVER w AS prev_t, lag(t) OVER w - t AS weight FROM ({MOVED}) WINDOW w AS (PARTITION BY source ORDER BY seq)) WHERE weight > 0")
+def order_violations(spark, sf):
+    moved = sequenced(telemetry(spark, sf)).select("source", "seq", F.when(F.col("seq") % 40 == 7, F.col("t") - 20 * HOUR).otherwise(F.col("t")).alias("t"))
+    return temporal.order_violations(moved)
+
+
+@query("missing_sequence", f"SELECT source, prev + 1 AS first_missing, seq - 1 AS last_missing, pt AS t0, t AS t1 FROM (SELECT source, seq, t, lag(seq) OVER w AS prev, lag(t) OVER w AS pt FROM ({HOLED}) WINDOW w AS (PARTITION BY source ORDER BY t, seq)) WHERE seq > prev + 1")
+def missing_sequence(spark, sf):
+    return temporal.missing_sequence(sequenced(telemetry(spark, sf)).where("NOT (source = 'purchase' AND seq % 50 = 1)"))
+
+
+@query("numbered", S)
+def numbered(spark, sf):
+    return sequenced(telemetry(spark, sf))
