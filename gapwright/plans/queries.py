@@ -295,3 +295,132 @@ def missing_sequence(spark, sf):
 @query("numbered", S)
 def numbered(spark, sf):
     return sequenced(telemetry(spark, sf))
+
+
+# --- rules, programs and cuts -------------------------------------------------------------------------------------
+
+from ..plans import cuts, fixpoint, reach  # noqa: E402
+from ..plans.rules import Controls, compile_table  # noqa: E402
+
+#: The controls of the examples, and a rule table over the five event types.
+CONTROLS = Controls({"egress_seg": ("off", "allowlist", "brokered"), "priv_approval": ("none", "ticket", "two_person"), "rate_limit": ("none", "quota"), "session_binding": ("none", "device", "device_and_network"), "token_expiry": ("long", "short", "single_use")})
+RULES = [
+    {"id": "r1", "kind": "detect", "head": "session(user, t)", "body": ["signup(user, t)"], "blocked_when": "ctl.token_expiry >= short or ctl.session_binding >= device", "producing_sources": ["signup"]},
+    {"id": "r2", "kind": "detect", "head": "browsing(user, t1)", "body": ["session(user, t0)", "view(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "when": "a.user == b.user and a.t <= b.t", "evidence": ["b"], "blocked_when": "ctl.session_binding >= device", "producing_sources": ["view"]},
+    {"id": "r3", "kind": "detect", "head": "bought(user, t1)", "body": ["browsing(user, t0)", "purchase(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "evidence": ["b"], "blocked_when": "ctl.rate_limit >= quota or ctl.egress_seg >= allowlist", "producing_sources": ["purchase"]},
+    {"id": "r4", "kind": "detect", "head": "escalated(user, t)", "body": ["error(user, t)"], "temporal": {"op": "absence", "of": "view(user, tv)", "before": "a", "within": "6h"}, "blocked_when": "ctl.priv_approval >= ticket", "producing_sources": ["error"], "silent_possible": True, "silent_bind_kinds": {"user": "user"}},
+    {"id": "r5", "kind": "detect", "head": "bought(user, t1)", "body": ["escalated(user, t0)", "purchase(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "30m"}, "evidence": ["b"], "producing_sources": ["purchase"]},
+]
+AXIOMS = {"signup", "view", "purchase", "error", "click"}
+TICK = 1_000_000
+
+AX = f"SELECT DISTINCT source, CAST(user_id AS VARCHAR) AS u, t // {TICK} AS k FROM ({E}) WHERE user_id IS NOT NULL"
+P_MIN = f"""WITH ax AS ({AX}), session AS (SELECT u, k FROM ax WHERE source = 'signup'),
+ browsing AS (SELECT DISTINCT v.u, v.k FROM session s JOIN ax v ON v.source = 'view' AND v.u = s.u AND s.k < v.k AND v.k <= s.k + 86400),
+ escalated AS (SELECT u, k FROM ax e WHERE source = 'error' AND NOT EXISTS (SELECT 1 FROM ax v WHERE v.source = 'view' AND v.u = e.u AND v.k >= e.k - 21600 AND v.k < e.k)),
+ bought AS (SELECT p.u, p.k FROM browsing b JOIN ax p ON p.source = 'purchase' AND p.u = b.u AND b.k < p.k AND p.k <= b.k + 86400
+  UNION SELECT p.u, p.k FROM escalated e JOIN ax p ON p.source = 'purchase' AND p.u = e.u AND e.k < p.k AND p.k <= e.k + 1800)"""
+FACT_ROWS = "SELECT 'session' AS predicate, u AS entity, k AS tick FROM session UNION ALL SELECT 'browsing', u, k FROM browsing UNION ALL SELECT 'escalated', u, k FROM escalated UNION ALL SELECT 'bought', u, k FROM bought"
+
+
+def table_of_rules():
+    return compile_table(RULES, CONTROLS, AXIOMS)
+
+
+def seeded(spark, sf) -> DataFrame:
+    events = telemetry(spark, sf).where("user_id IS NOT NULL")
+    return fixpoint.seed(events.select("event_id", F.col("source").alias("predicate"), F.array(F.col("user_id").cast("string")).alias("args"), F.expr(f"t div {TICK}").alias("tick")))
+
+
+def p_min(spark, sf) -> fixpoint.Program:
+    return fixpoint.saturate(seeded(spark, sf), table_of_rules())
+
+
+@query("fixpoint_pmin", f"{P_MIN} {FACT_ROWS}")
+def fixpoint_pmin(spark, sf):
+    found = p_min(spark, sf).facts.where(~F.col("predicate").isin(*AXIOMS))
+    return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
+
+
+@query("instance_counts", f"""{P_MIN} SELECT 'r1' AS rule_id, count(*) AS n FROM session UNION ALL
+ SELECT 'r2', count(*) FROM session s JOIN ax v ON v.source = 'view' AND v.u = s.u AND s.k < v.k AND v.k <= s.k + 86400 UNION ALL
+ SELECT 'r3', count(*) FROM browsing b JOIN ax p ON p.source = 'purchase' AND p.u = b.u AND b.k < p.k AND p.k <= b.k + 86400 UNION ALL
+ SELECT 'r4', count(*) FROM escalated UNION ALL SELECT 'r5', count(*) FROM escalated e JOIN ax p ON p.source = 'purchase' AND p.u = e.u AND e.k < p.k AND p.k <= e.k + 1800""")
+def instance_counts(spark, sf):
+    return p_min(spark, sf).instances.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+TICK_LINE = f"SELECT source, t0 // {TICK} AS t0, t1 // {TICK} AS t1, verdict, reason FROM ({LINE}) WHERE t0 // {TICK} < t1 // {TICK}"
+POOL = [str(i) for i in range(8)]
+HIDDEN = f"SELECT u, w.t0 AS k, greatest(w.t0, w.t1 - 1) AS hi FROM ({islands_sql(f'SELECT source, t0, t1 FROM ({TICK_LINE}) WHERE source = {chr(39)}error{chr(39)} AND verdict <> {chr(39)}LIVE{chr(39)}', 'source', '')}) w, (SELECT unnest({POOL}) AS u)"
+P_MAX = f"""{P_MIN}, hidden AS ({HIDDEN}), escalated_max AS (SELECT u, k FROM escalated UNION SELECT u, k FROM hidden),
+ span AS (SELECT e.u, e.k, coalesce(min(h.k), e.k) AS lo, coalesce(max(h.hi), e.k) AS hi FROM escalated_max e LEFT JOIN hidden h ON h.u = e.u AND h.k = e.k AND NOT EXISTS (SELECT 1 FROM escalated o WHERE o.u = e.u AND o.k = e.k) GROUP BY e.u, e.k),
+ bought_max AS (SELECT u, k FROM bought UNION SELECT p.u, p.k FROM span s JOIN ax p ON p.source = 'purchase' AND p.u = s.u AND greatest(p.k - s.hi, 1) <= least(p.k - s.lo, 1800))"""
+
+
+@query("fixpoint_pmax", f"{P_MAX} SELECT 'session' AS predicate, u AS entity, k AS tick FROM session UNION ALL SELECT 'browsing', u, k FROM browsing UNION ALL SELECT 'escalated', u, k FROM escalated_max UNION ALL SELECT 'bought', u, k FROM bought_max")
+def fixpoint_pmax(spark, sf):
+    """P_min, and the escalations that blind error logs may have hidden for the declared users."""
+    ticks = written(line(spark, sf).select("source", F.expr(f"t0 div {TICK}").alias("t0"), F.expr(f"t1 div {TICK}").alias("t1"), "verdict", "reason").where("t0 < t1"))
+    pools = spark.createDataFrame([("user", u) for u in POOL], "kind string, entity_id string")
+    found = fixpoint.envelope(p_min(spark, sf), table_of_rules(), ticks, pools).facts.where(~F.col("predicate").isin(*AXIOMS))
+    return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
+
+
+# Two programs by hand: route A is observed, route B needs a hidden step.
+def example(side: str) -> list[reach.Instance]:
+    bit = lambda c, n: 1 << CONTROLS.bit(c, n)
+    a = [reach.Instance("i1", "exchanged", ("held",), (bit("token_expiry", 1),)), reach.Instance("i2", "gateway", ("exchanged",), (bit("session_binding", 1),)), reach.Instance("i3", "bulk_read", ("gateway",), (bit("egress_seg", 1), bit("rate_limit", 1)))]
+    b = [reach.Instance("i4", "escalated", ("actor",), (bit("priv_approval", 1),), "LICENSED", ("l1",)), reach.Instance("i5", "bulk_read", ("escalated",), (), "LICENSED", ("l1",))]
+    return a + (b if side == "max" else [])
+
+
+CUTS = "SELECT e, p, r, s, k, CAST(e AS VARCHAR) || p || r || s || k AS cut_id, (e > 0)::INT + (p > 0)::INT + (r > 0)::INT + (s > 0)::INT + (k > 0)::INT AS n_controls FROM range(0, 3) a(e), range(0, 3) b(p), range(0, 2) c(r), range(0, 3) d(s), range(0, 3) f(k)"
+SEVERED = f"SELECT side, cut_id, n_controls, (k >= 1 OR s >= 1 OR e >= 1 OR r >= 1) AND (side = 'min' OR p >= 1) AS severed FROM ({CUTS}), (SELECT unnest(['min', 'max']) AS side)"
+
+
+def severed_cuts(spark) -> DataFrame:
+    out = None
+    for side in ("min", "max"):
+        rows = [(i.instance_id, i.head, list(i.body), list(i.blockers)) for i in example(side)]
+        instances = spark.createDataFrame(rows, "instance_id string, head string, body array<string>, blockers array<long>")
+        cuts_ = reach.lattice(spark, CONTROLS)
+        known = reach.reached(spark.createDataFrame([("held",), ("actor",)], "fact_id string"), instances, cuts_)
+        got = reach.severed(known, cuts_, spark.createDataFrame([("bulk_read",)], "fact_id string")).select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("reach_under_cuts", SEVERED)
+def reach_under_cuts(spark, sf):
+    return severed_cuts(spark)
+
+
+@query("min_cuts", f"SELECT side, cut_id, n_controls FROM (SELECT *, min(n_controls) OVER (PARTITION BY side) AS best FROM ({SEVERED}) WHERE severed) WHERE n_controls = best")
+def min_cuts(spark, sf):
+    hit = severed_cuts(spark).where("severed")
+    best = hit.groupBy("side").agg(F.min("n_controls").alias("best"))
+    return hit.join(best, "side").where("n_controls = best").select("side", "cut_id", "n_controls")
+
+
+BEST = f"SELECT * FROM (SELECT s.*, min(s.n_controls) OVER (PARTITION BY side) AS best, e, p, r, s2, k FROM ({SEVERED}) s JOIN (SELECT cut_id, e, p, r, s AS s2, k FROM ({CUTS})) c USING (cut_id) WHERE severed) WHERE n_controls = best"
+LEVELS = " UNION ALL ".join(f"SELECT side, '{c}' AS control, {x} AS level FROM ({BEST})" for c, x in zip(sorted(CONTROLS.levels), ("e", "p", "r", "s2", "k")))
+
+
+@query("premium", f"SELECT control FROM (SELECT side, control, min(level) AS least, max(level) AS most FROM ({LEVELS}) GROUP BY side, control) GROUP BY control HAVING max(CASE WHEN side = 'max' THEN least END) > 0 AND max(CASE WHEN side = 'min' THEN most END) = 0")
+def premium(spark, sf):
+    """Controls in every minimum cut of P_max and in none of P_min, by the corridor search."""
+    found = [cuts.learn({"held", "actor"}, example(side), ["bulk_read"], CONTROLS) for side in ("min", "max")]
+    return spark.createDataFrame([(c,) for c in cuts.premium(*found, CONTROLS).controls], "control string")
+
+
+@query("verdict", f"SELECT side, CASE WHEN open_max = 0 THEN 'ROBUST' WHEN open_min > 0 THEN 'UNSAFE' ELSE 'OPTIMISTIC_ONLY' END AS verdict FROM (SELECT b.side, count_if(s.side = 'min' AND NOT s.severed) AS open_min, count_if(s.side = 'max' AND NOT s.severed) AS open_max FROM (SELECT side, max(cut_id) AS cut_id FROM ({BEST}) WHERE (e, p, r, s2, k) IN ((1, 0, 0, 0, 0), (1, 1, 0, 0, 0)) GROUP BY side) b JOIN ({SEVERED}) s USING (cut_id) GROUP BY b.side)")
+def verdict(spark, sf):
+    """The verdict on each side's own cut, held against both programs."""
+    rows = []
+    for side in ("min", "max"):
+        psi = cuts.learn({"held", "actor"}, example(side), ["bulk_read"], CONTROLS)
+        mask = CONTROLS.cut_mask(psi.cut)
+        reaches = ["bulk_read" in reach.closure({"held", "actor"}, example(s), mask) for s in ("min", "max")]
+        rows.append((side, cuts.verdict(*reaches, ended=psi.complete, tampered=False, unsound=False)))
+    return spark.createDataFrame(rows, "side string, verdict string")
