@@ -111,8 +111,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows = [(capacity, 0, full, 1, 0, 0)] * bool(full) + [(length, rank, n, each, window + full, at) for length, rank, n, each, window, at in rows]
     plan = spark.createDataFrame(rows, "length long, first_rank long, ranks long, each long, window long, at long")
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # The table of bases grows with the number of tasks, so it is never broadcast.
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = pieces.select("doc_id", "start", "length", "doc_tokens", "part", "own", *carry).join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("own")).alias("r")
+    ranked = pieces.select("doc_id", "start", "length", "doc_tokens", "part", "own", *carry).join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("own")).alias("r")
     # The plan is bounded by the capacity, not by the corpus: a few rows for each pattern, a pattern for each length.
     hit = (F.col("r.length") == F.col("p.length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
     placed = ranked.join(F.broadcast(plan.alias("p")), hit)
