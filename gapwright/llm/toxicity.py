@@ -27,7 +27,7 @@ from .common import WordHashes, mix, with_columns_from_text
 from .quality_classifier import held_out, training_sample
 
 BITS, TRAIN_ROWS, EPOCHS, ACCEPT = 20, 8_000, 4, 0.7
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.1
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 0.1
 STEMS = (4, 5, 6)
 _WORD = re.compile(r"[^\W_]+")
 
@@ -112,19 +112,21 @@ def fit_ftrl(examples: list[np.ndarray], label: np.ndarray, bits: int = BITS, ep
             n[at] += g * g
     every = weights(np.arange(size))
     buckets = np.flatnonzero(every[:-1])
-    return SparseModel(float(every[-1]), buckets, every[buckets], bits, cut_shift(margins, label))
+    return SparseModel(float(every[-1]), buckets, every[buckets], bits, cut_shift(margins, label, float(every[-1])))
 
 
-def cut_shift(margins: np.ndarray, label: np.ndarray) -> float:
+def cut_shift(margins: np.ndarray, label: np.ndarray, bias: float) -> float:
     """What puts the best cut of the last pass's own predictions (made before each update) at ACCEPT: the middle of the
-    cuts with the fewest errors, where a clean document that is flagged and a toxic one that is missed weigh alike."""
+    cuts with the fewest errors, where a clean document that is flagged and a toxic one that is missed weigh alike. A text
+    without any evidence has the margin ``bias``, and a cut goes above it where that costs no error."""
     if not len(label) or not label.any() or label.all():
         return 0.0
     order = np.argsort(margins, kind="stable")
     ranked, toxic = margins[order], label[order] == 1
     errors = np.concatenate([[0], np.cumsum(toxic)]) + (~toxic).sum() - np.concatenate([[0], np.cumsum(~toxic)])
     best = np.flatnonzero(errors[1:-1] == errors[1:-1].min()) + 1
-    cut = (ranked[best - 1] + ranked[best]) / 2
+    below, above = ranked[best - 1], ranked[best]
+    cut = (np.where(above > bias, np.maximum(below, bias), below) + above) / 2
     return float(np.log(ACCEPT / (1 - ACCEPT)) - np.median(cut))
 
 
