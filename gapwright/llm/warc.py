@@ -1,8 +1,11 @@
 """WARC archives as a PySpark Python data source.
 
-Writing: a record for each row, in uncompressed files of bounded size, each given its name when it is whole. Reading:
-one partition for each file; predicates over columns that come from headers are taken over from Spark; a record's
-headers are parsed first, and its block is skipped by a seek if a predicate drops it or no column asks for the payload.
+Writing: a record for each row, in files of bounded size, each given its name when it is whole. A record is a gzip
+member of its own, whose extra field ``sl`` has its compressed and its plain length (option compression: none writes
+plain records). Reading: one partition for each file; predicates over columns that come from headers are taken over
+from Spark; a record's headers are parsed first, from the first bytes of its member, and the rest is skipped by a seek,
+neither read nor inflated, if a predicate drops the record or no column asks for its payload. Files of other writers,
+without ``sl``, are read in sequence.
 
 ``deduplicated`` makes the rows: of records with equal payloads the one with the largest id is a response, and the
 others are revisits of it, which carry the payload's digest and length but not the payload.
@@ -15,7 +18,10 @@ become blanks; an empty table writes no records; other columns are ignored.
 from __future__ import annotations
 
 import gzip
+import io
+import struct
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +60,62 @@ def record_bytes(row: dict) -> bytes:
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def member(record: bytes, level: int = 6) -> bytes:
+    """``record`` as a gzip member with the extra field ``sl``: lengths of the member and of the record (modulo 2^32)."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(record) + deflate.flush()
+    size = len(record) & 0xFFFFFFFF
+    extra = b"sl" + struct.pack("<HII", 8, len(body) + 10 + 2 + 12 + 8, size)
+    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(record), size)
+
+
+class Members:
+    """Records of a file of such members: a file-like view of one record at a time, inflated as far as it is read."""
+
+    HEAD = 10 + 2 + 12
+
+    def __init__(self, raw):
+        self.raw, self.start = raw, 0
+
+    def next(self) -> "io.BufferedReader | None":
+        """The next record, or None at the end."""
+        self.raw.seek(self.start)
+        head = self.raw.read(self.HEAD)
+        if not head:
+            return None
+        total = struct.unpack("<I", head[16:20])[0]
+        self.left = total - self.HEAD - 8
+        self.inflate = zlib.decompressobj(-15)
+        self.start += total
+        return io.BufferedReader(_Inflated(self), 4096)
+
+
+class _Inflated(io.RawIOBase):
+    def __init__(self, of: Members):
+        self.of = of
+
+    def readable(self):
+        return True
+
+    def readinto(self, buffer):
+        of = self.of
+        while True:
+            data = of.inflate.decompress(of.inflate.unconsumed_tail, len(buffer)) if of.inflate.unconsumed_tail else b""
+            if not data and of.left:
+                chunk = of.raw.read(min(of.left, 2048))
+                of.left -= len(chunk)
+                data = of.inflate.decompress(chunk, len(buffer))
+            if data or not (of.left or of.inflate.unconsumed_tail):
+                buffer[: len(data)] = data
+                return len(data)
+
+
+def has_lengths(raw) -> bool:
+    head = raw.read(16)
+    raw.seek(0)
+    return len(head) == 16 and head[:4] == b"\x1f\x8b\x08\x04" and head[12:16] == b"sl" + struct.pack("<H", 8)
+
+
 def header_values(headers: dict[str, str]) -> dict:
     """The columns that a record's headers give."""
     number = lambda s: int(s) if s is not None else None
@@ -106,36 +168,11 @@ class WarcReader(DataSourceReader):
             return
         decode, http = "payload" in self.columns, "payload_bytes" in self.columns
         with Store(self.folder).open(partition.value) as raw:
-            f = gzip.GzipFile(fileobj=raw) if partition.value.endswith(".gz") else raw
             rows, held = [], 0
-            while line := f.readline():
-                if not line.strip():
-                    continue
-                if not line.startswith(b"WARC/"):
-                    raise ValueError(f"{partition.value}: no record starts with {line[:40]!r}")
-                headers = {}
-                while (line := f.readline()).strip():
-                    k, _, v = line.decode("utf-8", "replace").partition(":")
-                    headers[k.strip().lower()] = v.strip()
-                length = int(headers["content-length"])
-                row = header_values(headers)
-                if not self.wanted(row):
-                    f.seek(length, 1)
+            for f in self.records(raw):
+                row = self.record(f, partition.value, decode, http)
+                if row is None:
                     continue
-                left = length
-                if decode or http:
-                    # The block's own header gives the payload's length; what follows is read only if it is asked for.
-                    while left > 0 and (line := f.readline()):
-                        left -= len(line)
-                        k, _, v = line.decode("latin-1").partition(":")
-                        if k.strip().lower() == "content-length":
-                            row["payload_bytes"] = int(v)
-                        if not line.strip():
-                            break
-                    if decode:
-                        row["payload"] = f.read(left) if row["record_type"] == "response" else None
-                        left = left if row["payload"] is None else 0
-                f.seek(left, 1)
                 rows.append(row)
                 held += len(row.get("payload") or b"")
                 if len(rows) == 1000 or held > 16 << 20:
@@ -144,6 +181,48 @@ class WarcReader(DataSourceReader):
             if rows:
                 yield self.batch(rows)
 
+    @staticmethod
+    def records(raw):
+        """A stream at the start of each record. One stream stands for all records of a plain file."""
+        if has_lengths(raw):
+            members = Members(raw)
+            while (f := members.next()) is not None:
+                yield f
+            return
+        magic = raw.read(2)
+        raw.seek(0)
+        f = gzip.GzipFile(fileobj=raw) if magic == b"\x1f\x8b" else raw
+        while line := f.readline():
+            if line.strip():
+                f.seek(-len(line), 1)
+                yield f
+
+    def record(self, f, name: str, decode: bool, http: bool) -> dict | None:
+        line = f.readline()
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"{name}: no record starts with {line[:40]!r}")
+        headers = {}
+        while (line := f.readline()).strip():
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            headers[k.strip().lower()] = v.strip()
+        left, row = int(headers["content-length"]), header_values(headers)
+        wanted = self.wanted(row)
+        if wanted and (decode or http):
+            # The block's own header gives the payload's length; what follows is read only if it is asked for.
+            while left > 0 and (line := f.readline()):
+                left -= len(line)
+                k, _, v = line.decode("latin-1").partition(":")
+                if k.strip().lower() == "content-length":
+                    row["payload_bytes"] = int(v)
+                if not line.strip():
+                    break
+            if decode and row["record_type"] == "response":
+                row["payload"] = f.read(left)
+                left = 0
+        if f.seekable():
+            f.seek(left, 1)
+        return row if wanted else None
+
     def batch(self, rows: list[dict]) -> pa.RecordBatch:
         kinds = {"target_uri": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload": pa.binary()}
         return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], kinds.get(c, pa.int64())) for c in self.columns], names=self.columns)
@@ -152,6 +231,7 @@ class WarcReader(DataSourceReader):
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.folder, self.roll = options["path"], int(options.get("rollMb", ROLL_MB)) << 20
+        self.packed = options.get("compression", "gzip") == "gzip"
 
     def write(self, iterator):
         store, tag = Store(self.folder), uuid.uuid4().hex
@@ -168,10 +248,11 @@ class WarcWriter(DataSourceArrowWriter):
                 nonlocal ahead
                 size = 0
                 while ahead is not None and size < self.roll:
-                    size += f.write(record_bytes(ahead))
+                    record = record_bytes(ahead)
+                    size += f.write(member(record) if self.packed else record)
                     ahead = next(source, None)
 
-            names.append(f"part-{tag}-{number:05d}.warc")
+            names.append(f"part-{tag}-{number:05d}.warc" + ".gz" * self.packed)
             store.put("_" + names[-1], fill)  # it gets its name at the commit, so a task that ran twice leaves one copy
             number += 1
         return Written(names)
