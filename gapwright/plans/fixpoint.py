@@ -165,9 +165,11 @@ def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None =
     delta, rounds = known, 0
     while rounds < max_rounds:
         new = None
+        # Names of predicates, of which a table has a few dozen: rules that no new fact can fire are left out.
+        present = {r.predicate for r in delta.select("predicate").distinct().collect()}
         for rule in rules:
             if rule.kind == "detect":
-                for pivot in range(len(rule.body)):
+                for pivot in (k for k, p in enumerate(rule.body) if p.predicate in present):
                     got = derive(rule, known, delta, pivot, absence)
                     new = got if new is None else new.unionByName(got)
         if new is None:

@@ -221,7 +221,7 @@ def entity_resolve(spark, sf):
     return resolved(spark, sf)
 
 
-@query("resolve_counts", f"SELECT role, count_if(outcome = 'resolved') AS resolved, count_if(outcome = 'ambiguous') AS ambiguous, count_if(outcome = 'unresolved') AS unresolved FROM ({RESOLVED}) GROUP BY role")
+@query("resolve_counts", f"SELECT role, CAST(count_if(outcome = 'resolved') AS BIGINT) AS resolved, CAST(count_if(outcome = 'ambiguous') AS BIGINT) AS ambiguous, CAST(count_if(outcome = 'unresolved') AS BIGINT) AS unresolved FROM ({RESOLVED}) GROUP BY role")
 def resolve_counts(spark, sf):
     return resolve.outcome_counts(resolved(spark, sf))
 
@@ -424,3 +424,119 @@ def verdict(spark, sf):
         reaches = ["bulk_read" in reach.closure({"held", "actor"}, example(s), mask) for s in ("min", "max")]
         rows.append((side, cuts.verdict(*reaches, ended=psi.complete, tampered=False, unsound=False)))
     return spark.createDataFrame(rows, "side string, verdict string")
+
+
+# --- validation, guards, set operations, windows ------------------------------------------------------------------
+
+from ..functions.arithmetic import reduced  # noqa: E402
+from ..plans.rules import Parser, canonical, compile_guard  # noqa: E402
+from ..sources import ingest  # noqa: E402
+
+LINE_TEXT = """'{"attrs":{"user":"' || user_id || '"},"event_type":"' || source || '","seq":' || seq || ',"source_id":"' || source || '","t_evt_ns":"' || (t * 1000) || '"}'"""
+
+
+def wire_lines(spark, sf) -> DataFrame:
+    """Events as raw lines, some of them spoilt, repeated, or colliding in (source, seq)."""
+    e = sequenced(telemetry(spark, sf)).where("user_id IS NOT NULL").withColumn("text", F.expr(LINE_TEXT))
+    spoilt = F.when(F.col("seq") % 50 == 3, F.expr("substring(text, 1, length(text) - 1)")).when(F.col("seq") % 61 == 5, F.concat(F.lit(" "), "text")).when(F.col("seq") % 67 == 6, F.regexp_replace("text", '"source_id":"', '"source_id":"no_')).otherwise(F.col("text"))
+    base = e.select((F.col("event_id") * 3).alias("line_no"), spoilt.alias("text"))
+    again = e.where("seq % 41 = 2").select((F.col("event_id") * 3 + 1).alias("line_no"), "text")
+    clash = e.where("seq % 43 = 4").select((F.col("event_id") * 3 + 2).alias("line_no"), F.regexp_replace("text", '"user":"', '"user":"x').alias("text"))
+    return base.unionByName(again).unionByName(clash).select("line_no", F.col("text").cast("binary").alias("raw"))
+
+
+SPOILT = "CASE WHEN seq % 50 = 3 THEN 'not_json' WHEN seq % 61 = 5 THEN 'reserialise_differs' WHEN seq % 67 = 6 THEN 'source_undeclared' END"
+QUARANTINE = f"""WITH e AS (SELECT *, {SPOILT} AS bad, seq % 41 = 2 AS again, seq % 43 = 4 AS clash FROM ({S}) WHERE user_id IS NOT NULL),
+ l AS (SELECT coalesce(bad, CASE WHEN clash THEN 'seq_collision' ELSE 'accepted' END) AS detail FROM e
+  UNION ALL SELECT CASE WHEN bad IS NULL THEN 'identical_line' WHEN clash THEN 'seq_collision' ELSE 'accepted' END FROM e WHERE again
+  UNION ALL SELECT CASE WHEN bad IS NULL OR again THEN 'seq_collision' ELSE 'accepted' END FROM e WHERE clash)"""
+
+
+def ingested(spark, sf) -> DataFrame:
+    sources = [ingest.Source(s) for s in ("click", "error", "purchase", "signup", "view")]
+    return ingest.settle(written(ingest.parse(wire_lines(spark, sf), sources)))
+
+
+@query("quarantine_counts", f"{QUARANTINE} SELECT detail, count(*) AS n FROM l GROUP BY detail")
+def quarantine_counts(spark, sf):
+    return ingested(spark, sf).groupBy(F.coalesce("detail", F.lit("accepted")).alias("detail")).agg(F.count("*").alias("n"))
+
+
+@query("dedup_collisions", f"""{QUARANTINE} SELECT source AS source_id, seq FROM e WHERE CASE WHEN bad IS NULL THEN NOT clash ELSE again <> clash END""")
+def dedup_collisions(spark, sf):
+    """(source, seq) of the accepted records: one of identical ones, none of colliding ones."""
+    return ingested(spark, sf).where("reason IS NULL").select("source_id", "seq")
+
+
+GUARD = "not (a.k == b.k) and (a.k <= b.k or within(a.k, b.k, 3s))"
+
+
+@query("guard_filter", f"SELECT event_id, a, b FROM (SELECT event_id, CASE WHEN k % 3 <> 0 THEN k END AS a, user_id % 100 AS b FROM ({E})) WHERE NOT coalesce(a = b, false) AND (NOT coalesce(b < a, false) OR NOT coalesce(3 < abs(coalesce(b, 0) - coalesce(a, 0)), false))")
+def guard_filter(spark, sf):
+    """A guard with missing operands: two-valued, so a negation over a missing one is true."""
+    rows = telemetry(spark, sf).select("event_id", F.when(F.col("k") % 3 != 0, F.col("k")).alias("a"), (F.col("user_id") % 100).alias("b"))
+    return rows.where(compile_guard(canonical(Parser(GUARD).whole()), lambda slot, name: F.col(slot)))
+
+
+@query("phase_of", f"SELECT event_id, CASE WHEN t < {DAY0 + 10 * 24 * HOUR} THEN 'early' WHEN t < {DAY0 + 20 * 24 * HOUR} THEN 'middle' END AS regime FROM ({E})")
+def phase_of(spark, sf):
+    phases = spark.createDataFrame([("early", SPAN[0], DAY0 + 10 * 24 * HOUR), ("middle", DAY0 + 10 * 24 * HOUR, DAY0 + 20 * 24 * HOUR)], "regime string, t0 long, t1 long")
+    return liveness.phase_of(telemetry(spark, sf), phases).select("event_id", "regime")
+
+
+@query("declared_blind", f"SELECT event_id, source FROM ({E}) WHERE NOT (source = 'view' AND t >= {DAY0 + 24 * HOUR} AND t < {DAY0 + 72 * HOUR})")
+def declared_blind(spark, sf):
+    spans = spark.createDataFrame([("view", DAY0 + 24 * HOUR, DAY0 + 72 * HOUR)], "source string, t0 long, t1 long")
+    return liveness.outside(telemetry(spark, sf), spans).select("event_id", "source")
+
+
+@query("blind_share", f"SELECT CAST(b // gcd(b, n) AS BIGINT) AS num, CAST(n // gcd(b, n) AS BIGINT) AS den FROM (SELECT CAST(sum(CASE WHEN verdict <> 'LIVE' THEN t1 - t0 ELSE 0 END) AS BIGINT) AS b, CAST(sum(t1 - t0) AS BIGINT) AS n FROM ({LINE}))")
+def blind_share(spark, sf):
+    """Blind time over all time, as an exact ratio in lowest terms."""
+    span = F.col("t1") - F.col("t0")
+    r = line(spark, sf).agg(F.sum(F.when(F.col("verdict") != "LIVE", span).otherwise(F.lit(0))).alias("b"), F.sum(span).alias("n")).collect()[0]
+    return spark.createDataFrame([reduced(r.b, r.n)], "num long, den long")
+
+
+@query("raised_levels", f"SELECT side, control, max(level) AS level FROM ({LEVELS}) GROUP BY side, control HAVING max(level) > 0")
+def raised_levels(spark, sf):
+    """The highest level of each control over the minimum cuts of either side."""
+    hit = severed_cuts(spark).where("severed")
+    best = hit.join(hit.groupBy("side").agg(F.min("n_controls").alias("best")), "side").where("n_controls = best")
+    rows = best.select("side", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in sorted(CONTROLS.levels)]).alias("control"), F.split("cut_id", "").alias("level"))).alias("x"))
+    return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
+
+
+@query("program_axioms", f"SELECT source AS predicate, count(*) AS n FROM ({AX}) GROUP BY source")
+def program_axioms(spark, sf):
+    """Facts that no instance with a body supports: those of events."""
+    return p_min(spark, sf).axioms().groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+@query("seq_deny", f"SELECT l.event_id AS l_event_id, r.event_id AS r_event_id FROM ({E}) l JOIN ({E}) r ON l.user_id = r.user_id AND l.source = 'signup' AND r.source = 'purchase' AND l.t < r.t AND r.t <= l.t + {24 * HOUR} WHERE NOT EXISTS (SELECT 1 FROM ({E}) x WHERE x.source = 'view' AND x.user_id = l.user_id AND x.t > l.t AND x.t < r.t)")
+def seq_deny(spark, sf):
+    """Signup, then purchase within a day, with no view between."""
+    e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
+    met = temporal.sequence_join(e.where("source = 'signup'").drop("source"), e.where("source = 'purchase'").drop("source"), ["user_id"], 24 * HOUR)
+    deny = e.where("source = 'view'").select(F.col("user_id").alias("d_user"), F.col("t").alias("d_t"))
+    return met.join(deny, (F.col("user_id") == F.col("d_user")) & (F.col("d_t") > F.col("l_t")) & (F.col("d_t") < F.col("r_t")), "left_anti").select("l_event_id", "r_event_id")
+
+
+@query("sliding_counts", f"SELECT source, w * {6 * HOUR} AS t0, count(*) AS n FROM (SELECT source, unnest([t // {6 * HOUR}, t // {6 * HOUR} - 1]) AS w FROM ({E})) GROUP BY source, w")
+def sliding_counts(spark, sf):
+    """Counts in windows of twelve hours that start every six."""
+    w = F.explode(F.array(F.expr(f"t div {6 * HOUR}"), F.expr(f"t div {6 * HOUR} - 1")))
+    return telemetry(spark, sf).select("source", w.alias("w")).groupBy("source", "w").agg(F.count("*").alias("n")).select("source", (F.col("w") * 6 * HOUR).alias("t0"), "n")
+
+
+@query("session_counts", f"SELECT user_id, min(t) AS t0, max(t) AS t1, count(*) AS n FROM (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) < {6 * HOUR} THEN 0 ELSE 1 END AS opens FROM ({E}) WHERE user_id IS NOT NULL)) GROUP BY user_id, run")
+def session_counts(spark, sf):
+    """Sessions of a user, which end when six hours pass without an event."""
+    e = telemetry(spark, sf).where("user_id IS NOT NULL").withColumn("at", F.timestamp_micros("t"))
+    found = e.groupBy("user_id", F.session_window("at", "6 hours")).agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.count("*").alias("n"))
+    return found.select("user_id", "t0", "t1", "n")
+
+
+@query("first_last", f"SELECT source, t // {24 * HOUR} AS day, arg_min(event_id, t) AS first_event, arg_max(event_id, t) AS last_event, count(*) AS n FROM ({E}) GROUP BY ALL")
+def first_last(spark, sf):
+    return telemetry(spark, sf).groupBy("source", F.expr(f"t div {24 * HOUR}").alias("day")).agg(F.min_by("event_id", "t").alias("first_event"), F.max_by("event_id", "t").alias("last_event"), F.count("*").alias("n"))
