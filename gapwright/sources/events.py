@@ -10,9 +10,11 @@ from ..session import table
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, source, t in microseconds, user_id, value, k) of table ``events``; columns prune down to the scan."""
+    """(event_id, source, t in microseconds, user_id, value, k) of table ``events``; columns prune down to the scan.
+    Times have no zone: t is what their clock shows, whatever the session's zone."""
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", F.col("event_type").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "user_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    clock = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    return events.select("event_id", F.col("event_type").alias("source"), F.unix_micros(clock).alias("t"), "user_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
 def sequenced(events: DataFrame, width: int = DAY_US) -> DataFrame:
