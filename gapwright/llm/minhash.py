@@ -6,11 +6,12 @@ minhashes in all, where plain banding would take tables * tables * 2 * rows. Doc
 with chance 1 - (1 - (1 - s^rows)^tables)^2: 0.04 % at s = 0.8, and falling fast above.
 
 1. Documents with equal sets form a class; only its representative, the smallest id, goes on.
-2. In every bucket each representative is paired with the bucket's smallest id: rows grow with the members, not with
-   their pairs. Pairs whose sizes rule a link out go; the others are verified on sets made again from their texts.
-3. Verified links give components. A bucket's members that were linked to its smallest id are in one component and
-   need no test against each other. What is left in a bucket is tested against its members of other components, unless
-   sizes, or the distances of both to the smallest id (Jaccard distance is a metric), rule a link out.
+2. First links: over the diagonal of the table of buckets, each representative is paired with the smallest id that it
+   shares a bucket with: one pair for each at most. Sizes that rule a link out drop it; the rest are verified on sets
+   made again from their texts. Most members of a group of near copies are in one component after that.
+3. All buckets: one whose members are of one component needs no test. In the others, members outside the component that
+   is most frequent there are tested against the members of other components. A sketch of a byte for each minhash drops
+   pairs of which fewer than AGREE agree: at similarity 0.8 that loses a pair with a chance of 4e-8.
 4. Components of all links, by alternating large and small stars; copies get the component of their class.
 
 Hot classes, buckets and centres are joined apart or dealt out by a salt (see ``skewed_left_join``).
@@ -33,6 +34,8 @@ from ..session import ship, written
 from .common import WordHashes, mix, skewed_left_join, with_columns_from_text
 
 SHINGLE, PERCENT, TABLES, ROWS, FAN = 5, 80, 12, 3, 1000
+#: Of 2 * TABLES * ROWS minhashes, the least number whose last bytes agree in a pair worth verifying (55 in 100).
+AGREE = 55
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,8 +51,9 @@ def shingle_set(text: str, hashes: WordHashes, size: int) -> np.ndarray:
     return np.unique(h if n == size else mix(h + np.uint64(n)))
 
 
-def signature_keys(shingles: np.ndarray, tables: int = TABLES, rows: int = ROWS) -> np.ndarray:
-    """2 * tables keys: those of the first collection, then those of the second."""
+def signature_keys(shingles: np.ndarray, tables: int = TABLES, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """2 * tables keys, those of the first collection, then those of the second; and the sketch: the last bytes of the
+    minhashes, eight in a number."""
     salts = mix(np.arange(1, 2 * tables * rows + 1, dtype=np.uint64) * _ODD)
     least = np.full(len(salts), np.iinfo(np.uint64).max)
     for at in range(0, len(shingles), 4096):
@@ -61,11 +65,25 @@ def signature_keys(shingles: np.ndarray, tables: int = TABLES, rows: int = ROWS)
     out = keys[:, 0].copy()
     for k in range(1, rows):
         out = mix(out * _ODD + keys[:, k])
-    return out
+    last = np.zeros(-(-len(least) // 8) * 8, np.uint8)
+    last[: len(least)] = mix(least) & np.uint64(0xFF)
+    return out, last.view(np.int64)
+
+
+def agreeing(a: str, b: str, minhashes: int):
+    """How many bytes of two sketches are equal: bits of each byte of a ^ b are folded into its lowest one."""
+    total = None
+    for k in range(-(-minhashes // 8)):
+        x = F.col(a)[k].bitwiseXOR(F.col(b)[k])
+        for shift in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
+        differ = F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+        total = differ if total is None else total + differ
+    return F.lit(minhashes) - total
 
 
 def signatures(docs: DataFrame, shingle: int, tables: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, first, second): set_key is a 128-bit hash of the set."""
+    """(doc_id, n_shingles, set_key, first, second, sketch): set_key is a 128-bit hash of the set."""
 
     def make():
         import xxhash
@@ -74,13 +92,14 @@ def signatures(docs: DataFrame, shingle: int, tables: int, rows: int) -> DataFra
 
         def run(texts):
             sets = [shingle_set(t, hashes, shingle) for t in texts]
-            keys = [signature_keys(s, tables, rows).view(np.int64) if len(s) else None for s in sets]
-            return [[len(s) for s in sets], [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], [None if k is None else k[:tables] for k in keys], [None if k is None else k[tables:] for k in keys]]
+            made = [signature_keys(s, tables, rows) if len(s) else None for s in sets]
+            keys = [None if m is None else m[0].view(np.int64) for m in made]
+            return [[len(s) for s in sets], [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets], [None if k is None else k[:tables] for k in keys], [None if k is None else k[tables:] for k in keys], [None if m is None else m[1] for m in made]]
 
         return run
 
     longs = (T.ArrayType(T.LongType()), pa.list_(pa.int64()))
-    fields = [("n_shingles", T.LongType(), pa.int64()), ("set_key", T.StringType(), pa.string()), ("first", *longs), ("second", *longs)]
+    fields = [("n_shingles", T.LongType(), pa.int64()), ("set_key", T.StringType(), pa.string()), ("first", *longs), ("second", *longs), ("sketch", *longs)]
     return with_columns_from_text(docs, "text", fields, make).drop("text")
 
 
@@ -147,31 +166,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     classes = written(known.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     shared = classes.where("copies > 1")
     # Representatives: the row of a class with its smallest id. Rows of copies drop out at this join.
-    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id", "set_key"]).select("doc_id", F.col("n_shingles").alias("n"), "first", "second")
-    spread = reps.select("doc_id", "n", F.posexplode("first").alias("i", "x"), "second").select("doc_id", "n", "i", "x", F.posexplode("second").alias("j", "y"))
-    keyed = spread.select(F.xxhash64("i", "j", "x", "y").alias("key"), "doc_id", "n")
-    buckets = written(keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("members")).where("members > 1").select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("centre_n"), "members"))
-    members = skewed_left_join(keyed, buckets, "key", "members", ["centre", "centre_n"], F.col("doc_id")).where(F.col("centre").isNotNull())
-    members = written(members)
+    reps = known.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id", "set_key"])
+    reps = written(reps.select("doc_id", F.col("n_shingles").alias("n"), "first", "second", "sketch"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     linked = 100 * F.col("inter") >= percent * F.col("uni")
-    stars = members.where(F.col("doc_id") != F.col("centre")).where(fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+    # First links: the diagonal buckets, one centre for each document.
+    zipped = reps.select("doc_id", "n", F.posexplode(F.arrays_zip("first", "second")).alias("i", "z"))
+    keyed = zipped.select(F.xxhash64("i", "i", "z.first", "z.second").alias("key"), "doc_id", "n")
+    centres = written(keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("members")).where("members > 1"))
+    near = skewed_left_join(keyed, centres, "key", "members", ["centre"], F.col("doc_id")).where(F.col("centre") < F.col("doc_id"))
+    stars = near.groupBy("doc_id", "n").agg(F.min("centre").alias("centre"))
+    sized = reps.select(F.col("doc_id").alias("centre"), F.col("n").alias("centre_n"))
+    stars = stars.join(sized.hint("merge"), "centre").where(fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     tested = written(verified(written(stars), docs, shingle))
-    links = tested.where(linked).select("a", "b")
-    found = written(components(links))
-
-    # The rest: members that their bucket's centre didn't link, against members of other components.
-    label = F.coalesce(F.col("component"), F.col("doc_id"))
-    held = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", label).drop("component")
-    known_pairs = tested.select(F.col("a").alias("centre"), F.col("b").alias("doc_id"), "inter", "uni")
-    held = held.join(known_pairs, ["centre", "doc_id"], "left")
-    held = written(held)
-    left = held.where(F.col("doc_id") != F.col("centre")).where(F.coalesce(~linked, F.lit(True)))
-    left = left.select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "label", "inter", "uni")])
-    met = held.where(F.col("doc_id") != F.col("centre")).join(left, "key").where(F.col("label") != F.col("l_label")).where(fits(F.col("n"), F.col("l_n")))
-    # |d(x, c) - d(y, c)| <= d(x, y) <= 1 - percent / 100, in whole numbers; unknown distances rule nothing out.
-    apart = F.abs(F.col("inter") * F.col("l_uni") - F.col("l_inter") * F.col("uni")) * 100 > (100 - percent) * F.col("uni") * F.col("l_uni")
-    rest = met.where(~F.coalesce(apart, F.lit(False))).select(F.least("doc_id", "l_doc_id").alias("a"), F.greatest("doc_id", "l_doc_id").alias("b")).distinct()
+    found = written(components(tested.where(linked).select("a", "b")))
+
+    # All buckets, of which those with members of several components are left.
+    labelled = reps.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
+    labelled = written(labelled)
+    spread = labelled.select("doc_id", "label", F.posexplode("first").alias("i", "x"), "second").select("doc_id", "label", "i", "x", F.posexplode("second").alias("j", "y"))
+    keyed = spread.select(F.xxhash64("i", "j", "x", "y").alias("key"), "doc_id", "label")
+    buckets = written(keyed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where("low <> high").drop("high"))
+    members = written(skewed_left_join(keyed, buckets, "key", "members", ["low"], F.col("doc_id")).where(F.col("low").isNotNull()).drop("low"))
+    usual = members.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("usual"))
+    members = written(members.join(usual, "key").join(labelled.select("doc_id", "n", "sketch"), "doc_id"))
+    fewer = members.where(F.col("label") != F.col("usual")).select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc_id", "n", "label", "sketch")])
+    once = (F.col("label") == F.col("usual")) | (F.col("l_doc_id") < F.col("doc_id"))
+    minhashes = 2 * tables * rows
+    alike = 100 * agreeing("sketch", "l_sketch", minhashes) >= AGREE * minhashes
+    met = members.join(fewer, "key").where((F.col("label") != F.col("l_label")) & once & fits(F.col("n"), F.col("l_n")) & alike)
+    rest = met.select(F.least("doc_id", "l_doc_id").alias("a"), F.greatest("doc_id", "l_doc_id").alias("b")).distinct()
     rest = written(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
     if rest.count():
         more = verified(rest, docs, shingle).where(linked).select("a", "b")
@@ -182,7 +207,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sizes = shared.groupBy("rep").agg(F.sum("copies").alias("copies"))
     named = found.select(F.col("node").alias("rep"), "component").join(sizes, "rep", "left").select("rep", "component", F.coalesce("copies", F.lit(1)).alias("copies"))
     placed = skewed_left_join(placed, written(named), "rep", "copies", ["component"], F.col("doc_id"))
-    component = F.coalesce("component", "rep")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
