@@ -20,6 +20,9 @@ TAIL = ".,;:"
 _ODD = "\\s\u180e\u200b\u2060\ufeff"
 _CUT = re.compile(f" (?=[^{_ODD}])")
 _UNSAFE = re.compile(f" (?:\\Z|[{_ODD}])")
+#: The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the rest from U+0100 on.
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
+_BLANK = chr(_SHOWN[0x20])
 _LOADED: dict[str, "TextEncoder"] = {}
 
 
@@ -81,6 +84,14 @@ class TextEncoder:
         return "whole"
 
     def whole(self, text: str) -> bytes:
+        # A word of Latin letters alone is one pre-token that no normalizer changes: it goes straight to the model.
+        bare = text[1:] if self.kind == "blank" and text[:1] == " " else text
+        if self.kind != "whole" and bare.isalpha() and max(bare) < "\u0250" and (self.kind == "blank" or bare == bare.lower()):
+            if bare.isascii():
+                shown = bare if bare is text else _BLANK + bare
+            else:
+                shown = text.encode("utf-8").decode("latin-1").translate(_SHOWN)
+            return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:

@@ -33,3 +33,13 @@ def test_random_texts(name):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
     same()
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_letters(name):
+    path = public_tokenizers.path(name)
+    own, theirs = encoder(path), Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    words = letters + [a + b for a in letters for b in "aéßİ"] + [b + a for a in letters for b in "sÑ"]
+    for text in words + [f"x {w}" for w in words]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids, repr(text)
