@@ -9,8 +9,9 @@
 4. Decode. Ids are joined with the table of pieces, whose size is the vocabulary's, on the map side; the bytes of a
    document's pieces, in order, are its text.
 
-A block holds BLOCK bytes of text (or one longer document), so every group that is brought together is bounded; a
-list's word is there once for each block, so no word is hot. Lists and positions are compressed columns.
+A block holds BLOCK characters of text (or one longer document), so every group that is brought together is bounded; a
+word is there once for each block, so no word is hot. Lists and positions are compressed columns. Documents are read
+twice, for the lists and for the positions, and nothing is written between: only lists, ids and positions are shuffled.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null array of ids decodes to an
 empty text; repeated rows give repeated rows; a null doc_id is
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import ship, written
+from ..session import ship
 from .tokens import _CUT, _UNSAFE, TextEncoder, encoder
 
-BLOCK = 32 << 20
+BLOCK = 12 << 20
 #: Words in a part of a block are joined by the first; in a word both are escaped.
 _SEP, _ESCAPED = "\x00", "\x01"
 _CODEC = "zstd"
@@ -71,24 +72,25 @@ def unpack_words(data: bytes) -> list[str]:
 
 
 class _Numbers(dict):
-    """Word -> its number, in the order in which words are first met; ``count`` is shared by several tables."""
+    """Word -> its number, in the order in which a block first meets its words; ``spaced``: they follow a blank."""
 
-    def __init__(self, order: list):
+    def __init__(self, block: "Block", spaced: int):
         super().__init__()
-        self.order = order
+        self.block, self.is_spaced = block, spaced
 
     def __missing__(self, word):
-        self[word] = n = len(self.order)
-        self.order.append((self, word))
+        self[word] = n = len(self.block.order)
+        self.block.order.append(word)
+        self.block.spaced.append(self.is_spaced)
         return n
 
 
 class Block:
-    """Documents as numbers of words. Words that follow a blank are kept without it until the block is closed."""
+    """Documents as numbers of words. Words that follow a blank are kept without it until a part is written."""
 
     def __init__(self, enc: TextEncoder):
-        self.enc, self.order, self.size = enc, [], 0
-        self.first, self.rest = _Numbers(self.order), _Numbers(self.order)
+        self.enc, self.order, self.spaced, self.size = enc, [], bytearray(), 0
+        self.first, self.rest = _Numbers(self, 0), _Numbers(self, 1)
         self.ids, self.lengths, self.codes = [], array("q"), array("I")
 
     def add(self, doc_id, text: str) -> None:
@@ -104,43 +106,61 @@ class Block:
         self.lengths.append(len(self.codes) - before)
         self.size += len(text)
 
-    def words(self) -> list[str]:
-        return [" " + w if owner is self.rest else w for owner, w in self.order]
+    def word(self, n: int) -> str:
+        return " " + self.order[n] if self.spaced[n] else self.order[n]
 
+    def forget_words(self) -> None:
+        """The look-up tables aren't needed once all documents are numbered."""
+        self.first = self.rest = None
 
-PARTS = T.StructType([T.StructField("block", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("codes", T.BinaryType()), T.StructField("lengths", T.BinaryType()), T.StructField("doc_ids", T.BinaryType())])
 
+LISTS = "block long, part int, words binary"
+HELD = "block long, mark long, codes binary, lengths binary, doc_ids binary"
 
-def split_blocks(docs: DataFrame, tokenizer: str, parts: int, block_bytes: int = BLOCK) -> DataFrame:
-    """Rows of two kinds: part >= 0 has the block's words of that part, part -1 the block's documents."""
+
+def mark_of(hashes: np.ndarray) -> int:
+    """What a block's documents and its lists must agree in: the number of words, and all their hashes."""
+    return len(hashes) << 32 | int(np.bitwise_xor.reduce(hashes, initial=0))
+
+
+def hashes_of(words) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64)
+
+
+def split_blocks(docs: DataFrame, tokenizer: str, parts: int, lists: bool, block_bytes: int = BLOCK) -> DataFrame:
+    """Blocks of the (doc_id, text) rows of each task, in their order: their lists of words by part (LISTS), or their
+    documents (HELD). Both are made from the same scan, so nothing but what is shuffled takes disk."""
+    schema = LISTS if lists else HELD
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.binary()] if lists else [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(batches):
         enc, task, n = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        names = PARTS.names
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+        def batch(*row):
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
 
         def closed(block: Block):
             nonlocal n
             key = task << 24 | n
             n += 1
-            words = block.words()
-            part_of = np.fromiter((zlib.crc32(w.encode()) % parts for w in words), np.int64, len(words))
+            block.forget_words()
+            hashes = hashes_of(block.word(k) for k in range(len(block.order)))
             # Words are renumbered part by part: then a number alone says where a word's ids stand.
-            order = np.argsort(part_of, kind="stable")
-            number = np.empty(len(words), np.int64)
-            number[order] = np.arange(len(words))
-            cuts = np.searchsorted(part_of[order], np.arange(parts + 1))
-            for p in range(parts):
-                if cuts[p] < cuts[p + 1]:
-                    own = pack_words([words[i] for i in order[cuts[p] : cuts[p + 1]].tolist()])
-                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((key, p, own, None, None, None), kinds)], names=names)
+            order = np.argsort(hashes % parts, kind="stable")
+            if lists:
+                cuts = np.searchsorted(hashes[order] % parts, np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(cuts)).tolist():
+                    yield batch(key, p, pack_words([block.word(k) for k in order[cuts[p] : cuts[p + 1]].tolist()]))
+                return
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
             codes = number[np.frombuffer(block.codes, np.uint32)] if len(block.codes) else np.empty(0, np.int64)
-            ids = pa.RecordBatch.from_arrays([pa.array(block.ids)], names=["doc_id"]) if any(x is not None for x in block.ids) else pa.RecordBatch.from_arrays([pa.nulls(len(block.ids), pa.int64())], names=["doc_id"])
+            ids = pa.array(block.ids) if any(x is not None for x in block.ids) else pa.nulls(len(block.ids), pa.int64())
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, ids.schema) as out:
-                out.write_batch(ids)
-            row = (key, -1, None, squeeze_ints(codes), squeeze_ints(np.frombuffer(block.lengths, np.int64)), squeeze(sink.getvalue().to_pybytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
+            with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([ids], names=["doc_id"]))
+            yield batch(key, mark_of(hashes), squeeze_ints(codes), squeeze_ints(np.frombuffer(block.lengths, np.int64)), squeeze(sink.getvalue().to_pybytes()))
 
         block = Block(enc)
         for whole in batches:
@@ -154,39 +174,46 @@ def split_blocks(docs: DataFrame, tokenizer: str, parts: int, block_bytes: int =
         if block.ids:
             yield from closed(block)
 
-    return docs.mapInArrow(run, PARTS)
+    return docs.mapInArrow(run, schema)
 
 
 def encode_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, part, counts, ids): ids of the words of each row, and how many each word has. Rows of a part are in one
+    """(block, part, mark, counts, ids): ids of the words of each row, and how many each word has. Rows of a part are in one
     task, where each distinct word is encoded once (the cache is bounded; a word that it lost is encoded again)."""
 
     def run(batches):
         enc = encoder(tokenizer)
         for b in batches:
             for k in range(b.num_rows):
-                found = [enc.words[w] for w in unpack_words(b.column(2)[k].as_py())]
+                words = unpack_words(b.column(2)[k].as_py())
+                found = [enc.words[w] for w in words]
                 counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 ids = np.frombuffer(b"".join(found), "<u4")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([squeeze_ints(counts)], pa.binary()), pa.array([squeeze_ints(ids)], pa.binary())], names=["block", "part", "counts", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([mark_of(hashes_of(words))], pa.int64()), pa.array([squeeze_ints(counts)], pa.binary()), pa.array([squeeze_ints(ids)], pa.binary())], names=["block", "part", "mark", "counts", "ids"])
 
-    return rows.mapInArrow(run, "block long, part int, counts binary, ids binary")
+    return rows.mapInArrow(run, "block long, part int, mark long, counts binary, ids binary")
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, ids array<int>): the ids that the tokenizers library gives for whole texts, no special tokens added."""
+    """(doc_id, ids array<int>): the ids that the tokenizers library gives for whole texts, no special tokens added.
+
+    ``docs`` is read twice, and its rows must come in the same order both times, as those of a table do; a block whose
+    documents and words don't belong together is refused (write such a frame to a table first)."""
     spark = docs.sparkSession
     ship(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    table = written(split_blocks(docs, tokenizer, parts, block_bytes))
-    lists = table.where("part >= 0").select("block", "part", "words").repartition(parts, "part")
+    lists = split_blocks(docs, tokenizer, parts, True, block_bytes).repartition(parts, "part")
     coded = encode_words(lists, tokenizer)
+    held = split_blocks(docs, tokenizer, parts, False, block_bytes)
     id_type = docs.schema["doc_id"].dataType
     key_type = to_arrow_type(id_type)
 
     def join_back(key, left: pa.Table, right: pa.Table):
         order = np.argsort(right.column("part").to_numpy())
+        marks = right.column("mark").to_numpy()
+        if left.column("mark")[0].as_py() != ((marks >> 32).sum() << 32 | np.bitwise_xor.reduce(marks & 0xFFFFFFFF, initial=0)):
+            raise ValueError("the documents came in another order when they were read again: write them to a table first")
         counts, ids = [], []
         for k in order.tolist():
             counts.append(unsqueeze_ints(right.column("counts")[k].as_py()))
@@ -212,7 +239,6 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         schema = pa.schema([("doc_id", key_type), ("ids", pa.list_(pa.int32()))])
         return pa.Table.from_batches(list(join_back(key, left, right)) if left.num_rows else [], schema)
 
-    held = table.where("part = -1").select("block", "codes", "lengths", "doc_ids")
     out = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
     return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(joined, out)
 
