@@ -182,11 +182,11 @@ def encode_words(rows: DataFrame, tokenizer: str) -> DataFrame:
     task, where each distinct word is encoded once (the cache is bounded; a word that it lost is encoded again)."""
 
     def run(batches):
-        enc = encoder(tokenizer)
+        known = encoder(tokenizer).task_cache()  # no word of this part is met in another task
         for b in batches:
             for k in range(b.num_rows):
                 words = unpack_words(b.column(2)[k].as_py())
-                found = [enc.words[w] for w in words]
+                found = [known[w] for w in words]
                 counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
                 ids = np.frombuffer(b"".join(found), "<u4")
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([mark_of(hashes_of(words))], pa.int64()), pa.array([squeeze_ints(counts)], pa.binary()), pa.array([squeeze_ints(ids)], pa.binary())], names=["block", "part", "mark", "counts", "ids"])

@@ -94,6 +94,10 @@ class TextEncoder:
             return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def task_cache(self) -> "_Pieces":
+        """A cache of words that goes with the task."""
+        return _Pieces(self.whole)
+
     def encode(self, text: str) -> bytes:
         if self.kind == "word":
             return b"".join(map(self.words.__getitem__, text.encode("utf-8").lower().split()))
