@@ -138,8 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: in
         return lambda texts: [[np.unique(grams(t, table)).astype("<u4").tobytes() for t in texts]]
 
     made = with_columns_from_text(sample, "text", [("buckets", T.BinaryType(), pa.binary())], make)
-    got = sorted((r.doc_id, r.label, bytes(r.buckets)) for r in made.select("doc_id", "label", "buckets").collect())  # bounded by ``rows``
-    return fit_ftrl([np.frombuffer(b, "<u4").astype(np.int64) for _, _, b in got], np.array([y for _, y, _ in got], float))
+    # Bounded by ``rows``; Arrow columns, so that a document's buckets are held once.
+    got = made.select("doc_id", "label", "buckets").toArrow().combine_chunks()
+    order = sorted(range(got.num_rows), key=lambda k: (got["doc_id"][k].as_py(), got["label"][k].as_py(), got["buckets"][k].as_buffer().to_pybytes()[:64]))
+    examples = [np.frombuffer(got["buckets"][k].as_buffer(), "<u4").astype(np.int32) for k in order]
+    return fit_ftrl(examples, np.array([got["label"][k].as_py() for k in order], float))
 
 
 def score(df: DataFrame, model: SparseModel, text_col: str = "text", out: str = "toxicity") -> DataFrame:
