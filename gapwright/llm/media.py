@@ -1,8 +1,8 @@
-"""Media columns: WAV bytes in a column, spectra by short-time Fourier transform, and peak-pair fingerprints.
+"""Media columns: WAV bytes in a column, frequencies by short-time Fourier transform, and fingerprints of spectral-peak pairs.
 
 ``encode_wav`` stores bytes losslessly as unsigned 8-bit mono samples; ``read_wav`` reads stored bytes by the wave
 module; ``fingerprint_wav`` adds an array of time-coded peak pairs. All are maps over Arrow batches, without a
-shuffle. Memory is bounded by one row and FRAMES frames of its spectrum.
+shuffle. Memory is bounded by one row and FRAMES frames of its transform.
 
 Defined results: null or empty bytes are stored as one unit of zeros; a media column that is null, or no 8-bit mono
 WAV, gives nulls in every column read from it; equal bytes give equal rows; input columns are kept, and one whose name
@@ -50,7 +50,7 @@ def from_wav(media: bytes | None) -> bytes | None:
         return None
 
 
-def spectral_peaks(payload: bytes) -> np.ndarray:
+def frequency_peaks(payload: bytes) -> np.ndarray:
     """(frames, PEAKS) frequency bins: the strongest local maxima of each frame, -1 where there are fewer."""
     x = np.frombuffer(payload, np.uint8)
     if len(x) < WINDOW:
@@ -112,7 +112,7 @@ def read_wav(df: DataFrame, media: str = "media", unit: int = UNIT) -> DataFrame
         payload = from_wav(stored)
         if payload is None:
             return None, None, None, None
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), peak_pairs(spectral_peaks(payload))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-unit:]), peak_pairs(frequency_peaks(payload))
 
     added = [("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("fingerprint", T.ArrayType(T.LongType()), pa.list_(pa.int64()))]
     return _mapped(df, media, added, row)

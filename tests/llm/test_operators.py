@@ -38,7 +38,7 @@ def test_media_round_trip(spark):
         assert w.getparams()[:2] == (1, 1) and w.readframes(64).rstrip(b"\0") == b"abc"
     assert media.from_wav(b"no wav") is None and media.from_wav(None) is None
     tone = (128 + 100 * np.sin(np.arange(2048) * 2 * np.pi * 20 / 256)).astype(np.uint8).tobytes()
-    assert set(media.spectral_peaks(tone)[:, 0]) == {20}
+    assert set(media.frequency_peaks(tone)[:, 0]) == {20}
 
 
 def test_best_fill_against_brute_force():
