@@ -42,7 +42,7 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[tuple[str,
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; bounded: emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         import xxhash
 

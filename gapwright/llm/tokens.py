@@ -13,7 +13,7 @@ import json
 import re
 from array import array
 
-CACHE = 1_000_000
+CACHE = 500_000
 #: Marks that stand alone behind a letter, whatever follows a blank.
 TAIL = ".,;:"
 #: A blank before one of these isn't cut: what counts as white space differs between Unicode versions.

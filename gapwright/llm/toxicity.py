@@ -36,7 +36,7 @@ class WordTable(dict):
     """Word -> its row in ``rows``: the hash of the word and those of its stems (0: it is no longer than the stem).
     Bounded: emptied before it would hold over ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most, self.hashes = most, WordHashes(most)
         self.rows, self.new = np.zeros((1024, 1 + len(STEMS)), np.uint64), []
