@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..session import written
 from .series import DAY_US, islands, with_bucket, with_neighbours
 
-#: Verdicts, reasons and modes, as results show them. STRENGTH: the weaker mode has the smaller number.
+#: Verdicts, reasons and modes, as results show them.
 LIVE, BLIND, SUPPRESSED = "LIVE", "BLIND", "SUPPRESSED"
 NONE, SEQUENCED, CHAINED = "NONE", "SEQUENCED", "CHAINED"
 LIVE_REASON = "L_CALIBRATED_OK"
@@ -115,6 +115,12 @@ def volumes(line: DataFrame, key: str = "source") -> DataFrame:
     return line.groupBy(key, "verdict", "reason").agg(F.sum(F.col("t1") - F.col("t0")).alias("volume"), F.count("*").alias("islands"))
 
 
+def weakest_mode(sources: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The weakest integrity class, of all sources or by keys: NONE, then SEQUENCED, then CHAINED."""
+    order = F.create_map(*[x for k, m in enumerate((NONE, SEQUENCED, CHAINED)) for x in (F.lit(m), F.lit(k))])
+    return sources.groupBy(*(keys or [])).agg(F.min_by("integrity", order[F.col("integrity")]).alias("weakest"))
+
+
 def live_share(line: DataFrame, keys: list[str]) -> DataFrame:
     """LIVE time per mille of all time, rounded down."""
     span = F.col("t1") - F.col("t0")

@@ -35,3 +35,14 @@ def entities(resolved: DataFrame, rule_of: str = "role", row_id: str = "event_id
     bound = resolved.where(F.col("outcome") == RESOLVED).select(F.element_at("candidates", 1).alias("entity_id"), F.col(rule_of).alias("rule"), row_id)
     once = bound.groupBy("entity_id", row_id).agg(F.min("rule").alias("rule"))
     return once.groupBy("entity_id").agg(F.min("rule").alias("join_rule"), F.count("*").alias("n_events"), F.min(row_id).alias("first_event"), F.max(row_id).alias("last_event"))
+
+
+def project_roles(bindings: DataFrame, declared: DataFrame) -> DataFrame:
+    """Bindings (predicate, role, ...) whose role the predicate's pattern binds. declared: (predicate, role)."""
+    return bindings.join(declared.select("predicate", "role").distinct(), ["predicate", "role"], "left_semi")
+
+
+def missing_roles(bindings: DataFrame, declared: DataFrame, row_id: str = "event_id") -> DataFrame:
+    """(event_id, predicate, role): declared roles that an event of the predicate has no binding for."""
+    wanted = bindings.select(row_id, "predicate").distinct().join(declared.select("predicate", "role").distinct(), "predicate")
+    return wanted.join(bindings.select(row_id, "predicate", "role"), [row_id, "predicate", "role"], "left_anti").select(row_id, "predicate", "role")

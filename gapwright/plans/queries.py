@@ -540,3 +540,33 @@ def session_counts(spark, sf):
 @query("first_last", f"SELECT source, t // {24 * HOUR} AS day, arg_min(event_id, t) AS first_event, arg_max(event_id, t) AS last_event, count(*) AS n FROM ({E}) GROUP BY ALL")
 def first_last(spark, sf):
     return telemetry(spark, sf).groupBy("source", F.expr(f"t div {24 * HOUR}").alias("day")).agg(F.min_by("event_id", "t").alias("first_event"), F.max_by("event_id", "t").alias("last_event"), F.count("*").alias("n"))
+
+
+# --- roles and modes ----------------------------------------------------------------------------------------------
+
+ROLE_ROWS = f"SELECT event_id, source AS predicate, 'k' AS role, CAST(k AS VARCHAR) AS value FROM ({E}) WHERE k % 2 = 0 UNION ALL SELECT event_id, source, 'user', CAST(user_id AS VARCHAR) FROM ({E}) WHERE user_id IS NOT NULL"
+DECLARED = [("purchase", "k"), ("purchase", "user"), ("view", "user")]
+
+
+def role_rows(spark, sf) -> tuple[DataFrame, DataFrame]:
+    e = telemetry(spark, sf)
+    values = resolve.role_values(e.withColumn("even", F.when(F.col("k") % 2 == 0, F.col("k"))), {"k": "even", "user": "user_id"})
+    return values.join(e.select("event_id", F.col("source").alias("predicate")), "event_id"), spark.createDataFrame(DECLARED, "predicate string, role string")
+
+
+@query("role_projection", f"SELECT event_id, predicate, role, value FROM ({ROLE_ROWS}) WHERE (predicate, role) IN (('purchase', 'k'), ('purchase', 'user'), ('view', 'user'))")
+def role_projection(spark, sf):
+    return resolve.project_roles(*role_rows(spark, sf)).select("event_id", "predicate", "role", "value")
+
+
+@query("missing_roles", f"SELECT event_id, source AS predicate, 'k' AS role FROM ({E}) WHERE source = 'purchase' AND user_id IS NOT NULL AND coalesce(k % 2 <> 0, true)")
+def missing_roles(spark, sf):
+    return resolve.missing_roles(*role_rows(spark, sf))
+
+
+@query("weakest_mode", f"SELECT source, CASE WHEN source IN ('view', 'click') THEN 'NONE' WHEN source = 'error' THEN 'SEQUENCED' ELSE 'CHAINED' END AS weakest FROM ({E}) GROUP BY source")
+def weakest_mode(spark, sf):
+    """The weakest class that any record of a source came with: every fifth view and click is unnumbered."""
+    e = telemetry(spark, sf)
+    mode = F.when(F.col("source").isin("view", "click") & (F.col("event_id") % 5 == 0), "NONE").when(F.col("source") == "error", "SEQUENCED").otherwise("CHAINED")
+    return liveness.weakest_mode(e.withColumn("integrity", mode), ["source"])
