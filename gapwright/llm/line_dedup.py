@@ -8,7 +8,8 @@ one stretch is a variable field: lines of one leaf that agree in all stretches b
 A template recurs if it is found in ``min_docs`` documents, or in ``min_docs_long`` if it has LONG_TOKENS tokens. Its
 owner is the smallest id among them. A line is dropped if one of its templates recurs and has an owner with a smaller
 id than the line's own document: recurring lines stay in the first document that has them, and all else is untouched.
-Lines with fewer than MIN_TOKENS tokens are no evidence of copying and stay.
+A line with fewer than MIN_TOKENS tokens is too short for the tree: its one template is the exact masked line, or the
+unmasked one if all its tokens are fields, so that lines of mere numbers don't count as copies. Blank lines stay.
 
 Templates are 64-bit hashes; only hashes are shuffled and counted (with partial counts, so a line that a third of the
 documents share is no hot group), and hot templates are joined apart. Texts meet the numbers of their dropped lines by
@@ -40,7 +41,7 @@ LAST = (1 << 63) - 1
 
 
 def line_templates(line: str) -> list[str]:
-    """The templates of a line, from the exact one on; none for a line with too few tokens."""
+    """The templates of a line in the tree, from the exact one on; none for a line with too few tokens."""
     tokens = [x for x in line.split()]
     n = len(tokens)
     if n < MIN_TOKENS:
@@ -55,11 +56,21 @@ def line_templates(line: str) -> list[str]:
     return [" ".join([head, *parts])] + [" ".join([head, *parts[:q], "<*>", *parts[q + 1 :]]) for q in range(QUARTERS)]
 
 
+def templates(line: str) -> list[str]:
+    """The templates of a line: those of the tree, or the one of a line too short for it; none for a blank line."""
+    found, tokens = line_templates(line), line.split()
+    if found or not tokens:
+        return found
+    exact = " ".join(tokens)
+    masked = _FIELD.sub("<*>", exact)
+    return [f"{len(tokens)} {exact if set(masked.split(' ')) == {'<*>'} else masked}"]
+
+
 def template_keys(text: str, digest) -> tuple[list[int], list[int]]:
     """(keys, numbers of their lines). The lowest bit of a key says whether its template is a long one."""
     keys, lines = [], []
     for number, line in enumerate(text.split("\n")):
-        for template in line_templates(line):
+        for template in templates(line):
             long = int(template.split(" ", 1)[0]) >= LONG_TOKENS
             keys.append((digest(template) & ~1) | long)
             lines.append(number)

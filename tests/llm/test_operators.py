@@ -264,6 +264,13 @@ def test_line_templates():
     assert len(set(line_dedup.line_templates(long)) & set(line_dedup.line_templates(other))) == 1
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "All rights reserved.\n7\npage 3\n\none"), (2, "All  rights reserved.\n8\npage 4\n\ntwo"), (3, "\nthree\nAll rights reserved.\n9\npage 5"), (4, "8\n\nfour"), (5, "five\n8")]
+    done = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert done == {1: rows[0][1], 2: "8\n\ntwo", 3: "\nthree\n9", 4: "\nfour", 5: "five"}
+    assert line_dedup.templates(" \t ") == [] and line_dedup.templates(LINE) == line_dedup.line_templates(LINE)
+
+
 PAGES = [(1, "u1", "<a>"), (2, "u2\r\nX: y", "<a>"), (3, None, None), (4, "u4", ""), (None, "u5", "zz"), (6, "u6", "é" * 100000), (6, "u6", "é" * 100000), (7, "u7", "<a>")]
 
 
