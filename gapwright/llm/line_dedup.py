@@ -5,9 +5,10 @@ become ``<*>`` (also on the path). What is left of the line is its masked tokens
 A line belongs to the template of all its masked tokens, and, from FIELD_TOKENS tokens on, to those templates in which
 one stretch is a variable field: lines of one leaf that agree in all stretches but one share such a template.
 
-A template recurs if it is found in ``min_docs`` documents, or in ``min_docs_long`` if it has LONG_TOKENS tokens. Its
-owner is the smallest id among them. A line is dropped if one of its templates recurs and has an owner with a smaller
-id than the line's own document: recurring lines stay in the first document that has them, and all else is untouched.
+A template recurs if it is found in ``min_docs`` documents, or in ``min_docs_long`` if it has LONG_TOKENS tokens: in
+two, of whatever length, unless a caller asks for more. Its owner is the smallest id among them. A line is dropped if
+one of its templates recurs and has an owner with a smaller id than the line's own document: recurring lines stay in the
+first document that has them, and all else is untouched.
 A line with fewer than MIN_TOKENS tokens is too short for the tree: its one template is the exact masked line, or the
 unmasked one if all its tokens are fields, so that lines of mere numbers don't count as copies. Blank lines stay.
 
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from ..session import ship, written
 from .common import skewed_left_join, with_columns_from_text
 
-DEPTH, QUARTERS, MIN_TOKENS, FIELD_TOKENS, LONG_TOKENS, MIN_DOCS, MIN_DOCS_LONG = 3, 4, 5, 16, 20, 3, 2
+DEPTH, QUARTERS, MIN_TOKENS, FIELD_TOKENS, LONG_TOKENS, MIN_DOCS, MIN_DOCS_LONG = 3, 4, 5, 16, 20, 2, 2
 _FIELD = re.compile(r"[^\s]*[0-9][^\s]*")
 LAST = (1 << 63) - 1
 

@@ -271,6 +271,12 @@ def test_line_dedup_of_short_lines(spark):
     assert line_dedup.templates(" \t ") == [] and line_dedup.templates(LINE) == line_dedup.line_templates(LINE)
 
 
+def test_line_dedup_of_pairs(spark):
+    rows = [(1, "this line is in two documents\nShort one."), (2, "Short one.\nalpha"), (3, "beta\nthis line is in two documents")]
+    done = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert done == {1: rows[0][1], 2: "alpha", 3: "beta"}
+
+
 PAGES = [(1, "u1", "<a>"), (2, "u2\r\nX: y", "<a>"), (3, None, None), (4, "u4", ""), (None, "u5", "zz"), (6, "u6", "é" * 100000), (6, "u6", "é" * 100000), (7, "u7", "<a>")]
 
 
