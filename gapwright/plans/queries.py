@@ -367,6 +367,28 @@ def fixpoint_pmax(spark, sf):
     return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
 
 
+def users(spark, sf) -> DataFrame:
+    """Every user that an event names, as a pool of declared entities."""
+    return telemetry(spark, sf).where("user_id IS NOT NULL").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("entity_id")).distinct()
+
+
+def tick_line(spark, sf) -> DataFrame:
+    ticks = line(spark, sf).select("source", F.expr(f"t0 div {TICK}").alias("t0"), F.expr(f"t1 div {TICK}").alias("t1"), "verdict", "reason")
+    return written(ticks.where("t0 < t1"))
+
+
+ALL_HIDDEN = HIDDEN.replace(f"(SELECT unnest({POOL}) AS u)", "(SELECT DISTINCT u FROM ax)")
+P_MAX_USERS = P_MAX.replace(HIDDEN, ALL_HIDDEN)
+MAX_ROWS = "SELECT 'session' AS predicate, u AS entity, k AS tick FROM session UNION ALL SELECT 'browsing', u, k FROM browsing UNION ALL SELECT 'escalated', u, k FROM escalated_max UNION ALL SELECT 'bought', u, k FROM bought_max"
+
+
+@query("fixpoint_pmax_users", f"{P_MAX_USERS} {MAX_ROWS}")
+def fixpoint_pmax_users(spark, sf):
+    """As fixpoint_pmax, with hidden steps of every user instead of eight."""
+    found = fixpoint.envelope(p_min(spark, sf), table_of_rules(), tick_line(spark, sf), users(spark, sf)).facts.where(~F.col("predicate").isin(*AXIOMS))
+    return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
+
+
 # Two programs by hand: route A is observed, route B needs a hidden step.
 def example(side: str) -> list[reach.Instance]:
     bit = lambda c, n: 1 << CONTROLS.bit(c, n)

@@ -25,6 +25,15 @@ def test_against_sql(spark, sf, duck, name):
     assert sorted(repr(tuple(r[c] for c in columns)) for r in df.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+def test_hidden_steps_of_every_user(spark, sf, duck):
+    rows = QUERIES["fixpoint_pmax_users"](spark, sf).collect()
+    want = duck.sql(ORACLE_SQL["fixpoint_pmax_users"]).fetchall()
+    assert sorted((r.predicate, r.entity, r.tick) for r in rows) == sorted(want)
+    named = {str(u) for (u,) in duck.sql("SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL").fetchall()}
+    hidden = {(u, k) for p, u, k in want if p == "escalated"} - {(u, k) for p, u, k in duck.sql(ORACLE_SQL["fixpoint_pmin"]).fetchall() if p == "escalated"}
+    assert {u for u, _ in hidden} == named and len(named) > 8
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
