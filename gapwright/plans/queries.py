@@ -332,8 +332,8 @@ def seeded(spark, sf) -> DataFrame:
     return fixpoint.seed(events.select("event_id", F.col("source").alias("predicate"), F.array(F.col("user_id").cast("string")).alias("args"), F.expr(f"t div {TICK}").alias("tick")))
 
 
-def p_min(spark, sf) -> fixpoint.Program:
-    return fixpoint.saturate(seeded(spark, sf), table_of_rules())
+def p_min(spark, sf, absence=None) -> fixpoint.Program:
+    return fixpoint.saturate(seeded(spark, sf), table_of_rules(), absence=absence)
 
 
 @query("fixpoint_pmin", f"{P_MIN} {FACT_ROWS}")
@@ -389,6 +389,47 @@ def fixpoint_pmax_users(spark, sf):
     return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
 
 
+# The same programs where an absence counts only if the rule's producing source was LIVE through its whole window.
+SEEN = f"""tick_line AS ({TICK_LINE}),
+ seen AS (SELECT e.u, e.k FROM unmet e JOIN tick_line l ON l.source = 'error' AND l.verdict = 'LIVE' AND l.t0 < e.k AND e.k - 21600 < l.t1 GROUP BY e.u, e.k HAVING sum(least(l.t1, e.k) - greatest(l.t0, e.k - 21600)) = 21600),
+ escalated AS (SELECT u, k FROM seen),"""
+
+
+def gated(sql: str) -> str:
+    """P_MIN or what starts with it, its escalations held against the timeline."""
+    return sql.replace(" escalated AS (", " unmet AS (", 1).replace("\n bought AS (", f"\n {SEEN}\n bought AS (", 1)
+
+
+def programs(spark, sf) -> tuple[fixpoint.Program, fixpoint.Program]:
+    """P_min and P_max of the events: observed absences only, hidden steps of every user."""
+    ticks = tick_line(spark, sf)
+    absence = fixpoint.absence_by(ticks)
+    low = p_min(spark, sf, absence)
+    return low, fixpoint.envelope(low, table_of_rules(), ticks, users(spark, sf), absence)
+
+
+def derived(program: fixpoint.Program) -> DataFrame:
+    return program.facts.where(~F.col("predicate").isin(*AXIOMS)).select("predicate", F.element_at("args", 1).alias("entity"), "tick")
+
+
+@query("fixpoint_pmin_observed", f"{gated(P_MIN)} {FACT_ROWS}")
+def fixpoint_pmin_observed(spark, sf):
+    """As fixpoint_pmin, with OBSERVED absences only."""
+    return derived(p_min(spark, sf, fixpoint.absence_by(tick_line(spark, sf))))
+
+
+@query("fixpoint_pmax_observed", f"{gated(P_MAX_USERS)} {MAX_ROWS}")
+def fixpoint_pmax_observed(spark, sf):
+    """As fixpoint_pmax_users, with OBSERVED absences only."""
+    return derived(programs(spark, sf)[1])
+
+
+@query("instance_counts_observed", gated(ORACLE_SQL["instance_counts"]))
+def instance_counts_observed(spark, sf):
+    """As instance_counts, with OBSERVED absences only."""
+    return p_min(spark, sf, fixpoint.absence_by(tick_line(spark, sf))).instances.groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
 # Two programs by hand: route A is observed, route B needs a hidden step.
 def example(side: str) -> list[reach.Instance]:
     bit = lambda c, n: 1 << CONTROLS.bit(c, n)

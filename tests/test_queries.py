@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from gapwright.functions import canon
 from gapwright.operators import degrade, liveness, series, temporal
-from gapwright.plans.queries import ORACLE_SQL, QUERIES
+from gapwright.plans import fixpoint
+from gapwright.plans.queries import CONTROLS, ORACLE_SQL, QUERIES
+from gapwright.plans.rules import compile_table
 from gapwright.sources import config, generate, ingest, sinks
 from gapwright.sources.events import EventStore, telemetry
 from gapwright.streaming import windows
@@ -34,6 +36,23 @@ def test_hidden_steps_of_every_user(spark, sf, duck):
     assert {u for u, _ in hidden} == named and len(named) > 8
 
 
+@pytest.mark.parametrize("name", ["fixpoint_pmin_observed", "fixpoint_pmax_observed", "instance_counts_observed"])
+def test_observed_absences(spark, sf, duck, name):
+    rows = QUERIES[name](spark, sf)
+    want = duck.sql(ORACLE_SQL[name])
+    assert sorted(map(repr, map(tuple, rows.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+    assert set(want.fetchall()) != set(duck.sql(ORACLE_SQL[name.replace("pmax_observed", "pmax_users").replace("_observed", "")]).fetchall())
+
+
+def test_absence_gate(spark):
+    rule = {"id": "r", "kind": "detect", "head": "alone(user, t)", "body": ["error(user, t)"], "temporal": {"op": "absence", "of": "view(user, tv)", "before": "a", "within": "10s"}, "producing_sources": ["error"]}
+    table = compile_table([rule], CONTROLS, {"error", "view"})
+    seeds = fixpoint.seed(spark.createDataFrame([(i, p, ["u"], t) for i, (p, t) in enumerate([("error", 20), ("error", 45), ("error", 70), ("error", 95), ("view", 65)])], "event_id long, predicate string, args array<string>, tick long"))
+    ticks = spark.createDataFrame([("error", 0, 40, "LIVE", "x"), ("error", 40, 80, "BLIND", "y")], "source string, t0 long, t1 long, verdict string, reason string")
+    heads = lambda absence: sorted(r.tick for r in fixpoint.saturate(seeds, table, absence=absence).facts.where("predicate = 'alone'").collect())
+    assert heads(None) == [20, 45, 95] and heads(fixpoint.absence_by(ticks)) == [20]
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
