@@ -461,9 +461,7 @@ def reach_under_cuts(spark, sf):
 
 @query("min_cuts", f"SELECT side, cut_id, n_controls FROM (SELECT *, min(n_controls) OVER (PARTITION BY side) AS best FROM ({SEVERED}) WHERE severed) WHERE n_controls = best")
 def min_cuts(spark, sf):
-    hit = severed_cuts(spark).where("severed")
-    best = hit.groupBy("side").agg(F.min("n_controls").alias("best"))
-    return hit.join(best, "side").where("n_controls = best").select("side", "cut_id", "n_controls")
+    return best_cuts(severed_cuts(spark)).select("side", "cut_id", "n_controls")
 
 
 BEST = f"SELECT * FROM (SELECT s.*, min(s.n_controls) OVER (PARTITION BY side) AS best, e, p, r, s2, k FROM ({SEVERED}) s JOIN (SELECT cut_id, e, p, r, s AS s2, k FROM ({CUTS})) c USING (cut_id) WHERE severed) WHERE n_controls = best"
@@ -561,13 +559,81 @@ def blind_share(spark, sf):
     return spark.createDataFrame([reduced(r.b, r.n)], "num long, den long")
 
 
+def best_cuts(cuts_: DataFrame) -> DataFrame:
+    hit = cuts_.where("severed")
+    return hit.join(hit.groupBy("side").agg(F.min("n_controls").alias("best")), "side").where("n_controls = best")
+
+
+def levels_of(best: DataFrame) -> DataFrame:
+    rows = best.select("side", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in sorted(CONTROLS.levels)]).alias("control"), F.split("cut_id", "").alias("level"))).alias("x"))
+    return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
+
+
 @query("raised_levels", f"SELECT side, control, max(level) AS level FROM ({LEVELS}) GROUP BY side, control HAVING max(level) > 0")
 def raised_levels(spark, sf):
     """The highest level of each control over the minimum cuts of either side."""
-    hit = severed_cuts(spark).where("severed")
-    best = hit.join(hit.groupBy("side").agg(F.min("n_controls").alias("best")), "side").where("n_controls = best")
-    rows = best.select("side", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in sorted(CONTROLS.levels)]).alias("control"), F.split("cut_id", "").alias("level"))).alias("x"))
-    return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
+    return levels_of(best_cuts(severed_cuts(spark)))
+
+
+# Reachability and cuts of the programs that the events give; the goals are all facts of a purchase.
+GOAL = "bought"
+BY = "EXISTS (SELECT 1 FROM {} x JOIN ax p ON p.source = 'purchase' AND p.u = x.u AND {})"
+ROUTE_A, ROUTE_B = BY.format("browsing", "x.k < p.k AND p.k <= x.k + 86400"), BY.format("escalated", "x.k < p.k AND p.k <= x.k + 1800")
+ROUTE_B_MAX = BY.format("span", "greatest(p.k - x.hi, 1) <= least(p.k - x.lo, 1800)")
+SEVERED_EVENTS = f"SELECT side, cut_id, n_controls, NOT (a AND e = 0 AND r = 0 AND s = 0 AND k = 0) AND NOT (b AND p = 0) AS severed FROM ({CUTS}), ({gated(P_MAX_USERS)} SELECT 'min' AS side, {ROUTE_A} AS a, {ROUTE_B} AS b UNION ALL SELECT 'max', {ROUTE_A}, {ROUTE_B_MAX})"
+
+
+def severed_events(spark, sf) -> DataFrame:
+    out, cuts_ = None, reach.lattice(spark, CONTROLS)
+    for side, program in zip(("min", "max"), programs(spark, sf)):
+        known = reach.reached(program.facts.where(F.size("events") > 0), program.instances, cuts_)
+        goals = program.facts.where(F.col("predicate") == GOAL)
+        got = reach.severed(known, cuts_, goals).select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def on_driver(program: fixpoint.Program) -> tuple[set[str], list[reach.Instance], list[str]]:
+    """Axioms that some instance uses, instances, and goals, for the corridor search."""
+    instances = reach.collected(program.instances)
+    used = program.instances.select(F.explode("body").alias("fact_id")).distinct()
+    axioms = program.facts.where(F.size("events") > 0).join(used, "fact_id", "left_semi").select("fact_id").collect()
+    return {r.fact_id for r in axioms}, instances, sorted({r.head for r in program.instances.where(F.col("predicate") == GOAL).select("head").distinct().collect()})
+
+
+@query("reach_under_cuts_events", SEVERED_EVENTS)
+def reach_under_cuts_events(spark, sf):
+    return severed_events(spark, sf)
+
+
+@query("min_cuts_events", ORACLE_SQL["min_cuts"].replace(SEVERED, SEVERED_EVENTS))
+def min_cuts_events(spark, sf):
+    return best_cuts(severed_events(spark, sf)).select("side", "cut_id", "n_controls")
+
+
+@query("raised_levels_events", ORACLE_SQL["raised_levels"].replace(SEVERED, SEVERED_EVENTS))
+def raised_levels_events(spark, sf):
+    return levels_of(best_cuts(severed_events(spark, sf)))
+
+
+@query("premium_events", ORACLE_SQL["premium"].replace(SEVERED, SEVERED_EVENTS))
+def premium_events(spark, sf):
+    found = cuts.premium(*[cuts.learn(*on_driver(p), CONTROLS) for p in programs(spark, sf)], CONTROLS)
+    if found.withheld:
+        raise ValueError(f"the premium is withheld: {found.withheld}")
+    return spark.createDataFrame([(c,) for c in found.controls], "control string")
+
+
+@query("verdict_events", ORACLE_SQL["verdict"].replace(SEVERED, SEVERED_EVENTS))
+def verdict_events(spark, sf):
+    """The verdict on each side's own cut, held against both programs."""
+    rows, held = [], [on_driver(p) for p in programs(spark, sf)]
+    for side, own in zip(("min", "max"), held):
+        psi = cuts.learn(*own, CONTROLS)
+        mask = CONTROLS.cut_mask(psi.cut or {})
+        reaches = [not reach.closure(a, i, mask).keys().isdisjoint(goals) for a, i, goals in held]
+        rows.append((side, cuts.verdict(*reaches, ended=psi.complete, tampered=False, unsound=False)))
+    return spark.createDataFrame(rows, "side string, verdict string")
 
 
 @query("program_axioms", f"SELECT source AS predicate, count(*) AS n FROM ({AX}) GROUP BY source")

@@ -53,6 +53,12 @@ def test_absence_gate(spark):
     assert heads(None) == [20, 45, 95] and heads(fixpoint.absence_by(ticks)) == [20]
 
 
+@pytest.mark.parametrize("name", ["reach_under_cuts_events", "min_cuts_events", "raised_levels_events", "premium_events", "verdict_events"])
+def test_cuts_of_events(spark, sf, duck, name):
+    want = duck.sql(ORACLE_SQL[name])
+    assert sorted(map(repr, map(tuple, QUERIES[name](spark, sf).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
