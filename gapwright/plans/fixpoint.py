@@ -155,9 +155,16 @@ def merged_facts(facts: DataFrame, instances: DataFrame) -> DataFrame:
     return every.groupBy("fact_id").agg(F.first("predicate").alias("predicate"), F.first("args").alias("args"), F.first("tick").alias("tick"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.every("licensed").alias("licensed"), F.max_by("events", F.size("events")).alias("events"))
 
 
+def refuse_kinds(rules: list[Rule]) -> None:
+    odd = sorted({r.kind for r in rules} - {"detect", "obligation"})
+    if odd:
+        raise ValueError(f"nothing evaluates rules of kind {', '.join(odd)}")
+
+
 def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS) -> Program:
-    """Close ``facts`` (and ``instances``) under the detect rules. ``absence(windows, sources)`` gives each window's
-    status; without it a missing record is taken as an absence."""
+    """Close ``facts`` (and ``instances``) under the detect rules; the heads of obligations are for ``envelope``.
+    ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence."""
+    refuse_kinds(rules)
     spark = facts.sparkSession
     known = facts if instances is None else merged_facts(facts, instances)
     known = written(known)
@@ -209,9 +216,29 @@ def silent_instances(rule: Rule, line: DataFrame, pools: DataFrame, tick_width:
     return out
 
 
+def obligation_ghosts(rule: Rule, facts: DataFrame, line: DataFrame, key: str = "source") -> DataFrame:
+    """Ghosts of an obligation's missing heads: for each fact that its first pattern matches, and whose head isn't a fact
+    at its very tick, if every producing source is not LIVE throughout [max(0, tick - within), tick). Their span is
+    unknown. A missing head that is not licensed gives no ghost. Of triggers with one head, the first by id has it."""
+    none = F.array().cast("array<string>")
+    rows = slot_frame(facts, rule.body[0], "a")
+    args = F.array(*[F.col(f"v_{v}") for v in rule.head.variables]) if rule.head.variables else none
+    made = rows.select(F.lit(rule.rule_id).alias("rule_id"), F.lit(rule.head.predicate).alias("predicate"), args.alias("args"), F.col("a_t").alias("tick"), "a_id")
+    made = made.withColumn("head", fact_id(F.col("predicate"), F.col("args"), F.col("tick"))).groupBy("rule_id", "predicate", "args", "tick", "head").agg(F.min("a_id").alias("a_id"))
+    missing = written(made.join(facts.select(F.col("fact_id").alias("head")), "head", "left_anti").withColumns({"w0": F.greatest(F.lit(0), F.col("tick") - rule.temporal["within"]), "w1": F.col("tick")}))
+    asked = missing.select(F.col("head").alias("window_id"), F.explode(F.array(*[F.lit(s) for s in rule.sources])).alias(key), "w0", "w1")
+    granted = liveness.coverage(asked, line, len(rule.sources), key=key).where("licensable").select(F.col("window_id").alias("head"))
+    runs = liveness.blind_runs(line, key, merge_reasons=False).where(F.col(key).isin(*rule.sources)).select(key, F.col("t0").alias("r0"), F.col("t1").alias("r1"), "verdict", "reason")
+    met = missing.join(granted, "head").join(runs, (F.col("r0") < F.col("w1")) & (F.col("w0") < F.col("r1")))
+    lic = met.groupBy("head").agg(F.array_sort(F.collect_set(fast("licence", F.col("verdict"), F.col("reason"), F.col(key), F.col("r0"), F.col("r1")))).alias("license_ids"))
+    ghosts = missing.join(lic, "head").withColumns({"body": F.array("a_id"), "evidence": none})
+    return finished(ghosts, rule, "LICENSED", F.col("license_ids"), F.lit(True), F.lit(None), F.lit(None))
+
+
 def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFrame, absence: Callable | None = None, key: str = "source") -> Program:
-    """P_max: P_min's facts and instances, the licensed silent instances, closed again. P_min is within it by
-    construction."""
+    """P_max: P_min's facts and instances, the licensed silent instances, closed again, then the ghosts of missing
+    obligation heads, closed once more. P_min is within it by construction."""
+    refuse_kinds(rules)
     extra = None
     for rule in rules:
         if rule.silent_kinds and rule.kind == "detect":
@@ -220,9 +247,24 @@ def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFram
             ghosts = got.where("ghost").join(p_min.facts.select(F.col("fact_id").alias("head")), "head", "left_anti")
             got = got.where("not ghost").unionByName(ghosts.select(*got.columns))
             extra = got if extra is None else extra.unionByName(got)
-    if extra is None:
-        return p_min
-    return saturate(p_min.facts, rules, written(p_min.instances.unionByName(extra.dropDuplicates(["instance_id"]))), absence)
+    out = p_min
+    if extra is not None:
+        out = saturate(p_min.facts, rules, written(p_min.instances.unionByName(extra.dropDuplicates(["instance_id"]))), absence)
+    owed = [r for r in rules if r.kind == "obligation"]
+    facts, instances = out.facts, out.instances
+    for rule in owed:
+        # A ghost of one obligation is a fact to the next.
+        ghosts = written(obligation_ghosts(rule, facts, line, key))
+        facts, instances = written(merged_facts(facts, ghosts)), instances.unionByName(ghosts)
+    if owed:
+        done = saturate(out.facts, rules, written(instances), absence)
+        out = Program(done.facts, done.instances, done.rounds, done.capped or out.capped)
+    spreading = [r.rule_id for r in rules if r.relation == "PROPAGATES"]
+    if spreading:
+        ghosts = out.facts.where("licensed").join(out.instances.where("ghost").select(F.col("head").alias("fact_id")).distinct(), "fact_id", "left_semi")
+        if not ghost_only(out.instances, ghosts, spreading).isEmpty():
+            raise ValueError("an instance of a propagating rule has ghosts only in its body")
+    return out
 
 
 def missing_from(inner: Program, outer: Program) -> DataFrame:

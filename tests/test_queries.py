@@ -1,6 +1,7 @@
 """Queries of the core against their DuckDB SQL, and operators that SQL can't express."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +60,28 @@ def test_cuts_of_events(spark, sf, duck, name):
     assert sorted(map(repr, map(tuple, QUERIES[name](spark, sf).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
+def test_obligations_in_the_envelope(spark):
+    owed = {"id": "o1", "kind": "obligation", "head": "approved(user, t)", "body": ["error(user, t)"], "temporal": {"op": "obligation", "within": "10s"}, "blocked_when": "ctl.priv_approval >= ticket", "producing_sources": ["iam"]}
+    then = {"id": "r1", "kind": "detect", "head": "taken(user, t1)", "body": ["approved(user, t0)", "purchase(user, t1)"], "evidence": ["b"], "producing_sources": ["purchase"]}
+    table = compile_table([owed, then], CONTROLS, {"error", "purchase", "approved"})
+    events = [("error", "dark", 50), ("error", "live", 20), ("error", "partly", 44), ("error", "met", 60), ("approved", "met", 60), ("error", "start", 0)] + [("purchase", u, 90) for u in ("dark", "live", "partly", "start")]
+    seeds = fixpoint.seed(spark.createDataFrame([(i, p, [u], t) for i, (p, u, t) in enumerate(events)], "event_id long, predicate string, args array<string>, tick long"))
+    ticks = spark.createDataFrame([("iam", 0, 40, "LIVE", "x"), ("iam", 40, 100, "BLIND", "y")], "source string, t0 long, t1 long, verdict string, reason string")
+    low = fixpoint.saturate(seeds, table)
+    high = fixpoint.envelope(low, table, ticks, spark.createDataFrame([], "kind string, entity_id string"))
+    grown = high.facts.join(low.facts, "fact_id", "left_anti").collect()
+    assert sorted((r.predicate, r.args[0], r.tick) for r in grown) == [("approved", "dark", 50), ("taken", "dark", 90)]
+    (ghost,) = high.instances.where("ghost").collect()
+    assert ghost.rule_id == "o1" and len(ghost.body) == len(ghost.license_ids) == len(ghost.blockers) == 1 and ghost.observed == "LICENSED"
+    assert fixpoint.missing_from(low, high).isEmpty()
+    with pytest.raises(ValueError):
+        fixpoint.saturate(seeds, [replace(table[0], kind="other")])
+    with pytest.raises(ValueError):
+        spread = compile_table([owed, then | {"body": ["approved(user, t0)"], "head": "taken(user, t0)", "evidence": ["a"], "causal_relation": "PROPAGATES"}], CONTROLS, {"error", "approved"})
+        made = spark.createDataFrame([("i", "r1", "h", "taken", ["dark"], 50, [r.fact_id for r in grown if r.predicate == "approved"], [], "LICENSED", [], [], False, None, None)], fixpoint.INSTANCES)
+        fixpoint.envelope(fixpoint.Program(seeds, made, 0), spread, ticks, spark.createDataFrame([], "kind string, entity_id string"))
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
