@@ -53,8 +53,10 @@ def from_wav(media: bytes | None) -> bytes | None:
 def frequency_peaks(payload: bytes) -> np.ndarray:
     """(frames, PEAKS) frequency bins: the strongest local maxima of each frame, -1 where there are fewer."""
     x = np.frombuffer(payload, np.uint8)
-    if len(x) < WINDOW:
-        x = np.concatenate([x, np.full(WINDOW - len(x), 128, np.uint8)])
+    # Silence up to one window, or to a whole number of hops, so that the last samples are in a frame too.
+    short = max(WINDOW - len(x), -len(x) % HOP)
+    if short:
+        x = np.concatenate([x, np.full(short, 128, np.uint8)])
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP]
     taper = np.hanning(WINDOW).astype(np.float32)
     found = []

@@ -41,6 +41,16 @@ def test_media_round_trip(spark):
     assert set(media.frequency_peaks(tone)[:, 0]) == {20}
 
 
+def test_media_last_hop_counts():
+    rng = np.random.default_rng(5)
+    for n in (64, 256, 320, 384, 448, 8192 * 128 + 320):
+        raw = rng.bytes(n)
+        other = raw[:-64] + bytes(x ^ 85 for x in raw[-64:])
+        assert len(media.frequency_peaks(raw)) == max(1, -(-n // 128) - 1)
+        if n > 256 and n % 128 == 64:
+            assert media.peak_pairs(media.frequency_peaks(raw)).tolist() != media.peak_pairs(media.frequency_peaks(other)).tolist()
+
+
 def test_best_fill_against_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(60):
