@@ -79,5 +79,28 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Tables between the steps of one operator: each has a name and goes, by ``drop``, after its last use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` written and read again; an older table of that name, which ``df`` may still read, goes then."""
+        path = shared_dir(self.spark)
+        out = written(df, path)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                remove(self.spark, path)
+
+    def close(self) -> None:
+        self.drop(*list(self.paths))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
