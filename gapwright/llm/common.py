@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from ..session import ship
 
-#: A key is hot if it has over 1 of HOT_SHARE rows; so there are fewer than HOT_SHARE hot keys, whatever the table.
+#: A key is hot if it has over 1 of HOT_SHARE rows, or of the shuffle partitions where these are more: over a mean task.
+#: So hot keys are fewer than that number, whatever the table.
 HOT_SHARE = 1000
 SLICE = 512
 
@@ -66,14 +67,32 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hot_limit(small: DataFrame, count: str, total: int | None = None) -> int:
+    """Keys with more rows than this are hot. ``total``: the sum of ``count``, where it is known."""
+    total = total if total is not None else small.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).collect()[0].t
+    share = max(HOT_SHARE, int(small.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(total // share, HOT_SHARE)
+
+
+def skewed_join(big: DataFrame, small: DataFrame, key: str, count: str, values: list[str]) -> DataFrame:
+    """``big`` joined with ``small``, a written table unique by key (``count``: rows of big with that key), for ``values``,
+    which replace columns of those names. Rows of hot keys meet a broadcast of these keys, which are few by their
+    definition, and never go into the shuffle of the rest."""
+    limit = hot_limit(small, count)
+    hot = small.where(F.col(count) > limit).select(key, *values)
+    rest = small.where(F.col(count) <= limit).select(key, *values)
+    big = big.drop(*[v for v in values if v in big.columns])
+    near = big.join(F.broadcast(hot), key)
+    far = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest.hint("merge"), key)
+    return near.unionByName(far)
+
+
 def skewed_left_join(big: DataFrame, small: DataFrame, key: str, count: str, values: list[str], spread: Column, total: int | None = None) -> DataFrame:
     """``big`` left-joined with ``small`` (unique by key; ``count``: rows of big with that key) for ``values``.
 
-    Hot keys, fewer than HOT_SHARE by their definition, are joined by a broadcast of that bounded table; the rows they
-    match then get a key of their own (``spread``) for the shuffled join of the rest, so that no task gets a hot key.
-    ``total``: the sum of count, where it is known."""
-    total = total if total is not None else small.agg(F.coalesce(F.sum(count), F.lit(0)).alias("t")).collect()[0].t
-    limit = max(total // HOT_SHARE, HOT_SHARE)
+    Hot keys are joined by a broadcast of that bounded table; the rows they match then get a key of their own
+    (``spread``) for the shuffled join of the rest, so that no task gets a hot key."""
+    limit = hot_limit(small, count, total)
     hot = small.where(F.col(count) > limit).select(F.col(key).alias("\0hot"), *[F.col(v).alias(f"\0h{v}") for v in values])
     rest = small.where(F.col(count) <= limit).select(F.col(key).alias("\0key"), *[F.col(v).alias(f"\0r{v}") for v in values])
     met = big.join(F.broadcast(hot), big[key] == F.col("`\0hot`"), "left")
