@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gapwright.llm import bpe, line_dedup, media, minhash, packing, quality_classifier, quality_rules, token_files, toxicity, warc
@@ -243,42 +244,64 @@ def test_deduplicated_keeps_columns(spark):
     assert sum(r.doc_id is None for r in rows) == 2
 
 
-def test_line_dedup(spark):
-    df = documents(spark)
+def parts_of(line):
+    """A line's stretches as (place, masked tokens), with how many constant tokens each has; written apart from the code."""
+    tokens = line.split()
+    masked = ["<*>" if any(c in "0123456789" for c in t) else t for t in tokens]
+    if tokens and set(masked) == {"<*>"}:
+        return {(0, "raw", " ".join(tokens)): 1}
+    n = len(masked)
+    bounds = [(0, n)] if n < 4 else [(n * q // 4, n * (q + 1) // 4) for q in range(4)]
+    out = {(n, q, tuple(masked[a:b])): sum(t != "<*>" for t in masked[a:b]) for q, (a, b) in enumerate(bounds)}
+    return {k: w for k, w in out.items() if w}
+
+
+def same_template(one, other):
+    a, b = parts_of(one), parts_of(other)
+    agreed = sum(w for k, w in a.items() if k in b)
+    need = lambda x: max((sum(x.values()) + 1) // 2, min(sum(x.values()), 4))
+    return bool(a and b) and agreed >= max(need(a), need(b))
+
+
+def brute_lost(rows, last):
+    order = lambda d: last if d is None else d
+    lines = [(order(d), line) for d, t in rows for line in (t or "").split("\n")]
+    for d, t in rows:
+        yield d, t, [i for i, x in enumerate((t or "").split("\n")) if any(o < order(d) and same_template(x, y) for o, y in lines)]
+
+
+MORE = [
+    (31, "user alice logged in from the front office desk\n" + " ".join("abcdefghijklmnop")), (32, "user bob logged in from the front office desk\n" + " ".join("abcdXfghijkYmnop")),
+    (33, " ".join("Zbcdefghijklmnop") + "\n1 2 3\n1 2 3 4 5 6 alpha beta"), (34, "1 2 3\n9 8 7 6 5 4 gamma delta\nits first half is this and rest is other"), (35, "its first half is this but none like it\na b c X\nits first half is"),
+]
+
+
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_line_dedup(spark, text_ids):
+    cases = [(d if d is None or not text_ids else f"k{d:03}", t) for d, t in ROWS + MORE]
+    df = documents(spark, ROWS + MORE)
+    if text_ids:
+        df = df.withColumn("doc_id", F.format_string("k%03d", "doc_id")).withColumn("doc_id", F.when(F.col("doc_id") != "knull", F.col("doc_id")))
     done = line_dedup.drop_recurring_lines(df, dropped_col="lost")
-    rows = collections.defaultdict(list)
-    for r in done.collect():
-        rows[r.doc_id].append(r)
-    assert done.drop("lost").columns == df.columns and sum(map(len, rows.values())) == len(ROWS)
-    owners = collections.defaultdict(list)
-    for d, t in ROWS:
-        seen = {x for line in (t or "").split("\n") for x in line_dedup.line_templates(line)}
-        for x in seen:
-            owners[x].append(d if d is not None else line_dedup.LAST)
-    for d, t in ROWS:
-        own = d if d is not None else line_dedup.LAST
-        lines = (t or "").split("\n")
-        lost = [i for i, x in enumerate(lines) if any(min(o) < own and len(o) >= (2 if int(k.split(" ")[0]) >= 20 else 3) and min(o) < max(o) for k, o in ((k, owners[k]) for k in line_dedup.line_templates(x)))]
-        match = [r for r in rows[d] if r.lost == lost and r.text == (None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in lost))]
-        assert match, (d, lost)
-    assert rows[12][0].text == "first\nlast" and rows[13][0].text == LINE + "\nalpha" and rows[14][0].text == "beta" and rows[2][0].text == ""
-    assert rows[11][0].text.endswith(LONG_LINE) and rows[14][0].n_chars == 4
+    got = collections.Counter((r.doc_id, tuple(r.lost), r.text) for r in done.collect())
+    want = collections.Counter((d, tuple(lost), None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)) for d, t, lost in brute_lost(cases, chr(0x10FFFF) if text_ids else line_dedup.LAST))
+    assert got == want and done.drop("lost").columns == df.columns
+    name = (lambda d: f"k{d:03}") if text_ids else (lambda d: d)
+    lost = {d: list(x) for d, x, _ in got}
+    assert lost[name(32)] == [0, 1] and lost[name(33)] == [0] and lost[name(34)] == [0] and lost[name(13)] == [] and lost[name(14)] == [0]
     assert line_dedup.drop_recurring_lines(empty(spark)).count() == 0
 
 
-def test_line_templates():
-    long = " ".join(f"t{'abcdefgh'[i % 8]}" for i in range(24))
-    other = long.replace("ta", "zz", 2).replace("zz", "ta", 1)
-    assert line_dedup.line_templates("too few here") == []
-    assert line_dedup.line_templates(LINE) == line_dedup.line_templates(LINE.replace("12", "x9y"))
-    assert len(set(line_dedup.line_templates(long)) & set(line_dedup.line_templates(other))) == 1
+def test_line_dedup_of_three(spark):
+    rows = [(1, "one line of text here\nother line of the text"), (2, "one line of text here\nother line of the text"), (3, "one line of text here")]
+    done = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(spark, rows), min_docs=3).collect()}
+    assert done == {1: rows[0][1], 2: "other line of the text", 3: ""}
 
 
 def test_line_dedup_of_short_lines(spark):
     rows = [(1, "All rights reserved.\n7\npage 3\n\none"), (2, "All  rights reserved.\n8\npage 4\n\ntwo"), (3, "\nthree\nAll rights reserved.\n9\npage 5"), (4, "8\n\nfour"), (5, "five\n8")]
     done = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
     assert done == {1: rows[0][1], 2: "8\n\ntwo", 3: "\nthree\n9", 4: "\nfour", 5: "five"}
-    assert line_dedup.templates(" \t ") == [] and line_dedup.templates(LINE) == line_dedup.line_templates(LINE)
 
 
 def test_line_dedup_of_pairs(spark):
