@@ -302,13 +302,13 @@ def numbered(spark, sf):
 from ..plans import cuts, fixpoint, reach  # noqa: E402
 from ..plans.rules import Controls, compile_table  # noqa: E402
 
-#: The controls of the examples, and a rule table over the five event types.
-CONTROLS = Controls({"egress_seg": ("off", "allowlist", "brokered"), "priv_approval": ("none", "ticket", "two_person"), "rate_limit": ("none", "quota"), "session_binding": ("none", "device", "device_and_network"), "token_expiry": ("long", "short", "single_use")})
+#: Controls of a shop, and a rule table over the five event types: two ways to a purchase.
+CONTROLS = Controls({"account_age": ("any", "day", "week", "month"), "captcha": ("off", "on"), "payment_check": ("none", "card", "address"), "retry_limit": ("none", "ten", "three")})
 RULES = [
-    {"id": "r1", "kind": "detect", "head": "session(user, t)", "body": ["signup(user, t)"], "blocked_when": "ctl.token_expiry >= short or ctl.session_binding >= device", "producing_sources": ["signup"]},
-    {"id": "r2", "kind": "detect", "head": "browsing(user, t1)", "body": ["session(user, t0)", "view(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "when": "a.user == b.user and a.t <= b.t", "evidence": ["b"], "blocked_when": "ctl.session_binding >= device", "producing_sources": ["view"]},
-    {"id": "r3", "kind": "detect", "head": "bought(user, t1)", "body": ["browsing(user, t0)", "purchase(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "evidence": ["b"], "blocked_when": "ctl.rate_limit >= quota or ctl.egress_seg >= allowlist", "producing_sources": ["purchase"]},
-    {"id": "r4", "kind": "detect", "head": "escalated(user, t)", "body": ["error(user, t)"], "temporal": {"op": "absence", "of": "view(user, tv)", "before": "a", "within": "6h"}, "blocked_when": "ctl.priv_approval >= ticket", "producing_sources": ["error"], "silent_possible": True, "silent_bind_kinds": {"user": "user"}},
+    {"id": "r1", "kind": "detect", "head": "session(user, t)", "body": ["signup(user, t)"], "blocked_when": "ctl.captcha >= on or ctl.account_age >= day", "producing_sources": ["signup"]},
+    {"id": "r2", "kind": "detect", "head": "browsing(user, t1)", "body": ["session(user, t0)", "view(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "when": "a.user == b.user and a.t <= b.t", "evidence": ["b"], "blocked_when": "ctl.account_age >= week", "producing_sources": ["view"]},
+    {"id": "r3", "kind": "detect", "head": "bought(user, t1)", "body": ["browsing(user, t0)", "purchase(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "24h"}, "evidence": ["b"], "blocked_when": "ctl.payment_check >= card", "producing_sources": ["purchase"]},
+    {"id": "r4", "kind": "detect", "head": "escalated(user, t)", "body": ["error(user, t)"], "temporal": {"op": "absence", "of": "view(user, tv)", "before": "a", "within": "6h"}, "blocked_when": "ctl.retry_limit >= ten", "producing_sources": ["error"], "silent_possible": True, "silent_bind_kinds": {"user": "user"}},
     {"id": "r5", "kind": "detect", "head": "bought(user, t1)", "body": ["escalated(user, t0)", "purchase(user, t1)"], "temporal": {"op": "seq", "left": "a", "right": "b", "within": "30m"}, "evidence": ["b"], "producing_sources": ["purchase"]},
 ]
 AXIOMS = {"signup", "view", "purchase", "error", "click"}
@@ -430,63 +430,6 @@ def instance_counts_observed(spark, sf):
     return p_min(spark, sf, fixpoint.absence_by(tick_line(spark, sf))).instances.groupBy("rule_id").agg(F.count("*").alias("n"))
 
 
-# Two programs by hand: route A is observed, route B needs a hidden step.
-def example(side: str) -> list[reach.Instance]:
-    bit = lambda c, n: 1 << CONTROLS.bit(c, n)
-    a = [reach.Instance("i1", "exchanged", ("held",), (bit("token_expiry", 1),)), reach.Instance("i2", "gateway", ("exchanged",), (bit("session_binding", 1),)), reach.Instance("i3", "bulk_read", ("gateway",), (bit("egress_seg", 1), bit("rate_limit", 1)))]
-    b = [reach.Instance("i4", "escalated", ("actor",), (bit("priv_approval", 1),), "LICENSED", ("l1",)), reach.Instance("i5", "bulk_read", ("escalated",), (), "LICENSED", ("l1",))]
-    return a + (b if side == "max" else [])
-
-
-CUTS = "SELECT e, p, r, s, k, CAST(e AS VARCHAR) || p || r || s || k AS cut_id, (e > 0)::INT + (p > 0)::INT + (r > 0)::INT + (s > 0)::INT + (k > 0)::INT AS n_controls FROM range(0, 3) a(e), range(0, 3) b(p), range(0, 2) c(r), range(0, 3) d(s), range(0, 3) f(k)"
-SEVERED = f"SELECT side, cut_id, n_controls, (k >= 1 OR s >= 1 OR e >= 1 OR r >= 1) AND (side = 'min' OR p >= 1) AS severed FROM ({CUTS}), (SELECT unnest(['min', 'max']) AS side)"
-
-
-def severed_cuts(spark) -> DataFrame:
-    out = None
-    for side in ("min", "max"):
-        rows = [(i.instance_id, i.head, list(i.body), list(i.blockers)) for i in example(side)]
-        instances = spark.createDataFrame(rows, "instance_id string, head string, body array<string>, blockers array<long>")
-        cuts_ = reach.lattice(spark, CONTROLS)
-        known = reach.reached(spark.createDataFrame([("held",), ("actor",)], "fact_id string"), instances, cuts_)
-        got = reach.severed(known, cuts_, spark.createDataFrame([("bulk_read",)], "fact_id string")).select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-@query("reach_under_cuts", SEVERED)
-def reach_under_cuts(spark, sf):
-    return severed_cuts(spark)
-
-
-@query("min_cuts", f"SELECT side, cut_id, n_controls FROM (SELECT *, min(n_controls) OVER (PARTITION BY side) AS best FROM ({SEVERED}) WHERE severed) WHERE n_controls = best")
-def min_cuts(spark, sf):
-    return best_cuts(severed_cuts(spark)).select("side", "cut_id", "n_controls")
-
-
-BEST = f"SELECT * FROM (SELECT s.*, min(s.n_controls) OVER (PARTITION BY side) AS best, e, p, r, s2, k FROM ({SEVERED}) s JOIN (SELECT cut_id, e, p, r, s AS s2, k FROM ({CUTS})) c USING (cut_id) WHERE severed) WHERE n_controls = best"
-LEVELS = " UNION ALL ".join(f"SELECT side, '{c}' AS control, {x} AS level FROM ({BEST})" for c, x in zip(sorted(CONTROLS.levels), ("e", "p", "r", "s2", "k")))
-
-
-@query("premium", f"SELECT control FROM (SELECT side, control, min(level) AS least, max(level) AS most FROM ({LEVELS}) GROUP BY side, control) GROUP BY control HAVING max(CASE WHEN side = 'max' THEN least END) > 0 AND max(CASE WHEN side = 'min' THEN most END) = 0")
-def premium(spark, sf):
-    """Controls in every minimum cut of P_max and in none of P_min, by the corridor search."""
-    found = [cuts.learn({"held", "actor"}, example(side), ["bulk_read"], CONTROLS) for side in ("min", "max")]
-    return spark.createDataFrame([(c,) for c in cuts.premium(*found, CONTROLS).controls], "control string")
-
-
-@query("verdict", f"SELECT side, CASE WHEN open_max = 0 THEN 'ROBUST' WHEN open_min > 0 THEN 'UNSAFE' ELSE 'OPTIMISTIC_ONLY' END AS verdict FROM (SELECT b.side, count_if(s.side = 'min' AND NOT s.severed) AS open_min, count_if(s.side = 'max' AND NOT s.severed) AS open_max FROM (SELECT side, max(cut_id) AS cut_id FROM ({BEST}) WHERE (e, p, r, s2, k) IN ((1, 0, 0, 0, 0), (1, 1, 0, 0, 0)) GROUP BY side) b JOIN ({SEVERED}) s USING (cut_id) GROUP BY b.side)")
-def verdict(spark, sf):
-    """The verdict on each side's own cut, held against both programs."""
-    rows = []
-    for side in ("min", "max"):
-        psi = cuts.learn({"held", "actor"}, example(side), ["bulk_read"], CONTROLS)
-        mask = CONTROLS.cut_mask(psi.cut)
-        reaches = ["bulk_read" in reach.closure({"held", "actor"}, example(s), mask) for s in ("min", "max")]
-        rows.append((side, cuts.verdict(*reaches, ended=psi.complete, tampered=False, unsound=False)))
-    return spark.createDataFrame(rows, "side string, verdict string")
-
-
 # --- validation, guards, set operations, windows ------------------------------------------------------------------
 
 from ..functions.arithmetic import reduced  # noqa: E402
@@ -559,40 +502,56 @@ def blind_share(spark, sf):
     return spark.createDataFrame([reduced(r.b, r.n)], "num long, den long")
 
 
-def best_cuts(cuts_: DataFrame) -> DataFrame:
-    hit = cuts_.where("severed")
-    return hit.join(hit.groupBy("side").agg(F.min("n_controls").alias("best")), "side").where("n_controls = best")
-
-
-def levels_of(best: DataFrame) -> DataFrame:
-    rows = best.select("side", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in sorted(CONTROLS.levels)]).alias("control"), F.split("cut_id", "").alias("level"))).alias("x"))
-    return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
-
-
-@query("raised_levels", f"SELECT side, control, max(level) AS level FROM ({LEVELS}) GROUP BY side, control HAVING max(level) > 0")
-def raised_levels(spark, sf):
-    """The highest level of each control over the minimum cuts of either side."""
-    return levels_of(best_cuts(severed_cuts(spark)))
-
-
-# Reachability and cuts of the programs that the events give; the goals are all facts of a purchase.
+# Reachability and cuts of the programs that the events give; the goals are all facts of a purchase. The plain names take
+# every missing view as an absence, those with _events observed absences only.
 GOAL = "bought"
+CUTS = "SELECT g, c, p, r, CAST(g AS VARCHAR) || c || p || r AS cut_id, (g > 0)::INT + (c > 0)::INT + (p > 0)::INT + (r > 0)::INT AS n_controls FROM range(0, 4) x1(g), range(0, 2) x2(c), range(0, 3) x3(p), range(0, 3) x4(r)"
 BY = "EXISTS (SELECT 1 FROM {} x JOIN ax p ON p.source = 'purchase' AND p.u = x.u AND {})"
 ROUTE_A, ROUTE_B = BY.format("browsing", "x.k < p.k AND p.k <= x.k + 86400"), BY.format("escalated", "x.k < p.k AND p.k <= x.k + 1800")
 ROUTE_B_MAX = BY.format("span", "greatest(p.k - x.hi, 1) <= least(p.k - x.lo, 1800)")
-SEVERED_EVENTS = f"SELECT side, cut_id, n_controls, NOT (a AND e = 0 AND r = 0 AND s = 0 AND k = 0) AND NOT (b AND p = 0) AS severed FROM ({CUTS}), ({gated(P_MAX_USERS)} SELECT 'min' AS side, {ROUTE_A} AS a, {ROUTE_B} AS b UNION ALL SELECT 'max', {ROUTE_A}, {ROUTE_B_MAX})"
 
 
-def severed_events(spark, sf) -> DataFrame:
+def cut_sql(program: str) -> dict[str, str]:
+    """SQL of the cut queries over the CTEs of P_max."""
+    severed = f"SELECT side, cut_id, n_controls, NOT (a AND g = 0 AND c = 0 AND p = 0) AND NOT (b AND r = 0) AS severed FROM ({CUTS}), ({program} SELECT 'min' AS side, {ROUTE_A} AS a, {ROUTE_B} AS b UNION ALL SELECT 'max', {ROUTE_A}, {ROUTE_B_MAX})"
+    best = f"SELECT * FROM (SELECT s.*, min(s.n_controls) OVER (PARTITION BY side) AS best, g, c, p, r FROM ({severed}) s JOIN (SELECT cut_id, g, c, p, r FROM ({CUTS})) USING (cut_id) WHERE severed) WHERE n_controls = best"
+    levels = " UNION ALL ".join(f"SELECT side, '{name}' AS control, {x} AS level FROM ({best})" for name, x in zip(sorted(CONTROLS.levels), "gcpr"))
+    own = f"SELECT side, cut_id FROM (SELECT side, cut_id, row_number() OVER (PARTITION BY side ORDER BY g = 0, c = 0, p = 0, r = 0, g, c, p, r) AS place FROM ({best})) WHERE place = 1"
+    return {
+        "reach_under_cuts": severed,
+        "min_cuts": f"SELECT side, cut_id, n_controls FROM ({best})",
+        "raised_levels": f"SELECT side, control, max(level) AS level FROM ({levels}) GROUP BY side, control HAVING max(level) > 0",
+        "premium": f"SELECT control FROM (SELECT side, control, min(level) AS least, max(level) AS most FROM ({levels}) GROUP BY side, control) GROUP BY control HAVING max(CASE WHEN side = 'max' THEN least END) > 0 AND max(CASE WHEN side = 'min' THEN most END) = 0",
+        "verdict": f"SELECT side, CASE WHEN open_max = 0 THEN 'ROBUST' WHEN open_min > 0 THEN 'UNSAFE' ELSE 'OPTIMISTIC_ONLY' END AS verdict FROM (SELECT b.side, count_if(s.side = 'min' AND NOT s.severed) AS open_min, count_if(s.side = 'max' AND NOT s.severed) AS open_max FROM ({own}) b JOIN ({severed}) s USING (cut_id) GROUP BY b.side)",
+    }
+
+
+def all_absences(spark, sf) -> tuple[fixpoint.Program, fixpoint.Program]:
+    """P_min and P_max where every missing record is an absence; hidden steps of every user."""
+    low = p_min(spark, sf)
+    return low, fixpoint.envelope(low, table_of_rules(), tick_line(spark, sf), users(spark, sf))
+
+
+def severed_cuts(spark, both) -> DataFrame:
     out, cuts_ = None, reach.lattice(spark, CONTROLS)
-    for side, program in zip(("min", "max"), programs(spark, sf)):
-        known = reach.reached(program.facts.where(F.size("events") > 0), program.instances, cuts_)
-        goals = program.facts.where(F.col("predicate") == GOAL)
-        got = reach.severed(known, cuts_, goals).select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
+    for side, program in zip(("min", "max"), both):
+        got = reach.severed_by(program.facts.where(F.size("events") > 0), program.instances, cuts_, program.facts.where(F.col("predicate") == GOAL))
+        got = got.select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def best_cuts(cuts_: DataFrame) -> DataFrame:
+    hit = cuts_.where("severed")
+    return hit.join(hit.groupBy("side").agg(F.min("n_controls").alias("best")), "side").where("n_controls = best")
+
+
+def levels_of(best: DataFrame) -> DataFrame:
+    """The highest level of each control over the minimum cuts of either side."""
+    rows = best.select("side", F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in sorted(CONTROLS.levels)]).alias("control"), F.split("cut_id", "").alias("level"))).alias("x"))
+    return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
+
+
 def on_driver(program: fixpoint.Program) -> tuple[set[str], list[reach.Instance], list[str]]:
     """Axioms that some instance uses, instances, and goals, for the corridor search."""
     instances = reach.collected(program.instances)
@@ -601,33 +560,17 @@ def on_driver(program: fixpoint.Program) -> tuple[set[str], list[reach.Instance]
     return {r.fact_id for r in axioms}, instances, sorted({r.head for r in program.instances.where(F.col("predicate") == GOAL).select("head").distinct().collect()})
 
 
-@query("reach_under_cuts_events", SEVERED_EVENTS)
-def reach_under_cuts_events(spark, sf):
-    return severed_events(spark, sf)
-
-
-@query("min_cuts_events", ORACLE_SQL["min_cuts"].replace(SEVERED, SEVERED_EVENTS))
-def min_cuts_events(spark, sf):
-    return best_cuts(severed_events(spark, sf)).select("side", "cut_id", "n_controls")
-
-
-@query("raised_levels_events", ORACLE_SQL["raised_levels"].replace(SEVERED, SEVERED_EVENTS))
-def raised_levels_events(spark, sf):
-    return levels_of(best_cuts(severed_events(spark, sf)))
-
-
-@query("premium_events", ORACLE_SQL["premium"].replace(SEVERED, SEVERED_EVENTS))
-def premium_events(spark, sf):
-    found = cuts.premium(*[cuts.learn(*on_driver(p), CONTROLS) for p in programs(spark, sf)], CONTROLS)
+def premium_of(spark, both) -> DataFrame:
+    """Controls in every minimum cut of P_max and in none of P_min, by the corridor search."""
+    found = cuts.premium(*[cuts.learn(*on_driver(p), CONTROLS) for p in both], CONTROLS)
     if found.withheld:
         raise ValueError(f"the premium is withheld: {found.withheld}")
     return spark.createDataFrame([(c,) for c in found.controls], "control string")
 
 
-@query("verdict_events", ORACLE_SQL["verdict"].replace(SEVERED, SEVERED_EVENTS))
-def verdict_events(spark, sf):
+def verdict_of(spark, both) -> DataFrame:
     """The verdict on each side's own cut, held against both programs."""
-    rows, held = [], [on_driver(p) for p in programs(spark, sf)]
+    rows, held = [], [on_driver(p) for p in both]
     for side, own in zip(("min", "max"), held):
         psi = cuts.learn(*own, CONTROLS)
         mask = CONTROLS.cut_mask(psi.cut or {})
@@ -636,6 +579,18 @@ def verdict_events(spark, sf):
     return spark.createDataFrame(rows, "side string, verdict string")
 
 
+def register_cuts(suffix: str, both, sql: dict[str, str]) -> None:
+    query(f"reach_under_cuts{suffix}", sql["reach_under_cuts"])(lambda spark, sf: severed_cuts(spark, both(spark, sf)))
+    query(f"min_cuts{suffix}", sql["min_cuts"])(lambda spark, sf: best_cuts(severed_cuts(spark, both(spark, sf))).select("side", "cut_id", "n_controls"))
+    query(f"raised_levels{suffix}", sql["raised_levels"])(lambda spark, sf: levels_of(best_cuts(severed_cuts(spark, both(spark, sf)))))
+    query(f"premium{suffix}", sql["premium"])(lambda spark, sf: premium_of(spark, both(spark, sf)))
+    query(f"verdict{suffix}", sql["verdict"])(lambda spark, sf: verdict_of(spark, both(spark, sf)))
+
+
+register_cuts("", all_absences, cut_sql(P_MAX_USERS))
+register_cuts("_events", programs, cut_sql(gated(P_MAX_USERS)))
+
+
 @query("program_axioms", f"SELECT source AS predicate, count(*) AS n FROM ({AX}) GROUP BY source")
 def program_axioms(spark, sf):
     """Facts that no instance with a body supports: those of events."""

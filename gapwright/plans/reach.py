@@ -3,6 +3,7 @@ is within the cut. All cuts are evaluated together, by a column ``cut_id``."""
 
 from __future__ import annotations
 
+import functools
 from collections import deque
 from dataclasses import dataclass
 
@@ -29,23 +30,41 @@ def blocked(blockers, mask):
     return F.exists(blockers, lambda b: b.bitwiseAND(mask) == b)
 
 
-def reached(facts: DataFrame, instances: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(cut_id, fact_id, round): the least fixpoint for each cut. facts: (fact_id) given, those of events."""
-    open_ = instances.join(F.broadcast(cuts), F.lit(True)).where(~blocked(F.col("blockers"), F.col("mask")))
-    open_ = written(open_.select("cut_id", "instance_id", "head", F.array_distinct("body").alias("body")))
+def classes(instances: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``cuts`` with ``like``, the first cut that blocks the very same instances. Instances have few distinct lists of
+    blockers, one for each rule at most, so a lattice falls into few classes, and only one cut of each is evaluated."""
+    kinds = instances.select("blockers").distinct()
+    shut = cuts.join(F.broadcast(kinds), blocked(F.col("blockers"), F.col("mask")), "left").groupBy("cut_id").agg(F.array_sort(F.collect_set(F.xxhash64("blockers"))).alias("shut"))
+    alike = cuts.join(shut, "cut_id")
+    return written(alike.join(alike.groupBy("shut").agg(F.min("cut_id").alias("like")), "shut").drop("shut"))
+
+
+def reached(facts: DataFrame, instances: DataFrame, cuts: DataFrame, grouped: bool = False) -> DataFrame:
+    """(cut_id, fact_id, round): the least fixpoint for each cut. facts: (fact_id) given, those of events. ``grouped``:
+    cuts come with their classes, and only the first of each has rows."""
+    held = cuts if grouped else classes(instances, cuts)
+    first = held.where("cut_id = like")
+    open_ = instances.join(F.broadcast(first.select("cut_id", "mask")), F.lit(True)).where(~blocked(F.col("blockers"), F.col("mask")))
+    open_ = open_.select("cut_id", "instance_id", "head", F.array_distinct("body").alias("body"))
     edges = written(open_.select("cut_id", "instance_id", "head", F.size("body").alias("need"), F.explode_outer("body").alias("fact_id")))
-    start = facts.select("fact_id").join(F.broadcast(cuts.select("cut_id")), F.lit(True))
+    # Facts that no instance uses can't make another fact: they only count as reached.
+    start = facts.select("fact_id").join(F.broadcast(first.select("cut_id")), F.lit(True))
     free = edges.where("need = 0").select(F.col("head").alias("fact_id"), "cut_id")
-    known = written(start.unionByName(free).distinct().withColumn("round", F.lit(0)))
-    n = 0
+    new = written(start.unionByName(free).distinct().withColumn("round", F.lit(0)))
+    rounds = [new]
+    met = edges.where("need > 0")
     while True:
-        n += 1
-        fired = edges.where("need > 0").join(known.select("cut_id", "fact_id"), ["cut_id", "fact_id"]).groupBy("cut_id", "instance_id", "head", "need").agg(F.count("*").alias("have")).where("have = need")
-        new = fired.select("cut_id", F.col("head").alias("fact_id")).distinct().join(known.select("cut_id", "fact_id"), ["cut_id", "fact_id"], "left_anti")
-        new = written(new.withColumn("round", F.lit(n)))
-        if not new.count():
-            return known
-        known = written(known.unionByName(new.select(*known.columns)))
+        # What a round adds is a table of its own; nothing that is known is written again.
+        known = functools.reduce(DataFrame.unionByName, rounds).select("cut_id", "fact_id")
+        touched = met.join(new.select("cut_id", "fact_id"), ["cut_id", "fact_id"]).select("cut_id", "instance_id").distinct()
+        fired = met.join(touched, ["cut_id", "instance_id"]).join(known, ["cut_id", "fact_id"]).groupBy("cut_id", "instance_id", "head", "need").agg(F.count("*").alias("have")).where("have = need")
+        new = fired.select("cut_id", F.col("head").alias("fact_id")).distinct().join(known, ["cut_id", "fact_id"], "left_anti")
+        new = written(new.withColumn("round", F.lit(len(rounds))))
+        if new.isEmpty():
+            break
+        rounds.append(new)
+    known = functools.reduce(DataFrame.unionByName, rounds)
+    return known if grouped else known.withColumnRenamed("cut_id", "like").join(F.broadcast(held.select("cut_id", "like")), "like").select("cut_id", "fact_id", "round")
 
 
 def severed(known: DataFrame, cuts: DataFrame, goals: DataFrame) -> DataFrame:
@@ -54,6 +73,14 @@ def severed(known: DataFrame, cuts: DataFrame, goals: DataFrame) -> DataFrame:
     return cuts.join(hit, "cut_id", "left").withColumn("severed", F.col("hit").isNull()).drop("hit")
 
 
+def severed_by(facts: DataFrame, instances: DataFrame, cuts: DataFrame, goals: DataFrame) -> DataFrame:
+    """``cuts`` with ``severed``, by the classes of cuts."""
+    held = classes(instances, cuts)
+    known = reached(facts, instances, held, grouped=True)
+    first = severed(known, held.where("cut_id = like").select("cut_id"), goals).select(F.col("cut_id").alias("like"), "severed")
+    return held.join(F.broadcast(first), "like").drop("like")
+
+
 @dataclass(frozen=True)
 class Instance:
     """An instance on the driver, for the corridor search over a collected program."""

@@ -2,13 +2,14 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from gapwright.functions import arithmetic, canon, ids, repair
 from gapwright.plans import certificate, cuts, reach
-from gapwright.plans.queries import CONTROLS, example
+from gapwright.plans.queries import CONTROLS
 from gapwright.plans.rules import Node, Parser, RuleError, blockers, canonical, compile_guard, compile_rule, duration, type_of
 
 
@@ -73,13 +74,13 @@ def test_bad_guards(text):
 def test_rule_lints():
     good = {"id": "r", "kind": "detect", "head": "h(u, t)", "body": ["b(u, t)"], "producing_sources": ["s"]}
     assert compile_rule(good, CONTROLS, {"b"}).head.predicate == "h"
-    for change in ({"revoke": 1}, {"persistence": "sticky"}, {"head": "h(x, t)"}, {"kind": "other"}, {"body": ["c(u, t)"]}, {"body": ["b(u, t)", "b(v, t1)"]}, {"blocked_when": "ctl.rate_limit >= none"}, {"blocked_when": "ctl.rate_limit >= quota and ctl.egress_seg >= allowlist"}):
+    for change in ({"revoke": 1}, {"persistence": "sticky"}, {"head": "h(x, t)"}, {"kind": "other"}, {"body": ["c(u, t)"]}, {"body": ["b(u, t)", "b(v, t1)"]}, {"blocked_when": "ctl.captcha >= off"}, {"blocked_when": "ctl.captcha >= on and ctl.payment_check >= card"}):
         with pytest.raises(RuleError):
             compile_rule(good | change, CONTROLS, {"b"})
     assert duration("30m") == 1800 and duration("2000ms") == 2
     with pytest.raises(RuleError):
         duration("5ms")
-    assert blockers("ctl.egress_seg >= brokered or ctl.egress_seg >= allowlist", CONTROLS) == blockers("ctl.egress_seg >= allowlist", CONTROLS)
+    assert blockers("ctl.payment_check >= address or ctl.payment_check >= card", CONTROLS) == blockers("ctl.payment_check >= card", CONTROLS)
 
 
 def test_repair_against_brute_force():
@@ -133,32 +134,90 @@ def test_cut_search_against_the_lattice():
 def test_batched_reach_agrees(spark):
     axioms, program = random_program(random.Random("batch"))
     frame = spark.createDataFrame([(i.instance_id, i.head, list(i.body), list(i.blockers)) for i in program], "instance_id string, head string, body array<string>, blockers array<long>")
-    lattice = reach.lattice(spark, CONTROLS).where("cut_id IN ('00000', '10000', '01010', '22122')")
+    lattice = reach.lattice(spark, CONTROLS).where("cut_id IN ('0000', '1000', '0101', '3122')")
     got = {(r.cut_id, r.fact_id) for r in reach.reached(spark.createDataFrame([(a,) for a in axioms], "fact_id string"), frame, lattice).collect()}
     want = {(r.cut_id, f) for r in lattice.collect() for f in reach.closure(axioms, program, r.mask)}
     assert got == want
 
 
+def shop(side: str) -> list[reach.Instance]:
+    """A refund that is seen step by step, and another that a dark source may hide."""
+    bit = lambda c, n: 1 << CONTROLS.bit(c, n)
+    seen = [("o1", "account", ("visit",), bit("account_age", 1)), ("o2", "order", ("account", "stock"), bit("captcha", 1)), ("o3", "refund", ("order",), bit("payment_check", 1))]
+    dark = [("l1", "retry", (), 0), ("l2", "override", ("retry", "stock"), bit("retry_limit", 2)), ("l3", "refund", ("override",), 0)]
+    out = [reach.Instance(k, h, b, (m,) if m else ()) for k, h, b, m in seen]
+    return out + [reach.Instance(k, h, b, (m,) if m else (), "LICENSED", ("dark7",)) for k, h, b, m in dark if side == "max"]
+
+
+GIVEN, SCOPE = {"stock", "visit"}, {"rules": "r", "scenario": "s"}
+
+
 def test_premium_outcomes():
-    low, high = (cuts.learn({"held", "actor"}, example(s), ["bulk_read"], CONTROLS) for s in ("min", "max"))
-    assert cuts.premium(low, high, CONTROLS).controls == ("priv_approval",)
+    low, high = (cuts.learn(GIVEN, shop(s), ["refund"], CONTROLS) for s in ("min", "max"))
+    assert cuts.premium(low, high, CONTROLS).controls == ("retry_limit",)
     assert cuts.premium(low, high, CONTROLS, capped=True).withheld == "GROUNDING_CAPPED"
     empty = cuts.Psi((), {}, True)
     assert cuts.premium(empty, high, CONTROLS).degenerate
     assert [cuts.verdict(*x) for x in ((0, 0, 1, 0, 0), (1, 1, 1, 0, 0), (0, 1, 1, 0, 0), (0, 0, 1, 1, 0), (1, 1, 1, 0, 1), (0, 1, 1, 0, 1))] == ["ROBUST", "UNSAFE", "OPTIMISTIC_ONLY", "OPTIMISTIC_ONLY", "UNSAFE", "INDETERMINATE"]
 
 
+def checked(body, goals=("refund",), **given):
+    return certificate.verify(certificate.render(body), GIVEN, list(goals), shop("min"), shop("max"), CONTROLS, SCOPE, **given)
+
+
+def altered(body, **members):
+    made = body | members
+    return made | {"cert_hash": certificate.digest(made)}
+
+
 def test_certificate_and_mutations():
-    axioms, low, high, scope = {"held", "actor"}, example("min"), example("max"), {"rules": "r", "scenario": "s"}
-    body = certificate.build(axioms, low, high, ["bulk_read"], CONTROLS, scope)
-    check = lambda b: certificate.verify(certificate.render(b), low, high, CONTROLS, scope)
-    again = lambda **k: check((m := body | k) | {"cert_hash": certificate.digest(m)})
-    assert check(body) is None and body["verdict"] == "ROBUST" and body["premium"]["controls"] == ["priv_approval"]
-    assert certificate.verify(certificate.render(body)[:-1], low, high, CONTROLS, scope) == "O0_CANONICAL"
-    assert check(body | {"verdict": "UNSAFE"}) == "O1_HASH"
+    body = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE)
+    again = lambda **k: checked(altered(body, **k))
+    assert checked(body) is None and body["verdict"] == "ROBUST" and body["premium"]["controls"] == ["retry_limit"]
+    assert certificate.verify(certificate.render(body)[:-1], GIVEN, ["refund"], shop("min"), shop("max"), CONTROLS, SCOPE) == "O0_CANONICAL"
+    assert checked(body | {"verdict": "UNSAFE"}) == "O1_HASH"
     assert again(schema="x") == "O2_SCHEMA" and again(scope={"rules": "r"}) == "O3_SCOPE" and again(program={"min": "x", "max": "y"}) == "O4_INPUTS"
-    assert again(atoms=[]) == "O5_ATOMS" and again(cut={"egress_seg": 9}) == "O6_CUT" and again(closure=[]) == "O7_INVARIANT"
-    assert again(closure=["actor", "held"], cut={}) == "O8_CLOSURE" and again(closure=sorted([*body["closure"], "bulk_read"])) == "O9_GOALS"
-    assert again(verdict="UNSAFE") == "O14_VERDICT" and again(premium={"published": True, "controls": [], "degenerate": False}) == "O13B_PREMIUM"
-    assert again(psi=body["psi"] | {"max": ["0x0000000000000001"] if body["cut"].get("egress_seg") is None else ["0x0000000000000100"]}) in ("O13_PSI", "O13B_PREMIUM")
-    assert certificate.verify(certificate.render(certificate.build(axioms, low, high, ["none"], CONTROLS, scope)), low, high, CONTROLS, scope) is None
+    assert again(axioms=["stock"]) == "O4_INPUTS" and again(goals=["none"]) == "O4_INPUTS" and again(gates={"view": True}) == "O4B_GATES"
+    assert again(atoms=[]) == "O5_ATOMS" and again(cut={"captcha": 9}) == "O6_CUT" and again(size=1) == "O6B_SIZE" and again(closure=[]) == "O7_INVARIANT"
+    assert again(closure=sorted([*body["closure"], "order"])) == "O8_CLOSURE" and again(closure=sorted(GIVEN)) == "O8_CLOSURE" and again(open_goals=["refund"]) == "O9_GOALS"
+    assert checked(body, licences=set()) == "O10_LICENCES" and again(counts=body["counts"] | {"ghosts": 7}) == "O11_COUNTS" and again(witnesses=[[]]) == "O12_WITNESS"
+    bit = lambda c, n: f"0x{1 << CONTROLS.bit(c, n):016x}"
+    assert again(psi=body["psi"] | {"max": [bit("captcha", 1)]}) == "O13_PSI" and again(psi=body["psi"] | {"max": []}) == "O13_PSI"
+    assert again(premium={"published": True, "controls": [], "degenerate": False}) == "O13B_PREMIUM" and again(premium=body["premium"] | {"degenerate": True}) == "O13B_PREMIUM"
+    assert again(verdict="UNSAFE") == "O14_VERDICT" and again(dispute={"licences": ["dark7"], "verdict": "ROBUST"}) == "O14B_DISPUTE"
+    wide = {"account_age": 1, "captcha": 1, "retry_limit": 2}
+    assert again(cut=wide, size=3, closure=sorted(certificate.derived(GIVEN, shop("max"), CONTROLS.cut_mask(wide)))) == "O15_MINIMAL"
+    none = certificate.build(GIVEN, shop("min"), shop("max"), ["none"], CONTROLS, SCOPE)
+    assert checked(none, ["none"]) is None and checked(none) == "O4_INPUTS"
+
+
+def test_forged_certificates_are_refused():
+    body = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE)
+    empty = {"min": [], "max": []}
+    assert checked(altered(body, axioms=["x"], closure=["x"], cut={}, size=0, psi=empty, premium={"published": True, "controls": [], "degenerate": True})) is not None
+    assert checked(altered(body, open_goals=["refund"], closure=[], witnesses=[], verdict="OPTIMISTIC_ONLY")) is not None
+    # With no cut the goal is open; a witness of an axiom in place of a step is none.
+    inside = sorted(certificate.derived(GIVEN, shop("max"), 0))
+    bare = altered(body, cut={}, size=0, closure=inside, open_goals=["refund"], witnesses=[[{"fact": "refund", "kind": "axiom", "children": []}]], psi=empty, verdict="UNSAFE")
+    assert checked(bare) == "O12_WITNESS"
+    tree = certificate.flat(reach.witness(GIVEN, shop("max"), 0, "refund"))
+    assert checked(bare | {"witnesses": [tree + [{"fact": "visit2", "kind": "axiom", "children": []}]]}) == "O1_HASH"
+    assert checked(altered(bare, witnesses=[tree + [{"fact": "stock2", "kind": "axiom", "children": []}]])) == "O12_WITNESS"
+
+
+def test_disputes_and_gates():
+    body = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE, frozenset({"dark7", "other"}), {"view": False})
+    given = {"disputed": frozenset({"dark7", "other"}), "gates": {"view": False}}
+    assert checked(body, **given) is None and body["dispute"]["licences"] == ["dark7"] and body["verdict"] == "OPTIMISTIC_ONLY"
+    assert checked(body, gates={"view": False}) == "O14B_DISPUTE" and checked(body, disputed=given["disputed"]) == "O4B_GATES"
+    assert checked(altered(body, verdict="ROBUST"), **given) == "O14_VERDICT"
+
+
+def test_checker_against_random_programs():
+    rng = random.Random("certificates")
+    for _ in range(25):
+        axioms, program = random_program(rng)
+        low = program[: len(program) // 2]
+        high = low + [replace(i, observed="LICENSED", license_ids=("l",)) for i in program[len(program) // 2 :]]
+        made = certificate.build(axioms, low, high, ["f6"], CONTROLS, SCOPE)
+        assert certificate.verify(certificate.render(made), axioms, ["f6"], low, high, CONTROLS, SCOPE) is None

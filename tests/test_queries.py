@@ -54,14 +54,14 @@ def test_absence_gate(spark):
     assert heads(None) == [20, 45, 95] and heads(fixpoint.absence_by(ticks)) == [20]
 
 
-@pytest.mark.parametrize("name", ["reach_under_cuts_events", "min_cuts_events", "raised_levels_events", "premium_events", "verdict_events"])
+@pytest.mark.parametrize("name", ["reach_under_cuts", "min_cuts", "raised_levels", "premium", "verdict", "reach_under_cuts_events", "min_cuts_events", "raised_levels_events", "premium_events", "verdict_events"])
 def test_cuts_of_events(spark, sf, duck, name):
     want = duck.sql(ORACLE_SQL[name])
     assert sorted(map(repr, map(tuple, QUERIES[name](spark, sf).select(*want.columns).collect()))) == sorted(map(repr, want.fetchall()))
 
 
 def test_obligations_in_the_envelope(spark):
-    owed = {"id": "o1", "kind": "obligation", "head": "approved(user, t)", "body": ["error(user, t)"], "temporal": {"op": "obligation", "within": "10s"}, "blocked_when": "ctl.priv_approval >= ticket", "producing_sources": ["iam"]}
+    owed = {"id": "o1", "kind": "obligation", "head": "approved(user, t)", "body": ["error(user, t)"], "temporal": {"op": "obligation", "within": "10s"}, "blocked_when": "ctl.payment_check >= card", "producing_sources": ["iam"]}
     then = {"id": "r1", "kind": "detect", "head": "taken(user, t1)", "body": ["approved(user, t0)", "purchase(user, t1)"], "evidence": ["b"], "producing_sources": ["purchase"]}
     table = compile_table([owed, then], CONTROLS, {"error", "purchase", "approved"})
     events = [("error", "dark", 50), ("error", "live", 20), ("error", "partly", 44), ("error", "met", 60), ("approved", "met", 60), ("error", "start", 0)] + [("purchase", u, 90) for u in ("dark", "live", "partly", "start")]
