@@ -123,6 +123,19 @@ def labelled(spark, column, rows):
     return spark.createDataFrame(rows, f"doc_id long, {column} int")
 
 
+def test_costs_order_rules(spark):
+    """Of two rules that reject as much, the one that does a hundred times the work comes last, and has the larger cost."""
+    dear = quality_rules.matches(F.col("__text"), "\\p{Lu}")
+    for k in range(12):
+        dear = dear + quality_rules.matches(F.concat(F.col("__text"), F.lit(str(k))), "[\\p{Ll}0-9]")
+    rules = [quality_rules.Rule("dear", dear > 0), quality_rules.Rule("cheap", F.col("n_words") > 0)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(60)]
+    for _ in range(2):
+        made = quality_rules.estimate(documents(spark, rows), rules)
+        assert [e.rejected for e in made] == [60, 60] and made[0].seconds > made[1].seconds > 0
+        assert [r.name for r in quality_rules.ordered(rules, made)] == ["cheap", "dear"]
+
+
 def test_classifier(spark, sf):
     from gapwright.session import table
 
