@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .series import DAY_US, islands, with_bucket, with_neighbours
+from .series import DAY_US, as_of, islands, with_bucket, with_neighbours
 
 #: Verdicts, reasons and modes, as results show them.
 LIVE, BLIND, SUPPRESSED = "LIVE", "BLIND", "SUPPRESSED"
@@ -157,9 +157,17 @@ def coverage(windows: DataFrame, line: DataFrame, sources: int, window_id: str =
 
     A window is met by the overlaps of its source's islands; holes and empty windows count as neither. The status of a
     window over all its sources: all wholly LIVE gives OBSERVED, none wholly LIVE gives LICENSED, else UNDETERMINED."""
-    lo, hi = F.greatest("w0", "t0"), F.least("w1", "t1")
-    met = windows.join(line, (windows[key] == line[key]) & (F.col("t0") < F.col("w1")) & (F.col("w0") < F.col("t1")), "left").drop(line[key])
-    per = met.groupBy(window_id, key, "w0", "w1").agg(F.coalesce(F.sum(F.when(F.col("verdict") == LIVE, hi - lo)), F.lit(0)).alias("live"), F.coalesce(F.sum(F.when(F.col("verdict") != LIVE, hi - lo)), F.lit(0)).alias("dark"))
+    span = F.col("t1") - F.col("t0")
+    line = line.select(key, "t0", "t1", "verdict", F.when(F.col("verdict") == LIVE, span).otherwise(F.lit(0)).alias("live"), F.when(F.col("verdict") != LIVE, span).otherwise(F.lit(0)).alias("dark"))
+    # LIVE and dark time before each island; then a window's is the difference of what its two ends have before them.
+    sums = prefix_sum(prefix_sum(line, key, "t0", "live", "sum_live"), key, "t0", "dark", "sum_dark")
+    sums = written(sums.select(key, F.col("t0").alias("at"), "t1", "live", "dark", (F.col("sum_live") - F.col("live")).alias("live_before"), (F.col("sum_dark") - F.col("dark")).alias("dark_before")))
+    windows = windows.select(window_id, key, "w0", "w1")
+    ends = windows.select(window_id, key, "w0", "w1", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("w0").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("w1").alias("at")))).alias("e")).select(window_id, key, "w0", "w1", "e.*")
+    ends = as_of(ends, sums, [key], "at", ["t1", "live", "dark", "live_before", "dark_before"])
+    inside = F.least(F.col("at"), F.col("as_of_t1")) - F.col("as_of_at")
+    upto = lambda kind: F.coalesce(F.col(f"as_of_{kind}_before") + F.when(F.col(f"as_of_{kind}") > 0, inside).otherwise(F.lit(0)), F.lit(0))
+    per = ends.groupBy(window_id, key, "w0", "w1").agg(F.sum(F.col("sign") * upto("live")).alias("live"), F.sum(F.col("sign") * upto("dark")).alias("dark"))
     span = F.col("w1") - F.col("w0")
     per = per.withColumns({"wholly_live": (span > 0) & (F.col("live") == span), "wholly_dark": (span > 0) & (F.col("dark") == span)})
     status = F.when(F.count_if("wholly_live") == sources, "OBSERVED").when(F.count_if("wholly_live") == 0, "LICENSED").otherwise("UNDETERMINED")

@@ -58,3 +58,25 @@ def islands(df: DataFrame, key: list[str], start: str, end: str, same: list[str]
     own = F.sum("\0opens").over(Window.partitionBy(*cut).orderBy(start).rowsBetween(Window.unboundedPreceding, 0))
     run = rows.withColumn("\0own", own).join(sums, cut).withColumn("\0run", F.col("\0base") + F.col("\0own"))
     return run.groupBy(*key, "\0run", *same).agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("\0run")
+
+
+def as_of(points: DataFrame, rows: DataFrame, key: list[str], t: str, values: list[str], width: int = DAY_US, ahead: bool = False, strict: bool = False) -> DataFrame:
+    """``points`` with ``as_of_*`` of ``values`` of the last row of ``rows`` at or before ``t`` (or the first at or after it
+    where ``ahead``; ``strict``: not at it). Rows are unique by key and t. Points and rows are sorted together in buckets,
+    and the last row of the buckets before comes from a table of a row for each bucket: nothing is compared pairwise."""
+    carried = F.struct(F.col(t).alias("t"), *[F.col(v).alias(v) for v in values])
+    # At equal times a row stands before a point if it counts for it.
+    first = ahead == strict
+    ours = rows.select(*key, F.col(t).alias("\0t"), F.lit(0 if first else 1).alias("\0side"), carried.alias("\0row"))
+    every = points.select(*key, F.col(t).alias("\0t"), F.lit(1 if first else 0).alias("\0side"), F.struct(*points.columns).alias("\0point")).unionByName(ours, allowMissingColumns=True)
+    every = with_bucket(every, "\0t", width, "\0bucket")
+    cut = [*key, "\0bucket"]
+    edges = with_bucket(ours, "\0t", width, "\0bucket").groupBy(*cut).agg((F.min_by if ahead else F.max_by)("\0row", "\0t").alias("\0edge"))
+    buckets = every.select(*cut).distinct().join(edges, cut, "left")
+    along = Window.partitionBy(*key).orderBy(F.desc("\0bucket") if ahead else F.asc("\0bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(*cut, F.last("\0edge", True).over(along).alias("\0carry"))
+    order = [F.desc("\0t"), F.desc("\0side")] if ahead else [F.asc("\0t"), F.asc("\0side")]
+    within = Window.partitionBy(*cut).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    met = every.withColumn("\0own", F.last("\0row", True).over(within)).where(F.col("\0point").isNotNull()).join(buckets, cut)
+    found = F.coalesce("\0own", "\0carry")
+    return met.select("`\0point`.*", found["t"].alias(f"as_of_{t}"), *[found[v].alias(f"as_of_{v}") for v in values])

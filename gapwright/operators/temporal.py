@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import with_neighbours
+from .series import as_of, with_neighbours
 
 
 def sequence_join(left: DataFrame, right: DataFrame, keys: list[str], within: int, t: str = "t") -> DataFrame:
@@ -46,9 +46,22 @@ def absence_join(events: DataFrame, absent: DataFrame, keys: list[str], within:
 def distinct_window(events: DataFrame, keys: list[str], field: str, n: int, within: int, t: str = "t") -> DataFrame:
     """Events with ``n_distinct`` >= n values of ``field`` among rows of equal keys with a time in [t - within, t].
 
-    A range frame holds what its window holds and no more; it is shared by all rows of a key."""
-    frame = Window.partitionBy(*keys).orderBy(t).rangeBetween(-within, 0)
-    return events.withColumn("n_distinct", F.size(F.collect_set(field).over(frame)).cast("long")).where(F.col("n_distinct") >= n)
+    A row stands in the bucket of its time, for which it is counted, and in the next, whose windows it can still be in: a
+    range frame runs within (keys, bucket), so a hot key is cut by time, and a frame holds what its window holds."""
+    width = max(within, 1)
+    bucket = f"(`{t}` - pmod(`{t}`, {width}L)) div {width}L"
+    copies = events.withColumn("\0own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("\0b", F.expr(bucket) + F.when(F.col("\0own"), 0).otherwise(1))
+    frame = Window.partitionBy(*keys, "\0b").orderBy(t).rangeBetween(-within, 0)
+    counted = copies.withColumn("n_distinct", F.size(F.collect_set(field).over(frame)).cast("long"))
+    return counted.where(F.col("\0own") & (F.col("n_distinct") >= n)).drop("\0own", "\0b")
+
+
+def without_between(pairs: DataFrame, denied: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """``pairs`` (l_t, r_t) without those that have a row of ``denied`` (keys, t) strictly between for equal keys: only
+    the first denied time after the left one is looked at."""
+    asked = pairs.withColumn(t, F.col(f"l_{t}"))
+    met = as_of(asked, denied.select(*keys, t).distinct(), keys, t, [], ahead=True, strict=True)
+    return met.where(F.col(f"as_of_{t}").isNull() | (F.col(f"as_of_{t}") >= F.col(f"r_{t}"))).drop(t, f"as_of_{t}")
 
 
 def obligations(triggers: DataFrame, heads: DataFrame, keys: list[str], t: str = "t") -> DataFrame:

@@ -7,6 +7,7 @@ them: lineage stays one round long. Rounds are as many as the longest derivation
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -70,12 +71,43 @@ def slot_frame(facts: DataFrame, p: Pattern, slot: str) -> DataFrame:
     return got.select(*[F.get("args", F.lit(i)).alias(f"v_{v}") for v, i in first.items()], F.col("fact_id").alias(f"{slot}_id"), F.col("tick").alias(f"{slot}_t"), F.when(free, F.col("lo")).otherwise(F.col("tick")).alias(f"{slot}_lo"), F.when(free, F.col("hi")).otherwise(F.col("tick")).alias(f"{slot}_hi"), free.alias(f"{slot}_free"), F.col("events").alias(f"{slot}_ev"))
 
 
-def body_rows(rule: Rule, facts: DataFrame, delta: DataFrame, pivot: int) -> DataFrame:
+def bucketed(column, within: int):
+    width = F.lit(max(within, 1)).cast("long")
+    return ((column - F.pmod(column, width)) / width).cast("long")
+
+
+def near(left: DataFrame, right: DataFrame, keys: list[str], left_t: str, right_t: str, within: int) -> DataFrame:
+    """Pairs with equal keys and left_t < right_t <= left_t + within, by buckets of time, so that a hot entity is cut."""
+    lo = left.withColumn("\0b", F.explode(F.array(bucketed(F.col(left_t), within), bucketed(F.col(left_t), within) + 1)))
+    met = lo.join(right.withColumn("\0b", bucketed(F.col(right_t), within)), [*keys, "\0b"]).drop("\0b")
+    return met.where((F.col(left_t) < F.col(right_t)) & (F.col(right_t) <= F.col(left_t) + within))
+
+
+def body_rows(rule: Rule, facts: DataFrame, delta: DataFrame, pivot: int, free: bool = True) -> DataFrame:
+    """Rows of facts that the patterns match together. Facts with a tick that a sequence relates meet by bucket of time;
+    those with a span, of which there are some only where ``free``, meet all of their entity."""
     rows, bound = None, set()
+    t = rule.temporal
+    pair = {t["left"], t["right"]} if t and t["op"] == "seq" else set()
     for i, p in enumerate(rule.body):
-        frame = slot_frame(delta if i == pivot else facts, p, SLOTS[i])
+        slot = SLOTS[i]
+        frame = slot_frame(delta if i == pivot else facts, p, slot)
         shared = [f"v_{v}" for v in dict.fromkeys(p.variables) if v in bound]
-        rows = frame if rows is None else rows.join(frame, shared)
+        other = next((s for s in pair - {slot} if s in SLOTS[:i]), None) if slot in pair else None
+        if rows is None:
+            rows = frame
+        elif other is None or not shared:
+            rows = rows.join(frame, shared) if shared else rows.crossJoin(frame)
+        else:
+            fixed = lambda s: ~F.col(f"{s}_free")
+            a, b = rows.where(fixed(other)), frame.where(fixed(slot))
+            forward = slot == t["right"]
+            one, two, first, second = (a, b, other, slot) if forward else (b, a, slot, other)
+            met = near(one, two, shared, f"{first}_t", f"{second}_t", t["within"])
+            if free:
+                spans = rows.where(F.col(f"{other}_free")).join(frame, shared).unionByName(a.join(frame.where(F.col(f"{slot}_free")), shared))
+                met = met.unionByName(spans.select(*met.columns))
+            rows = met
         bound |= set(p.variables)
     return rows
 
@@ -99,18 +131,24 @@ def temporal_rows(rule: Rule, rows: DataFrame, facts: DataFrame, absence: Callab
         frame = slot_frame(facts, p, "x")
         agree = [f"v_{v}" for v in dict.fromkeys(p.variables) if v != t["field"]]
         asked = rows.select(*ids, *agree, F.col(f"{s}_t").alias("anchor"))
-        near = asked.join(frame.withColumnRenamed(f"v_{t['field']}", "found"), agree).where((F.col("x_t") >= F.col("anchor") - t["within"]) & (F.col("x_t") <= F.col("anchor")))
-        enough = near.groupBy(*ids).agg(F.countDistinct("found").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x_ev")))).alias("more")).where(F.col("n") >= t["n"]).drop("n")
+        asked = asked.withColumn("b", F.explode(F.array(bucketed(F.col("anchor"), t["within"]), bucketed(F.col("anchor"), t["within"]) - 1)))
+        frame = frame.withColumnRenamed(f"v_{t['field']}", "found").withColumn("b", bucketed(F.col("x_t"), t["within"]))
+        close = asked.join(frame, [*agree, "b"]).where((F.col("x_t") >= F.col("anchor") - t["within"]) & (F.col("x_t") <= F.col("anchor")))
+        enough = close.groupBy(*ids).agg(F.countDistinct("found").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("x_ev")))).alias("more")).where(F.col("n") >= t["n"]).drop("n")
         return rows.join(enough, ids)
     anchor = F.col(f"{t['before']}_t")
     p = t["of"]
     frame = slot_frame(facts, p, "x")
     shared = [v for v in dict.fromkeys(p.variables) if f"v_{v}" in rows.columns]
-    frame = frame.select(*[F.col(f"v_{v}").alias(f"x_{v}") for v in shared], "x_t")
-    hit = (F.col("x_t") >= anchor - t["within"]) & (F.col("x_t") < anchor)
+    # A row asks in the buckets of its window, a fact stands in the bucket of its tick; what is hit goes by its ids.
+    frame = frame.select(*[F.col(f"v_{v}").alias(f"x_{v}") for v in shared], "x_t", bucketed(F.col("x_t"), t["within"]).alias("x_b"))
+    asked = rows.select(*ids, *[F.col(f"v_{v}") for v in shared], anchor.alias("anchor"))
+    asked = asked.withColumn("b", F.explode(F.array(bucketed(F.col("anchor"), t["within"]), bucketed(F.col("anchor"), t["within"]) - 1)))
+    hit = (F.col("b") == F.col("x_b")) & (F.col("x_t") >= F.col("anchor") - t["within"]) & (F.col("x_t") < F.col("anchor"))
     for v in shared:
         hit = hit & (F.col(f"v_{v}") == F.col(f"x_{v}"))
-    kept = rows.join(frame, hit, "left_anti").withColumn("more", none)
+    hit_ids = asked.join(frame, hit, "left_semi").select(*ids).distinct()
+    kept = rows.join(hit_ids, ids, "left_anti").withColumn("more", none)
     if absence is None:
         return kept
     windows = kept.select(*ids, (anchor - t["within"]).alias("w0"), anchor.alias("w1")).withColumn("window_id", F.concat_ws("|", *ids))
@@ -119,15 +157,15 @@ def temporal_rows(rule: Rule, rows: DataFrame, facts: DataFrame, absence: Callab
     return kept.join(seen, ids)
 
 
-def derive(rule: Rule, facts: DataFrame, delta: DataFrame, pivot: int, absence: Callable | None) -> DataFrame:
+def derive(rule: Rule, facts: DataFrame, delta: DataFrame, pivot: int, absence: Callable | None, free: bool = True) -> DataFrame:
     """Instances of a detect rule with the pivot slot's fact from delta."""
     n = len(rule.body)
-    rows = body_rows(rule, facts, delta, pivot)
-    free = F.lit(False)
+    rows = body_rows(rule, facts, delta, pivot, free)
+    spanned = F.lit(False)
     for s in SLOTS[:n]:
-        free = free | F.col(f"{s}_free")
+        spanned = spanned | F.col(f"{s}_free")
     ref = lambda slot, name: F.col(f"{slot}_t") if name == "t" else F.col(f"v_{name}")
-    rows = temporal_rows(rule, rows.where(free | compile_guard(rule.when, ref)), facts, absence)
+    rows = temporal_rows(rule, rows.where(spanned | compile_guard(rule.when, ref)), facts, absence)
     evidence = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(f"{s}_ev", F.array().cast("array<string>")) for s in rule.evidence], "more")))
     when = {p.time: s for s, p in zip(SLOTS, rule.body)}[rule.head.time]
     args = F.array(*[F.col(f"v_{v}") for v in rule.head.variables]) if rule.head.variables else F.array().cast("array<string>")
@@ -145,14 +183,14 @@ def finished(made: DataFrame, rule: Rule, observed: str, license_ids, ghost, lo,
     return out.select(*[c.split(" ")[0] for c in INSTANCES.split(", ")])
 
 
-def merged_facts(facts: DataFrame, instances: DataFrame) -> DataFrame:
+def merged_facts(facts: DataFrame, instances: DataFrame, fresh: bool = False) -> DataFrame:
     """Facts and heads of instances. A fact is licensed while no observed instance and no event supports it; its span is
-    the hull over its licensed instances."""
+    the hull over its licensed instances. ``fresh`` adds a column: the fact isn't in ``facts``."""
     silent = F.col("observed") == "LICENSED"
-    heads = instances.select(F.col("head").alias("fact_id"), "predicate", "args", "tick", F.when(silent, F.col("lo")).alias("lo"), F.when(silent, F.col("hi")).alias("hi"), silent.alias("licensed"), F.array().cast("array<string>").alias("events"))
-    every = facts.select("fact_id", "predicate", "args", "tick", F.when(F.col("licensed"), F.col("lo")).alias("lo"), F.when(F.col("licensed"), F.col("hi")).alias("hi"), "licensed", "events").unionByName(heads)
+    heads = instances.select(F.col("head").alias("fact_id"), "predicate", "args", "tick", F.when(silent, F.col("lo")).alias("lo"), F.when(silent, F.col("hi")).alias("hi"), silent.alias("licensed"), F.array().cast("array<string>").alias("events"), F.lit(True).alias("fresh"))
+    every = facts.select("fact_id", "predicate", "args", "tick", F.when(F.col("licensed"), F.col("lo")).alias("lo"), F.when(F.col("licensed"), F.col("hi")).alias("hi"), "licensed", "events", F.lit(False).alias("fresh")).unionByName(heads)
     # Events stand with one row of a fact at most, so the longest array is the fact's own.
-    return every.groupBy("fact_id").agg(F.first("predicate").alias("predicate"), F.first("args").alias("args"), F.first("tick").alias("tick"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.every("licensed").alias("licensed"), F.max_by("events", F.size("events")).alias("events"))
+    return every.groupBy("fact_id").agg(F.first("predicate").alias("predicate"), F.first("args").alias("args"), F.first("tick").alias("tick"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.every("licensed").alias("licensed"), F.max_by("events", F.size("events")).alias("events"), *([F.every("fresh").alias("fresh")] if fresh else []))
 
 
 def refuse_kinds(rules: list[Rule]) -> None:
@@ -166,9 +204,9 @@ def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None =
     ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence."""
     refuse_kinds(rules)
     spark = facts.sparkSession
-    known = facts if instances is None else merged_facts(facts, instances)
-    known = written(known)
-    instances = spark.createDataFrame([], INSTANCES) if instances is None else instances
+    known = written(facts if instances is None else merged_facts(facts, instances))
+    free = not known.where("licensed").isEmpty()
+    found = [spark.createDataFrame([], INSTANCES) if instances is None else instances]
     delta, rounds = known, 0
     while rounds < max_rounds:
         new = None
@@ -177,19 +215,20 @@ def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None =
         for rule in rules:
             if rule.kind == "detect":
                 for pivot in (k for k, p in enumerate(rule.body) if p.predicate in present):
-                    got = derive(rule, known, delta, pivot, absence)
+                    got = derive(rule, known, delta, pivot, absence, free)
                     new = got if new is None else new.unionByName(got)
         if new is None:
             break
-        new = written(new.dropDuplicates(["instance_id"]).join(instances.select("instance_id"), "instance_id", "left_anti"))
-        if not new.count():
+        # A round's instances are a table of their own: what is known is read again, never written again.
+        before = functools.reduce(DataFrame.unionByName, [x.select("instance_id") for x in found])
+        new = written(new.dropDuplicates(["instance_id"]).join(before, "instance_id", "left_anti"))
+        if new.isEmpty():
             break
         rounds += 1
-        instances = written(instances.unionByName(new))
-        grown = written(merged_facts(known, new))
-        delta = written(grown.join(known.select("fact_id"), "fact_id", "left_anti"))
-        known = grown
-    return Program(known, instances, rounds, rounds >= max_rounds)
+        found.append(new)
+        grown = written(merged_facts(known, new, fresh=True))
+        known, delta = grown.drop("fresh"), grown.where("fresh").drop("fresh")
+    return Program(known, functools.reduce(DataFrame.unionByName, found), rounds, rounds >= max_rounds)
 
 
 def silent_instances(rule: Rule, line: DataFrame, pools: DataFrame, tick_width: int = 1, key: str = "source") -> DataFrame:

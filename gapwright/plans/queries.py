@@ -602,8 +602,7 @@ def seq_deny(spark, sf):
     """Signup, then purchase within a day, with no view between."""
     e = telemetry(spark, sf).select("event_id", "user_id", "t", "source")
     met = temporal.sequence_join(e.where("source = 'signup'").drop("source"), e.where("source = 'purchase'").drop("source"), ["user_id"], 24 * HOUR)
-    deny = e.where("source = 'view'").select(F.col("user_id").alias("d_user"), F.col("t").alias("d_t"))
-    return met.join(deny, (F.col("user_id") == F.col("d_user")) & (F.col("d_t") > F.col("l_t")) & (F.col("d_t") < F.col("r_t")), "left_anti").select("l_event_id", "r_event_id")
+    return temporal.without_between(met, e.where("source = 'view' AND user_id IS NOT NULL"), ["user_id"]).select("l_event_id", "r_event_id")
 
 
 @query("sliding_counts", f"SELECT source, w * {6 * HOUR} AS t0, count(*) AS n FROM (SELECT source, unnest([t // {6 * HOUR}, t // {6 * HOUR} - 1]) AS w FROM ({E})) GROUP BY source, w")
