@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import with_neighbours
+
 BLOCK_S = 1200
 
 
@@ -66,10 +68,13 @@ def blackout(raw: DataFrame, sources: list[str], t0: int, t1: int, key: str = "s
 def backdate(raw: DataFrame, source: str, event_type: str, occurrence: int, shift: int, key: str = "source", seq: str = "seq", t: str = "t") -> DataFrame:
     """Shift the time of one record, the occurrence-th of its source and type by seq (-1: the last); seq stays."""
     chosen = raw.where((F.col(key) == source) & (F.col("event_type") == event_type))
-    place = chosen.select(seq).orderBy(F.col(seq).desc() if occurrence < 0 else F.col(seq)).limit(-occurrence if occurrence < 0 else occurrence + 1).collect()
-    if len(place) < (-occurrence if occurrence < 0 else occurrence + 1):
+    # Counts by stretch of seq find the stretch; the record is a rank within it.
+    n = chosen.count()
+    rank = n + occurrence if occurrence < 0 else occurrence
+    if not 0 <= rank < n:
         raise ValueError("no record was selected")
-    at = place[-1][0]
+    numbered = with_neighbours(chosen.select(key, seq), [key], [seq], [], width=100_000, number="\0place")
+    at = numbered.where(F.col("\0place") == rank).select(seq).collect()[0][0]
     return raw.withColumn(t, F.when((F.col(key) == source) & (F.col(seq) == at), F.col(t) + shift).otherwise(F.col(t)))
 
 
@@ -102,3 +107,23 @@ def manifest(before: DataFrame, after: DataFrame, key: str = "source", seq: str
     met = pick(before, "b").join(pick(after, "a"), [key, seq], "full")
     change = F.when(F.col("a").isNull(), "removed").when(F.col("b").isNull(), "added").when(F.col("a") != F.col("b"), "rewritten")
     return met.select(key, seq, change.alias("change")).where(F.col("change").isNotNull())
+
+
+def outside_of(smaller: DataFrame, larger: DataFrame, key: str = "source", seq: str = "seq") -> DataFrame:
+    """Records (key, seq) of ``smaller`` that ``larger`` lacks: empty where deletions are nested."""
+    return smaller.select(key, seq).join(larger.select(key, seq), [key, seq], "left_anti")
+
+
+def duplicate(raw: DataFrame, every: int, seq: str = "seq") -> DataFrame:
+    """Each record whose seq is a multiple of ``every`` is there twice."""
+    return raw.withColumn("\0k", F.explode(F.when(F.col(seq) % every == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("\0k")
+
+
+def levels(raw: DataFrame, steps: list[Completeness], seed: int, per_second: int, key: str = "source") -> DataFrame:
+    """The records that every level of completeness keeps, as rows with ``level`` (per cent), so that all levels of a ladder
+    go through the operators behind it together."""
+    out = None
+    for c in steps:
+        kept = delete(raw, c, seed, per_second, key).withColumn("level", F.lit(100 * c.num // c.den))
+        out = kept if out is None else out.unionByName(kept)
+    return out

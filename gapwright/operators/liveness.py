@@ -10,8 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arithmetic import scaled_threshold
 from ..session import written
-from .series import DAY_US, as_of, islands, with_bucket, with_neighbours
+from .series import as_of, islands, prefix_sum, with_bucket, with_neighbours
 
 #: Verdicts, reasons and modes, as results show them.
 LIVE, BLIND, SUPPRESSED = "LIVE", "BLIND", "SUPPRESSED"
@@ -36,7 +37,7 @@ class LivenessConfig:
         return max(self.n_floor, -(-self.k_tail * self.q // (self.q - self.p)))
 
 
-def gaps(events: DataFrame, order: list[str], key: str = "source", t: str = "t", width: int = DAY_US) -> DataFrame:
+def gaps(events: DataFrame, order: list[str], key: str = "source", t: str = "t", width: int = 86_400_000_000) -> DataFrame:
     """(key, order..., t, prev_t, gap): differences of time of neighbours; negative where time runs back."""
     near = with_neighbours(events, [key], order, [t], width)
     return near.where(F.col(f"prev_{t}").isNotNull()).withColumn("gap", F.col(t) - F.col(f"prev_{t}"))
@@ -64,8 +65,26 @@ def gap_profile(events: DataFrame, order: list[str], config: LivenessConfig = Li
     """One row for each key (and regime, where ``keys`` has one): n_gaps, order statistic, extremes and threshold.
     The threshold is null where there are fewer than n_min gaps."""
     found = rank_statistic(gaps(events, order, key, t), keys or [key], "gap", config.p, config.q)
-    limit = F.expr(f"(order_statistic * {config.slack_num} + {config.slack_den - 1}) div {config.slack_den}")
-    return found.withColumn("threshold", F.when(F.col("n_gaps") >= config.n_min, limit))
+    return with_threshold(found, config).drop("overflow")
+
+
+def with_threshold(profile: DataFrame, config: LivenessConfig) -> DataFrame:
+    """Adds ``threshold``, the order statistic times the slack, rounded up, where there are n_min gaps, and ``overflow``: it
+    doesn't fit 64 bits. The product is exact; a threshold that doesn't fit is null and never wraps."""
+    limit, _ = scaled_threshold("order_statistic", config.slack_num, config.slack_den)
+    enough = F.coalesce(F.col("n_gaps") >= config.n_min, F.lit(False))
+    return profile.withColumns({"overflow": enough & limit.isNull(), "threshold": F.when(enough, limit)})
+
+
+def gap_digest(events: DataFrame, order: list[str], width: int, key: str = "source", t: str = "t") -> DataFrame:
+    """(key, digest) of the whole vector of gaps: SHA-256 over the digests of its stretches of ``width``, each over its
+    distinct gaps and their counts in ascending order, so no task holds the vector of a source."""
+    counts = gaps(events, order, key, t).groupBy(key, "gap").agg(F.count("*").alias("c"))
+    cut = with_bucket(counts, "gap", width, "part")
+    text = lambda x: F.concat(x["gap"].cast("string"), F.lit(":"), x["c"].cast("string"))
+    listed = lambda rows, of: F.array_join(F.transform(F.array_sort(F.collect_list(rows)), of), ",")
+    parts = cut.groupBy(key, "part").agg(F.sha2(listed(F.struct("gap", "c"), text), 256).alias("d"))
+    return parts.groupBy(key).agg(F.sha2(listed(F.struct("part", "d"), lambda x: x["d"]), 256).alias("digest"))
 
 
 def ladder(threshold: Column, left: Column, right: Column, in_span: Column, widest: Column, mode: Column, missing: Column, chain_ok: Column, regime_known: Column, m_min: int, no_profile: Column | None = None, overflow: Column | None = None) -> Column:
@@ -104,6 +123,35 @@ def timeline(events: DataFrame, profile: DataFrame, t0: Column, t1: Column, conf
     return islands(judged, [key], "t0", "t1", ["verdict", "reason"]).select(key, "t0", "t1", "verdict", "reason", "parts")
 
 
+def regime_timeline(events: DataFrame, profile: DataFrame, phases: list[tuple[str, int, int]], t0: int, t1: int, config: LivenessConfig = LivenessConfig(), key: str = "source", t: str = "t", seq: str = "seq", modes: dict[str, str] | None = None, declared: dict[str, int] | None = None, broken: tuple[str, ...] = (), unprofiled: tuple[str, ...] = ()) -> DataFrame:
+    """As ``timeline``, with thresholds by regime: the grid has the bounds of the phases (regime, from, to) too, and a window
+    takes the threshold of (key, regime) in ``profile`` (n_gaps, threshold, overflow), or, where there are too few gaps, the
+    period declared for the key. ``broken``: keys whose chain doesn't verify; ``unprofiled``: keys that are to run without
+    a profile. Phases, modes and periods are declared dimensions."""
+    at = events.groupBy(key, t).agg(F.max(seq).alias(seq), F.min(seq).alias("first_seq"))
+    near = with_neighbours(at, [key], [t], [t, "first_seq"], ahead=True)
+    missing = F.coalesce(F.col("next_first_seq") > F.col(seq) + 1, F.lit(False))
+    after = near.select(key, F.greatest(F.col(t), F.lit(t0)).alias("t0"), F.least(F.coalesce(F.col(f"next_{t}"), F.lit(t1)), F.lit(t1)).alias("t1"), F.col(t).alias("left"), F.col(f"next_{t}").alias("right"), missing.alias("missing"), F.lit(2).alias("in_span"))
+    first = at.groupBy(key).agg(F.min(t).alias("right")).select(key, F.lit(t0).cast("long").alias("t0"), F.least(F.col("right"), F.lit(t1)).alias("t1"), F.lit(None).cast("long").alias("left"), "right", F.lit(False).alias("missing"), F.lit(0).alias("in_span"))
+    grid = first.unionByName(after).where("t0 < t1")
+    bounds = sorted({x for _, a, b in phases for x in (a, b)})
+    inner = F.filter(F.array(*[F.lit(x).cast("long") for x in bounds]), lambda x: (x > F.col("t0")) & (x < F.col("t1")))
+    edges = F.concat(F.array("t0"), inner, F.array("t1"))
+    pieces = grid.withColumn("edges", edges).withColumn("k", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)))
+    pieces = pieces.withColumns({"t0": F.element_at("edges", F.col("k")), "t1": F.element_at("edges", F.col("k") + 1)})
+    regime = F.lit(None).cast("string")
+    for name, a, b in phases:
+        regime = F.when((F.col("t0") >= a) & (F.col("t0") < b), F.lit(name)).otherwise(regime)
+    known = F.broadcast(profile.select(key, "regime", "threshold", "overflow"))  # a row for each source and regime
+    pieces = pieces.withColumn("regime", regime).join(known, [key, "regime"], "left")
+    of = lambda values, default: F.coalesce(F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col(key)], default) if values else default
+    threshold = F.when(F.coalesce("overflow", F.lit(False)), F.lit(None)).otherwise(F.coalesce("threshold", of(declared or {}, F.lit(None)).cast("long")))
+    spilled = F.coalesce("overflow", F.lit(False))
+    rung = ladder(F.when(spilled, F.lit(0)).otherwise(threshold), F.col("left"), F.col("right"), F.col("in_span"), F.col("right") - F.col("left"), of(modes or {}, F.lit(SEQUENCED)), F.col("missing"), ~F.col(key).isin(*broken) if broken else F.lit(True), F.col("regime").isNotNull(), config.m_min, F.col(key).isin(*unprofiled) if unprofiled else None, spilled)
+    judged = written(pieces.withColumn("j", rung).select(key, "t0", "t1", "j.verdict", "j.reason"))
+    return islands(judged, [key], "t0", "t1", ["verdict", "reason"]).select(key, "t0", "t1", "verdict", "reason", "parts")
+
+
 def blind_runs(line: DataFrame, key: str = "source", merge_reasons: bool = False) -> DataFrame:
     """Non-LIVE runs, merged by verdict and reason, or across reasons."""
     dark = line.where(F.col("verdict") != LIVE).select(key, "t0", "t1", "verdict", "reason")
@@ -142,16 +190,6 @@ def joint_windows(line: DataFrame, sources: list[str], key: str = "source", verd
     return near.where(F.col("depth") == len(sources)).select(F.col("t").alias("t0"), F.col("next_t").alias("t1"))
 
 
-def prefix_sum(df: DataFrame, key: str, order: str, value: str, out: str, width: int = DAY_US) -> DataFrame:
-    """Running sums along unique ``order``, in buckets."""
-    rows = with_bucket(df, order, width, "\0bucket")
-    sums = rows.groupBy(key, "\0bucket").agg(F.sum(value).alias("\0s"))
-    before = Window.partitionBy(key).orderBy("\0bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(key, "\0bucket", F.coalesce(F.sum("\0s").over(before), F.lit(0)).alias("\0base"))
-    own = F.sum(value).over(Window.partitionBy(key, "\0bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("\0own", own).join(sums, [key, "\0bucket"]).withColumn(out, F.col("\0base") + F.col("\0own")).select(*df.columns, out)
-
-
 def coverage(windows: DataFrame, line: DataFrame, sources: int, window_id: str = "window_id", key: str = "source") -> DataFrame:
     """For windows (window_id, source, w0, w1), a row for each source that must be asked: is it wholly LIVE, wholly not?
 
@@ -190,3 +228,39 @@ def outside(events: DataFrame, spans: DataFrame, key: str = "source", t: str = "
     """Events outside the declared spans (key, t0, t1) of their source."""
     s = F.broadcast(spans.select(F.col(key).alias("s_key"), "t0", "t1"))
     return events.join(s, (F.col(key) == F.col("s_key")) & (F.col(t) >= F.col("t0")) & (F.col(t) < F.col("t1")), "left_anti")
+
+
+def absence_proxy(windows: DataFrame, events: DataFrame, sources: int, window_id: str = "window_id", key: str = "source", t: str = "t") -> DataFrame:
+    """(window_id, observed) without a timeline: a window (window_id, source, w0, w1) counts as observed if every source that
+    it asks has an event in [w0, w1). The last event before w1 is looked at, so no window meets all events of a source."""
+    asked = windows.select(window_id, key, "w0", F.col("w1").alias(t))
+    met = as_of(asked, events.select(key, t).distinct(), [key], t, [], strict=True)
+    return met.groupBy(window_id).agg((F.count_if(F.col(f"as_of_{t}") >= F.col("w0")) == sources).alias("observed"))
+
+
+def disputed(licences: DataFrame, disputes: DataFrame, key: str = "source", t: str = "t") -> DataFrame:
+    """``licences`` (key, t0, t1, ...) with ``disputed``: an event (key, t) in dispute lies in the closed span [t0, t1]."""
+    asked = licences.withColumn(t, F.col("t0"))
+    met = as_of(asked, disputes.select(key, t).distinct(), [key], t, [], ahead=True)
+    return met.withColumn("disputed", F.coalesce(F.col(f"as_of_{t}") <= F.col("t1"), F.lit(False))).drop(t, f"as_of_{t}")
+
+
+def issued(windows: DataFrame, line: DataFrame, sources: int, void: DataFrame | None = None, window_id: str = "window_id", key: str = "source") -> DataFrame:
+    """(window_id, granted): a licence for a window is issued if every source is not LIVE throughout it, and refused where the
+    window is on the list ``void`` (window_id)."""
+    granted = coverage(windows, line, sources, window_id, key).select(window_id, F.col("licensable").alias("granted"))
+    if void is None:
+        return granted
+    met = granted.join(void.select(window_id, F.lit(True).alias("void")).distinct(), window_id, "left")
+    return met.select(window_id, (F.col("granted") & F.col("void").isNull()).alias("granted"))
+
+
+def document_flags(line: DataFrame, profile: DataFrame, modes: dict[str, str], key: str = "source") -> DataFrame:
+    """One row of flags of a timeline: a source without a threshold, a source that isn't chained, nothing LIVE at all, and a
+    profile that has one regime for all."""
+    sources = line.select(key).distinct().join(profile.groupBy(key).agg(F.max("threshold").alias("threshold")), key, "left")
+    unchained = F.coalesce(F.create_map(*[F.lit(x) for kv in modes.items() for x in kv])[F.col(key)], F.lit(NONE)) != CHAINED
+    flags = sources.agg(F.coalesce(F.bool_or(F.col("threshold").isNull()), F.lit(False)).alias("uncalibrated"), F.coalesce(F.bool_or(unchained), F.lit(False)).alias("unauthenticated"))
+    dark = line.agg(F.coalesce(F.every(F.col("verdict") != LIVE), F.lit(True)).alias("blind_by_default"))
+    regimes = profile.agg((F.count_distinct("regime") <= 1).alias("regime_collapsed")) if "regime" in profile.columns else profile.agg(F.lit(True).alias("regime_collapsed"))
+    return flags.join(dark, F.lit(True)).join(regimes, F.lit(True))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import as_of, with_neighbours
+from ..session import ship
+from .series import as_of, prefix_sum, with_bucket, with_neighbours
 
 
 def sequence_join(left: DataFrame, right: DataFrame, keys: list[str], within: int, t: str = "t") -> DataFrame:
@@ -25,11 +26,6 @@ def sequence_join(left: DataFrame, right: DataFrame, keys: list[str], within: in
     return met.where((F.col(f"l_{t}") < F.col(f"r_{t}")) & (F.col(f"r_{t}") <= F.col(f"l_{t}") + within)).drop("\0b")
 
 
-def feasible(l_lo: str, l_hi: str, r_lo: str, r_hi: str, within: int):
-    """Whether some left time in its span and right time in its span satisfy 0 < right - left <= within."""
-    return F.greatest(F.col(r_lo) - F.col(l_hi), F.lit(1)) <= F.least(F.col(r_hi) - F.col(l_lo), F.lit(within))
-
-
 def absence_join(events: DataFrame, absent: DataFrame, keys: list[str], within: int, t: str = "t", row_id: str = "event_id") -> DataFrame:
     """Events for which no row of ``absent`` has equal keys and a time in [t - within, t)."""
     width = max(within, 1)
@@ -79,3 +75,62 @@ def missing_sequence(events: DataFrame, key: str = "source", seq: str = "seq", t
     """Neighbours in time between which sequence numbers are missing: (key, first_missing, last_missing, t0, t1)."""
     near = with_neighbours(events, [key], [t, seq, tie], [seq, t])
     return near.where(F.col(seq) > F.col(f"prev_{seq}") + 1).select(key, (F.col(f"prev_{seq}") + 1).alias("first_missing"), (F.col(seq) - 1).alias("last_missing"), F.col(f"prev_{t}").alias("t0"), F.col(t).alias("t1"))
+
+
+def align_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: int, t: str = "t") -> DataFrame:
+    """Pairs with equal keys and times at most ``tolerance`` apart, as l_ and r_ columns: the left side goes to the buckets
+    beside its own too, so each pair meets in one bucket."""
+    width = max(tolerance, 1)
+    bucket = F.expr(f"(`{t}` - pmod(`{t}`, {width}L)) div {width}L")
+    lo = left.withColumn("\0b", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    lo = lo.select(*[F.col(c).alias(c if c in keys or c == "\0b" else f"l_{c}") for c in lo.columns])
+    hi = right.withColumn("\0b", bucket)
+    hi = hi.select(*[F.col(c).alias(c if c in keys or c == "\0b" else f"r_{c}") for c in hi.columns])
+    return lo.join(hi, [*keys, "\0b"]).where(F.abs(F.col(f"l_{t}") - F.col(f"r_{t}")) <= tolerance).drop("\0b")
+
+
+def disorder(events: DataFrame, key: str = "source", seq: str = "seq", t: str = "t", width: int = 100_000) -> DataFrame:
+    """``events`` with ``knot``: stretches of a series, along seq, outside which nothing is out of order. A stretch ends where
+    no later time is below the greatest so far. Both extremes are running ones over buckets, so a series is not one task."""
+    rows = with_bucket(events, seq, width, "\0b")
+    cut = [key, "\0b"]
+    ends = rows.groupBy(*cut).agg(F.max(t).alias("\0hi"), F.min(t).alias("\0lo"))
+    along = Window.partitionBy(key).orderBy("\0b")
+    ends = ends.select(*cut, F.max("\0hi").over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("\0before"), F.min("\0lo").over(along.rowsBetween(1, Window.unboundedFollowing)).alias("\0after"))
+    within = Window.partitionBy(*cut).orderBy(seq)
+    met = rows.join(ends, cut)
+    top = F.greatest(F.max(t).over(within.rowsBetween(Window.unboundedPreceding, 0)), "\0before")
+    low = F.least(F.min(t).over(within.rowsBetween(1, Window.unboundedFollowing)), "\0after")
+    met = met.withColumn("\0last", (F.coalesce(low >= top, F.lit(True))).cast("long")).select(*events.columns, "\0last")
+    closed = prefix_sum(met, key, seq, "\0last", "knot", width)
+    return closed.withColumn("knot", F.col("knot") - F.col("\0last")).drop("\0last")
+
+
+def corrections(events: DataFrame, key: str = "source", seq: str = "seq", t: str = "t") -> DataFrame:
+    """(key, seq, t) of the records that must change for the rest of a series to rise along seq, as few as can be: what is
+    outside a longest non-decreasing subsequence. Stretches of ``disorder`` are judged apart; those of one record need
+    nothing, so only tangled stretches go to a worker, each whole and none larger than its own disorder."""
+    from ..functions.repair import corrections as changed
+
+    ship(events.sparkSession)
+    knots = disorder(events.select(key, seq, t), key, seq, t)
+    tangled = knots.join(knots.groupBy(key, "knot").agg(F.count("*").alias("\0n")).where("`\0n` > 1").drop("\0n"), [key, "knot"])
+
+    def repair(frame):
+        frame = frame.sort_values(seq, kind="stable")
+        return frame.iloc[changed(frame[t].tolist())][[key, seq, t]]
+
+    return tangled.groupBy(key, "knot").applyInPandas(repair, events.select(key, seq, t).schema)
+
+
+def disputed_sources(events: DataFrame, key: str = "source", seq: str = "seq", t: str = "t") -> DataFrame:
+    """(key, violations, disputed) of every source: times that fall along seq put all of it in dispute; nothing is removed."""
+    found = order_violations(events, key, seq, t).groupBy(key).agg(F.count("*").alias("violations"))
+    counted = events.select(key).distinct().join(found, key, "left").withColumn("violations", F.coalesce("violations", F.lit(0).cast("long")))
+    return counted.withColumn("disputed", F.col("violations") > 0)
+
+
+def constraints(events: DataFrame, key: str = "source", seq: str = "seq", t: str = "t", width: int = 100_000) -> DataFrame:
+    """Difference constraints t[v] - t[u] >= 0 of neighbours along seq: (key, u, v, slack); negative slack is a violation."""
+    near = with_neighbours(events, [key], [seq], [seq, t], width)
+    return near.where(F.col(f"prev_{seq}").isNotNull()).select(key, F.col(f"prev_{seq}").alias("u"), F.col(seq).alias("v"), (F.col(t) - F.col(f"prev_{t}")).alias("slack"))

@@ -8,6 +8,7 @@ them: lineage stays one round long. Rounds are as many as the longest derivation
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ class Program:
     instances: DataFrame
     rounds: int
     capped: bool = False
+    #: What was capped: rounds, facts, instances or bindings.
+    caps: tuple[str, ...] = ()
 
     def axioms(self) -> DataFrame:
         """Facts that no instance with a body supports."""
@@ -199,16 +202,29 @@ def refuse_kinds(rules: list[Rule]) -> None:
         raise ValueError(f"nothing evaluates rules of kind {', '.join(odd)}")
 
 
-def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS) -> Program:
+@dataclass(frozen=True)
+class Caps:
+    """Limits of a run; None is none. A run that meets one stops there, and says so: it is never cut off in silence."""
+
+    rounds: int = MAX_ROUNDS
+    facts: int | None = None
+    instances: int | None = None
+    bindings: int | None = None
+
+
+def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS, caps: Caps | None = None) -> Program:
     """Close ``facts`` (and ``instances``) under the detect rules; the heads of obligations are for ``envelope``.
     ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence."""
     refuse_kinds(rules)
     spark = facts.sparkSession
+    caps = caps or Caps(max_rounds)
+    met: list[str] = []
     known = written(facts if instances is None else merged_facts(facts, instances))
     free = not known.where("licensed").isEmpty()
     found = [spark.createDataFrame([], INSTANCES) if instances is None else instances]
     delta, rounds = known, 0
-    while rounds < max_rounds:
+    made = 0 if instances is None else instances.count()
+    while True:
         new = None
         # Names of predicates, of which a table has a few dozen: rules that no new fact can fire are left out.
         present = {r.predicate for r in delta.select("predicate").distinct().collect()}
@@ -222,26 +238,43 @@ def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None =
         # A round's instances are a table of their own: what is known is read again, never written again.
         before = functools.reduce(DataFrame.unionByName, [x.select("instance_id") for x in found])
         new = written(new.dropDuplicates(["instance_id"]).join(before, "instance_id", "left_anti"))
-        if new.isEmpty():
+        n = new.count()
+        if not n:
             break
-        rounds += 1
+        rounds, made = rounds + 1, made + n
         found.append(new)
         grown = written(merged_facts(known, new, fresh=True))
         known, delta = grown.drop("fresh"), grown.where("fresh").drop("fresh")
-    return Program(known, functools.reduce(DataFrame.unionByName, found), rounds, rounds >= max_rounds)
+        met = [name for name, most, have in (("rounds", caps.rounds, rounds), ("instances", caps.instances, made), ("facts", caps.facts, None if caps.facts is None else known.count())) if most is not None and have >= most]
+        if met:
+            break
+    return Program(known, functools.reduce(DataFrame.unionByName, found), rounds, bool(met), tuple(met))
 
 
-def silent_instances(rule: Rule, line: DataFrame, pools: DataFrame, tick_width: int = 1, key: str = "source") -> DataFrame:
+def over_bindings(rule: Rule, pools: DataFrame, most: int | None) -> bool:
+    """Whether the product of a rule's pools has over ``most`` bindings a window."""
+    if most is None or not rule.silent_kinds:
+        return False
+    sizes = {r.kind: r.n for r in pools.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    return math.prod(sizes.get(kind, 0) for kind in rule.silent_kinds.values()) > most
+
+
+def silent_instances(rule: Rule, line: DataFrame, pools: DataFrame, tick_width: int = 1, key: str = "source", most: int | None = None) -> DataFrame:
     """Licensed instances of a rule, and of its premises as ghosts: one for each window in which every producing source
     is not LIVE and each binding of its variables. pools: (kind, entity_id), declared entities."""
     windows = liveness.joint_windows(line, list(rule.sources), key).select(F.expr(f"t0 div {tick_width}").alias("tick"), F.greatest(F.expr(f"t0 div {tick_width}"), F.expr(f"(t1 - 1) div {tick_width}")).alias("last"), "t0", "t1")
     met = liveness.blind_runs(line, key, merge_reasons=False).where(F.col(key).isin(*rule.sources)).select(key, F.col("t0").alias("r0"), F.col("t1").alias("r1"), "verdict", "reason")
     lic = met.join(windows, (F.col("r0") < F.col("t1")) & (F.col("t0") < F.col("r1"))).groupBy("tick", "last").agg(F.array_sort(F.collect_set(fast("licence", F.col("verdict"), F.col("reason"), F.col(key), F.col("r0"), F.col("r1")))).alias("license_ids"))
-    rows = lic
-    for v in sorted(rule.silent_kinds or {}):
+    names, bound = sorted(rule.silent_kinds or {}), None
+    for v in names:
         # Declared entities of one kind: a dimension, met by every window because the hidden step may be anyone's.
         pool = pools.where(F.col("kind") == rule.silent_kinds[v]).select(F.col("entity_id").alias(f"v_{v}"))
-        rows = rows.join(F.broadcast(pool), F.lit(True))
+        if most is not None:
+            pool = pool.orderBy(f"v_{v}").limit(most)  # the first ``most`` bindings have no other entity
+        bound = pool if bound is None else bound.join(pool, F.lit(True))
+    if bound is not None and most is not None:
+        bound = bound.orderBy(*[f"v_{v}" for v in names]).limit(most)
+    rows = lic if bound is None else lic.join(F.broadcast(bound), F.lit(True))
     none = F.array().cast("array<string>")
     col = lambda p: F.array(*[F.col(f"v_{v}") for v in p.variables]) if p.variables else none
     bodies = F.array(*[fact_id(F.lit(p.predicate), col(p), F.col("tick")) for p in rule.body])
@@ -274,21 +307,24 @@ def obligation_ghosts(rule: Rule, facts: DataFrame, line: DataFrame, key: str =
     return finished(ghosts, rule, "LICENSED", F.col("license_ids"), F.lit(True), F.lit(None), F.lit(None))
 
 
-def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFrame, absence: Callable | None = None, key: str = "source") -> Program:
+def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFrame, absence: Callable | None = None, key: str = "source", caps: Caps | None = None) -> Program:
     """P_max: P_min's facts and instances, the licensed silent instances, closed again, then the ghosts of missing
     obligation heads, closed once more. P_min is within it by construction."""
     refuse_kinds(rules)
-    extra = None
+    extra, met, most = None, set(p_min.caps), caps.bindings if caps else None
     for rule in rules:
         if rule.silent_kinds and rule.kind == "detect":
-            got = silent_instances(rule, line, pools, key=key)
+            if over_bindings(rule, pools, most):
+                met.add("bindings")
+            got = silent_instances(rule, line, pools, key=key, most=most)
             # A premise that is a fact already needs no ghost.
             ghosts = got.where("ghost").join(p_min.facts.select(F.col("fact_id").alias("head")), "head", "left_anti")
             got = got.where("not ghost").unionByName(ghosts.select(*got.columns))
             extra = got if extra is None else extra.unionByName(got)
     out = p_min
     if extra is not None:
-        out = saturate(p_min.facts, rules, written(p_min.instances.unionByName(extra.dropDuplicates(["instance_id"]))), absence)
+        out = saturate(p_min.facts, rules, written(p_min.instances.unionByName(extra.dropDuplicates(["instance_id"]))), absence, caps=caps)
+        met |= set(out.caps)
     owed = [r for r in rules if r.kind == "obligation"]
     facts, instances = out.facts, out.instances
     for rule in owed:
@@ -296,14 +332,14 @@ def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFram
         ghosts = written(obligation_ghosts(rule, facts, line, key))
         facts, instances = written(merged_facts(facts, ghosts)), instances.unionByName(ghosts)
     if owed:
-        done = saturate(out.facts, rules, written(instances), absence)
-        out = Program(done.facts, done.instances, done.rounds, done.capped or out.capped)
+        out = saturate(out.facts, rules, written(instances), absence, caps=caps)
+        met |= set(out.caps)
     spreading = [r.rule_id for r in rules if r.relation == "PROPAGATES"]
     if spreading:
         ghosts = out.facts.where("licensed").join(out.instances.where("ghost").select(F.col("head").alias("fact_id")).distinct(), "fact_id", "left_semi")
         if not ghost_only(out.instances, ghosts, spreading).isEmpty():
             raise ValueError("an instance of a propagating rule has ghosts only in its body")
-    return out
+    return Program(out.facts, out.instances, out.rounds, bool(met), tuple(sorted(met)))
 
 
 def missing_from(inner: Program, outer: Program) -> DataFrame:

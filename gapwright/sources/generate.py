@@ -16,11 +16,13 @@ def draw(seed: int, domain: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
-def draw_below(seed: int, domain: str, n: int, *parts: Column, tries: int = 8) -> Column:
-    """Uniform below n by rejection: the first of ``tries`` draws under the largest multiple of n, else the last one."""
+def draw_below(seed: int, domain: str, n: int, *parts: Column) -> Column:
+    """Uniform below n, exactly: 60-bit draws at or over the largest multiple of n are rejected, and the next is taken. The
+    chance of a rejection is below n / 2^60; the fold runs until one stands, over numbers 0 to 63 of which it draws only as
+    many as it needs. That all are rejected has a chance below 2^-1800 for n up to 2^31, and raises."""
     top = (1 << 60) // n * n
-    drawn = [draw(seed, domain, *parts, F.lit(k)) for k in range(tries)]
-    return F.coalesce(*[F.when(d < top, d % n) for d in drawn], drawn[-1] % n)
+    drawn = F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(-1).cast("long"), lambda have, k: F.when(have >= 0, have).otherwise(F.when(draw(seed, domain, *parts, k) < top, draw(seed, domain, *parts, k) % n).otherwise(F.lit(-1).cast("long"))))
+    return F.when(drawn >= 0, drawn).otherwise(F.raise_error(F.lit("no draw was accepted")).cast("long"))
 
 
 def noise(spark: SparkSession, scenario: Scenario, seed: int) -> DataFrame:

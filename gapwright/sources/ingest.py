@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 
 from ..functions import canon
 from ..operators.series import with_neighbours
-from ..session import ship
+from ..session import ship, written
 
 #: Members of a raw record, keys that only ground truth may have, and the limits of a line.
 MEMBERS = ("attrs", "event_type", "seq", "source_id", "t_evt_ns")
 FORBIDDEN, FORBIDDEN_PREFIX = ("label", "is_attack", "scenario", "truth"), "__truth"
-MAX_LINE, MAX_ATTRS, MAX_KEY, MAX_VALUE, MAX_TYPE, MAX_RECORDS = 65_536, 64, 64, 1024, 64, 2_000_000
+MAX_LINE, MAX_ATTRS, MAX_KEY, MAX_VALUE, MAX_TYPE = 65_536, 64, 64, 1024, 64
 SNAKE = re.compile(r"^[a-z][a-z0-9_]*$")
 DOTTED = re.compile(r"^[a-z][a-z0-9_]*(\.[a-z][a-z0-9_]*)*$")
 
@@ -36,7 +36,8 @@ class Limits:
     key: int = MAX_KEY
     value: int = MAX_VALUE
     event_type: int = MAX_TYPE
-    records: int = MAX_RECORDS
+    #: A run over more lines is refused; None: no limit.
+    records: int | None = None
 
 
 @dataclass(frozen=True)
@@ -149,23 +150,81 @@ def settle(parsed: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, lines: DataFrame, sources: list[Source], limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantine). Over ``records`` lines the run is refused and nothing is cut off; ground truth stops it."""
-    done = settle(parse(lines, sources, limits))
+    """(accepted, quarantine). Over ``records`` lines the run is refused and nothing is cut off; ground truth stops it.
+    Lines are parsed once: what the parser says is written, and read from there."""
+    done = written(settle(written(parse(lines, sources, limits))))
     state = done.agg(F.count("*").alias("n"), F.count_if(F.col("reason") == "IMPURE").alias("impure")).collect()[0]
     if state.impure:
         raise LabelImpurity(f"{state.impure} lines carry ground truth")
-    if state.n > limits.records:
+    if limits.records is not None and state.n > limits.records:
         raise ValueError(f"{state.n} lines; the limit is {limits.records}")
     accepted = done.where(F.col("reason").isNull()).select("source_id", "seq", "t_evt_ns", "event_type", "attrs", F.sha2("raw", 256).alias("record_id"))
     return accepted, done.where(F.col("reason").isNotNull()).select("line_no", "reason", "detail", "source_id", F.sha2("raw", 256).alias("record_id"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, raw) of a text file; the number orders lines within the scan."""
+    """(line_no, raw) of text files; the number orders lines within the scan. A file whose last line doesn't end in a line
+    feed is refused: that line may have been cut off."""
+    ends = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).where(F.substring("content", -1, 1) != F.lit(b"\n")).select("path").limit(1).collect()
+    if ends:
+        raise ValueError(f"the last line of {ends[0].path} has no line feed")
     text = spark.read.text(path, lineSep="\n")
     return text.select(F.monotonically_increasing_id().alias("line_no"), F.col("value").cast("binary").alias("raw"))
 
 
+BUNDLE = T.StructType([T.StructField(n, t) for n, t in (("line_no", T.LongType()), ("source_id", T.StringType()), ("seq", T.LongType()), ("t_evt_ns", T.LongType()), ("event_type", T.StringType()), ("attrs", T.MapType(T.StringType(), T.StringType())), ("record_id", T.StringType()), ("problem", T.StringType()))])
+
+
+def bundle_line(raw: bytes) -> tuple[dict | None, str | None]:
+    """(event, problem) of a line of a bundle: it must be its own canonical form, and its id that of its record."""
+    try:
+        event = canon.loads(raw.decode("utf-8"))
+    except (canon.CanonError, UnicodeDecodeError):
+        return None, "not_json"
+    if not isinstance(event, dict) or set(event) != {*MEMBERS, "record_id"}:
+        return None, "members"
+    if canon.line(event).rstrip(b"\n") != raw:
+        return None, "reserialise_differs"
+    record = canon.line({k: event[k] for k in MEMBERS}).rstrip(b"\n")
+    return event, None if hashlib.sha256(record).hexdigest() == event["record_id"] else "record_id"
+
+
+def read_bundle(lines: DataFrame) -> DataFrame:
+    """Events of a bundle's (line_no, raw), strictly: any line that isn't canonical, whose id doesn't follow from it, or that
+    doesn't come after its predecessor by (source_id, seq) makes the read fail."""
+    ship(lines.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [bundle_line(x) for x in b.column(1).to_pylist()]
+            get = lambda name, kind: pa.array([r and r[name] for r, _ in rows], kind)
+            times = pa.array([int(r["t_evt_ns"]) if r else None for r, _ in rows], pa.int64())
+            attrs = pa.array([list(r["attrs"].items()) if r else None for r, _ in rows], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), get("source_id", pa.string()), get("seq", pa.int64()), times, get("event_type", pa.string()), attrs, get("record_id", pa.string()), pa.array([p for _, p in rows], pa.string())], names=BUNDLE.names)
+
+    read = written(lines.select("line_no", "raw").mapInArrow(run, BUNDLE))
+    near = with_neighbours(read.withColumn("all", F.lit(0)), ["all"], ["line_no"], ["source_id", "seq"], width=100_000)
+    after = F.struct("source_id", "seq") > F.struct("prev_source_id", "prev_seq")
+    odd = near.withColumn("problem", F.coalesce("problem", F.when(F.col("prev_source_id").isNotNull() & ~after, "order"))).where(F.col("problem").isNotNull())
+    first = odd.orderBy("line_no").limit(1).collect()
+    if first:
+        raise ValueError(f"line {first[0].line_no} of the bundle: {first[0].problem}")
+    return read.drop("line_no", "problem")
+
+
+def write_bundle(accepted: DataFrame) -> DataFrame:
+    """(source_id, seq, raw): the canonical line of each accepted event; a bundle is these in order of (source_id, seq)."""
+    ship(accepted.sparkSession)
+    names = ("source_id", "seq", "t_evt_ns", "event_type", "attrs", "record_id")
+
+    def run(batches):
+        for b in batches:
+            lines = [canon.line({"source_id": s, "seq": q, "t_evt_ns": str(t), "event_type": e, "attrs": dict(a or ()), "record_id": r}).rstrip(b"\n") for s, q, t, e, a, r in zip(*(b.column(i).to_pylist() for i in range(6)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.binary())], names=["source_id", "seq", "raw"])
+
+    return accepted.select(*names).mapInArrow(run, "source_id string, seq long, raw binary")
+
+
 def counts(quarantine: DataFrame) -> DataFrame:
     return quarantine.groupBy("reason", "detail").agg(F.count("*").alias("n"))
 
