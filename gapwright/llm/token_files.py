@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir, ship
 from .tokens import encoder
@@ -105,7 +106,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, id_col: str = "do
     kind = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     end = end_id.to_bytes(4, "little")
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"ids are whole numbers here, since files hold them as such; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    ordered = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
+    # Rows of one id, or without any, are parted by how their texts begin, which is in the order of the texts.
+    ordered = ordered.repartitionByRange(shards, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         enc, store, part = encoder(tokenizer), Store(folder), TaskContext.get().partitionId()

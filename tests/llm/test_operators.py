@@ -136,6 +136,45 @@ def test_costs_order_rules(spark):
         assert [r.name for r in quality_rules.ordered(rules, made)] == ["cheap", "dear"]
 
 
+@pytest.mark.parametrize("name, least_hits, most_flagged", [("quality", 0.9, 0.03), ("toxic", 0.8, 0.02)])
+def test_held_out_labels(spark, name, least_hits, most_flagged):
+    """On held-out labels of the bench tables: of the documents to catch so many are caught, and of the others at most so
+    many are flagged."""
+    from gapwright.session import table
+
+    sf = "/root/testdata/sf0.1"
+    query = quality_classifier.classifier_query if name == "quality" else toxicity.toxicity_query
+    label = {r.doc_id: r[name] for r in table(spark, sf, "labels").collect()}
+    rows = [(r.predicted, label[r.doc_id]) for r in query(table(spark, sf, "documents"), table(spark, sf, "labels")).collect() if r.held_out and r.doc_id in label]
+    bad = 0 if name == "quality" else 1
+    caught = [p == bad for p, y in rows if y == bad]
+    flagged = [p == bad for p, y in rows if y != bad]
+    print(name, len(caught), sum(caught), len(flagged), sum(flagged))
+    assert sum(caught) >= least_hits * len(caught) and sum(flagged) <= max(1, most_flagged * len(flagged))
+
+
+def test_pairs_against_a_plain_fit():
+    """The fit is the optimum of the logistic loss over pairs: no small step lowers it."""
+    rng = np.random.default_rng(3)
+    x = rng.random((80, 3))
+    label = (x @ [1.5, -1.0, 0.2] + rng.normal(size=80) / 2 > 0.3).astype(float)
+    model = quality_classifier.fit_pairs(x, label, pairs=1, ridge=0.01, seed=5)
+    z = (quality_classifier.expand(x) - model.mean) / model.scale
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    draw = np.random.default_rng(5)
+    most = max(len(good), len(bad))
+    left, right = np.resize(draw.permutation(good), most), draw.permutation(np.resize(bad, most))
+    loss = lambda w: np.mean(np.log1p(np.exp(-(z[left] - z[right]) @ w))) + 0.005 * w @ w
+    for k in range(z.shape[1]):
+        for step in (-0.02, 0.02):
+            other = model.weights.copy()
+            other[k] += step
+            assert loss(other) > loss(model.weights)
+    worth = np.sort(z @ model.weights)
+    below = np.searchsorted(worth, model.cut)
+    assert 0 < below < 80 and np.isclose(model.cut, (worth[below - 1] + worth[below]) / 2)
+
+
 def test_classifier(spark, sf):
     from gapwright.session import table
 
@@ -205,6 +244,8 @@ def test_token_files(spark):
     store = token_files.Store(folder)
     assert json.loads(store.read("index.json")) == index and not [n for n in store.names() if n.startswith("_")]
     assert token_files.token_files_query(empty(spark), WORD).count() == 0
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_files.write_tokens(documents(spark).withColumn("doc_id", F.lit("x")), WORD, shared_dir(spark))
 
 
 def brute_components(rows, size, percent=80):
