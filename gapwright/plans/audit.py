@@ -12,7 +12,7 @@ from ..operators import degrade, liveness, temporal
 from ..session import written
 from ..sources.events import sequenced, telemetry
 from . import certificate, cuts, fixpoint, reach
-from .queries import ASKED, BLIND_RUNS, CONTROLS, DAY0, DIGEST, E, GAPS, GRID, HOUR, LINE, MOVED, P_MAX_USERS, P_MIN, PER, S, SPAN, TICK, TICK_LINE, absence_status, all_absences, gated, islands_sql, line, on_driver, p_min, query, raw, table_of_rules, tick_line, users
+from .queries import ASKED, BLIND_RUNS, CONTROLS, DAY0, DIGEST, E, GAPS, GRID, HOUR, LINE, ORACLE_SQL, MOVED, P_MAX_USERS, P_MIN, PER, S, SPAN, TICK, TICK_LINE, all_absences, gated, islands_sql, line, on_driver, p_min, query, raw, table_of_rules, tick_line, users
 
 # --- timelines by regime ------------------------------------------------------------------------------------------
 
@@ -201,6 +201,16 @@ def containment(spark, sf):
     return lost.unionByName(goals(low).join(goals(high), "fact_id", "left_anti").agg(F.lit("goals").alias("what"), F.count("*").alias("missing")))
 
 
+INSTANCE_COUNTS = ORACLE_SQL["instance_counts"].split(" SELECT 'r1' AS rule_id", 1)[1].join(["SELECT 'r1' AS rule_id", ""])
+EVENT_ROWS = f"SELECT event_id, source, CAST(user_id AS VARCHAR) AS u, t // {TICK} AS k FROM ({E}) WHERE user_id IS NOT NULL"
+
+
+@query("program_counts", f"""{P_MIN}, ev AS ({EVENT_ROWS}) SELECT CAST((SELECT sum(n) FROM ({INSTANCE_COUNTS})) AS BIGINT) AS observed_instances, CAST(0 AS BIGINT) AS silent_instances, CAST(0 AS BIGINT) AS ghosts,
+ (SELECT count(*) FROM ev WHERE (source = 'signup' AND (u, k) IN (SELECT (u, k) FROM session)) OR (source = 'view' AND (u, k) IN (SELECT (u, k) FROM browsing)) OR (source = 'purchase' AND (u, k) IN (SELECT (u, k) FROM bought)) OR (source = 'error' AND (u, k) IN (SELECT (u, k) FROM escalated))) AS observed_events""")
+def program_counts(spark, sf):
+    return p_min(spark, sf).counts()
+
+
 OWED = {"id": "o1", "kind": "obligation", "head": "signup(user, t)", "body": ["purchase(user, t)"], "temporal": {"op": "obligation", "within": "1h"}, "blocked_when": "ctl.captcha >= on", "producing_sources": ["signup"]}
 
 

@@ -45,6 +45,11 @@ class Program:
         n = self.instances
         return n.agg(F.count_if(F.col("observed") == "OBSERVED").alias("observed_instances"), F.count_if(F.col("observed") == "LICENSED").alias("silent_instances"), F.count_if("ghost").alias("ghosts")).crossJoin(F.broadcast(n.select(F.explode("evidence").alias("e")).agg(F.countDistinct("e").alias("observed_events"))))
 
+    def document(self) -> DataFrame:
+        """(part, id, json): the program as JSON rows, facts and instances in order of their ids within the part."""
+        rows = lambda df, part, key: df.select(F.lit(part).alias("part"), F.col(key).alias("id"), F.to_json(F.struct(*sorted(df.columns))).alias("json"))
+        return rows(self.facts, "fact", "fact_id").unionByName(rows(self.instances, "instance", "instance_id")).sort("part", "id")
+
 
 def fact_id(predicate, args, tick):
     return fast("fact", predicate, F.array_join(args, "\x1f"), tick)

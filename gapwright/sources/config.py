@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import hashlib
 import re
 import tomllib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import canon
 from ..operators.liveness import LivenessConfig
 from ..plans.rules import Controls, RuleError, duration
 
@@ -126,17 +127,37 @@ def scenario(value: dict) -> Scenario:
     return made
 
 
-def write_profile(path: str, profile: DataFrame) -> None:
-    """A calibrated profile, one row for each source and regime, by name; the sources' number bounds it."""
-    rows = sorted((r.asDict() for r in profile.collect()), key=lambda r: json.dumps(r, sort_keys=True))
-    with open(path, "w", encoding="utf-8") as f:
-        f.writelines(json.dumps(r, sort_keys=True, separators=(",", ":")) + "\n" for r in rows)
+PROFILE = ("source", "regime", "n_gaps", "order_statistic", "min_gap", "max_gap", "threshold")
+
+
+def profile_id(rows: list[dict]) -> str:
+    return "profile:" + hashlib.sha256(b"".join(canon.line(r) for r in rows)).hexdigest()
+
+
+def write_profile(path: str, profile: DataFrame) -> str:
+    """A calibrated profile as canonical JSON lines, a row for each source and regime, by name, behind a line with the id
+    that follows from them; the sources' number bounds it. 64-bit members travel as text. Returns the id."""
+    have = [c for c in PROFILE if c in profile.columns]
+    rows = [{c: r[c] if c in ("source", "regime") else str(r[c]) for c in have if r[c] is not None} for r in profile.select(*have).collect()]
+    rows.sort(key=lambda r: (r["source"], r.get("regime", "")))
+    made = profile_id(rows)
+    with open(path, "wb") as f:
+        f.writelines([canon.line({"profile_id": made}), *map(canon.line, rows)])
+    return made
 
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
-    with open(path, encoding="utf-8") as f:
-        rows = [json.loads(x) for x in f]
-    return spark.createDataFrame([(r["source"], r["n_gaps"], r["order_statistic"], r["min_gap"], r["max_gap"], r["threshold"]) for r in rows], "source string, n_gaps long, order_statistic long, min_gap long, max_gap long, threshold long")
+    """The profile of a file whose id still follows from its rows, and that is in canonical form; else it is refused."""
+    with open(path, "rb") as f:
+        lines = f.read().splitlines(keepends=True)
+    try:
+        first, *rows = [canon.loads(x.decode("utf-8")) for x in lines]
+    except (canon.CanonError, UnicodeDecodeError, ValueError) as e:
+        raise ConfigError("no profile") from e
+    if [canon.line(x) for x in (first, *rows)] != lines or first != {"profile_id": profile_id(rows)}:
+        raise ConfigError("the profile's id doesn't follow from its rows")
+    number = lambda r, c: int(r[c]) if c in r else None
+    return spark.createDataFrame([(r["source"], r.get("regime"), *[number(r, c) for c in PROFILE[2:]]) for r in rows], "source string, regime string, " + ", ".join(f"{c} long" for c in PROFILE[2:]))
 
 
 def binding_gates(calibration: dict, analysed: dict) -> list[str]:
