@@ -37,7 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import ship
 from .tokens import _CUT, _UNSAFE, TextEncoder, encoder
 
-BLOCK = 12 << 20
+BLOCK = 8 << 20
 #: Words in a part of a block are joined by the first; in a word both are escaped.
 _SEP, _ESCAPED = "\x00", "\x01"
 _CODEC = "zstd"
