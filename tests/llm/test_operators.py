@@ -289,6 +289,31 @@ def test_chains_and_leftovers(spark):
     assert got == brute_components(rows, 2)
 
 
+def test_ids_with_several_texts(spark):
+    """An id with a copy of two unlike documents links both; sizes of sets are those of the row's own text."""
+    other = " ".join(f"q{i}" for i in range(40))
+    rows = [(1, BASE), (2, other), (5, BASE), (5, other), (6, None), (6, NEAR), (7, "lone words here")]
+    got = minhash.near_duplicates(documents(spark, rows), 2).collect()
+    want = brute_components(rows, 2)
+    assert want == {1: 1, 2: 1, 5: 1, 6: 1, 7: 7} and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id == r.component_id) for r in got)
+    size = lambda t: len({tuple(w) for w in zip((t or "").lower().split(), (t or "").lower().split()[1:])})
+    assert collections.Counter((r.doc_id, r.n_shingles) for r in got) == collections.Counter((d, size(t)) for d, t in rows)
+
+
+def test_many_alike_but_apart(spark):
+    """A group in which all share half keys and few are linked: cells find just the links, and no pair is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.choice(120, size=int(rng.integers(2, 14)), replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), 2).collect()}
+    assert got == brute_components(rows, 2) and 1 < len(set(got.values())) < 60
+
+
 def test_deduplicated_keeps_columns(spark):
     df = documents(spark)
     done = minhash.deduplicated(df, 2)
