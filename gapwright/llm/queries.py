@@ -6,12 +6,14 @@ import public_tokenizers
 
 from ..session import table
 from .bpe import bpe_query
+from .collocations import COLLOCATIONS_SQL, collocations_query
 from .line_dedup import line_dedup_query
 from .media import media_query
 from .minhash import minhash_query
 from .packing import packing_query
 from .quality_classifier import classifier_query
 from .quality_rules import RULES_SQL, rules_query
+from .spelling import spelling_query
 from .token_files import token_files_query
 from .toxicity import toxicity_query
 from .warc import WARC_SQL, warc_query
@@ -29,5 +31,7 @@ QUERIES = {
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
     "op9_minhash": lambda spark, sf: minhash_query(table(spark, sf, "documents")),
     "op10_warc": lambda spark, sf: warc_query(table(spark, sf, "pages")),
+    "op12_spelling": lambda spark, sf: spelling_query(table(spark, sf, "documents")),
+    "op13_collocations": lambda spark, sf: collocations_query(table(spark, sf, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL, "op13_collocations": COLLOCATIONS_SQL}
