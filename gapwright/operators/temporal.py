@@ -89,6 +89,24 @@ def align_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: in
     return lo.join(hi, [*keys, "\0b"]).where(F.abs(F.col(f"l_{t}") - F.col(f"r_{t}")) <= tolerance).drop("\0b")
 
 
+def overlap_join(left: DataFrame, right: DataFrame, lspan: tuple[str, str], rspan: tuple[str, str], keys: list[str] | None = None, width: int | None = None) -> DataFrame:
+    """Pairs of half-open spans that overlap, for equal ``keys`` (columns of one name in both). Other names must differ.
+
+    Both sides go to the buckets that their spans touch, and a pair is kept in the first bucket that both touch, so it
+    comes once. A bucket is as wide as the mean span of the larger mean, unless ``width`` says otherwise: then a side has
+    at most some twice its rows, and a long span on either side costs its length and no more."""
+    keys = keys or []
+    if width is None:
+        mean = lambda df, s: df.agg(F.avg(F.greatest(F.col(s[1]) - F.col(s[0]), F.lit(1))).alias("m")).collect()[0].m or 1
+        width = max(1, int(max(mean(left, lspan), mean(right, rspan))))
+    first = lambda c: F.expr(f"(`{c}` - pmod(`{c}`, {width}L)) div {width}L")
+    last = lambda c: F.expr(f"(`{c}` - 1 - pmod(`{c}` - 1, {width}L)) div {width}L")
+    spread = lambda df, s: df.where(F.col(s[0]) < F.col(s[1])).withColumn("\0b", F.explode(F.sequence(first(s[0]), last(s[1]))))
+    met = spread(left, lspan).join(spread(right, rspan), [*keys, "\0b"])
+    own = F.greatest(first(lspan[0]), first(rspan[0])) == F.col("\0b")
+    return met.where(own & (F.col(lspan[0]) < F.col(rspan[1])) & (F.col(rspan[0]) < F.col(lspan[1]))).drop("\0b")
+
+
 def disorder(events: DataFrame, key: str = "source", seq: str = "seq", t: str = "t", width: int = 100_000) -> DataFrame:
     """``events`` with ``knot``: stretches of a series, along seq, outside which nothing is out of order. A stretch ends where
     no later time is below the greatest so far. Both extremes are running ones over buckets, so a series is not one task."""

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import fast
 from ..operators import liveness
+from ..operators.temporal import overlap_join
 from ..session import written
 from .rules import SLOTS, Pattern, Rule, compile_guard
 
@@ -217,43 +218,65 @@ class Caps:
     bindings: int | None = None
 
 
-def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS, caps: Caps | None = None) -> Program:
+def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS, caps: Caps | None = None, extra: DataFrame | None = None) -> Program:
     """Close ``facts`` (and ``instances``) under the detect rules; the heads of obligations are for ``envelope``.
-    ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence."""
+    ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence.
+    ``extra``: instances beside a program that is closed already, so that only what they add starts the first round.
+
+    A round writes what it adds, facts and instances, and known facts are read again. They are written again only in a
+    round in which an instance supports a fact that was licensed, since its span or its licence may end there."""
     refuse_kinds(rules)
     spark = facts.sparkSession
     caps = caps or Caps(max_rounds)
     met: list[str] = []
-    known = written(facts if instances is None else merged_facts(facts, instances))
-    free = not known.where("licensed").isEmpty()
-    found = [spark.createDataFrame([], INSTANCES) if instances is None else instances]
-    delta, rounds = known, 0
-    made = 0 if instances is None else instances.count()
+    detect = [r for r in rules if r.kind == "detect"]
+    if extra is not None:
+        grown = written(merged_facts(facts, extra, fresh=True))
+        parts, delta = [grown.drop("fresh")], grown.where("fresh").drop("fresh")
+        present = {r.predicate for r in delta.select("predicate").distinct().collect()}  # a few dozen names at most
+        found = [instances.unionByName(extra)]
+    else:
+        parts = [written(facts if instances is None else merged_facts(facts, instances))]
+        delta, present = parts[0], None
+        found = [spark.createDataFrame([], INSTANCES) if instances is None else instances]
+    free = extra is not None or instances is not None or not parts[0].where("licensed").isEmpty()
+    rounds, made = 0, 0
+    if caps.instances is not None:
+        made = found[0].count()
     while True:
-        new = None
-        # Names of predicates, of which a table has a few dozen: rules that no new fact can fire are left out.
-        present = {r.predicate for r in delta.select("predicate").distinct().collect()}
-        for rule in rules:
-            if rule.kind == "detect":
-                for pivot in (k for k, p in enumerate(rule.body) if p.predicate in present):
-                    got = derive(rule, known, delta, pivot, absence, free)
-                    new = got if new is None else new.unionByName(got)
+        known, new, heads = functools.reduce(DataFrame.unionByName, parts), None, set()
+        for rule in detect:
+            # All facts are new in a first round, so one pivot finds everything.
+            pivots = [0] if present is None else [k for k, p in enumerate(rule.body) if p.predicate in present]
+            for pivot in pivots:
+                got = derive(rule, known, delta, pivot, absence, free)
+                new = got if new is None else new.unionByName(got)
+                heads.add(rule.head.predicate)
         if new is None:
             break
-        # A round's instances are a table of their own: what is known is read again, never written again.
-        before = functools.reduce(DataFrame.unionByName, [x.select("instance_id") for x in found])
-        new = written(new.dropDuplicates(["instance_id"]).join(before, "instance_id", "left_anti"))
+        new = new.dropDuplicates(["instance_id"])
+        if present is None and instances is not None:
+            new = new.join(instances.select("instance_id"), "instance_id", "left_anti")
+        # Later on an instance has a fact of the last round in its body, so no earlier round can have made it.
+        new = written(new)
         n = new.count()
         if not n:
             break
         rounds, made = rounds + 1, made + n
         found.append(new)
-        grown = written(merged_facts(known, new, fresh=True))
-        known, delta = grown.drop("fresh"), grown.where("fresh").drop("fresh")
-        met = [name for name, most, have in (("rounds", caps.rounds, rounds), ("instances", caps.instances, made), ("facts", caps.facts, None if caps.facts is None else known.count())) if most is not None and have >= most]
+        changed = free and not new.select(F.col("head").alias("fact_id")).join(known.where("licensed").select("fact_id"), "fact_id", "left_semi").isEmpty()
+        if changed:
+            grown = written(merged_facts(known, new, fresh=True))
+            parts, delta = [grown.drop("fresh")], grown.where("fresh").drop("fresh")
+        else:
+            none = spark.createDataFrame([], FACTS)
+            delta = written(merged_facts(none, new).join(known.select("fact_id"), "fact_id", "left_anti"))
+            parts = [*parts, delta]
+        present = heads
+        met = [name for name, most, have in (("rounds", caps.rounds, rounds), ("instances", caps.instances, made), ("facts", caps.facts, None if caps.facts is None else functools.reduce(DataFrame.unionByName, parts).count())) if most is not None and have >= most]
         if met:
             break
-    return Program(known, functools.reduce(DataFrame.unionByName, found), rounds, bool(met), tuple(met))
+    return Program(functools.reduce(DataFrame.unionByName, parts), functools.reduce(DataFrame.unionByName, found), rounds, bool(met), tuple(met))
 
 
 def over_bindings(rule: Rule, pools: DataFrame, most: int | None) -> bool:
@@ -269,7 +292,7 @@ def silent_instances(rule: Rule, line: DataFrame, pools: DataFrame, tick_width:
     is not LIVE and each binding of its variables. pools: (kind, entity_id), declared entities."""
     windows = liveness.joint_windows(line, list(rule.sources), key).select(F.expr(f"t0 div {tick_width}").alias("tick"), F.greatest(F.expr(f"t0 div {tick_width}"), F.expr(f"(t1 - 1) div {tick_width}")).alias("last"), "t0", "t1")
     met = liveness.blind_runs(line, key, merge_reasons=False).where(F.col(key).isin(*rule.sources)).select(key, F.col("t0").alias("r0"), F.col("t1").alias("r1"), "verdict", "reason")
-    lic = met.join(windows, (F.col("r0") < F.col("t1")) & (F.col("t0") < F.col("r1"))).groupBy("tick", "last").agg(F.array_sort(F.collect_set(fast("licence", F.col("verdict"), F.col("reason"), F.col(key), F.col("r0"), F.col("r1")))).alias("license_ids"))
+    lic = overlap_join(met, windows, ("r0", "r1"), ("t0", "t1")).groupBy("tick", "last").agg(F.array_sort(F.collect_set(fast("licence", F.col("verdict"), F.col("reason"), F.col(key), F.col("r0"), F.col("r1")))).alias("license_ids"))
     names, bound = sorted(rule.silent_kinds or {}), None
     for v in names:
         # Declared entities of one kind: a dimension, met by every window because the hidden step may be anyone's.
@@ -306,7 +329,7 @@ def obligation_ghosts(rule: Rule, facts: DataFrame, line: DataFrame, key: str =
     asked = missing.select(F.col("head").alias("window_id"), F.explode(F.array(*[F.lit(s) for s in rule.sources])).alias(key), "w0", "w1")
     granted = liveness.coverage(asked, line, len(rule.sources), key=key).where("licensable").select(F.col("window_id").alias("head"))
     runs = liveness.blind_runs(line, key, merge_reasons=False).where(F.col(key).isin(*rule.sources)).select(key, F.col("t0").alias("r0"), F.col("t1").alias("r1"), "verdict", "reason")
-    met = missing.join(granted, "head").join(runs, (F.col("r0") < F.col("w1")) & (F.col("w0") < F.col("r1")))
+    met = overlap_join(missing.join(granted, "head"), runs, ("w0", "w1"), ("r0", "r1"))
     lic = met.groupBy("head").agg(F.array_sort(F.collect_set(fast("licence", F.col("verdict"), F.col("reason"), F.col(key), F.col("r0"), F.col("r1")))).alias("license_ids"))
     ghosts = missing.join(lic, "head").withColumns({"body": F.array("a_id"), "evidence": none})
     return finished(ghosts, rule, "LICENSED", F.col("license_ids"), F.lit(True), F.lit(None), F.lit(None))
@@ -328,16 +351,16 @@ def envelope(p_min: Program, rules: list[Rule], line: DataFrame, pools: DataFram
             extra = got if extra is None else extra.unionByName(got)
     out = p_min
     if extra is not None:
-        out = saturate(p_min.facts, rules, written(p_min.instances.unionByName(extra.dropDuplicates(["instance_id"]))), absence, caps=caps)
+        out = saturate(p_min.facts, rules, p_min.instances, absence, caps=caps, extra=written(extra.dropDuplicates(["instance_id"])))
         met |= set(out.caps)
     owed = [r for r in rules if r.kind == "obligation"]
-    facts, instances = out.facts, out.instances
+    facts, more = out.facts, None
     for rule in owed:
         # A ghost of one obligation is a fact to the next.
         ghosts = written(obligation_ghosts(rule, facts, line, key))
-        facts, instances = written(merged_facts(facts, ghosts)), instances.unionByName(ghosts)
+        facts, more = written(merged_facts(facts, ghosts)), ghosts if more is None else more.unionByName(ghosts)
     if owed:
-        out = saturate(out.facts, rules, written(instances), absence, caps=caps)
+        out = saturate(out.facts, rules, out.instances, absence, caps=caps, extra=more)
         met |= set(out.caps)
     spreading = [r.rule_id for r in rules if r.relation == "PROPAGATES"]
     if spreading:

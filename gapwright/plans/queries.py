@@ -100,6 +100,7 @@ LINE = f"SELECT source, t0, t1, CASE left(reason, 1) WHEN 'L' THEN 'LIVE' WHEN '
 
 
 def line(spark, sf, events: DataFrame | None = None) -> DataFrame:
+    """The timeline of the telemetry, or of ``events``, under the thresholds of the whole telemetry."""
     events = sequenced(telemetry(spark, sf)) if events is None else events
     profile = liveness.gap_profile(telemetry(spark, sf), ["t", "event_id"])
     return written(liveness.timeline(events, profile, F.lit(SPAN[0]), F.lit(SPAN[1])))
@@ -299,7 +300,7 @@ def numbered(spark, sf):
 
 # --- rules, programs and cuts -------------------------------------------------------------------------------------
 
-from ..plans import cuts, fixpoint, reach  # noqa: E402
+from ..plans import antichain, cuts, fixpoint, reach  # noqa: E402
 from ..plans.rules import Controls, compile_table  # noqa: E402
 
 #: Controls of a shop, and a rule table over the five event types: two ways to a purchase.
@@ -327,13 +328,13 @@ def table_of_rules():
     return compile_table(RULES, CONTROLS, AXIOMS)
 
 
-def seeded(spark, sf) -> DataFrame:
-    events = telemetry(spark, sf).where("user_id IS NOT NULL")
+def seeded(spark, sf, events: DataFrame | None = None) -> DataFrame:
+    events = (telemetry(spark, sf) if events is None else events).where("user_id IS NOT NULL")
     return fixpoint.seed(events.select("event_id", F.col("source").alias("predicate"), F.array(F.col("user_id").cast("string")).alias("args"), F.expr(f"t div {TICK}").alias("tick")))
 
 
-def p_min(spark, sf, absence=None) -> fixpoint.Program:
-    return fixpoint.saturate(seeded(spark, sf), table_of_rules(), absence=absence)
+def p_min(spark, sf, absence=None, events: DataFrame | None = None) -> fixpoint.Program:
+    return fixpoint.saturate(seeded(spark, sf, events), table_of_rules(), absence=absence)
 
 
 @query("fixpoint_pmin", f"{P_MIN} {FACT_ROWS}")
@@ -367,13 +368,13 @@ def fixpoint_pmax(spark, sf):
     return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
 
 
-def users(spark, sf) -> DataFrame:
+def users(spark, sf, events: DataFrame | None = None) -> DataFrame:
     """Every user that an event names, as a pool of declared entities."""
-    return telemetry(spark, sf).where("user_id IS NOT NULL").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("entity_id")).distinct()
+    return (telemetry(spark, sf) if events is None else events).where("user_id IS NOT NULL").select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("entity_id")).distinct()
 
 
-def tick_line(spark, sf) -> DataFrame:
-    ticks = line(spark, sf).select("source", F.expr(f"t0 div {TICK}").alias("t0"), F.expr(f"t1 div {TICK}").alias("t1"), "verdict", "reason")
+def tick_line(spark, sf, events: DataFrame | None = None) -> DataFrame:
+    ticks = line(spark, sf, None if events is None else sequenced(events)).select("source", F.expr(f"t0 div {TICK}").alias("t0"), F.expr(f"t1 div {TICK}").alias("t1"), "verdict", "reason")
     return written(ticks.where("t0 < t1"))
 
 
@@ -522,21 +523,36 @@ def cut_sql(program: str) -> dict[str, str]:
         "min_cuts": f"SELECT side, cut_id, n_controls FROM ({best})",
         "raised_levels": f"SELECT side, control, max(level) AS level FROM ({levels}) GROUP BY side, control HAVING max(level) > 0",
         "premium": f"SELECT control FROM (SELECT side, control, min(level) AS least, max(level) AS most FROM ({levels}) GROUP BY side, control) GROUP BY control HAVING max(CASE WHEN side = 'max' THEN least END) > 0 AND max(CASE WHEN side = 'min' THEN most END) = 0",
-        "verdict": f"SELECT side, CASE WHEN open_max = 0 THEN 'ROBUST' WHEN open_min > 0 THEN 'UNSAFE' ELSE 'OPTIMISTIC_ONLY' END AS verdict FROM (SELECT b.side, count_if(s.side = 'min' AND NOT s.severed) AS open_min, count_if(s.side = 'max' AND NOT s.severed) AS open_max FROM ({own}) b JOIN ({severed}) s USING (cut_id) GROUP BY b.side)",
+        "verdict": f"SELECT side, CASE WHEN open_max = 0 THEN 'ROBUST' WHEN open_min > 0 THEN 'UNSAFE' ELSE 'OPTIMISTIC_ONLY' END AS verdict FROM (SELECT b.side, count_if(s.side = 'min' AND NOT s.severed) AS open_min, count_if(s.side = 'max' AND NOT s.severed) AS open_max FROM ({own} UNION ALL SELECT 'none', '0000') b JOIN ({severed}) s USING (cut_id) GROUP BY b.side)",
+        "cut_choices": f"SELECT side, control, min(level) > 0 AS necessary, max(level) > 0 AS occurring FROM ({levels}) GROUP BY side, control",
+        "cut_probe": f"SELECT s.side, s.cut_id, s.severed FROM ({severed}) s JOIN (SELECT side, min(n_controls) AS best FROM ({severed}) WHERE severed GROUP BY side) b ON b.side = s.side AND s.n_controls = b.best - 1",
     }
 
 
-def all_absences(spark, sf) -> tuple[fixpoint.Program, fixpoint.Program]:
+def all_absences(spark, sf, events: DataFrame | None = None) -> tuple[fixpoint.Program, fixpoint.Program]:
     """P_min and P_max where every missing record is an absence; hidden steps of every user."""
-    low = p_min(spark, sf)
-    return low, fixpoint.envelope(low, table_of_rules(), tick_line(spark, sf), users(spark, sf))
+    low = p_min(spark, sf, events=events)
+    return low, fixpoint.envelope(low, table_of_rules(), tick_line(spark, sf, events), users(spark, sf, events))
 
 
-def severed_cuts(spark, both) -> DataFrame:
-    out, cuts_ = None, reach.lattice(spark, CONTROLS)
-    for side, program in zip(("min", "max"), both):
-        got = reach.severed_by(program.facts.where(F.size("events") > 0), program.instances, cuts_, program.facts.where(F.col("predicate") == GOAL))
-        got = got.select(F.lit(side).alias("side"), "cut_id", "n_controls", "severed")
+def dark(spark, sf) -> DataFrame:
+    """The telemetry with the error log blacked out from its second hour on."""
+    return degrade.blackout(telemetry(spark, sf), ["error"], DAY0 + HOUR, SPAN[1])
+
+
+def held_corridors(program: fixpoint.Program) -> DataFrame:
+    return antichain.corridors(program.facts.where(F.size("events") > 0), program.instances)
+
+
+def clauses(both) -> dict[str, tuple[int, ...]]:
+    """The clauses of either side: what every cut that severs all goals has to meet."""
+    return {side: antichain.clauses_of(held_corridors(p), p.facts.where(F.col("predicate") == GOAL)) for side, p in zip(("min", "max"), both)}
+
+
+def severed_cuts(spark, found: dict) -> DataFrame:
+    out, lattice = None, reach.lattice(spark, CONTROLS)
+    for side, masks in found.items():
+        got = lattice.select(F.lit(side).alias("side"), "cut_id", "n_controls", antichain.meets_all(masks, F.col("mask")).alias("severed"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -552,43 +568,85 @@ def levels_of(best: DataFrame) -> DataFrame:
     return rows.groupBy("side", F.col("x.control").alias("control")).agg(F.max(F.col("x.level").cast("int")).alias("level")).where("level > 0")
 
 
+def probe(cuts_: DataFrame) -> DataFrame:
+    """Every cut with one control less than the minimum ones, and whether it severs: none does."""
+    least = cuts_.where("severed").groupBy("side").agg(F.min("n_controls").alias("best"))
+    return cuts_.join(least, "side").where("n_controls = best - 1").select("side", "cut_id", "severed")
+
+
 def on_driver(program: fixpoint.Program) -> tuple[set[str], list[reach.Instance], list[str]]:
-    """Axioms that some instance uses, instances, and goals, for the corridor search."""
+    """Axioms that some instance uses, instances, and goals, for a certificate, which holds a whole program."""
     instances = reach.collected(program.instances)
     used = program.instances.select(F.explode("body").alias("fact_id")).distinct()
     axioms = program.facts.where(F.size("events") > 0).join(used, "fact_id", "left_semi").select("fact_id").collect()
     return {r.fact_id for r in axioms}, instances, sorted({r.head for r in program.instances.where(F.col("predicate") == GOAL).select("head").distinct().collect()})
 
 
-def premium_of(spark, both) -> DataFrame:
-    """Controls in every minimum cut of P_max and in none of P_min, by the corridor search."""
-    found = cuts.premium(*[cuts.learn(*on_driver(p), CONTROLS) for p in both], CONTROLS)
-    if found.withheld:
-        raise ValueError(f"the premium is withheld: {found.withheld}")
-    return spark.createDataFrame([(c,) for c in found.controls], "control string")
+def premium_of(spark, found: dict) -> DataFrame:
+    """Controls in every minimum cut of P_max and in none of P_min."""
+    got = cuts.premium(*[antichain.psi_of(found[side], CONTROLS) for side in ("min", "max")], CONTROLS)
+    if got.withheld:
+        raise ValueError(f"the premium is withheld: {got.withheld}")
+    return spark.createDataFrame([(c,) for c in got.controls], "control string")
 
 
-def verdict_of(spark, both) -> DataFrame:
-    """The verdict on each side's own cut, held against both programs."""
-    rows, held = [], [on_driver(p) for p in both]
-    for side, own in zip(("min", "max"), held):
-        psi = cuts.learn(*own, CONTROLS)
-        mask = CONTROLS.cut_mask(psi.cut or {})
-        reaches = [not reach.closure(a, i, mask).keys().isdisjoint(goals) for a, i, goals in held]
-        rows.append((side, cuts.verdict(*reaches, ended=psi.complete, tampered=False, unsound=False)))
+def choices_of(spark, found: dict) -> DataFrame:
+    """Of each control and side: is it in every minimum cut, is it in some?"""
+    rows = []
+    for side, masks in found.items():
+        nec, occ = cuts.necessary(masks, CONTROLS), cuts.occurring(masks, CONTROLS)
+        rows += [(side, c, c in nec, c in occ) for c in sorted(CONTROLS.levels)]
+    return spark.createDataFrame(rows, "side string, control string, necessary boolean, occurring boolean")
+
+
+def verdict_of(spark, found: dict) -> DataFrame:
+    """The verdict on each side's own cut, and on none, held against both programs."""
+    rows = []
+    for side in ("none", *found):
+        psi = antichain.psi_of(found[side], CONTROLS) if side in found else None
+        mask = CONTROLS.cut_mask((psi.cut or {}) if psi else {})
+        open_ = [not antichain.severs(found[s], mask) for s in ("min", "max")]
+        rows.append((side, cuts.verdict(*open_, ended=psi is None or psi.complete, tampered=False, unsound=False)))
     return spark.createDataFrame(rows, "side string, verdict string")
 
 
 def register_cuts(suffix: str, both, sql: dict[str, str]) -> None:
-    query(f"reach_under_cuts{suffix}", sql["reach_under_cuts"])(lambda spark, sf: severed_cuts(spark, both(spark, sf)))
-    query(f"min_cuts{suffix}", sql["min_cuts"])(lambda spark, sf: best_cuts(severed_cuts(spark, both(spark, sf))).select("side", "cut_id", "n_controls"))
-    query(f"raised_levels{suffix}", sql["raised_levels"])(lambda spark, sf: levels_of(best_cuts(severed_cuts(spark, both(spark, sf)))))
-    query(f"premium{suffix}", sql["premium"])(lambda spark, sf: premium_of(spark, both(spark, sf)))
-    query(f"verdict{suffix}", sql["verdict"])(lambda spark, sf: verdict_of(spark, both(spark, sf)))
+    def put(name: str, make) -> None:
+        query(f"{name}{suffix}", sql[name])(lambda spark, sf: make(spark, clauses(both(spark, sf))))
+
+    put("reach_under_cuts", severed_cuts)
+    put("min_cuts", lambda spark, found: best_cuts(severed_cuts(spark, found)).select("side", "cut_id", "n_controls"))
+    put("raised_levels", lambda spark, found: levels_of(best_cuts(severed_cuts(spark, found))))
+    put("premium", premium_of)
+    put("verdict", verdict_of)
+    put("cut_choices", choices_of)
+    put("cut_probe", lambda spark, found: probe(severed_cuts(spark, found)))
+
+
+#: The same over the telemetry without most of the error log.
+DARK_E = f"(SELECT * FROM ({E}) WHERE NOT (source = 'error' AND t >= {DAY0 + HOUR} AND t < {SPAN[1]}))"
+
+
+def darkened(sql: str) -> str:
+    """SQL over the dark telemetry; thresholds stay those of the whole."""
+    held = sql.replace(f"({PROFILE})", "(\0profile)").replace(f"({E})", DARK_E)
+    return held.replace("(\0profile)", f"({PROFILE})")
 
 
 register_cuts("", all_absences, cut_sql(P_MAX_USERS))
 register_cuts("_events", programs, cut_sql(gated(P_MAX_USERS)))
+register_cuts("_dark", lambda spark, sf: all_absences(spark, sf, dark(spark, sf)), {k: darkened(v) for k, v in cut_sql(P_MAX_USERS).items()})
+
+
+@query("corridors", f"""{P_MAX_USERS}, of_bought AS (SELECT p.u, p.k, EXISTS (SELECT 1 FROM browsing x WHERE x.u = p.u AND x.k < p.k AND p.k <= x.k + 86400) AS a,
+  EXISTS (SELECT 1 FROM span x WHERE x.u = p.u AND greatest(p.k - x.hi, 1) <= least(p.k - x.lo, 1800)) AS b FROM bought_max p)
+ SELECT 'session' AS predicate, u AS entity, k AS tick, '9' AS masks FROM session UNION ALL SELECT 'browsing', u, k, '11' FROM browsing UNION ALL SELECT 'escalated', u, k, '64' FROM escalated_max
+ UNION ALL SELECT 'bought', u, k, CASE WHEN a AND b THEN '27,64' WHEN a THEN '27' ELSE '64' END FROM of_bought""")
+def corridors(spark, sf):
+    """The minimal blocker sets of every derived fact of P_max, as masks of literals."""
+    high = all_absences(spark, sf)[1]
+    named = derived(high).withColumn("fact_id", fixpoint.fact_id(F.col("predicate"), F.array("entity"), F.col("tick")))
+    return named.join(held_corridors(high), "fact_id").select("predicate", "entity", "tick", F.array_join(F.transform("masks", lambda m: m.cast("string")), ",").alias("masks"))
 
 
 @query("program_axioms", f"SELECT source AS predicate, count(*) AS n FROM ({AX}) GROUP BY source")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gapwright.functions import canon
 from gapwright.operators import degrade, liveness, series, temporal
-from gapwright.plans import audit, fixpoint, queries  # noqa: F401  (audit adds its queries)
+from gapwright.plans import antichain, audit, cuts, fixpoint, queries, reach  # noqa: F401  (audit adds its queries)
 from gapwright.plans.queries import CONTROLS, ORACLE_SQL, QUERIES
 from gapwright.plans.rules import compile_table
 from gapwright.session import written
@@ -55,19 +55,95 @@ def test_absence_gate(spark):
     assert heads(None) == [20, 45, 95] and heads(fixpoint.absence_by(ticks)) == [20]
 
 
-@pytest.mark.parametrize("suffix", ["", "_events"])
+CUT_PROGRAMS = {"": queries.all_absences, "_events": queries.programs, "_dark": lambda spark, sf: queries.all_absences(spark, sf, queries.dark(spark, sf))}
+
+
+def rows_of(df, columns):
+    return sorted(map(repr, map(tuple, df.select(*columns).collect())))
+
+
+@pytest.mark.parametrize("suffix", list(CUT_PROGRAMS))
 def test_cuts_of_events(spark, sf, duck, suffix):
-    """The five cut queries over one pair of programs, each against its SQL."""
-    both = (queries.programs if suffix else queries.all_absences)(spark, sf)
-    found = written(queries.severed_cuts(spark, both))
+    """The cut queries over one pair of programs, each against its SQL, and the corridor search against the antichains."""
+    both = CUT_PROGRAMS[suffix](spark, sf)
+    clauses = queries.clauses(both)
+    found = written(queries.severed_cuts(spark, clauses))
     made = {
         "reach_under_cuts": found, "min_cuts": queries.best_cuts(found).select("side", "cut_id", "n_controls"), "raised_levels": queries.levels_of(queries.best_cuts(found)),
-        "premium": queries.premium_of(spark, both), "verdict": queries.verdict_of(spark, both),
+        "premium": queries.premium_of(spark, clauses), "verdict": queries.verdict_of(spark, clauses), "cut_choices": queries.choices_of(spark, clauses), "cut_probe": queries.probe(found),
     }
     for name, rows in made.items():
         want = duck.sql(ORACLE_SQL[name + suffix])
-        assert sorted(map(repr, map(tuple, rows.select(*want.columns).collect()))) == sorted(map(repr, want.fetchall())), name
+        assert rows_of(rows, want.columns) == sorted(map(repr, want.fetchall())), name
     assert found.where("severed").count() not in (0, found.count())
+    verdicts = {r.side: r.verdict for r in made["verdict"].collect()}
+    assert verdicts["none"] == "UNSAFE"
+    for side, program in zip(("min", "max"), both):
+        learnt = cuts.learn(*queries.on_driver(program), CONTROLS)
+        assert learnt.cut == antichain.psi_of(clauses[side], CONTROLS).cut and set(learnt.clauses) <= set(clauses[side])
+    if suffix == "_dark":
+        assert verdicts == {"none": "UNSAFE", "min": "OPTIMISTIC_ONLY", "max": "ROBUST"}
+        assert [r.control for r in made["premium"].collect()] == ["retry_limit"]
+
+
+def random_program(rng, n_facts=12, n_instances=30, bits=5):
+    names = [f"f{i}" for i in range(n_facts)]
+    given = names[:3]
+    rows = []
+    for i in range(n_instances):
+        body = rng.sample(names, rng.randint(0 if i % 9 == 0 else 1, 3))
+        rows.append((f"i{i}", rng.choice(names[3:]), body + body[:1], [1 << b for b in rng.sample(range(bits), rng.randint(0, 2))]))
+    return names, given, rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_antichains_against_closures(spark, seed):
+    """Cyclic programs with repeated body facts and empty bodies: what the antichains say under every cut is what a closure
+    under that cut says, and no set of a fact includes another."""
+    import random
+
+    names, given, rows = random_program(random.Random(seed))
+    instances = spark.createDataFrame(rows, "instance_id string, head string, body array<string>, blockers array<long>")
+    facts = spark.createDataFrame([(g,) for g in given], "fact_id string")
+    held = {r.fact_id: r.masks for r in antichain.corridors(facts, instances).collect()}
+    program = [reach.Instance(i, h, tuple(b), tuple(m)) for i, h, b, m in rows]
+    for mask in range(32):
+        assert {f for f, masks in held.items() if any(not m & mask for m in masks)} == set(reach.closure(set(given), program, mask))
+    for masks in held.values():
+        assert not any(a != b and a & b == a for a in masks for b in masks)
+    cut_rows = spark.createDataFrame([(str(m), m) for m in (0, 5, 31)], "cut_id string, mask long")
+    got = {(r.cut_id, r.fact_id) for r in antichain.reached(spark.createDataFrame([(f, m) for f, m in held.items()], "fact_id string, masks array<long>"), cut_rows).collect()}
+    assert got == {(str(m), f) for m in (0, 5, 31) for f in reach.closure(set(given), program, m)}
+
+
+def test_index_refuses(spark):
+    make = lambda rows: spark.createDataFrame(rows, "instance_id string, head string, body array<string>, blockers array<long>")
+    facts, good = spark.createDataFrame([("a",), ("b",)], "fact_id string"), ("i", "b", ["a"], [4])
+    antichain.checked(make([good]), facts.where("fact_id = 'b'"), facts)
+    for rows in ([("i", "b", ["a"], [3])], [("i", "b", ["a"], [0])], [good, good], [("i", None, ["a"], [])], [("i", "b", ["c"], [])]):
+        with pytest.raises(ValueError):
+            antichain.checked(make(rows), None, facts)
+    with pytest.raises(ValueError):
+        antichain.checked(make([good]), spark.createDataFrame([("z",)], "fact_id string"), facts)
+
+
+def test_unblockable_goals():
+    assert antichain.psi_of((0,), CONTROLS).unblockable and antichain.psi_of((0,), CONTROLS).cut is None
+    assert antichain.psi_of((), CONTROLS).cut == {} and antichain.severs((), 0) and not antichain.severs((8,), 4)
+
+
+def test_overlap_join(spark):
+    import random
+
+    rng = random.Random(7)
+    spans = lambda n: [(i, rng.choice("xy"), a, a + rng.choice([0, 1, 3, 40, 900])) for i, a in enumerate(rng.randint(-500, 500) for _ in range(n))]
+    left, right = spans(120), spans(150)
+    one = spark.createDataFrame(left, "i long, k string, a0 long, a1 long")
+    two = spark.createDataFrame(right, "j long, k string, b0 long, b1 long")
+    want = sorted((i, j) for i, k, a, b in left for j, m, c, d in right if k == m and a < d and c < b and a < b and c < d)
+    for width in (None, 1, 7, 5000):
+        met = temporal.overlap_join(one, two, ("a0", "a1"), ("b0", "b1"), ["k"], width)
+        assert sorted((r.i, r.j) for r in met.select("i", "j").collect()) == want
 
 
 @pytest.mark.parametrize("name", ["encodings", "align_join", "gap_digest", "order_constraints", "order_knots", "absence_proxy", "degrade_duplicate"])
