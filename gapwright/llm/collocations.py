@@ -7,12 +7,14 @@ its parts are prefix totals, and what may subsume a phrase is the largest entry
 that it ends. A phrase is subsumed by a longer one only if it is by one of a single word more, since that one lies
 between them and is at least as frequent.
 
-Levels go from short prefixes to long ones. A phrase can only be frequent if its two shorter halves are, which a bitmap
-of hashes says to the tasks: its size is bounded (2 to the power of MOST_BITS bits, 16 bits a phrase below that), and a
-hash that is met by chance costs a row and changes nothing. Counts are of the words themselves.
+There are three passes over the texts: words, stripes of one word, stripes of two and of three. A phrase can only be
+frequent if its words are, and if its pairs of neighbours are, which bitmaps of hashes say to the tasks: their size is
+bounded (2 to the power of MOST_BITS bits, 16 bits a phrase below that), and a hash that is met by chance costs a row
+and changes nothing. Counts are of the words themselves.
 
-A prefix can have as many next words as there are frequent words, so a stripe is cut by a hash of the next word into
-parts of some PART of these. A task merges sorted stripes one part at a time.
+A prefix has at most as many next words as it has occurrences. That of one with over PART of them (another bitmap) is
+cut by a hash of the next word into parts, as many as there are PARTs of frequent words; so a part is bounded. A task
+merges sorted stripes batch by batch and carries the last one on.
 
 Defined results: a null text is empty, a null language is ``und``; rows are counted as often as they come; ties are
 broken by the phrase; a language without frequent phrases, or an empty table, gives no rows. Only the text and the
@@ -25,6 +27,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,18 +40,20 @@ from .common import mix, skewed_left_join
 LONGEST, LEAST, FACTOR, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
 SPLITS, NO_LANG = b".,;:!?\n\x0b\x0c\r", "und"
 #: Entries that a task holds before it hands them on, bytes of text that it works on at once, next words in a part.
-HELD, CHUNK, PART = 1_500_000, 4_000_000, 65_536
+HELD, CHUNK, PART = 2_000_000, 4_000_000, 65_536
 LEAST_BITS, MOST_BITS = 20, 28
 #: A byte that no UTF-8 text has marks the end of a piece.
 _END = b"\xff"
 _PLAIN = bytes(0xFF if b in SPLITS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-STRIPE = "lang string, prefix string, part int, total long, nexts array<string>, counts array<long>"
-_ARROW = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("total", pa.int64()), ("nexts", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+#: A stripe on its way: next words with blanks between, their counts as 64-bit integers.
+STRIPE = "lang string, prefix string, part int, total long, nexts string, counts binary"
+MERGED = "lang string, prefix string, part int, total long, nexts array<string>, counts array<long>"
+NAMES = ["lang", "prefix", "part", "total", "nexts", "counts"]
 
 
-def tokens(text: str) -> list[bytes]:
+def tokens(text: bytes) -> list[bytes]:
     """Words in order, with a mark after every piece."""
-    return text.encode().translate(_PLAIN).replace(_END, b" \xff ").split() + [_END]
+    return text.translate(_PLAIN).replace(_END, b" \xff ").split() + [_END]
 
 
 def extended(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -97,7 +102,7 @@ def word_totals(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 counts = held.setdefault(lang, Counter())
-                counts.update(text.encode().translate(_PLAIN).replace(_END, b" ").split())
+                counts.update(text.translate(_PLAIN).replace(_END, b" ").split())
                 if sum(map(len, held.values())) > HELD // 3:
                     yield from out()
         yield from out()
@@ -129,104 +134,120 @@ def _holds(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
 
 
 class Stripes:
-    """The stripes of a task. ``level`` is the number of a prefix's words; ``known``: bitmaps of one to ``level`` words."""
+    """The stripes of a task: of prefixes of one word, or of two and three. ``known``: bitmaps of the frequent words and
+    pairs; ``wide``: that of the prefixes which are cut into ``parts`` (a prefix of three words by its first two)."""
 
-    def __init__(self, level: int, known: list, parts: int):
-        self.level, self.known, self.parts = level, known, parts
+    def __init__(self, pairs: bool, known: list, wide, parts: int, most: int):
+        self.pairs, self.known, self.wide, self.parts, self.most = pairs, known, wide, parts, most
         self.reset()
 
     def reset(self) -> None:
         self.text: list[bytes] = [b""]
         self.hashes: list[int] = [0]
         self.langs: dict[str, Words] = {}
-        self.prefixes: dict[tuple, int] = {}
+        self.number: dict[tuple, int] = {}
         self.prefix_of: list[tuple] = []
-        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.is_wide: list[bool] = []
+        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
-    def add(self, docs: list[tuple[str, str]]) -> None:
-        ids: list[int] = []
+    def add(self, docs: list[tuple[str, bytes]]) -> None:
+        listed: list[int] = []
         for lang, text in docs:
             words = self.langs.get(lang)
             if words is None:
                 words = self.langs[lang] = Words(lang, self.text, self.hashes)
-            ids.extend(map(words.__getitem__, tokens(text)))
-        ids_ = np.array(ids + [0] * LONGEST, np.int64)
-        hashes = np.array(self.hashes, np.uint64)[ids_]
-        h = extended(np.zeros(len(ids_), np.uint64), hashes)
-        ok = (ids_ > 0) & _holds(*self.known[0], h)  # a word that is frequent
-        single = ok
-        for k in range(1, self.level):  # frequent phrases of k + 1 words from every place
-            h = extended(h[:-1], hashes[k:])
-            ok = ok[:-1] & ok[1:]
-            ok = ok & _holds(*self.known[k], h)
-        at = np.nonzero(ok)[0]
-        after = at + self.level
-        follows = single[after]
-        if self.level > 1:
-            follows = follows & np.append(ok, [False] * (self.level + 1))[at + 1]
-        # a prefix by the places of its words, as one number of this task
-        rows = np.stack([ids_[at + k] for k in range(self.level)], axis=1) if len(at) else np.zeros((0, self.level), np.int64)
-        code = rows[:, 0]
-        for k in range(1, self.level):
-            code = np.unique(code, return_inverse=True)[1] << 32 | rows[:, k]
+            listed.extend(map(words.__getitem__, tokens(text)))
+        ids = np.array(listed + [0] * LONGEST, np.int64)
+        own = np.array(self.hashes, np.uint64)[ids]
+        one = extended(np.zeros(len(ids), np.uint64), own)
+        single = (ids > 0) & _holds(*self.known[0], one)
+        keys = []
+        if not self.pairs:
+            at = np.nonzero(single)[0]
+            keys += self._keys(ids[at][:, None], ids[at], one[at], ids[at + 1] * single[at + 1])
+        else:
+            two = extended(one[:-1], own[1:])
+            pair = single[:-1] & single[1:] & _holds(*self.known[1], two)
+            pair = np.append(pair, [False] * 3)
+            at = np.nonzero(pair)[0]
+            codes, place = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
+            keys += self._keys(np.stack([ids[at], ids[at + 1]], axis=1), place, two[at], ids[np.minimum(at + 2, len(ids) - 1)] * pair[at + 1])
+            deep = pair[at + 1]
+            at, place = at[deep], place[deep]
+            keys += self._keys(np.stack([ids[at], ids[at + 1], ids[at + 2]], axis=1), place << 32 | ids[at + 2], two[at], ids[np.minimum(at + 3, len(ids) - 1)] * pair[at + 2])
+        found, counts = np.unique(np.concatenate(keys), return_counts=True)
+        self.chunks.append((found, counts))
+        self.size += len(found)
+
+    def _keys(self, rows: np.ndarray, code: np.ndarray, hashes: np.ndarray, follow: np.ndarray) -> list[np.ndarray]:
+        """Keys of prefixes (``rows`` of word places, with equal codes where equal) and of their next words (0: none that
+        is frequent). Place 0 under a prefix counts the prefix itself."""
         _, first, place = np.unique(code, return_index=True, return_inverse=True)
+        wide = _holds(*self.wide, hashes[first]) if self.parts > 1 else np.zeros(len(first), bool)
         number = np.zeros(len(first), np.int64)
         for i, words in enumerate(map(tuple, rows[first].tolist())):
-            n = self.prefixes.get(words)
+            n = self.number.get(words)
             if n is None:
-                n = self.prefixes[words] = len(self.prefix_of)
+                n = self.number[words] = len(self.prefix_of)
                 self.prefix_of.append(words)
+                self.is_wide.append(bool(wide[i]))
             number[i] = n
-        # the entry of place 0 counts the prefix itself
         keys = number[place] << 32
-        found, counts = np.unique(np.concatenate([keys, keys[follows] | ids_[after[follows]]]), return_counts=True)
-        keys, where = np.unique(np.concatenate([self.keys, found]), return_inverse=True)
-        self.counts = np.bincount(where, np.concatenate([self.counts, counts]).astype(np.float64), len(keys)).astype(np.int64)
-        self.keys = keys
+        return [keys, keys[follow > 0] | follow[follow > 0]]
 
     def full(self) -> bool:
-        return len(self.keys) + len(self.text) > HELD
+        """Whether, equal ones added up, three quarters of ``most`` entries are held, or half as many words."""
+        if self.size > self.most:
+            self._settle()
+            return self.size > self.most * 3 // 4
+        return len(self.text) > self.most // 2
+
+    def _settle(self) -> None:
+        keys, where = np.unique(np.concatenate([k for k, _ in self.chunks]), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([n for _, n in self.chunks]).astype(np.float64), len(keys)).astype(np.int64)
+        self.chunks, self.size = [(keys, counts)], len(keys)
 
     def out(self):
         """Rows of STRIPE, the parts of a prefix apart; part 0 carries its total."""
-        if not len(self.keys):
+        if not self.size:
             return
-        lang_of = {}
-        for lang, words in self.langs.items():
-            for place in words.values():
-                lang_of[place] = lang
-        prefix, nexts = self.keys >> 32, self.keys & 0xFFFFFFFF
-        part = np.where(nexts > 0, np.array(self.hashes, np.uint64)[nexts] % np.uint64(self.parts), 0).astype(np.int64)
+        self._settle()
+        ((keys, counts),) = self.chunks
+        lang_of = {place: lang for lang, words in self.langs.items() for place in words.values()}
+        prefix, nexts = keys >> 32, keys & 0xFFFFFFFF
+        part = np.where(np.array(self.is_wide)[prefix] & (nexts > 0), np.array(self.hashes, np.uint64)[nexts] % np.uint64(self.parts), 0).astype(np.int64)
         order = np.lexsort((nexts, part, prefix))
-        prefix, nexts, part, counts = prefix[order], nexts[order], part[order], self.counts[order]
+        prefix, nexts, part, counts = prefix[order], nexts[order], part[order], counts[order]
         starts = np.nonzero(np.diff(prefix * self.parts + part, prepend=-1))[0]
-        is_total = nexts[starts] == 0  # the total comes first in part 0
-        total = np.where(is_total, counts[starts], 0)
-        entry = nexts > 0
+        entry = nexts > 0  # a total comes first in its part 0
         offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(starts, len(entry))].astype(np.int32)
         text = pa.array(self.text, pa.binary()).cast(pa.string())
         words = [self.prefix_of[p] for p in prefix[starts].tolist()]
-        yield pa.RecordBatch.from_arrays([
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[entry].tobytes())])
+        batch = pa.RecordBatch.from_arrays([
             pa.array([lang_of[w[0]] for w in words], pa.string()),
             pa.array([b" ".join([self.text[x] for x in w]) for w in words], pa.binary()).cast(pa.string()),
             pa.array(part[starts], pa.int32()),
-            pa.array(total),
-            pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[entry]))),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(counts[entry])),
-        ], names=_ARROW.names)
+            pa.array(np.where(entry[starts], 0, counts[starts])),
+            pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[entry]))), " "),
+            packed,
+        ], names=NAMES)
+        for at in range(0, batch.num_rows, 20_000):
+            yield batch.slice(at, 20_000)
 
 
-def stripes(docs: DataFrame, level: int, known: list, parts: int) -> DataFrame:
-    """Stripes of the tasks, not merged. ``docs``: lang and text, without nulls."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def stripes(docs: DataFrame, pairs: bool, known: list, wide, parts: int) -> DataFrame:
+    """Stripes of the tasks, not merged. ``docs``: lang and text (binary), without nulls."""
+    shared, most, chunk = docs.sparkSession.sparkContext.broadcast((known, wide)), HELD, CHUNK
 
     def run(batches):
-        held, waiting, size = Stripes(level, shared.value, parts), [], 0
+        held, waiting, size = Stripes(pairs, *shared.value, parts, most), [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 waiting.append((lang, text))
                 size += len(text)
-                if size > CHUNK:
+                if size > chunk:
                     held.add(waiting)
                     waiting, size = [], 0
                     if held.full():
@@ -239,43 +260,67 @@ def stripes(docs: DataFrame, level: int, known: list, parts: int) -> DataFrame:
     return docs.mapInArrow(run, STRIPE)
 
 
+class Merge:
+    """Adds up sorted stripes. The last prefix of a batch may go on in the next, so it is carried, whole."""
+
+    def __init__(self, least: int):
+        self.least = least
+        self.key, self.total, self.words, self.counts = None, 0, pa.array([], pa.string()), np.zeros(0, np.int64)
+
+    def batch(self, b: pa.RecordBatch | None):
+        """Rows of MERGED that ``b`` completes; None ends."""
+        if b is None:
+            return self._rows([self.key], np.array([self.total]), self.words, np.zeros(len(self.counts), np.int64), self.counts) if self.key else None
+        keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
+        change = np.array([True] + [x != y for x, y in zip(keys, keys[1:])])
+        goes_on = keys[0] == self.key
+        group = np.cumsum(change) - 1 + (0 if goes_on or self.key is None else 1)
+        firsts = [keys[i] for i in np.nonzero(change)[0]]
+        names = firsts if goes_on or self.key is None else [self.key, *firsts]
+        totals = np.bincount(group, b.column(3).to_numpy(zero_copy_only=False).astype(np.float64), len(names)).astype(np.int64)
+        totals[0] += self.total
+        raw = b.column(5).to_pylist()
+        lengths = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
+        some = pa.array(lengths > 0)
+        words = pa.chunked_array([self.words, pc.split_pattern(b.column(4).filter(some), " ").flatten()]).combine_chunks()
+        counts = np.concatenate([self.counts, np.frombuffer(b"".join(raw), np.int64)])
+        of = np.concatenate([np.zeros(len(self.counts), np.int64), np.repeat(group, lengths)])
+        coded = words.dictionary_encode()
+        spread = max(len(coded.dictionary), 1)
+        unique, where = np.unique(of * spread + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        sums = np.bincount(where, counts.astype(np.float64), len(unique)).astype(np.int64)
+        of, code, last = unique // spread, unique % spread, len(names) - 1
+        end = of == last
+        self.key, self.total = names[last], int(totals[last])
+        self.words, self.counts = coded.dictionary.take(pa.array(code[end])), sums[end]
+        done = ~end & (sums >= self.least)
+        return self._rows(names[:last], totals[:last], coded.dictionary.take(pa.array(code[done])), of[done], sums[done])
+
+    def _rows(self, names, totals, words, of, sums):
+        kept = sums >= self.least
+        words, of, sums = words.filter(pa.array(kept)), of[kept], sums[kept]
+        many = np.bincount(of, minlength=len(names))
+        shown = np.nonzero((many > 0) | (totals >= self.least))[0]
+        if not len(shown):
+            return None
+        offsets = pa.array(np.concatenate([[0], np.cumsum(many[shown])]).astype(np.int32))
+        column = lambda k, kind: pa.array([names[i][k] for i in shown], kind)
+        return pa.RecordBatch.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.int32()), pa.array(totals[shown]), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(sums))], names=NAMES)
+
+
 def merged(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """Stripes with equal prefix and part, added elementwise; entries and totals below ``least`` go."""
 
     def run(batches):
-        out: list[tuple] = []
-        key, total, counter = None, 0, Counter()
-
-        def done():
-            kept = [(w, n) for w, n in counter.items() if n >= least]
-            if kept or total >= least:
-                out.append((*key, total, [w for w, _ in kept], [n for _, n in kept]))
-
-        def batch_of():
-            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], names=_ARROW.names)
-            out.clear()
-            return made
-
-        for batch in batches:
-            langs, prefixes, parts, totals, nexts, counts = (c.to_pylist() for c in batch.columns)
-            for k in range(len(langs)):
-                now = (langs[k], prefixes[k], parts[k])
-                if now != key:
-                    if key is not None:
-                        done()
-                    key, total, counter = now, 0, Counter()
-                total += totals[k]
-                for w, n in zip(nexts[k], counts[k]):
-                    counter[w] += n
-            if len(out) > 5000:
-                yield batch_of()
-        if key is not None:
-            done()
-        if out:
-            yield batch_of()
+        held = Merge(least)
+        for b in batches:
+            if b.num_rows and (made := held.batch(b)) is not None:
+                yield made
+        if (made := held.batch(None)) is not None:
+            yield made
 
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "prefix", "part")
-    return dealt.sortWithinPartitions("lang", "prefix", "part").mapInArrow(run, STRIPE)
+    return dealt.sortWithinPartitions("lang", "prefix", "part").mapInArrow(run, MERGED)
 
 
 def exact(x: Column | str) -> Column:
@@ -287,23 +332,20 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     spark = docs.sparkSession
     ship(spark)
     scratch = scratch or Scratch(spark)
-    texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("text"))
     counted = word_totals(texts)
     words = scratch.put("words", counted.groupBy("lang", F.when(F.col("n") >= least, F.col("word")).alias("phrase")).agg(F.sum("n").alias("a")))
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
-    frequent = words.where(F.col("phrase").isNotNull())
-    known, tables = [], []
-    many = frequent.count()
-    parts = max(1, -(-many // PART))
-    for level in range(1, LONGEST):
-        known.append(frequent_bits(frequent, many))
-        held = scratch.put(f"stripes{level}", merged(stripes(texts, level, known, parts), least))
-        tables.append(held)
-        frequent = entries(held)
+    frequent, known, tables = words.where(F.col("phrase").isNotNull()), [], []
+    parts = None
+    for pairs in (False, True):
         many = frequent.count()
-        if not many:
-            break
-    return scored(tables, totals, scratch)
+        parts = parts or max(1, -(-many // PART))
+        known.append(frequent_bits(frequent, many))
+        wide = frequent_bits(frequent.where(F.col("a") > PART), 0)
+        tables.append(scratch.put(f"stripes{len(tables)}", merged(stripes(texts, pairs, known, wide, parts), least)))
+        frequent = entries(tables[-1])
+    return scored(tables[0].unionByName(tables[1]), totals, scratch)
 
 
 def entries(held: DataFrame) -> DataFrame:
@@ -312,24 +354,18 @@ def entries(held: DataFrame) -> DataFrame:
     return held.select("lang", "prefix", one).select("lang", "prefix", F.concat_ws(" ", "prefix", "e.nexts").alias("phrase"), F.col("e.counts").alias("a"))
 
 
-def scored(tables: list[DataFrame], totals: DataFrame, scratch: Scratch) -> DataFrame:
-    spark = totals.sparkSession
-    found, prefix_totals, above = None, None, None
-    for level, held in enumerate(tables, 1):
-        phrases = entries(held)
-        whole = held.where(F.col("total") > 0).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("f"))
-        # the largest entry of a phrase's own stripe, and of the phrases that it ends
-        ahead = held.where(F.size("counts") > 0).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("longer"))
-        behind = phrases.select("lang", F.regexp_replace("phrase", "^[^ ]+ ", "").alias("phrase"), F.col("a").alias("longer"))
-        found = phrases if found is None else found.unionByName(phrases)
-        prefix_totals = whole if prefix_totals is None else prefix_totals.unionByName(whole)
-        if level > 1:
-            both = ahead.unionByName(behind)
-            above = both if above is None else above.unionByName(both)
+def scored(held: DataFrame, totals: DataFrame, scratch: Scratch) -> DataFrame:
+    """Phrases of merged stripes that are not subsumed, with the score of their lowest cut."""
+    found = entries(held)
+    prefix_totals = held.where(F.col("total") > 0).select("lang", F.col("prefix").alias("phrase"), F.col("total").alias("f"))
+    # the largest entry of a phrase's own stripe, and of the phrases that it ends
+    several = lambda c: F.col(c).contains(" ")
+    ahead = held.where(several("prefix") & (F.size("counts") > 0)).select("lang", F.col("prefix").alias("phrase"), F.array_max("counts").alias("longer"))
+    behind = found.where(several("prefix")).select("lang", F.regexp_replace("phrase", "^[^ ]+ ", "").alias("phrase"), F.col("a").alias("longer"))
+    above = ahead.unionByName(behind)
     found = scratch.put("phrases", found.drop("prefix"))
-    if above is not None:
-        top = above.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
-        found = found.join(top, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * exact("longer") < SHARE * exact("a"))).drop("longer")
+    top = above.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
+    found = found.join(top, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * exact("longer") < SHARE * exact("a"))).drop("longer")
     words = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(words, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(words, k + 1, F.size(words)), " ").alias("rest")))
     sides = found.select("lang", "phrase", "a", F.explode(cuts).alias("c")).select("lang", "phrase", "a", "c.k", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("c.first").alias("part")), F.struct(F.lit("r").alias("side"), F.col("c.rest").alias("part")))).alias("s"))

@@ -13,6 +13,7 @@ from .minhash import minhash_query
 from .packing import packing_query
 from .quality_classifier import classifier_query
 from .quality_rules import RULES_SQL, rules_query
+from .secrets import SECRETS_SQL, secrets_query
 from .spelling import spelling_query
 from .token_files import token_files_query
 from .toxicity import toxicity_query
@@ -31,7 +32,8 @@ QUERIES = {
     "op8_token_files": lambda spark, sf: token_files_query(table(spark, sf, "documents"), WORD_BPE),
     "op9_minhash": lambda spark, sf: minhash_query(table(spark, sf, "documents")),
     "op10_warc": lambda spark, sf: warc_query(table(spark, sf, "pages")),
+    "op11_secrets": lambda spark, sf: secrets_query(table(spark, sf, "documents")),
     "op12_spelling": lambda spark, sf: spelling_query(table(spark, sf, "documents")),
     "op13_collocations": lambda spark, sf: collocations_query(table(spark, sf, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL, "op13_collocations": COLLOCATIONS_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": RULES_SQL, "op10_warc": WARC_SQL, "op11_secrets": SECRETS_SQL, "op13_collocations": COLLOCATIONS_SQL}
