@@ -16,7 +16,7 @@ A prefix has at most as many next words as it has occurrences. That of one with
 cut by a hash of the next word into parts, as many as there are PARTs of frequent words; so a part is bounded. A task
 merges sorted stripes batch by batch and carries the last one on.
 
-Defined results: a null text is empty, a null language is ``und``; rows are counted as often as they come; ties are
+Defined results: a null text is empty, a null language is ``und`` (an empty one is its own); rows are counted as often as they come; ties are
 broken by the phrase; a language without frequent phrases, or an empty table, gives no rows. Only the text and the
 language are read.
 """
@@ -39,7 +39,7 @@ from .common import mix, skewed_left_join
 #: language, what splits pieces, the language of a null.
 LONGEST, LEAST, FACTOR, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
 SPLITS, NO_LANG = b".,;:!?\n\x0b\x0c\r", "und"
-#: Entries that a task holds before it hands them on, bytes of text that it works on at once, next words in a part.
+#: Entries that a task holds before it hands them on, eight times the tokens that it works on at once, next words in a part.
 HELD, CHUNK, PART = 2_000_000, 4_000_000, 65_536
 LEAST_BITS, MOST_BITS = 20, 28
 #: A byte that no UTF-8 text has marks the end of a piece.
@@ -133,6 +133,20 @@ def _holds(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+#: Bits of a word's place in a task; a prefix is three of them, the missing ones 0.
+_BITS = 21
+
+
+def _added_up(code: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted, with the counts of equal (code, next) added."""
+    if not len(code):
+        return code, nexts, counts
+    order = np.lexsort((nexts, code))
+    code, nexts, counts = code[order], nexts[order], counts[order]
+    first = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(nexts, prepend=-1) != 0))[0]
+    return code[first], nexts[first], np.add.reduceat(counts, first)
+
+
 class Stripes:
     """The stripes of a task: of prefixes of one word, or of two and three. ``known``: bitmaps of the frequent words and
     pairs; ``wide``: that of the prefixes which are cut into ``parts`` (a prefix of three words by its first two)."""
@@ -145,96 +159,94 @@ class Stripes:
         self.text: list[bytes] = [b""]
         self.hashes: list[int] = [0]
         self.langs: dict[str, Words] = {}
-        self.number: dict[tuple, int] = {}
-        self.prefix_of: list[tuple] = []
-        self.is_wide: list[bool] = []
-        self.chunks: list[tuple[np.ndarray, np.ndarray]] = []
+        self.chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, docs: list[tuple[str, bytes]]) -> None:
+    def add(self, pieces: list[tuple[str, list[bytes], int]]) -> None:
+        """``pieces``: language, tokens, and how many of these count as the start of a phrase."""
         listed: list[int] = []
-        for lang, text in docs:
+        ahead: list[int] = []
+        for lang, found, counted in pieces:
             words = self.langs.get(lang)
             if words is None:
                 words = self.langs[lang] = Words(lang, self.text, self.hashes)
-            listed.extend(map(words.__getitem__, tokens(text)))
+            ahead.extend(range(len(listed) + counted, len(listed) + len(found)))
+            listed.extend(map(words.__getitem__, found))
         ids = np.array(listed + [0] * LONGEST, np.int64)
+        starts = np.ones(len(ids), bool)
+        starts[ahead] = False
+        del listed
         own = np.array(self.hashes, np.uint64)[ids]
         one = extended(np.zeros(len(ids), np.uint64), own)
         single = (ids > 0) & _holds(*self.known[0], one)
-        keys = []
+        first = ids << 2 * _BITS
         if not self.pairs:
-            at = np.nonzero(single)[0]
-            keys += self._keys(ids[at][:, None], ids[at], one[at], ids[at + 1] * single[at + 1])
+            at = np.nonzero(single & starts)[0]
+            found = [(first[at], ids[at + 1] * single[at + 1])]
         else:
-            two = extended(one[:-1], own[1:])
-            pair = single[:-1] & single[1:] & _holds(*self.known[1], two)
+            pair = single[:-1] & single[1:] & _holds(*self.known[1], extended(one[:-1], own[1:]))
             pair = np.append(pair, [False] * 3)
-            at = np.nonzero(pair)[0]
-            codes, place = np.unique(ids[at] << 32 | ids[at + 1], return_inverse=True)
-            keys += self._keys(np.stack([ids[at], ids[at + 1]], axis=1), place, two[at], ids[np.minimum(at + 2, len(ids) - 1)] * pair[at + 1])
+            at = np.nonzero(pair[: len(starts)] & starts)[0]
+            code = first[at] | ids[at + 1] << _BITS
             deep = pair[at + 1]
-            at, place = at[deep], place[deep]
-            keys += self._keys(np.stack([ids[at], ids[at + 1], ids[at + 2]], axis=1), place << 32 | ids[at + 2], two[at], ids[np.minimum(at + 3, len(ids) - 1)] * pair[at + 2])
-        found, counts = np.unique(np.concatenate(keys), return_counts=True)
-        self.chunks.append((found, counts))
-        self.size += len(found)
-
-    def _keys(self, rows: np.ndarray, code: np.ndarray, hashes: np.ndarray, follow: np.ndarray) -> list[np.ndarray]:
-        """Keys of prefixes (``rows`` of word places, with equal codes where equal) and of their next words (0: none that
-        is frequent). Place 0 under a prefix counts the prefix itself."""
-        _, first, place = np.unique(code, return_index=True, return_inverse=True)
-        wide = _holds(*self.wide, hashes[first]) if self.parts > 1 else np.zeros(len(first), bool)
-        number = np.zeros(len(first), np.int64)
-        for i, words in enumerate(map(tuple, rows[first].tolist())):
-            n = self.number.get(words)
-            if n is None:
-                n = self.number[words] = len(self.prefix_of)
-                self.prefix_of.append(words)
-                self.is_wide.append(bool(wide[i]))
-            number[i] = n
-        keys = number[place] << 32
-        return [keys, keys[follow > 0] | follow[follow > 0]]
+            found = [(code, ids[at + 2] * deep), (code[deep] | ids[at[deep] + 2], ids[at[deep] + 3] * pair[at[deep] + 2])]
+        # a next word of 0 counts the prefix itself
+        code = np.concatenate([x for c, n in found for x in (c, c[n > 0])])
+        nexts = np.concatenate([x for _, n in found for x in (np.zeros(len(n), np.int64), n[n > 0])])
+        self.chunks.append(_added_up(code, nexts, np.ones(len(code), np.int64)))
+        self.size += len(self.chunks[-1][0])
 
     def full(self) -> bool:
-        """Whether, equal ones added up, three quarters of ``most`` entries are held, or half as many words."""
+        """Whether, equal ones added up, three quarters of ``most`` entries are held, or a quarter as many words."""
         if self.size > self.most:
             self._settle()
             return self.size > self.most * 3 // 4
-        return len(self.text) > self.most // 2
+        return len(self.text) > min(self.most // 4, 1 << _BITS - 1)
 
     def _settle(self) -> None:
-        keys, where = np.unique(np.concatenate([k for k, _ in self.chunks]), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([n for _, n in self.chunks]).astype(np.float64), len(keys)).astype(np.int64)
-        self.chunks, self.size = [(keys, counts)], len(keys)
+        self.chunks = [_added_up(*(np.concatenate(x) for x in zip(*self.chunks)))]
+        self.size = len(self.chunks[0][0])
 
     def out(self):
         """Rows of STRIPE, the parts of a prefix apart; part 0 carries its total."""
         if not self.size:
             return
         self._settle()
-        ((keys, counts),) = self.chunks
-        lang_of = {place: lang for lang, words in self.langs.items() for place in words.values()}
-        prefix, nexts = keys >> 32, keys & 0xFFFFFFFF
-        part = np.where(np.array(self.is_wide)[prefix] & (nexts > 0), np.array(self.hashes, np.uint64)[nexts] % np.uint64(self.parts), 0).astype(np.int64)
-        order = np.lexsort((nexts, part, prefix))
-        prefix, nexts, part, counts = prefix[order], nexts[order], part[order], counts[order]
-        starts = np.nonzero(np.diff(prefix * self.parts + part, prepend=-1))[0]
-        entry = nexts > 0  # a total comes first in its part 0
-        offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(starts, len(entry))].astype(np.int32)
+        ((code, nexts, counts),) = self.chunks
+        mask = (1 << _BITS) - 1
+        hashes = np.array(self.hashes, np.uint64)
+        part = np.zeros(len(code), np.int64)
+        if self.parts > 1:
+            h = extended(np.zeros(len(code), np.uint64), hashes[code >> 2 * _BITS])
+            h = extended(h, hashes[code >> _BITS & mask]) if self.pairs else h
+            part = np.where(_holds(*self.wide, h) & (nexts > 0), (hashes[nexts] % np.uint64(self.parts)).astype(np.int64), 0)
+            order = np.lexsort((nexts, part, code))
+            code, nexts, part, counts = code[order], nexts[order], part[order], counts[order]
+        starts = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))[0]
+        lang_of = np.zeros(len(self.text), np.int32)
+        for k, words in enumerate(self.langs.values()):
+            lang_of[np.fromiter(words.values(), np.int64, len(words))] = k
         text = pa.array(self.text, pa.binary()).cast(pa.string())
-        words = [self.prefix_of[p] for p in prefix[starts].tolist()]
-        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[entry].tobytes())])
-        batch = pa.RecordBatch.from_arrays([
-            pa.array([lang_of[w[0]] for w in words], pa.string()),
-            pa.array([b" ".join([self.text[x] for x in w]) for w in words], pa.binary()).cast(pa.string()),
-            pa.array(part[starts], pa.int32()),
-            pa.array(np.where(entry[starts], 0, counts[starts])),
-            pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[entry]))), " "),
-            packed,
-        ], names=NAMES)
-        for at in range(0, batch.num_rows, 20_000):
-            yield batch.slice(at, 20_000)
+        langs = pa.array(list(self.langs), pa.string())
+        for k in range(0, len(starts), 50_000):
+            here = starts[k : k + 50_000]
+            stop = starts[k + 50_000] if k + 50_000 < len(starts) else len(code)
+            inside = slice(here[0], stop)
+            entry = nexts[inside] > 0  # a total comes first in its part 0
+            offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(here - here[0], stop - here[0])].astype(np.int32)
+            w1, w2, w3 = code[here] >> 2 * _BITS, code[here] >> _BITS & mask, code[here] & mask
+            name = text.take(pa.array(w1))
+            if self.pairs:
+                name = pc.binary_join_element_wise(name, text.take(pa.array(w2)), pc.if_else(pa.array(w3 == 0), None, text.take(pa.array(w3))), " ", null_handling="skip")
+            packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[inside][entry].tobytes())])
+            yield pa.RecordBatch.from_arrays([
+                langs.take(pa.array(lang_of[w1])),
+                name,
+                pa.array(part[here], pa.int32()),
+                pa.array(np.where(nexts[here] > 0, 0, counts[here])),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[inside][entry]))), " "),
+                packed,
+            ], names=NAMES)
 
 
 def stripes(docs: DataFrame, pairs: bool, known: list, wide, parts: int) -> DataFrame:
@@ -244,15 +256,18 @@ def stripes(docs: DataFrame, pairs: bool, known: list, wide, parts: int) -> Data
     def run(batches):
         held, waiting, size = Stripes(pairs, *shared.value, parts, most), [], 0
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                waiting.append((lang, text))
-                size += len(text)
-                if size > chunk:
-                    held.add(waiting)
-                    waiting, size = [], 0
-                    if held.full():
-                        yield from held.out()
-                        held.reset()
+            for lang, text in zip(batch.column(0), batch.column(1)):
+                found = tokens(text.as_py())
+                # A long text goes in stretches that see the words after them, so none brings a task too many words.
+                for at in range(0, len(found), chunk // 8):
+                    waiting.append((lang.as_py(), found[at : at + chunk // 8 + LONGEST - 1], chunk // 8))
+                    size += min(len(found) - at, chunk // 8)
+                    if size > chunk // 8:
+                        held.add(waiting)
+                        waiting, size = [], 0
+                        if held.full():
+                            yield from held.out()
+                            held.reset()
         if waiting:
             held.add(waiting)
         yield from held.out()

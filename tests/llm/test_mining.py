@@ -164,7 +164,7 @@ def test_ranges_of_a_tree():
 def plain_collocations(rows):
     f, n = Counter(), Counter()
     for lang, text in rows:
-        lang = lang or "und"
+        lang = "und" if lang is None else lang
         for piece in re.split("[.,;:!?\n-\r]", (text or "").translate(LOWER)):
             words = re.findall("[^ \t]+", piece)
             n[lang] += len(words)
