@@ -1,17 +1,18 @@
 """Byte-level BPE through a table of distinct words.
 
-1. Split. Texts are cut into words (a word carries the blank before it) in blocks of whole documents. A block keeps its
-   documents as positions in the block's list of distinct words; the list goes out in as many parts as there are
-   shuffle partitions, by a hash of the word.
-2. Encode. All lists of a part meet in one task, which encodes each distinct word once and answers with the ids of
-   each list. Equal words always meet in the same part.
-3. Join back. A block's lists return to its documents, whose positions then give ids.
-4. Decode. Ids are joined with the table of pieces, whose size is the vocabulary's, on the map side; the bytes of a
-   document's pieces, in order, are its text.
-
-A block holds BLOCK characters of text (or one longer document), so every group that is brought together is bounded; a
-word is there once for each block, so no word is hot. Lists and positions are compressed columns. Documents are read
-twice, for the lists and for the positions, and nothing is written between: only lists, ids and positions are shuffled.
+1. Split. Spark cuts texts into words (a word carries the blank before it) where the tokenizer's own pre-tokenizer always
+   cuts, and counts them: one row a distinct word.
+2. Encode. Every distinct word is encoded once; its ids are joined with the table of pieces, whose size is the
+   vocabulary's, and their bytes, in order, are the word's decoded form. The word table is written.
+3. Join back. The most frequent words (at most HEAD of them and HEAD_BYTES bytes: a checked broadcast) become numbers in
+   the tasks that split a document. Only its other words leave them, as rows of (text, place among its rare words, word)
+   that meet the word table and come back by text; the document itself is shuffled once, as numbers.
+4. Decode. A document is the decoded forms of its words by position. ``decode`` does the same for any ids.
+
+A word outside the head has no more than a HEAD-th of all words (where HEAD binds; HEAD_BYTES binds only if frequent words
+are long), so the joins on words and on texts with such words have no hot key. A document without them has no partner: it
+gets a key of its own, so copies are dealt out. Texts are told apart by 128 bits of a hash, so the order of rows is of no
+account, and a task that runs again gives the same rows.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; a null array of ids decodes to an
 empty text; repeated rows give repeated rows; a null doc_id is
@@ -22,249 +23,279 @@ from __future__ import annotations
 
 import functools
 import json
-import re
-import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..session import ship
-from .tokens import _CUT, _UNSAFE, TextEncoder, encoder
+from ..session import Scratch, ship
+from .tokens import encoder
 
-BLOCK = 8 << 20
-#: Words in a part of a block are joined by the first; in a word both are escaped.
-_SEP, _ESCAPED = "\x00", "\x01"
-_CODEC = "zstd"
-
-
-def squeeze(data: bytes) -> bytes:
-    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC).compress(data, asbytes=True)
-
-
-def unsqueeze(data: bytes) -> bytes:
-    return pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-
-
-def squeeze_ints(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, first bytes first: what is rare in the high bytes compresses away."""
-    return squeeze(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+#: The head: words, and their bytes, at most. Rows that are put together at once.
+HEAD, HEAD_BYTES, SLICE = 1 << 20, 64 << 20, 512
+#: What stands behind a blank that isn't cut: white space of any Unicode version, so the cut holds in all of them.
+_WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0 ᠎ -​    ⁠　﻿"
+#: A blank before a visible character, and the place between a Latin letter and a mark that stands alone behind it.
+_CUTS = rf"(?= [^{_WHITE}])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:])"
+WORDS = "word string, n long, ids array<int>"
 
 
-def unsqueeze_ints(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(unsqueeze(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
+def split_words(text: Column, tokenizer: str) -> Column:
+    """The words of a text, which put together are the text. Where no cut is known to be sound it is one word."""
+    enc = encoder(tokenizer)
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    whole = F.array(text)
+    words = whole
+    if enc.kind == "blank":
+        words = F.split(text, _CUTS)
+        for special in enc.specials:
+            words = F.when(text.contains(special), whole).otherwise(words)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(words)
 
-def pack_words(words: list[str]) -> bytes:
-    escaped = [w.replace(_ESCAPED, "\x01\x01").replace(_SEP, "\x01\x02") if _SEP in w or _ESCAPED in w else w for w in words]
-    return squeeze(_SEP.join(escaped).encode("utf-8"))
 
+@functools.cache
+def byte_alphabet() -> dict[str, int]:
+    """Character -> byte of the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on."""
+    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
-def unpack_words(data: bytes) -> list[str]:
-    escape = {"\x01\x01": _ESCAPED, "\x01\x02": _SEP}
-    plain = lambda w: re.sub("\x01.", lambda m: escape[m[0]], w, flags=re.DOTALL) if _ESCAPED in w else w
-    return [plain(w) for w in unsqueeze(data).decode("utf-8").split(_SEP)]
 
+@functools.cache
+def piece_table(tokenizer: str) -> list[bytes]:
+    """Bytes of each id: as many rows as the vocabulary has."""
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    alphabet, size = byte_alphabet(), 0
+    pieces = {i: bytes(alphabet[c] for c in p) if all(c in alphabet for c in p) else p.encode("utf-8") for p, i in spec["model"]["vocab"].items()}
+    pieces |= {t["id"]: t["content"].encode("utf-8") for t in spec.get("added_tokens") or []}
+    size = max(pieces, default=-1) + 1
+    return [pieces.get(i, b"") for i in range(size)]
 
-class _Numbers(dict):
-    """Word -> its number, in the order in which a block first meets its words; ``spaced``: they follow a blank."""
 
-    def __init__(self, block: "Block", spaced: int):
-        super().__init__()
-        self.block, self.is_spaced = block, spaced
+def piece_rows(spark, tokenizer: str) -> DataFrame:
+    """(id, piece) of the vocabulary."""
+    pieces = piece_table(tokenizer)
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
 
-    def __missing__(self, word):
-        self[word] = n = len(self.block.order)
-        self.block.order.append(word)
-        self.block.spaced.append(self.is_spaced)
-        return n
 
+def encoded(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, n) with ``ids``. Each word is in one row, so it is encoded once."""
 
-class Block:
-    """Documents as numbers of words. Words that follow a blank are kept without it until a part is written."""
+    def run(batches):
+        whole = encoder(tokenizer).whole
+        for b in batches:
+            found = [whole(w) for w in b.column(0).to_pylist()]
+            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+            ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["word", "n", "ids"])
 
-    def __init__(self, enc: TextEncoder):
-        self.enc, self.order, self.spaced, self.size = enc, [], bytearray(), 0
-        self.first, self.rest = _Numbers(self, 0), _Numbers(self, 1)
-        self.ids, self.lengths, self.codes = [], array("q"), array("I")
+    return words.mapInArrow(run, WORDS)
 
-    def add(self, doc_id, text: str) -> None:
-        before = len(self.codes)
-        if text:
-            if self.enc.kind != "blank" or any(s in text for s in self.enc.specials):
-                self.codes.append(self.first[text])
-            else:
-                pieces = _CUT.split(text) if _UNSAFE.search(text) else text.split(" ")
-                self.codes.append(self.first[pieces[0]])
-                self.codes.extend(map(self.rest.__getitem__, pieces[1:]))
-        self.ids.append(doc_id)
-        self.lengths.append(len(self.codes) - before)
-        self.size += len(text)
 
-    def word(self, n: int) -> str:
-        return " " + self.order[n] if self.spaced[n] else self.order[n]
+def decoded(words: DataFrame, tokenizer: str) -> DataFrame:
+    """``words`` with ``piece``, their bytes: ids meet the table of pieces, a bounded broadcast that keeps a word's rows
+    together and in order, so they are put together where they are. Rows out of order would be refused."""
+    met = words.select("word", "n", "ids", F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_rows(words.sparkSession, tokenizer)), "id", "left")
+    at, piece = F.coalesce("at", F.lit(0)), F.coalesce("piece", F.lit(b""))
+    rows = met.select("word", "n", F.when(at == 0, F.col("ids")).alias("ids"), F.greatest(F.size("ids"), F.lit(1)).alias("many"), at.alias("at"), piece.alias("piece"))
 
-    def forget_words(self) -> None:
-        """The look-up tables aren't needed once all documents are numbered."""
-        self.first = self.rest = None
+    def run(batches):
+        waiting, seen = None, 0
+        for b in batches:
+            word, n, ids, many, at, piece = b.columns
+            many, at = many.to_numpy(), at.to_numpy()
+            # a word's rows are ``many`` in a row, counted from 0; one word may go on from batch to batch
+            place = 0
+            while place < len(at):
+                if waiting is None:
+                    waiting, seen, parts = (word[place], n[place], ids[place]), 0, []
+                take = min(int(many[place]) - seen, len(at) - place)
+                if (at[place : place + take] != np.arange(seen, seen + take)).any():
+                    raise ValueError("the pieces of a word came apart")
+                parts += piece.slice(place, take).to_pylist()
+                seen, place = seen + take, place + take
+                if seen == many[place - 1]:
+                    done.append((*waiting, b"".join(parts)))
+                    waiting = None
+                if len(done) >= 4096:
+                    yield flushed()
+        if done:
+            yield flushed()
+
+    def flushed():
+        cols = list(zip(*done))
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x.as_py() for x in cols[0]], pa.string()), pa.array([x.as_py() for x in cols[1]], pa.int64()), pa.array([x.as_py() for x in cols[2]], pa.list_(pa.int32())), pa.array(cols[3], pa.binary())], names=["word", "n", "ids", "piece"])
+
+    done: list = []
+    return rows.mapInArrow(run, WORDS + ", piece binary")
+
+
+def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(word, n, ids, piece), a row a distinct word. docs: a column ``words``."""
+    counted = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return decoded(encoded(counted, tokenizer), tokenizer)
+
+
+def head_cut(words: DataFrame, most: int, most_bytes: int) -> int:
+    """The least n so that the words with n or more are within both bounds; counts are rounded down to three digits, so a
+    table of few rows decides."""
+    size = F.greatest(F.length(F.col("n").cast("string")) - 3, F.lit(0))
+    step = F.pow(F.lit(10), size).cast("long")
+    rows = words.groupBy((F.expr("n") - F.pmod(F.col("n"), step)).alias("n")).agg(F.count("*").alias("c"), F.sum(F.octet_length("word") + F.octet_length("piece") + 4 * F.size("ids")).alias("b")).orderBy(F.desc("n")).collect()
+    cut, count, size = (rows[0].n + 1) * 1000 if rows else 0, 0, 0
+    for r in rows:
+        count, size = count + r.c, size + r.b
+        if count > most or size > most_bytes:
+            break
+        cut = r.n
+    return cut
+
+
+class Head:
+    """The most frequent words as Arrow columns: a word's number is its place."""
+
+    def __init__(self, table: pa.Table):
+        one = lambda c: pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+        self.words, self.ids, self.pieces = one("word"), one("ids"), one("piece")
+
+
+def _numbered(batch, head: Head, at: int):
+    """Of each row of a batch whose column ``at`` is its words: numbers in the head, or from len(head) on the place among
+    its own rare words; these; and the text's key."""
+    import xxhash
+
+    column = batch.column(at)
+    flat = column.flatten()
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+    found = pc.index_in(flat, value_set=head.words)
+    rare = np.nonzero(found.is_null().to_numpy(zero_copy_only=False))[0]
+    numbers = found.fill_null(0).to_numpy().astype(np.int64)
+    rare_words = flat.take(pa.array(rare)).to_pylist()
+    owner = np.searchsorted(offsets, rare, side="right") - 1
+    per_row: dict[int, dict[str, int]] = {}
+    size = len(head.words)
+    for k, (row, word) in enumerate(zip(owner.tolist(), rare_words)):
+        places = per_row.setdefault(row, {})
+        numbers[rare[k]] = size + places.setdefault(word, len(places))
+    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
+    data = flat.buffers()[2]
+    view = memoryview(data) if data is not None else memoryview(b"")
+    for row in range(batch.num_rows):
+        a, b = offsets[row], offsets[row + 1]
+        own = per_row.get(row)
+        key = xxhash.xxh3_128_digest(view[ends[a] : ends[b]]) if own else None
+        yield row, numbers[a:b], own, key
 
 
-LISTS = "block long, part int, words binary"
-HELD = "block long, mark long, codes binary, lengths binary, doc_ids binary"
+_CODEC = "zstd"
 
 
-def mark_of(hashes: np.ndarray) -> int:
-    """What a block's documents and its lists must agree in: the number of words, and all their hashes."""
-    return len(hashes) << 32 | int(np.bitwise_xor.reduce(hashes, initial=0))
+def squeeze_ints(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, first bytes first: what is rare in the high bytes compresses away."""
+    data = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC).compress(data, asbytes=True)
 
 
-def hashes_of(words) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64)
+def unsqueeze_ints(data: bytes) -> np.ndarray:
+    raw = pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def split_blocks(docs: DataFrame, tokenizer: str, parts: int, lists: bool, block_bytes: int = BLOCK) -> DataFrame:
-    """Blocks of the (doc_id, text) rows of each task, in their order: their lists of words by part (LISTS), or their
-    documents (HELD). Both are made from the same scan, so nothing but what is shuffled takes disk."""
-    schema = LISTS if lists else HELD
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int32(), pa.binary()] if lists else [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def rare_rows(docs: DataFrame, shared) -> DataFrame:
+    """(key, place, word): the words of each text that aren't in the head."""
 
     def run(batches):
-        enc, task, n = encoder(tokenizer), TaskContext.get().partitionId(), 0
-
-        def batch(*row):
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=names)
-
-        def closed(block: Block):
-            nonlocal n
-            key = task << 24 | n
-            n += 1
-            block.forget_words()
-            hashes = hashes_of(block.word(k) for k in range(len(block.order)))
-            # Words are renumbered part by part: then a number alone says where a word's ids stand.
-            order = np.argsort(hashes % parts, kind="stable")
-            if lists:
-                cuts = np.searchsorted(hashes[order] % parts, np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(cuts)).tolist():
-                    yield batch(key, p, pack_words([block.word(k) for k in order[cuts[p] : cuts[p + 1]].tolist()]))
-                return
-            number = np.empty(len(order), np.int64)
-            number[order] = np.arange(len(order))
-            codes = number[np.frombuffer(block.codes, np.uint32)] if len(block.codes) else np.empty(0, np.int64)
-            ids = pa.array(block.ids) if any(x is not None for x in block.ids) else pa.nulls(len(block.ids), pa.int64())
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, pa.schema([("doc_id", ids.type)])) as out:
-                out.write_batch(pa.RecordBatch.from_arrays([ids], names=["doc_id"]))
-            yield batch(key, mark_of(hashes), squeeze_ints(codes), squeeze_ints(np.frombuffer(block.lengths, np.int64)), squeeze(sink.getvalue().to_pybytes()))
-
-        block = Block(enc)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    block.add(doc_id, text or "")
-                    if block.size >= block_bytes:
-                        yield from closed(block)
-                        block = Block(enc)
-        if block.ids:
-            yield from closed(block)
+        head = shared.value
+        for b in batches:
+            rows = [(key, j, w) for _, _, own, key in _numbered(b, head, 1) if own for w, j in own.items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.string()))], names=["key", "place", "word"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, "key binary, place int, word string")
 
 
-def encode_words(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """(block, part, mark, counts, ids): ids of the words of each row, and how many each word has. Rows of a part are in one
-    task, where each distinct word is encoded once (the cache is bounded; a word that it lost is encoded again)."""
+def numbered(docs: DataFrame, shared) -> DataFrame:
+    """(key, doc_id, codes): documents as numbers. Those without rare words have keys that no other row has."""
+    id_field = docs.schema["doc_id"]
 
     def run(batches):
-        known = encoder(tokenizer).task_cache()  # no word of this part is met in another task
+        head, task, n = shared.value, TaskContext.get().partitionId(), 0
         for b in batches:
-            for k in range(b.num_rows):
-                words = unpack_words(b.column(2)[k].as_py())
-                found = [known[w] for w in words]
-                counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
-                ids = np.frombuffer(b"".join(found), "<u4")
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), pa.array([mark_of(hashes_of(words))], pa.int64()), pa.array([squeeze_ints(counts)], pa.binary()), pa.array([squeeze_ints(ids)], pa.binary())], names=["block", "part", "mark", "counts", "ids"])
+            keys, codes = [], []
+            for _, numbers, own, key in _numbered(b, head, 1):
+                n += 1
+                keys.append(key if own else b"no rare words %d:%d" % (task, n))
+                codes.append(squeeze_ints(numbers))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0), pa.array(codes, pa.binary())], names=["key", "doc_id", "codes"])
 
-    return rows.mapInArrow(run, "block long, part int, mark long, counts binary, ids binary")
+    return docs.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), id_field, T.StructField("codes", T.BinaryType())]))
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """(doc_id, ids array<int>): the ids that the tokenizers library gives for whole texts, no special tokens added.
+def put_together(rows: DataFrame, shared) -> DataFrame:
+    """(doc_id, ids, text) of (doc_id, codes, answers)."""
+    id_field = rows.schema["doc_id"]
+    id_type = to_arrow_type(id_field.dataType)
 
-    ``docs`` is read twice, and its rows must come in the same order both times, as those of a table do; a block whose
-    documents and words don't belong together is refused (write such a frame to a table first)."""
+    def run(batches):
+        head = shared.value
+        size, starts = len(head.words), head.ids.offsets.to_numpy().astype(np.int64)
+        flat = head.ids.values.to_numpy()
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                codes = [unsqueeze_ints(x).astype(np.int64) for x in b.column(1).to_pylist()]
+                extra_ids, extra_pieces, base = [], [], 0
+                for row, found in enumerate(b.column(2).to_pylist()):
+                    if found:
+                        c = codes[row]
+                        c[c >= size] += base
+                        found = sorted((x["place"], x["ids"], x["piece"]) for x in found)
+                        if [x[0] for x in found] != list(range(len(found))):
+                            raise ValueError("a text's rare words came back twice or not at all")
+                        extra_ids += [x[1] for x in found]
+                        extra_pieces += [x[2] for x in found]
+                        base += len(found)
+                lengths = np.concatenate([np.diff(starts), np.fromiter(map(len, extra_ids), np.int64, len(extra_ids))])
+                begin = np.concatenate([starts[:-1], starts[-1] + np.cumsum(lengths[size:]) - lengths[size:]]).astype(np.int64)
+                every = np.concatenate([flat[: starts[-1]], *[np.array(x, np.int32) for x in extra_ids]]) if extra_ids else flat
+                c = np.concatenate([*codes, np.zeros(0, np.int64)])
+                n = lengths[c]
+                before = np.concatenate([[0], np.cumsum(n)])
+                own = every[np.repeat(begin[c] - before[:-1], n) + np.arange(before[-1])]
+                words_to = np.concatenate([[0], np.cumsum([len(x) for x in codes])]).astype(np.int64)
+                pieces = pa.chunked_array([head.pieces, pa.array(extra_pieces, pa.binary())]).take(pa.array(c)).combine_chunks()
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(words_to, pa.int32()), pieces), b"")
+                ids = pa.ListArray.from_arrays(pa.array(before[words_to], pa.int32()), pa.array(own.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(id_type), ids, pa.array([x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())], names=["doc_id", "ids", "text"])
+
+    return rows.mapInArrow(run, T.StructType([id_field, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
+
+
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD, head_bytes: int = HEAD_BYTES) -> DataFrame:
+    """(doc_id, ids, text): the ids that the tokenizers library gives for whole texts, no special tokens added, and the
+    text that they decode to."""
     spark = docs.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lists = split_blocks(docs, tokenizer, parts, True, block_bytes).repartition(parts, "part")
-    coded = encode_words(lists, tokenizer)
-    held = split_blocks(docs, tokenizer, parts, False, block_bytes)
-    id_type = docs.schema["doc_id"].dataType
-    key_type = to_arrow_type(id_type)
-
-    def join_back(key, left: pa.Table, right: pa.Table):
-        order = np.argsort(right.column("part").to_numpy())
-        marks = right.column("mark").to_numpy()
-        if left.column("mark")[0].as_py() != ((marks >> 32).sum() << 32 | np.bitwise_xor.reduce(marks & 0xFFFFFFFF, initial=0)):
-            raise ValueError("the documents came in another order when they were read again: write them to a table first")
-        counts, ids = [], []
-        for k in order.tolist():
-            counts.append(unsqueeze_ints(right.column("counts")[k].as_py()))
-            ids.append(unsqueeze_ints(right.column("ids")[k].as_py()))
-        flat = np.concatenate([*ids, np.empty(0, np.uint32)]).astype(np.int32)
-        sizes = np.concatenate([*counts, np.empty(0, np.uint32)]).astype(np.int64)
-        starts = np.cumsum(sizes) - sizes
-        codes, lengths = unsqueeze_ints(left.column("codes")[0].as_py()), unsqueeze_ints(left.column("lengths")[0].as_py()).astype(np.int64)
-        with pa.ipc.open_stream(unsqueeze(left.column("doc_ids")[0].as_py())) as source:
-            doc_ids = source.read_all().column(0).combine_chunks()
-        ends = np.cumsum(lengths)
-        for at in range(0, len(lengths), 512):
-            to = min(at + 512, len(lengths))
-            c = codes[ends[at] - lengths[at] : ends[to - 1]].astype(np.int64)
-            n = sizes[c]
-            before = np.concatenate([[0], np.cumsum(n)])
-            own = flat[np.repeat(starts[c] - before[:-1], n) + np.arange(before[-1])]
-            cuts = before[np.concatenate([[0], np.cumsum(lengths[at:to])])]
-            column = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(own, pa.int32()))
-            yield pa.RecordBatch.from_arrays([doc_ids.slice(at, to - at).cast(key_type), column], names=["doc_id", "ids"])
-
-    def joined(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", key_type), ("ids", pa.list_(pa.int32()))])
-        return pa.Table.from_batches(list(join_back(key, left, right)) if left.num_rows else [], schema)
-
-    out = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return held.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(joined, out)
-
-
-@functools.cache
-def byte_alphabet() -> dict[str, int]:
-    """Character -> byte of the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
-@functools.cache
-def piece_table(tokenizer: str) -> list[bytes]:
-    """Bytes of each id: as many rows as the vocabulary has."""
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
-    alphabet, size = byte_alphabet(), 0
-    pieces = {i: bytes(alphabet[c] for c in p) if all(c in alphabet for c in p) else p.encode("utf-8") for p, i in spec["model"]["vocab"].items()}
-    pieces |= {t["id"]: t["content"].encode("utf-8") for t in spec.get("added_tokens") or []}
-    size = max(pieces, default=-1) + 1
-    return [pieces.get(i, b"") for i in range(size)]
+    scratch = Scratch(spark)
+    split = docs.select(F.col(f"`{id_col}`").alias("doc_id"), split_words(F.col(f"`{text_col}`"), tokenizer).alias("words"))
+    table = scratch.put("words", word_table(split, tokenizer))
+    cut = head_cut(table, head, head_bytes)
+    frequent = table.where(F.col("n") >= cut).select("word", "ids", "piece")
+    shared = spark.sparkContext.broadcast(Head(frequent.toArrow()))  # bounded by head_cut
+    met = rare_rows(split, shared).join(table.where(F.col("n") < cut).select("word", "ids", "piece"), "word")
+    answers = met.groupBy("key").agg(F.collect_set(F.struct("place", "ids", "piece")).alias("answers"))
+    return put_together(numbered(split, shared).join(answers, "key", "left").select("doc_id", "codes", "answers"), shared)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """``df`` with column ``out``, the text of its ids: a map-side join with the table of pieces."""
+    """``df`` with column ``out``, the text of any ids: a map-side join with the table of pieces."""
     ship(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != out]
     names = [f.name for f in kept]
@@ -281,6 +312,5 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "text
 
 
 def bpe_query(docs: DataFrame, tokenizer: str) -> DataFrame:
-    back = decode(encode(docs, tokenizer), tokenizer)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    return encode(docs, tokenizer).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))

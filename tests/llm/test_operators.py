@@ -208,22 +208,43 @@ def test_toxicity(spark, sf):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
-def test_bpe(spark):
+@pytest.mark.parametrize("head", [0, 7, bpe.HEAD])
+def test_bpe(spark, head):
+    """With all words rare, a few of them in the head, or all; ids, decoded texts and the query's digests."""
     own = Tokenizer.from_file(BYTE)
-    for block in (1, 1 << 20):
-        got = bpe.encode(documents(spark), BYTE, block_bytes=block)
-        back = bpe.decode(got, BYTE).collect()
-        want = collections.Counter((d, tuple(own.encode(t or "", add_special_tokens=False).ids)) for d, t in ROWS)
-        assert want == collections.Counter((r.doc_id, tuple(r.ids)) for r in back)
-        assert all(r.text == own.decode(r.ids, skip_special_tokens=False) for r in back)
+    rows = ROWS + [(21, "it's  two   blanks.\nEnd., a;b:c 1.5 é. ß,x \u00a0 y \u3000z \u200b w"), (22, "x " * 3000 + "\U0001d4b3" * 20), (23, " <|endoftext|>"), (24, "\n\n a\t b")]
+    got = bpe.encode(documents(spark, rows), BYTE, head=head)
+    want = collections.Counter((d, tuple(own.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    found = bpe.decode(got, BYTE, out="again").collect()
+    assert want == collections.Counter((r.doc_id, tuple(r.ids)) for r in found)
+    assert all(r.text == r.again == own.decode(r.ids, skip_special_tokens=False) for r in found)
+
+
+def test_bpe_query(spark):
+    own = Tokenizer.from_file(BYTE)
+    want = collections.Counter()
+    for d, t in ROWS:
+        ids = own.encode(t or "", add_special_tokens=False).ids
+        digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        want[d, len(ids), digest(",".join(map(str, ids))), digest(own.decode(ids, skip_special_tokens=False))] += 1
+    assert want == collections.Counter(tuple(r) for r in bpe.bpe_query(documents(spark), BYTE).collect())
     assert bpe.bpe_query(empty(spark), BYTE).count() == 0
     odd = spark.createDataFrame([([220, 50256, 162],), (None,), ([],)], "ids array<int>")
     assert [r.text for r in bpe.decode(odd, BYTE).collect()] == [own.decode([220, 50256, 162], skip_special_tokens=False), "", ""]
 
 
-def test_packed_words_round_trip():
-    words = ["a", "\x00", "\x01\x02", " \x01", "\x01\x01\x00", "", "é", "\n"]
-    assert bpe.unpack_words(bpe.pack_words(words)) == words
+def test_bpe_words(spark):
+    """Words put together are the text; the table has each once; the head stays within both bounds."""
+    docs = documents(spark).select("doc_id", "text", bpe.split_words(F.col("text"), BYTE).alias("words"))
+    assert all("".join(r.words) == (r.text or "") for r in docs.collect())
+    table = bpe.word_table(docs, BYTE).collect()
+    assert len({r.word for r in table}) == len(table) and all(bytes(r.piece).decode() == r.word for r in table)
+    assert {r.word: r.n for r in table} == collections.Counter(w for r in docs.collect() for w in r.words)
+    held = spark.createDataFrame(table)
+    for most, size in ((5, 10**9), (10**9, 200), (0, 10**9), (10**9, 10**9)):
+        head = [r for r in table if r.n >= bpe.head_cut(held, most, size)]
+        assert len(head) <= most and sum(len(r.word.encode()) + len(r.piece) + 4 * len(r.ids) for r in head) <= size
+    assert len(head) == len(table)
     values = np.array([0, 1, 2**32 - 1, 255, 256])
     assert bpe.unsqueeze_ints(bpe.squeeze_ints(values)).tolist() == values.tolist()
 
