@@ -7,10 +7,10 @@ its parts are prefix totals, and what may subsume a phrase is the largest entry
 that it ends. A phrase is subsumed by a longer one only if it is by one of a single word more, since that one lies
 between them and is at least as frequent.
 
-There are three passes over the texts: words, stripes of one word, stripes of two and of three. A phrase can only be
-frequent if its words are, and if its pairs of neighbours are, which bitmaps of hashes say to the tasks: their size is
-bounded (2 to the power of MOST_BITS bits, 16 bits a phrase below that), and a hash that is met by chance costs a row
-and changes nothing. Counts are of the words themselves.
+There are four passes over the texts: words, and stripes of one, two and three words. A phrase can only be frequent if
+the two shorter ones in it are, which bitmaps of hashes say to the tasks: their size is bounded (2 to the power of
+MOST_BITS bits, 16 bits a phrase below that), and a hash that is met by chance costs a row and changes nothing. Counts
+are of the words themselves.
 
 A prefix has at most as many next words as it has occurrences. That of one with over PART of them (another bitmap) is
 cut by a hash of the next word into parts, as many as there are PARTs of frequent words; so a part is bounded. A task
@@ -23,6 +23,7 @@ language are read.
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -133,34 +134,38 @@ def _holds(bits: np.ndarray, power: int, hashes: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-#: Bits of a word's place in a task; a prefix is three of them, the missing ones 0.
+#: Bits of a word's place in a task: a key holds three of them.
 _BITS = 21
+_MASK = (1 << _BITS) - 1
 
 
-def _added_up(code: np.ndarray, nexts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted, with the counts of equal (code, next) added."""
-    if not len(code):
-        return code, nexts, counts
-    order = np.lexsort((nexts, code))
-    code, nexts, counts = code[order], nexts[order], counts[order]
-    first = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(nexts, prepend=-1) != 0))[0]
-    return code[first], nexts[first], np.add.reduceat(counts, first)
+def _added_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted runs of keys as one, the counts of equal ones added."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.nonzero(np.diff(keys, prepend=-1))[0]
+    return keys[first], np.add.reduceat(counts, first)
 
 
 class Stripes:
-    """The stripes of a task: of prefixes of one word, or of two and three. ``known``: bitmaps of the frequent words and
-    pairs; ``wide``: that of the prefixes which are cut into ``parts`` (a prefix of three words by its first two)."""
+    """The stripes of a task, of prefixes of ``level`` words. ``known``: bitmaps of the frequent phrases of 1 to ``level``
+    words; ``wide``: that of the prefixes which are cut into ``parts``. A key is a prefix and a next word: places of words,
+    or, where the prefix has three, its number among those of the task. Next word 0 counts the prefix itself."""
 
-    def __init__(self, pairs: bool, known: list, wide, parts: int, most: int):
-        self.pairs, self.known, self.wide, self.parts, self.most = pairs, known, wide, parts, most
+    def __init__(self, level: int, known: list, wide, parts: int, most: int):
+        self.level, self.known, self.wide, self.parts, self.most = level, known, wide, parts, most
         self.reset()
 
     def reset(self) -> None:
         self.text: list[bytes] = [b""]
         self.hashes: list[int] = [0]
         self.langs: dict[str, Words] = {}
-        self.chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.number: dict[int, int] = {}
+        self.raw: list[np.ndarray] = []
+        self.waiting = 0
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, pieces: list[tuple[str, list[bytes], int]]) -> None:
         """``pieces``: language, tokens, and how many of these count as the start of a phrase."""
@@ -177,51 +182,54 @@ class Stripes:
         starts[ahead] = False
         del listed
         own = np.array(self.hashes, np.uint64)[ids]
-        one = extended(np.zeros(len(ids), np.uint64), own)
-        single = (ids > 0) & _holds(*self.known[0], one)
-        first = ids << 2 * _BITS
-        if not self.pairs:
-            at = np.nonzero(single & starts)[0]
-            found = [(first[at], ids[at + 1] * single[at + 1])]
-        else:
-            pair = single[:-1] & single[1:] & _holds(*self.known[1], extended(one[:-1], own[1:]))
-            pair = np.append(pair, [False] * 3)
-            at = np.nonzero(pair[: len(starts)] & starts)[0]
-            code = first[at] | ids[at + 1] << _BITS
-            deep = pair[at + 1]
-            found = [(code, ids[at + 2] * deep), (code[deep] | ids[at[deep] + 2], ids[at[deep] + 3] * pair[at[deep] + 2])]
-        # a next word of 0 counts the prefix itself
-        code = np.concatenate([x for c, n in found for x in (c, c[n > 0])])
-        nexts = np.concatenate([x for _, n in found for x in (np.zeros(len(n), np.int64), n[n > 0])])
-        self.chunks.append(_added_up(code, nexts, np.ones(len(code), np.int64)))
-        self.size += len(self.chunks[-1][0])
+        h = extended(np.zeros(len(ids), np.uint64), own)
+        ok = (ids > 0) & _holds(*self.known[0], h)
+        for k in range(1, self.level):  # whether a frequent phrase of k + 1 words starts here
+            h = extended(h[:-1], own[k:])
+            ok = ok[:-1] & ok[1:] & _holds(*self.known[k], h)
+        at = np.nonzero(ok & starts[: len(ok)])[0]
+        follows = np.append(ok, False)[at + 1] if self.level > 1 else ok[at + 1]
+        code = ids[at]
+        for k in range(1, self.level):
+            code = code << _BITS | ids[at + k]
+        if self.level == 3:
+            found, place = np.unique(code, return_inverse=True)
+            number = self.number
+            code = np.array([number.setdefault(c, len(number)) for c in found.tolist()], np.int64)[place] if len(found) else code
+        code <<= _BITS
+        self.raw += [code, code[follows] | ids[at[follows] + self.level]]
+        self.waiting += len(code) + int(follows.sum())
+        if self.waiting > self.most:
+            self._settle()
 
     def full(self) -> bool:
-        """Whether, equal ones added up, three quarters of ``most`` entries are held, or a quarter as many words."""
-        if self.size > self.most:
-            self._settle()
-            return self.size > self.most * 3 // 4
-        return len(self.text) > min(self.most // 4, 1 << _BITS - 1)
+        """Whether three quarters of ``most`` different entries are held, or a quarter as many words."""
+        return len(self.keys) > self.most * 3 // 4 or len(self.text) > min(self.most // 4, 1 << _BITS - 1)
 
     def _settle(self) -> None:
-        self.chunks = [_added_up(*(np.concatenate(x) for x in zip(*self.chunks)))]
-        self.size = len(self.chunks[0][0])
+        new, counts = np.unique(np.concatenate(self.raw or [self.keys[:0]]), return_counts=True)
+        self.keys, self.counts = _added_up(np.concatenate([self.keys, new]), np.concatenate([self.counts, counts]))
+        self.raw, self.waiting = [], 0
 
     def out(self):
         """Rows of STRIPE, the parts of a prefix apart; part 0 carries its total."""
-        if not self.size:
-            return
         self._settle()
-        ((code, nexts, counts),) = self.chunks
-        mask = (1 << _BITS) - 1
+        if not len(self.keys):
+            return
+        code, nexts, counts = self.keys >> _BITS, self.keys & _MASK, self.counts
+        # the places of a prefix's words, first to last
+        whole = np.fromiter(self.number, np.int64, len(self.number))[code] if self.level == 3 else code
+        places = [whole >> _BITS * k & _MASK for k in range(self.level - 1, -1, -1)]
         hashes = np.array(self.hashes, np.uint64)
         part = np.zeros(len(code), np.int64)
         if self.parts > 1:
-            h = extended(np.zeros(len(code), np.uint64), hashes[code >> 2 * _BITS])
-            h = extended(h, hashes[code >> _BITS & mask]) if self.pairs else h
+            h = np.zeros(len(code), np.uint64)
+            for p in places:
+                h = extended(h, hashes[p])
             part = np.where(_holds(*self.wide, h) & (nexts > 0), (hashes[nexts] % np.uint64(self.parts)).astype(np.int64), 0)
-            order = np.lexsort((nexts, part, code))
-            code, nexts, part, counts = code[order], nexts[order], part[order], counts[order]
+            if part.any():
+                order = np.lexsort((nexts, part, code))
+                code, nexts, part, counts, places = code[order], nexts[order], part[order], counts[order], [p[order] for p in places]
         starts = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))[0]
         lang_of = np.zeros(len(self.text), np.int32)
         for k, words in enumerate(self.langs.values()):
@@ -234,14 +242,10 @@ class Stripes:
             inside = slice(here[0], stop)
             entry = nexts[inside] > 0  # a total comes first in its part 0
             offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(here - here[0], stop - here[0])].astype(np.int32)
-            w1, w2, w3 = code[here] >> 2 * _BITS, code[here] >> _BITS & mask, code[here] & mask
-            name = text.take(pa.array(w1))
-            if self.pairs:
-                name = pc.binary_join_element_wise(name, text.take(pa.array(w2)), pc.if_else(pa.array(w3 == 0), None, text.take(pa.array(w3))), " ", null_handling="skip")
             packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[inside][entry].tobytes())])
             yield pa.RecordBatch.from_arrays([
-                langs.take(pa.array(lang_of[w1])),
-                name,
+                langs.take(pa.array(lang_of[places[0][here]])),
+                pc.binary_join_element_wise(*[text.take(pa.array(p[here])) for p in places], " "),
                 pa.array(part[here], pa.int32()),
                 pa.array(np.where(nexts[here] > 0, 0, counts[here])),
                 pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[inside][entry]))), " "),
@@ -249,12 +253,12 @@ class Stripes:
             ], names=NAMES)
 
 
-def stripes(docs: DataFrame, pairs: bool, known: list, wide, parts: int) -> DataFrame:
+def stripes(docs: DataFrame, level: int, known: list, wide, parts: int) -> DataFrame:
     """Stripes of the tasks, not merged. ``docs``: lang and text (binary), without nulls."""
     shared, most, chunk = docs.sparkSession.sparkContext.broadcast((known, wide)), HELD, CHUNK
 
     def run(batches):
-        held, waiting, size = Stripes(pairs, *shared.value, parts, most), [], 0
+        held, waiting, size = Stripes(level, *shared.value, parts, most), [], 0
         for batch in batches:
             for lang, text in zip(batch.column(0), batch.column(1)):
                 found = tokens(text.as_py())
@@ -353,14 +357,14 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent, known, tables = words.where(F.col("phrase").isNotNull()), [], []
     parts = None
-    for pairs in (False, True):
+    for level in range(1, LONGEST):
         many = frequent.count()
         parts = parts or max(1, -(-many // PART))
         known.append(frequent_bits(frequent, many))
         wide = frequent_bits(frequent.where(F.col("a") > PART), 0)
-        tables.append(scratch.put(f"stripes{len(tables)}", merged(stripes(texts, pairs, known, wide, parts), least)))
+        tables.append(scratch.put(f"stripes{level}", merged(stripes(texts, level, known, wide, parts), least)))
         frequent = entries(tables[-1])
-    return scored(tables[0].unionByName(tables[1]), totals, scratch)
+    return scored(functools.reduce(DataFrame.unionByName, tables), totals, scratch)
 
 
 def entries(held: DataFrame) -> DataFrame:

@@ -205,7 +205,7 @@ def test_stripes_hold_totals(spark):
     docs = spark.createDataFrame([("en", "to be or not to be"), ("en", "to be")], "lang string, text string").withColumn("text", F.col("text").cast("binary"))
     words = spark.createDataFrame([("en", w) for w in ("to", "be", "or", "not")], "lang string, phrase string")
     bits = collocations.frequent_bits(words, 4)
-    held = collocations.merged(collocations.stripes(written(docs), False, [bits], bits, 1), 1).collect()
+    held = collocations.merged(collocations.stripes(written(docs), 1, [bits], bits, 1), 1).collect()
     assert {(r.prefix, r.total, tuple(sorted(zip(r.nexts, r.counts)))) for r in held} == {("to", 3, (("be", 3),)), ("be", 3, (("or", 1),)), ("or", 1, (("not", 1),)), ("not", 1, (("to", 1),))}
 
 
