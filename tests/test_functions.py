@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapwright.functions import arithmetic, canon, ids, repair
-from gapwright.plans import certificate, cuts, reach
+from gapwright.plans import certificate, cuts, flags, reach
 from gapwright.plans.queries import CONTROLS
 from gapwright.plans.rules import Node, Parser, RuleError, blockers, canonical, compile_guard, compile_rule, duration, type_of
 
@@ -205,6 +205,59 @@ def test_forged_certificates_are_refused():
     assert checked(altered(bare, witnesses=[tree + [{"fact": "stock2", "kind": "axiom", "children": []}]])) == "O12_WITNESS"
 
 
+def test_false_documents_of_the_reviewer():
+    """An honest document is a cut of one control, ROBUST; none of these says what the programs bear out."""
+    seen = [reach.Instance("o1", "refund", ("visit",), (1 << CONTROLS.bit("captcha", 1),))]
+    honest = certificate.build(GIVEN, seen, seen, ["refund"], CONTROLS, SCOPE)
+    against = lambda **k: certificate.verify(certificate.render(altered(honest, **k)), GIVEN, ["refund"], seen, seen, CONTROLS, SCOPE)
+    assert against() is None and honest["cut"] == {"captcha": 1} and honest["verdict"] == "ROBUST"
+    inside, tree = sorted(certificate.derived(GIVEN, seen, 0)), certificate.flat(reach.witness(GIVEN, seen, 0, "refund"))
+    withheld = {"published": False, "controls": [], "degenerate": False, "reason": "CORRIDOR_CAP"}
+    bare = {"complete": False, "cut": {}, "size": 0, "psi": {"min": [], "max": []}, "closure": inside, "open_goals": ["refund"], "witnesses": [tree], "premium": withheld, "flags": ["corridor_cap"]}
+    for verdict in ("UNSAFE", "OPTIMISTIC_ONLY", "ROBUST", "INDETERMINATE"):
+        assert against(**bare, verdict=verdict, dispute={"licences": [], "verdict": verdict}) == "O13_PSI"
+        assert against(complete=False, premium=withheld, flags=["corridor_cap"], verdict=verdict) == "O13_PSI"
+    for odd in ({"reason": "because"}, {"reason": "CORRIDOR_CAP", "controls": ["zzz"]}, {"reason": "CORRIDOR_CAP", "degenerate": True}, {"more": 1}):
+        assert against(premium=withheld | odd) == "O2_SCHEMA"
+    assert against(premium=withheld) == "O13B_PREMIUM" and against(flags=["er_ambiguous"]) == "O14_FLAGS" and against(premium=honest["premium"] | {"more": 1}) == "O2_SCHEMA"
+
+
+def test_malformed_documents_are_refused():
+    """Every member, and every member inside one, with values of the wrong kind: refused, and never an exception."""
+    body = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE)
+    open_ = certificate.build(GIVEN, shop("min"), shop("max"), ["stock"], CONTROLS, SCOPE)
+    odd = [True, 5, 77, "x", "", [], {}, [1, "x"], ["zz"], [[1]], [{}], {"min": ["zz"]}, {"min": [], "max": [5]}, {"k": False}]
+    for made, goals in ((body, ["refund"]), (open_, ["stock"])):
+        given = (GIVEN, goals, shop("min"), shop("max"), CONTROLS, SCOPE)
+        assert certificate.verify(certificate.render(made), *given) is None
+        for name, value in made.items():
+            if name == "cert_hash":
+                continue
+            told = [altered(made, **{name: x}) for x in odd if x != value or type(x) is not type(value)]
+            if isinstance(value, dict):
+                told += [altered(made, **{name: value | {k: x}}) for k in [*value, "more"] for x in odd if k not in value or value[k] != x or type(value[k]) is not type(x)]
+            if isinstance(value, list) and value:
+                told += [altered(made, **{name: [x, *value[1:]]}) for x in odd if x != value[0]]
+            told.append({k: v for k, v in made.items() if k != name})
+            told[-1]["cert_hash"] = certificate.digest(told[-1])
+            for t in told:
+                assert certificate.verify(certificate.render(t), *given) is not None, (name, t.get(name))
+
+
+def test_capped_searches():
+    """A search that met its limit says so, withholds its premium and claims nothing universal; the checker knows the limit."""
+    seen = [replace(i, observed="OBSERVED", license_ids=()) for i in shop("max")]
+    made = certificate.build(GIVEN, seen, seen, ["refund"], CONTROLS, SCOPE, most=1)
+    given = (GIVEN, ["refund"], seen, seen, CONTROLS, SCOPE)
+    assert not made["complete"] and made["flags"] == ["corridor_cap"] and made["premium"]["reason"] == "CORRIDOR_CAP" and made["verdict"] == "UNSAFE"
+    assert certificate.verify(certificate.render(made), *given, most=1) in (None, "O15_MINIMAL") and certificate.verify(certificate.render(made), *given) == "O13_PSI"
+    bits = flags.mask(["er_ambiguous"])
+    made = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE, run=bits)
+    assert made["verdict"] == "INDETERMINATE" and made["premium"]["reason"] == "ER_AMBIGUOUS"
+    assert certificate.verify(certificate.render(made), GIVEN, ["refund"], shop("min"), shop("max"), CONTROLS, SCOPE, run=bits) is None
+    assert certificate.verify(certificate.render(made), GIVEN, ["refund"], shop("min"), shop("max"), CONTROLS, SCOPE) == "O13B_PREMIUM"
+
+
 def test_disputes_and_gates():
     body = certificate.build(GIVEN, shop("min"), shop("max"), ["refund"], CONTROLS, SCOPE, frozenset({"dark7", "other"}), {"view": False})
     given = {"disputed": frozenset({"dark7", "other"}), "gates": {"view": False}}
