@@ -119,11 +119,21 @@ def duplicate(raw: DataFrame, every: int, seq: str = "seq") -> DataFrame:
     return raw.withColumn("\0k", F.explode(F.when(F.col(seq) % every == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("\0k")
 
 
-def levels(raw: DataFrame, steps: list[Completeness], seed: int, per_second: int, key: str = "source") -> DataFrame:
+def levels(raw: DataFrame, steps: list[Completeness], seed: int, per_second: int, key: str = "source", seq: str = "seq", t: str = "t", digest=None) -> DataFrame:
     """The records that every level of completeness keeps, as rows with ``level`` (per cent), so that all levels of a ladder
-    go through the operators behind it together."""
-    out = None
-    for c in steps:
-        kept = delete(raw, c, seed, per_second, key).withColumn("level", F.lit(100 * c.num // c.den))
-        out = kept if out is None else out.unionByName(kept)
-    return out
+    go through the operators behind it together. A record's place in the order of deletion is worked out once, and each
+    level is a limit on it: what ``delete`` keeps."""
+    digest = digest or (lambda *parts: F.sha2(F.concat_ws("|", *parts), 256))
+    block = F.expr(f"(`{t}` - pmod(`{t}`, {BLOCK_S * per_second}L)) div {BLOCK_S * per_second}L")
+    rows = raw.withColumn("\0block", block)
+    blocks = rows.groupBy(key, "\0block").agg(F.count("*").alias("\0n"))
+    blocks = blocks.withColumn("\0order", digest(F.lit(str(seed)), F.lit("block"), F.col(key), F.col("\0block").cast("string")))
+    every = Window.partitionBy(key)
+    before = every.orderBy("\0order", "\0block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(key, "\0block", F.coalesce(F.sum("\0n").over(before), F.lit(0)).alias("\0before"), F.sum("\0n").over(every).alias("\0total"))
+    own = digest(F.lit(str(seed)), F.lit("record"), F.col(key), F.col(seq).cast("string"))
+    placed = rows.withColumn("\0place", F.row_number().over(Window.partitionBy(key, "\0block").orderBy(own, seq)))
+    met = placed.join(blocks, [key, "\0block"])
+    gone = lambda c: F.expr(f"`\0total` - (`\0total` * {c.num}) div {c.den}")
+    kept = [F.when(F.col("\0before") + F.col("\0place") > gone(c), F.lit(100 * c.num // c.den)) for c in steps]
+    return met.withColumn("level", F.explode(F.filter(F.array(*kept), lambda x: x.isNotNull()))).select(*raw.columns, "level")

@@ -352,8 +352,7 @@ def instance_counts(spark, sf):
 
 
 TICK_LINE = f"SELECT source, t0 // {TICK} AS t0, t1 // {TICK} AS t1, verdict, reason FROM ({LINE}) WHERE t0 // {TICK} < t1 // {TICK}"
-POOL = [str(i) for i in range(8)]
-HIDDEN = f"SELECT u, w.t0 AS k, greatest(w.t0, w.t1 - 1) AS hi FROM ({islands_sql(f'SELECT source, t0, t1 FROM ({TICK_LINE}) WHERE source = {chr(39)}error{chr(39)} AND verdict <> {chr(39)}LIVE{chr(39)}', 'source', '')}) w, (SELECT unnest({POOL}) AS u)"
+HIDDEN = f"SELECT u, w.t0 AS k, greatest(w.t0, w.t1 - 1) AS hi FROM ({islands_sql(f'SELECT source, t0, t1 FROM ({TICK_LINE}) WHERE source = {chr(39)}error{chr(39)} AND verdict <> {chr(39)}LIVE{chr(39)}', 'source', '')}) w, (SELECT DISTINCT u FROM ax)"
 P_MAX = f"""{P_MIN}, hidden AS ({HIDDEN}), escalated_max AS (SELECT u, k FROM escalated UNION SELECT u, k FROM hidden),
  span AS (SELECT e.u, e.k, coalesce(min(h.k), e.k) AS lo, coalesce(max(h.hi), e.k) AS hi FROM escalated_max e LEFT JOIN hidden h ON h.u = e.u AND h.k = e.k AND NOT EXISTS (SELECT 1 FROM escalated o WHERE o.u = e.u AND o.k = e.k) GROUP BY e.u, e.k),
  bought_max AS (SELECT u, k FROM bought UNION SELECT p.u, p.k FROM span s JOIN ax p ON p.source = 'purchase' AND p.u = s.u AND greatest(p.k - s.hi, 1) <= least(p.k - s.lo, 1800))"""
@@ -361,10 +360,8 @@ P_MAX = f"""{P_MIN}, hidden AS ({HIDDEN}), escalated_max AS (SELECT u, k FROM es
 
 @query("fixpoint_pmax", f"{P_MAX} SELECT 'session' AS predicate, u AS entity, k AS tick FROM session UNION ALL SELECT 'browsing', u, k FROM browsing UNION ALL SELECT 'escalated', u, k FROM escalated_max UNION ALL SELECT 'bought', u, k FROM bought_max")
 def fixpoint_pmax(spark, sf):
-    """P_min, and the escalations that blind error logs may have hidden for the declared users."""
-    ticks = written(line(spark, sf).select("source", F.expr(f"t0 div {TICK}").alias("t0"), F.expr(f"t1 div {TICK}").alias("t1"), "verdict", "reason").where("t0 < t1"))
-    pools = spark.createDataFrame([("user", u) for u in POOL], "kind string, entity_id string")
-    found = fixpoint.envelope(p_min(spark, sf), table_of_rules(), ticks, pools).facts.where(~F.col("predicate").isin(*AXIOMS))
+    """P_min, and the escalations that blind error logs may have hidden for any user whom an event names."""
+    found = fixpoint.envelope(p_min(spark, sf), table_of_rules(), tick_line(spark, sf), users(spark, sf)).facts.where(~F.col("predicate").isin(*AXIOMS))
     return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
 
 
@@ -378,16 +375,14 @@ def tick_line(spark, sf, events: DataFrame | None = None) -> DataFrame:
     return written(ticks.where("t0 < t1"))
 
 
-ALL_HIDDEN = HIDDEN.replace(f"(SELECT unnest({POOL}) AS u)", "(SELECT DISTINCT u FROM ax)")
-P_MAX_USERS = P_MAX.replace(HIDDEN, ALL_HIDDEN)
+P_MAX_USERS = P_MAX
 MAX_ROWS = "SELECT 'session' AS predicate, u AS entity, k AS tick FROM session UNION ALL SELECT 'browsing', u, k FROM browsing UNION ALL SELECT 'escalated', u, k FROM escalated_max UNION ALL SELECT 'bought', u, k FROM bought_max"
 
 
 @query("fixpoint_pmax_users", f"{P_MAX_USERS} {MAX_ROWS}")
 def fixpoint_pmax_users(spark, sf):
-    """As fixpoint_pmax, with hidden steps of every user instead of eight."""
-    found = fixpoint.envelope(p_min(spark, sf), table_of_rules(), tick_line(spark, sf), users(spark, sf)).facts.where(~F.col("predicate").isin(*AXIOMS))
-    return found.select("predicate", F.element_at("args", 1).alias("entity"), "tick")
+    """fixpoint_pmax by the name that it had while that one took eight users only."""
+    return fixpoint_pmax(spark, sf)
 
 
 # The same programs where an absence counts only if the rule's producing source was LIVE through its whole window.
@@ -649,6 +644,16 @@ def corridors(spark, sf):
     return named.join(held_corridors(high), "fact_id").select("predicate", "entity", "tick", F.array_join(F.transform("masks", lambda m: m.cast("string")), ",").alias("masks"))
 
 
+@query("containment_dark", f"""WITH whole AS ({P_MIN} {FACT_ROWS}), high AS ({darkened(f"{P_MAX_USERS} {MAX_ROWS}")})
+ SELECT w.predicate, count(*) AS n, count_if(h.tick IS NULL) AS missing FROM whole w LEFT JOIN high h ON h.predicate = w.predicate AND h.entity = w.entity AND h.tick = w.tick GROUP BY w.predicate""")
+def containment_dark(spark, sf):
+    """Of the facts of P_min over the whole telemetry, how many P_max over the dark one lacks: what was deleted at known
+    instants doesn't come back as a hidden step of another instant."""
+    lost = fixpoint.missing_from(p_min(spark, sf), all_absences(spark, sf, dark(spark, sf))[1])
+    facts = derived(p_min(spark, sf)).withColumn("id", fixpoint.fact_id(F.col("predicate"), F.array("entity"), F.col("tick")))
+    return facts.join(lost.withColumn("lost", F.lit(True)), "id", "left").groupBy("predicate").agg(F.count("*").alias("n"), F.count_if("lost").alias("missing"))
+
+
 @query("program_axioms", f"SELECT source AS predicate, count(*) AS n FROM ({AX}) GROUP BY source")
 def program_axioms(spark, sf):
     """Facts that no instance with a body supports: those of events."""
