@@ -40,21 +40,77 @@ from .common import mix, skewed_left_join
 #: language, what splits pieces, the language of a null.
 LONGEST, LEAST, FACTOR, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
 SPLITS, NO_LANG = b".,;:!?\n\x0b\x0c\r", "und"
-#: Entries that a task holds before it hands them on, eight times the tokens that it works on at once, next words in a part.
-HELD, CHUNK, PART = 2_000_000, 4_000_000, 65_536
+#: Entries that a task holds before it hands them on, bytes of text that it works on at once, next words in a part.
+HELD, CHUNK, PART = 2_000_000, 6_000_000, 65_536
 LEAST_BITS, MOST_BITS = 20, 28
 #: A byte that no UTF-8 text has marks the end of a piece.
 _END = b"\xff"
-_PLAIN = bytes(0xFF if b in SPLITS else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_PLAIN = bytes(0xFF if b in SPLITS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: A stripe on its way: next words with blanks between, their counts as 64-bit integers.
 STRIPE = "lang string, prefix string, part int, total long, nexts string, counts binary"
 MERGED = "lang string, prefix string, part int, total long, nexts array<string>, counts array<long>"
 NAMES = ["lang", "prefix", "part", "total", "nexts", "counts"]
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words in order, with a mark after every piece."""
-    return text.translate(_PLAIN).replace(_END, b" \xff ").split() + [_END]
+class Tokens:
+    """The words of some texts in order, with a mark after every piece, as places in a list of the distinct ones."""
+
+    def __init__(self, docs: list[tuple[str, bytes]]):
+        self.names = list(dict.fromkeys(lang for lang, _ in docs))
+        number = {lang: k for k, lang in enumerate(self.names)}
+        parts = pc.split_pattern(pa.array([text.translate(_PLAIN).replace(_END, b" \xff ") + b" \xff" for _, text in docs], pa.binary()), b" ")
+        coded = parts.flatten().dictionary_encode()
+        self.distinct = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        langs = np.repeat(np.array([number[lang] for lang, _ in docs], np.int64), np.diff(parts.offsets.to_numpy()))
+        words = np.array([w != b"" for w in self.distinct], bool)[codes]  # blanks in a row have nothing between
+        self.codes, self.langs = codes[words], langs[words]
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def _spread(self, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct (language, word) pairs of a stretch, as one number each, and for each word the place of its pair."""
+        pairs = self.langs[at:to] * len(self.distinct) + self.codes[at:to]
+        many = len(self.names) * len(self.distinct)
+        if many > 16 * len(pairs) + (1 << 20):
+            return np.unique(pairs, return_inverse=True)
+        used = np.zeros(many, bool)
+        used[pairs] = True
+        found = np.nonzero(used)[0]
+        table = np.zeros(many, np.int64)
+        table[found] = np.arange(len(found))
+        return found, table[pairs]
+
+    def _named(self, pairs: np.ndarray):
+        size = len(self.distinct)
+        return ((self.names[x // size], self.distinct[x % size]) for x in pairs.tolist())
+
+    def counts(self):
+        """(language, word, n) of the words, without marks."""
+        found, where = self._spread(0, len(self))
+        for (lang, word), n in zip(self._named(found), np.bincount(where, minlength=len(found)).tolist()):
+            if word != _END:
+                yield lang, word, n
+
+    def places(self, at: int, to: int, place) -> np.ndarray:
+        """``place(language, word)`` of the words from ``at`` to ``to``, asked once for each distinct one; 0 for a mark."""
+        found, where = self._spread(at, to)
+        return np.array([0 if word == _END else place(lang, word) for lang, word in self._named(found)], np.int64)[where]
+
+
+def chunks(batches, size: int):
+    """Texts as Tokens, ``size`` bytes or a longer text at once."""
+    waiting, held = [], 0
+    for batch in batches:
+        for lang, text in zip(batch.column(0), batch.column(1)):
+            waiting.append((lang.as_py(), text.as_py()))
+            held += len(waiting[-1][1])
+            if held > size:
+                yield Tokens(waiting)
+                waiting, held = [], 0
+    if waiting:
+        yield Tokens(waiting)
 
 
 def extended(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -75,23 +131,11 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
 
 
-class Words(dict):
-    """Word of one language -> place in ``text`` and ``hashes``; a new word gets the next place."""
-
-    def __init__(self, lang: str, text: list[bytes], hashes: list[int]):
-        super().__init__({_END: 0})
-        self.lang, self.text, self.hashes = lang, text, hashes
-
-    def __missing__(self, word):
-        self[word] = place = len(self.text)
-        self.text.append(word)
-        self.hashes.append(word_hash(self.lang, word))
-        return place
-
-
 def word_totals(docs: DataFrame) -> DataFrame:
     """lang, word, n of all words. ``docs``: lang and text."""
 
+    chunk = CHUNK
+
     def run(batches):
         held: dict[str, Counter] = {}
 
@@ -100,12 +144,11 @@ def word_totals(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
             held.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = held.setdefault(lang, Counter())
-                counts.update(text.translate(_PLAIN).replace(_END, b" ").split())
-                if sum(map(len, held.values())) > HELD // 3:
-                    yield from out()
+        for tokens in chunks(batches, chunk):
+            for lang, word, n in tokens.counts():
+                held.setdefault(lang, Counter())[word] += n
+            if sum(map(len, held.values())) > HELD // 3:
+                yield from out()
         yield from out()
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -161,26 +204,27 @@ class Stripes:
     def reset(self) -> None:
         self.text: list[bytes] = [b""]
         self.hashes: list[int] = [0]
-        self.langs: dict[str, Words] = {}
+        self.lang_of: list[str] = [""]
+        self.place: dict[tuple[str, bytes], int] = {}
         self.number: dict[int, int] = {}
         self.raw: list[np.ndarray] = []
         self.waiting = 0
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, pieces: list[tuple[str, list[bytes], int]]) -> None:
-        """``pieces``: language, tokens, and how many of these count as the start of a phrase."""
-        listed: list[int] = []
-        ahead: list[int] = []
-        for lang, found, counted in pieces:
-            words = self.langs.get(lang)
-            if words is None:
-                words = self.langs[lang] = Words(lang, self.text, self.hashes)
-            ahead.extend(range(len(listed) + counted, len(listed) + len(found)))
-            listed.extend(map(words.__getitem__, found))
-        ids = np.array(listed + [0] * LONGEST, np.int64)
-        starts = np.ones(len(ids), bool)
-        starts[ahead] = False
-        del listed
+    def place_of(self, lang: str, word: bytes) -> int:
+        held = self.place.get((lang, word))
+        if held is None:
+            held = self.place[lang, word] = len(self.text)
+            self.text.append(word)
+            self.hashes.append(word_hash(lang, word))
+            self.lang_of.append(lang)
+        return held
+
+    def add(self, tokens: Tokens, at: int, count: int) -> None:
+        """Count the phrases that start at the ``count`` words from ``at`` on; they may end in the words behind."""
+        here = tokens.places(at, at + count + LONGEST - 1, self.place_of)
+        ids = np.append(here, np.zeros(LONGEST, np.int64))
+        starts = np.arange(len(ids)) < count
         own = np.array(self.hashes, np.uint64)[ids]
         h = extended(np.zeros(len(ids), np.uint64), own)
         ok = (ids > 0) & _holds(*self.known[0], h)
@@ -231,11 +275,8 @@ class Stripes:
                 order = np.lexsort((nexts, part, code))
                 code, nexts, part, counts, places = code[order], nexts[order], part[order], counts[order], [p[order] for p in places]
         starts = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))[0]
-        lang_of = np.zeros(len(self.text), np.int32)
-        for k, words in enumerate(self.langs.values()):
-            lang_of[np.fromiter(words.values(), np.int64, len(words))] = k
         text = pa.array(self.text, pa.binary()).cast(pa.string())
-        langs = pa.array(list(self.langs), pa.string())
+        langs = pa.array(self.lang_of, pa.string())
         for k in range(0, len(starts), 50_000):
             here = starts[k : k + 50_000]
             stop = starts[k + 50_000] if k + 50_000 < len(starts) else len(code)
@@ -244,7 +285,7 @@ class Stripes:
             offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(here - here[0], stop - here[0])].astype(np.int32)
             packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[inside][entry].tobytes())])
             yield pa.RecordBatch.from_arrays([
-                langs.take(pa.array(lang_of[places[0][here]])),
+                langs.take(pa.array(places[0][here])),
                 pc.binary_join_element_wise(*[text.take(pa.array(p[here])) for p in places], " "),
                 pa.array(part[here], pa.int32()),
                 pa.array(np.where(nexts[here] > 0, 0, counts[here])),
@@ -258,22 +299,14 @@ def stripes(docs: DataFrame, level: int, known: list, wide, parts: int) -> DataF
     shared, most, chunk = docs.sparkSession.sparkContext.broadcast((known, wide)), HELD, CHUNK
 
     def run(batches):
-        held, waiting, size = Stripes(level, *shared.value, parts, most), [], 0
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                found = tokens(text.as_py())
-                # A long text goes in stretches that see the words after them, so none brings a task too many words.
-                for at in range(0, len(found), chunk // 8):
-                    waiting.append((lang.as_py(), found[at : at + chunk // 8 + LONGEST - 1], chunk // 8))
-                    size += min(len(found) - at, chunk // 8)
-                    if size > chunk // 8:
-                        held.add(waiting)
-                        waiting, size = [], 0
-                        if held.full():
-                            yield from held.out()
-                            held.reset()
-        if waiting:
-            held.add(waiting)
+        held = Stripes(level, *shared.value, parts, most)
+        for tokens in chunks(batches, chunk):
+            # A long text goes in stretches that see the words after them, so none brings a task too many words.
+            for at in range(0, len(tokens), chunk // 4):
+                held.add(tokens, at, chunk // 4)
+                if held.full():
+                    yield from held.out()
+                    held.reset()
         yield from held.out()
 
     return docs.mapInArrow(run, STRIPE)
