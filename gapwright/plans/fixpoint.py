@@ -218,61 +218,84 @@ class Caps:
     bindings: int | None = None
 
 
+def strata(rules: list[Rule]) -> list[list[Rule]] | None:
+    """Rules in layers: whatever a rule reads, matched or missed, is made by layers before its own. None where a predicate
+    hangs on itself."""
+    reads = {r.rule_id: {p.predicate for p in r.body} | ({r.temporal["of"].predicate} if r.temporal and r.temporal["op"] == "absence" else set()) for r in rules}
+    left, layers = list(rules), []
+    while left:
+        open_ = {r.head.predicate for r in left}
+        ready = [r for r in left if not reads[r.rule_id] & open_]
+        if not ready:
+            return None
+        layers.append(ready)
+        left = [r for r in left if r not in ready]
+    return layers
+
+
 def saturate(facts: DataFrame, rules: list[Rule], instances: DataFrame | None = None, absence: Callable | None = None, max_rounds: int = MAX_ROUNDS, caps: Caps | None = None, extra: DataFrame | None = None) -> Program:
     """Close ``facts`` (and ``instances``) under the detect rules; the heads of obligations are for ``envelope``.
     ``absence(windows, sources)`` gives each window's status; without it a missing record is taken as an absence.
-    ``extra``: instances beside a program that is closed already, so that only what they add starts the first round.
+    ``extra``: instances beside a program that is closed already, so that only what they add is followed up.
 
-    A round writes what it adds, facts and instances, and known facts are read again. They are written again only in a
-    round in which an instance supports a fact that was licensed, since its span or its licence may end there."""
+    Rules in layers are evaluated once each, a round for a layer; a table whose predicates hang on themselves goes round
+    until a round adds nothing. A round writes what it adds, facts and instances, and known facts are read again. They are
+    written again only in a round in which an instance supports a fact that was licensed, since its span or its licence
+    may end there."""
     refuse_kinds(rules)
     spark = facts.sparkSession
     caps = caps or Caps(max_rounds)
     met: list[str] = []
     detect = [r for r in rules if r.kind == "detect"]
+    layers = strata(detect)
     if extra is not None:
         grown = written(merged_facts(facts, extra, fresh=True))
-        parts, delta = [grown.drop("fresh")], grown.where("fresh").drop("fresh")
-        present = {r.predicate for r in delta.select("predicate").distinct().collect()}  # a few dozen names at most
+        parts, fresh = [grown.drop("fresh")], [grown.where("fresh").drop("fresh")]
+        present = {r.predicate for r in fresh[0].select("predicate").distinct().collect()}  # a few dozen names at most
         found = [instances.unionByName(extra)]
     else:
-        parts = [written(facts if instances is None else merged_facts(facts, instances))]
-        delta, present = parts[0], None
+        parts, fresh, present = [written(facts if instances is None else merged_facts(facts, instances))], [], None
         found = [spark.createDataFrame([], INSTANCES) if instances is None else instances]
     free = extra is not None or instances is not None or not parts[0].where("licensed").isEmpty()
-    rounds, made = 0, 0
-    if caps.instances is not None:
-        made = found[0].count()
-    while True:
+    rounds, made, layer = 0, found[0].count() if caps.instances is not None else 0, 0
+    while layers is None or layer < len(layers):
         known, new, heads = functools.reduce(DataFrame.unionByName, parts), None, set()
-        for rule in detect:
-            # All facts are new in a first round, so one pivot finds everything.
-            pivots = [0] if present is None else [k for k, p in enumerate(rule.body) if p.predicate in present]
-            for pivot in pivots:
+        # Where all facts are new to a rule, one pivot finds everything.
+        delta = known if present is None else functools.reduce(DataFrame.unionByName, fresh)
+        for rule in detect if layers is None else layers[layer]:
+            for pivot in [0] if present is None else [k for k, p in enumerate(rule.body) if p.predicate in present]:
                 got = derive(rule, known, delta, pivot, absence, free)
                 new = got if new is None else new.unionByName(got)
                 heads.add(rule.head.predicate)
-        if new is None:
-            break
-        new = new.dropDuplicates(["instance_id"])
-        if present is None and instances is not None:
-            new = new.join(instances.select("instance_id"), "instance_id", "left_anti")
-        # Later on an instance has a fact of the last round in its body, so no earlier round can have made it.
-        new = written(new)
-        n = new.count()
+        layer += 1
+        if new is not None:
+            new = new.dropDuplicates(["instance_id"])
+            if present is None and instances is not None:
+                new = new.join(instances.select("instance_id"), "instance_id", "left_anti")
+            # Elsewhere an instance has a new fact in its body, or a rule's only turn makes it: nothing comes twice.
+            new = written(new)
+        n = 0 if new is None else new.count()
         if not n:
-            break
+            if layers is None:
+                break
+            continue
         rounds, made = rounds + 1, made + n
         found.append(new)
         changed = free and not new.select(F.col("head").alias("fact_id")).join(known.where("licensed").select("fact_id"), "fact_id", "left_semi").isEmpty()
         if changed:
             grown = written(merged_facts(known, new, fresh=True))
-            parts, delta = [grown.drop("fresh")], grown.where("fresh").drop("fresh")
+            parts, latest = [grown.drop("fresh")], grown.where("fresh").drop("fresh")
+            if fresh and layers is not None:
+                # What was new before may have lost its licence since.
+                fresh = [written(parts[0].join(functools.reduce(DataFrame.unionByName, fresh).select("fact_id"), "fact_id", "left_semi"))]
         else:
             none = spark.createDataFrame([], FACTS)
-            delta = written(merged_facts(none, new).join(known.select("fact_id"), "fact_id", "left_anti"))
-            parts = [*parts, delta]
-        present = heads
+            latest = written(merged_facts(none, new).join(known.select("fact_id"), "fact_id", "left_anti"))
+            parts = [*parts, latest]
+        if layers is None:
+            fresh, present = [latest], heads
+        elif present is not None:
+            fresh, present = [*fresh, latest], present | heads
         met = [name for name, most, have in (("rounds", caps.rounds, rounds), ("instances", caps.instances, made), ("facts", caps.facts, None if caps.facts is None else functools.reduce(DataFrame.unionByName, parts).count())) if most is not None and have >= most]
         if met:
             break
