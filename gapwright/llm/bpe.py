@@ -1,7 +1,7 @@
 """Byte-level BPE through a table of distinct words.
 
-1. Split. Spark cuts texts into words (a word carries the blank before it) where the tokenizer's own pre-tokenizer always
-   cuts, and counts them: one row a distinct word.
+1. Split. Spark's tasks cut texts into words (a word carries the blank before it) where the tokenizer's own pre-tokenizer
+   always cuts, by Arrow's kernels and a batch at once, and Spark adds their counts up: one row a distinct word.
 2. Encode. Every distinct word is encoded once, into a written table.
 3. Join back. The most frequent words (at most HEAD of them and HEAD_BYTES bytes: a checked broadcast) become numbers in
    the tasks that split a document. Only its other words leave them, as rows of (text, place among its rare words, word)
@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -37,31 +38,46 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..session import Scratch, ship
 from .tokens import encoder
 
-#: The head: words, and their bytes, at most. Rows that are put together at once.
-HEAD, HEAD_BYTES, SLICE = 1 << 20, 64 << 20, 512
+#: The head: words, and their bytes, at most. Rows that are split, and that are put together, at once.
+HEAD, HEAD_BYTES, PART, SLICE = 1 << 21, 64 << 20, 4096, 512
 #: What stands behind a blank that isn't cut: white space of any Unicode version, so the cut holds in all of them.
-_WHITE = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
-_LATIN = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+_WHITE = "\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
+_LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
 #: A blank before a visible character, and the place between a Latin letter and a mark that stands alone behind it.
 _CUTS = rf"(?= [^{_WHITE}])|(?<=[{_LATIN}])(?=[.,;:])"
 #: Texts in which some blank isn't cut, or that hold the sign that marks cuts in the others.
-_UNEVEN = rf" (?:\z|[{_WHITE}])|\x00"
+_UNEVEN = rf" (?:\z|[{_WHITE}])"
+_MARK = "\0"
 WORDS = "word string, n long, ids array<int>"
 
 
-def split_words(text: Column, tokenizer: str) -> Column:
-    """The words of a text, which put together are the text. Where no cut is known to be sound it is one word."""
+def split_words(texts: pa.Array, specials: tuple[str, ...] | None) -> pa.ListArray:
+    """The words of each text, which put together are the text; none for a null or empty one. ``specials``: strings that a
+    text must not hold to be cut; None where no cut is known to be sound, and every text is one word."""
+    texts = pc.fill_null(texts, "")
+    odd = pa.array(np.ones(len(texts), bool)) if specials is None else pc.or_(pc.match_substring_regex(texts, _UNEVEN), pc.match_substring(texts, _MARK))
+    for special in specials or ():
+        odd = pc.or_(odd, pc.match_substring(texts, special))
+    marked = pc.replace_substring_regex(pc.replace_substring(texts, " ", _MARK + " "), f"([{_LATIN}])([.,;:])", rf"\1{_MARK}\2")
+    parts = pc.split_pattern(marked, _MARK)
+    words, offsets = parts.flatten(), parts.offsets.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    kept = pc.and_(pc.not_equal(words, ""), pc.invert(odd.take(pa.array(owner)))) if len(owner) else pa.array([], pa.bool_())
+    counts = np.bincount(owner[kept.to_numpy(zero_copy_only=False)], minlength=len(texts))
+    plain = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), words.filter(kept))
+    uneven = np.nonzero(odd.to_numpy(zero_copy_only=False))[0]
+    if not len(uneven):
+        return plain
+    # The others are few as a rule: each is cut by its blanks one by one, or stays whole.
+    cut = [[x] if x and (specials is None or any(k in x for k in specials)) else [w for w in re.split(_CUTS, x) if w] for x in texts.take(pa.array(uneven)).to_pylist()]
+    place = np.arange(len(texts))
+    place[uneven] = len(texts) + np.arange(len(uneven))
+    return pa.concat_arrays([plain, pa.array(cut, pa.list_(pa.string()))]).take(pa.array(place))
+
+
+def specials_of(tokenizer: str) -> tuple[str, ...] | None:
     enc = encoder(tokenizer)
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    whole = F.array(text)
-    words = whole
-    if enc.kind == "blank":
-        # Most texts are cut at every blank: a mark before each, and before the marks behind letters, is quicker to split.
-        marked = F.regexp_replace(F.replace(text, F.lit(" "), F.lit("\0 ")), f"([{_LATIN}])([.,;:])", "$1\0$2")
-        words = F.when(text.rlike(_UNEVEN), F.split(text, _CUTS)).otherwise(F.split(F.ltrim(marked, F.lit("\0")), "\0"))
-        for special in enc.specials:
-            words = F.when(text.contains(special), whole).otherwise(words)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(words)
+    return tuple(enc.specials) if enc.kind == "blank" else None
 
 
 @functools.cache
@@ -144,9 +160,17 @@ def decoded(words: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, ids), a row a distinct word. docs: a column ``words``."""
-    counted = docs.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return encoded(counted, tokenizer)
+    """(word, n, ids), a row a distinct word. docs: ``text``. A task counts the words of a batch before they leave it."""
+    specials = specials_of(tokenizer)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, PART):
+                counted = pc.value_counts(split_words(b.column(0).slice(at, PART), specials).flatten())
+                yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "word string, n long")
+    return encoded(rows.groupBy("word").agg(F.sum("n").alias("n")), tokenizer)
 
 
 def head_cut(words: DataFrame, most: int, most_bytes: int) -> int:
@@ -173,12 +197,12 @@ class Head:
         self.words, self.ids, self.pieces = one("word"), one("ids"), one("piece")
 
 
-def _numbered(batch, head: Head, at: int):
-    """Of each row of a batch whose column ``at`` is its words: numbers in the head, or from len(head) on the place among
-    its own rare words; these; and the text's key."""
+def _numbered(texts: pa.Array, head: Head, specials):
+    """Of each text: numbers of its words in the head, or from len(head) on the place among its own rare words; these; and
+    the text's key."""
     import xxhash
 
-    column = batch.column(at)
+    column = split_words(texts, specials)
     flat = column.flatten()
     offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
     found = pc.index_in(flat, value_set=head.words)
@@ -191,14 +215,10 @@ def _numbered(batch, head: Head, at: int):
     for k, (row, word) in enumerate(zip(owner.tolist(), rare_words)):
         places = per_row.setdefault(row, {})
         numbers[rare[k]] = size + places.setdefault(word, len(places))
-    ends = np.frombuffer(flat.buffers()[1], np.int32)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int32)
-    data = flat.buffers()[2]
-    view = memoryview(data) if data is not None else memoryview(b"")
-    for row in range(batch.num_rows):
-        a, b = offsets[row], offsets[row + 1]
+    for row in range(len(texts)):
         own = per_row.get(row)
-        key = xxhash.xxh3_128_digest(view[ends[a] : ends[b]])[:12] if own else None
-        yield row, numbers[a:b], own, key
+        key = xxhash.xxh3_128_digest(texts[row].as_py().encode())[:12] if own else None
+        yield numbers[offsets[row] : offsets[row + 1]], own, key
 
 
 _CODEC = "zstd"
@@ -215,32 +235,35 @@ def unsqueeze_ints(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
-def rare_rows(docs: DataFrame, shared) -> DataFrame:
+def rare_rows(docs: DataFrame, tokenizer: str, shared) -> DataFrame:
     """(key, place, word): the words of each text that aren't in the head."""
+    specials = specials_of(tokenizer)
 
     def run(batches):
         head = shared.value
         for b in batches:
-            rows = [(key, j, w) for _, _, own, key in _numbered(b, head, 1) if own for w, j in own.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.string()))], names=["key", "place", "word"])
+            for at in range(0, b.num_rows, PART):
+                rows = [(key, j, w) for _, own, key in _numbered(b.column(1).slice(at, PART), head, specials) if own for w, j in own.items()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.string()))], names=["key", "place", "word"])
 
     return docs.mapInArrow(run, "key binary, place int, word string")
 
 
-def numbered(docs: DataFrame, shared) -> DataFrame:
+def numbered(docs: DataFrame, tokenizer: str, shared) -> DataFrame:
     """(key, doc_id, codes): documents as numbers. Those without rare words have keys that no other row has."""
-    id_field = docs.schema["doc_id"]
+    id_field, specials = docs.schema["doc_id"], specials_of(tokenizer)
 
     def run(batches):
         head, task, n = shared.value, TaskContext.get().partitionId(), 0
         for b in batches:
-            keys, codes = [], []
-            for _, numbers, own, key in _numbered(b, head, 1):
-                n += 1
-                keys.append(key if own else b"no rare words %d:%d" % (task, n))
-                codes.append(squeeze_ints(numbers))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0), pa.array(codes, pa.binary())], names=["key", "doc_id", "codes"])
+            for at in range(0, b.num_rows, PART):
+                keys, codes = [], []
+                for numbers, own, key in _numbered(b.column(1).slice(at, PART), head, specials):
+                    n += 1
+                    keys.append(key if own else b"no rare words %d:%d" % (task, n))
+                    codes.append(squeeze_ints(numbers))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column(0).slice(at, PART), pa.array(codes, pa.binary())], names=["key", "doc_id", "codes"])
 
     return docs.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), id_field, T.StructField("codes", T.BinaryType())]))
 
@@ -291,14 +314,14 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark)
-    split = docs.select(F.col(f"`{id_col}`").alias("doc_id"), split_words(F.col(f"`{text_col}`"), tokenizer).alias("words"))
-    table = scratch.put("words", word_table(split, tokenizer))
+    asked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    table = scratch.put("words", word_table(asked, tokenizer))
     cut = head_cut(table, head, head_bytes)
     frequent = table.where(F.col("n") >= cut)
     shared = spark.sparkContext.broadcast(Head(decoded(frequent, tokenizer).toArrow()))  # bounded by head_cut
-    met = rare_rows(split, shared).join(table.where(F.col("n") < cut).select("word", "ids"), "word")
+    met = rare_rows(asked, tokenizer, shared).join(table.where(F.col("n") < cut).select("word", "ids"), "word")
     answers = met.groupBy("key").agg(F.collect_set(F.struct("place", "ids")).alias("answers"))
-    return put_together(numbered(split, shared).join(answers, "key", "left").select("doc_id", "codes", "answers"), tokenizer, shared)
+    return put_together(numbered(asked, tokenizer, shared).join(answers, "key", "left").select("doc_id", "codes", "answers"), tokenizer, shared)
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", out: str = "text") -> DataFrame:

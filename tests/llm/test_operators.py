@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -235,13 +236,16 @@ def test_bpe_query(spark):
 
 def test_bpe_words(spark):
     """Words put together are the text; the table has each once; the head stays within both bounds."""
-    docs = documents(spark).select("doc_id", "text", bpe.split_words(F.col("text"), BYTE).alias("words"))
-    assert all("".join(r.words) == (r.text or "") for r in docs.collect())
+    docs = documents(spark)
+    texts = [r.text for r in docs.collect()]
+    split = bpe.split_words(pa.array(texts, pa.string()), bpe.specials_of(BYTE)).to_pylist()
+    assert all("".join(words) == (text or "") and "" not in words for words, text in zip(split, texts))
+    assert bpe.split_words(pa.array(["a b", "", None]), None).to_pylist() == [["a b"], [], []]
     table = bpe.word_table(docs, BYTE).collect()
     assert len({r.word for r in table}) == len(table)
     pieces = {r.word: bytes(r.piece).decode() for r in bpe.decoded(spark.createDataFrame(table), BYTE).collect()}
     assert all(pieces[r.word] == r.word for r in table)
-    assert {r.word: r.n for r in table} == collections.Counter(w for r in docs.collect() for w in r.words)
+    assert {r.word: r.n for r in table} == collections.Counter(w for words in split for w in words)
     held = spark.createDataFrame(table)
     for most, size in ((5, 10**9), (10**9, 200), (0, 10**9), (10**9, 10**9)):
         head = [r for r in table if r.n >= bpe.head_cut(held, most, size)]
