@@ -39,7 +39,7 @@ from ..session import Scratch, ship
 from .tokens import encoder
 
 #: The head: words, and their bytes, at most. Rows that are split, and that are put together, at once.
-HEAD, HEAD_BYTES, PART, SLICE = 1 << 21, 64 << 20, 4096, 512
+HEAD, HEAD_BYTES, PART, SLICE = 1 << 20, 64 << 20, 4096, 512
 #: What stands behind a blank that isn't cut: white space of any Unicode version, so the cut holds in all of them.
 _WHITE = "\x09-\x0D\x1C-\x20\x85\xA0\u1680\u180E\u2000-\u200B\u2028\u2029\u202F\u205F\u2060\u3000\uFEFF"
 _LATIN = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
