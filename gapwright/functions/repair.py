@@ -4,7 +4,6 @@ non-decreasing subsequences, minimum vertex covers and difference constraints.""
 from __future__ import annotations
 
 from bisect import bisect_right
-from itertools import combinations
 
 
 def longest_nondecreasing(values: list[int]) -> list[int]:
@@ -31,22 +30,52 @@ def corrections(values: list[int]) -> list[int]:
     return [i for i in range(len(values)) if i not in kept]
 
 
+def stripped(graph: dict, gone: set) -> dict:
+    """The graph without some nodes."""
+    return {v: near - gone for v, near in graph.items() if v not in gone}
+
+
+def cover_size(graph: dict, most: int | None = None) -> int:
+    """The size of a smallest vertex cover, or ``most`` if there is none below it. A leaf's neighbour goes in; else the
+    node with most neighbours goes in, or all of them; a maximal matching bounds what is left from below."""
+    size = 0
+    most = len(graph) if most is None else most
+    while (leaf := next((v for v, near in graph.items() if len(near) == 1), None)) is not None:
+        graph = stripped(graph, set(graph[leaf]))
+        size += 1
+    free, bound = set(), size
+    for u, near in graph.items():
+        v = None if u in free else next((v for v in near if v not in free), None)
+        if v is not None:
+            free |= {u, v}
+            bound += 1
+    if bound == size or bound >= most:
+        return min(bound, most)
+    top = max(graph, key=lambda v: len(graph[v]))
+    best = size + 1 + cover_size(stripped(graph, {top}), most - size - 1)
+    near = set(graph[top])
+    return min(best, size + len(near) + cover_size(stripped(graph, near), min(most, best) - size - len(near)))
+
+
 def vertex_cover(edges: list[tuple], cap: int = 64) -> tuple[list, bool]:
     """(cover, exact): the first minimum cover by order of its vertices, or, over ``cap`` vertices, a greedy one."""
     edges = sorted({tuple(sorted(e)) for e in edges})
     nodes = sorted({v for e in edges for v in e})
     if len(nodes) <= cap:
-        # A maximal matching bounds the size from below, and edges outside a prefix prune early.
-        free, bound = set(), 0
+        graph = {v: set() for v in nodes}
         for u, v in edges:
-            if u not in free and v not in free:
-                free |= {u, v}
-                bound += 1
-        for size in range(bound, len(nodes) + 1):
-            for chosen in combinations(nodes, size):
-                held = set(chosen)
-                if all(u in held or v in held for u, v in edges):
-                    return list(chosen), True
+            graph[u].add(v)
+            graph[v].add(u)
+        need, chosen = cover_size(graph), set()
+        for v in nodes:
+            if v in graph and graph[v]:
+                # v goes in if a smallest cover has it; else all its neighbours have to.
+                fits = cover_size(stripped(graph, {v})) == need - 1
+                taken = {v} if fits else set(graph[v])
+                chosen |= taken
+                need -= len(taken)
+                graph = stripped(graph, taken)
+        return sorted(chosen), True
     cover, left = [], list(edges)
     while left:
         degree = {v: sum(v in e for e in left) for e in left for v in e}
