@@ -75,13 +75,13 @@ def evidence_entities(spark, sf):
 
 # --- order constraints --------------------------------------------------------------------------------------------
 
-#: Planted: one record of 211 has its clock set back by three hours, and the reverse of one claim of 50 is claimed too.
+#: Planted: one record of 53 has its clock set back by three hours, and of claims over at most an hour one in five is claimed in reverse too.
 #: Clocks are known to 45 minutes, those of errors to two hours.
-SET_BACK = f"SELECT event_id, source, seq, CASE WHEN event_id % 211 = 7 THEN t - {3 * HOUR} ELSE t END AS t FROM ({S})"
+SET_BACK = f"SELECT event_id, source, seq, CASE WHEN event_id % 53 = 7 THEN t - {3 * HOUR} ELSE t END AS t FROM ({S})"
 CLOCK = HOUR // 4 * 3
 WITHIN = 24 * HOUR
-LEFT_RIGHT = f"SELECT l.event_id AS l, r.event_id AS r FROM ({E}) l JOIN ({E}) r ON l.user_id = r.user_id AND l.source = 'signup' AND r.source = 'purchase' AND r.t > l.t AND r.t <= l.t + {WITHIN}"
-PAIRS = f"SELECT l AS u, r AS v, {WITHIN} AS w FROM ({LEFT_RIGHT}) UNION SELECT r, l, -1 FROM ({LEFT_RIGHT}) UNION SELECT l, r, -1 FROM ({LEFT_RIGHT}) WHERE l % 50 = 3"
+LEFT_RIGHT = f"SELECT l.event_id AS l, r.event_id AS r, r.t - l.t AS gap FROM ({E}) l JOIN ({E}) r ON l.user_id = r.user_id AND l.source = 'signup' AND r.source = 'purchase' AND r.t > l.t AND r.t <= l.t + {WITHIN}"
+PAIRS = f"SELECT l AS u, r AS v, {WITHIN} AS w FROM ({LEFT_RIGHT}) UNION SELECT r, l, -1 FROM ({LEFT_RIGHT}) UNION SELECT l, r, -1 FROM ({LEFT_RIGHT}) WHERE l % 5 = 3 AND gap <= {HOUR}"
 #: Fixed value: layers of the SQL below, more than the rounds that any scale factor needs.
 LAYERS = 6
 
@@ -109,7 +109,7 @@ def conflicts_sql() -> str:
 
 def set_back(spark, sf) -> DataFrame:
     """(node, source, seq, t) with the planted clocks."""
-    return sequenced(telemetry(spark, sf)).select(F.col("event_id").alias("node"), "source", "seq", F.when(F.col("event_id") % 211 == 7, F.col("t") - 3 * HOUR).otherwise(F.col("t")).alias("t"))
+    return sequenced(telemetry(spark, sf)).select(F.col("event_id").alias("node"), "source", "seq", F.when(F.col("event_id") % 53 == 7, F.col("t") - 3 * HOUR).otherwise(F.col("t")).alias("t"))
 
 
 def claimed(spark, sf) -> DataFrame:
@@ -117,9 +117,9 @@ def claimed(spark, sf) -> DataFrame:
     e, span = telemetry(spark, sf).where("user_id IS NOT NULL"), F.expr(f"t div {WITHIN}")
     left = e.where("source = 'signup'").select(F.col("event_id").alias("left"), "user_id", F.col("t").alias("\0t"), F.explode(F.array(span, span + 1)).alias("day"))
     right = e.where("source = 'purchase'").select(F.col("event_id").alias("right"), "user_id", "t", span.alias("day"))
-    met = left.join(right, ["user_id", "day"]).where((F.col("t") > F.col("\0t")) & (F.col("t") <= F.col("\0t") + WITHIN))
-    pairs = ordering.rule_pairs(met.select("left", "right"), WITHIN)
-    return pairs.unionByName(pairs.where((F.col("w") > 0) & (F.col("u") % 50 == 3)).withColumn("w", F.lit(-1).cast("long")))
+    met = left.join(right, ["user_id", "day"]).withColumn("gap", F.col("t") - F.col("\0t")).where(f"gap > 0 AND gap <= {WITHIN}")
+    reverse = met.where(f"left % 5 = 3 AND gap <= {HOUR}").select(F.col("left").alias("u"), F.col("right").alias("v"), F.lit(-1).cast("long").alias("w"))
+    return ordering.rule_pairs(met.select("left", "right"), WITHIN).unionByName(reverse)
 
 
 @query("order_conflicts", conflicts_sql())
