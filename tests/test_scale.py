@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from gapwright.operators import temporal
+from gapwright.plans.queries import ORACLE_SQL, QUERIES
 
 
 def plan_of(df) -> str:
@@ -22,3 +23,38 @@ def test_disorder_has_no_frame_up_to_the_end(spark):
         want.append(knot)
         knot += all(max(times[: i + 1]) <= t for t in times[i + 1 :])
     assert [r.knot for r in got.orderBy("seq").collect()] == want
+
+
+def events_at(folder, rows) -> str:
+    """A folder with a table of events (source, user, second of the first day)."""
+    import duckdb
+
+    con = duckdb.connect()
+    values = ", ".join(f"({i}, TIMESTAMP '2024-01-01' + INTERVAL {s} SECOND, {u}, '{source}', 1.0, '{{\"k\": 1}}')" for i, (source, u, s) in enumerate(rows))
+    con.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value::DOUBLE AS value, props FROM (VALUES {values}) v(event_id, ts, user_id, event_type, value, props)) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+def against_sql(spark, folder, name) -> list:
+    """Rows of a query and of its SQL over one folder: equal, and given back."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    want = con.sql(ORACLE_SQL[name])
+    got = sorted(map(repr, map(tuple, QUERIES[name](spark, folder).select(*want.columns).collect())))
+    assert got == sorted(map(repr, want.fetchall())), name
+    return got
+
+
+def test_rules_without_instances_are_counted(spark, tmp_path):
+    folder = events_at(tmp_path, [("signup", 1, 10), ("view", 1, 20), ("purchase", 1, 30), ("click", 1, 40)])
+    for name in ("instance_counts", "instance_counts_observed"):
+        assert against_sql(spark, folder, name)[3:] == ["('r4', 0)", "('r5', 0)"]
+
+
+def test_purchases_before_the_first_signup(spark, tmp_path):
+    """Their hour begins before the timeline: no part of it is LIVE."""
+    folder = events_at(tmp_path, [("purchase", 7, 2)] + [("signup", 1, 30 + i) for i in range(120)] + [("purchase", 2, 90)])
+    rows = against_sql(spark, folder, "obligation_ghosts")
+    assert [r.endswith("True)") for r in rows] == [True, False]
