@@ -1,10 +1,13 @@
 """Steps that larger tables showed to be wrong or too large, on tables small enough for a test."""
 
 import random
+from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from gapwright.operators import temporal
+from gapwright.plans import audit, fixpoint, masks, queries  # noqa: F401  (audit adds its queries)
 from gapwright.plans.queries import ORACLE_SQL, QUERIES
 
 
@@ -58,3 +61,47 @@ def test_purchases_before_the_first_signup(spark, tmp_path):
     folder = events_at(tmp_path, [("purchase", 7, 2)] + [("signup", 1, 30 + i) for i in range(120)] + [("purchase", 2, 90)])
     rows = against_sql(spark, folder, "obligation_ghosts")
     assert [r.endswith("True)") for r in rows] == [True, False]
+
+
+def small_table(folder) -> str:
+    """Users with observed steps, with steps that dark windows may hide, with both at the start of a window, and neither."""
+    rng, rows = random.Random(11), []
+    for u in range(1, 9):
+        at = 0
+        while at < 80_000:
+            at += rng.choice([40, 300, 900, 4000])
+            rows.append((rng.choice(["error", "error", "purchase", "view", "signup"] if u % 2 else ["error", "purchase"]), u, at))
+    return events_at(folder, rows)
+
+
+def test_masks_against_instances(spark, tmp_path):
+    """Facts and blocker sets without instances are those of the programs with them, silent steps included."""
+    folder = small_table(tmp_path)
+    for one, two in zip(queries.all_absences(spark, folder), queries.masked_all(spark, folder)):
+        held = queries.derived(one).withColumn("fact_id", fixpoint.fact_id(F.col("predicate"), F.array("entity"), F.col("tick"))).join(queries.held_corridors(one), "fact_id")
+        want = sorted((r.predicate, r.entity, r.tick, r.masks) for r in held.collect())
+        assert sorted((r.predicate, r.args[0], r.tick, r.masks) for r in two.derived(masks=True).collect()) == want
+
+
+def test_cited_licences_and_containment(spark, tmp_path):
+    folder = small_table(tmp_path)
+    for name in ("premium_licences", "containment"):
+        against_sql(spark, folder, name)
+
+
+def test_silent_steps_are_not_multiplied(spark, tmp_path):
+    """A cut query writes no row for a window and a user that no purchase meets."""
+    folder = small_table(tmp_path)
+    low, high = queries.masked_all(spark, folder)
+    assert high.silent["escalated"][0].windows.count() > 1 and high.facts["escalated"].count() == low.facts["escalated"].count()
+    assert high.facts["bought"].count() <= spark.read.parquet(f"{folder}/events.parquet").where("event_type = 'purchase'").count() * 2
+
+
+def test_masks_refuse(spark):
+    rules = queries.table_of_rules()
+    with pytest.raises(ValueError):
+        masks.refuse([replace(rules[0], kind="other")], frozenset(queries.AXIOMS))
+    with pytest.raises(ValueError):
+        masks.refuse(rules, frozenset(queries.AXIOMS | {"bought"}))
+    with pytest.raises(ValueError):
+        masks.refuse(rules, frozenset(queries.AXIOMS - {"error"}))
