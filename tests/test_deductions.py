@@ -140,3 +140,16 @@ def test_order_cover_is_the_list_version(spark, sf, duck):
         groups.setdefault(root[u], []).append((u, v))
     assert pairs and all(r.exact for r in rows)
     assert sorted(r.event_id for r in rows) == sorted(v for g in groups.values() for v in repair.vertex_cover(g)[0])
+
+
+def test_order_cover_against_sql(spark, sf, duck):
+    want = duck.sql(ORACLE_SQL["order_cover"])
+    assert sorted(map(tuple, QUERIES["order_cover"](spark, sf).select(*want.columns).collect())) == sorted(want.fetchall()) != []
+
+
+def test_cover_sql_takes_the_first_smallest(duck):
+    """A path of four, a triangle and a star, in place of the broken claims."""
+    pairs = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (10, 12), (20, 23), (21, 23), (22, 23)]
+    sql = ORACLE_SQL["order_cover"].replace(ORACLE_SQL["order_broken"], "SELECT * FROM (VALUES " + ", ".join(map(str, pairs)) + ") p(u, v)")
+    want = [v for g in ([p for p in pairs if p[0] // 10 == d] for d in range(3)) for v in repair.vertex_cover(g)[0]]
+    assert sorted(n for n, _ in duck.sql(sql).fetchall()) == sorted(want)
