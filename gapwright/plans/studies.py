@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import automaton, envelopes, late, paths
@@ -81,18 +81,21 @@ def graph(spark, sf) -> tuple[DataFrame, DataFrame]:
     return edges, opened.groupBy(user.alias("seed")).agg(F.min("t").alias("t")).select("seed", F.col("seed").alias("node"), "t")
 
 
+def is_item(node: Column) -> Column:
+    """Whether a node is an item: those are few, so paths are told by the items on them."""
+    return node.startswith("k")
+
+
 @query("time_paths", f"{path_sql()} SELECT seed, node, steps, arrival FROM front")
 def time_paths(spark, sf):
     """What the seeds reach within a week in four steps of rising times: the fewest steps, and more where they are sooner."""
-    return paths.arrivals(*graph(spark, sf), STEPS)
+    return paths.fronts(*graph(spark, sf), STEPS, is_item)
 
 
 @query("blast_radius", f"{path_sql()} SELECT seed, steps, kind, count(*) AS n FROM (SELECT seed, node, CASE WHEN left(node, 1) = 'u' THEN 'user' ELSE 'item' END AS kind, min(steps) AS steps FROM front GROUP BY seed, node) WHERE steps > 0 GROUP BY ALL")
 def blast_radius(spark, sf):
-    edges, seeds = graph(spark, sf)
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    kinds = nodes.withColumn("kind", F.when(F.col("node").startswith("u"), "user").otherwise("item"))
-    return paths.blast_radius(paths.arrivals(edges, seeds, STEPS), kinds)
+    counts = paths.fronts(*graph(spark, sf), STEPS, is_item, counted=True)
+    return counts.withColumn("kind", F.when(F.col("kind") == "hub", "item").otherwise("user"))
 
 
 @query("best_paths", f"""WITH ed AS (SELECT src, dst, min(t) AS t, count(*) AS c FROM ({EDGES}) GROUP BY src, dst), sd AS ({SEEDS}),
@@ -105,7 +108,7 @@ def best_paths(spark, sf):
     """The three best paths of at most three steps from each seed to each node, over first meetings of user and item."""
     edges, seeds = graph(spark, sf)
     pairs = written(edges.groupBy("src", "dst").agg(F.min("t").alias("t"), F.count("*").alias("evidence")))
-    return paths.best_paths(pairs, seeds, BEST, 3).withColumn("path", F.array_join("path", ">"))
+    return paths.best_by_hubs(pairs, seeds, BEST, is_item).withColumn("path", F.array_join("path", ">"))
 
 
 # --- late arrivals ------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 """Queries over states, paths, late data and skewed clocks against SQL, and their operators against plain Python."""
 
+import collections
 import itertools
 import random
 
@@ -99,6 +100,31 @@ def test_best_paths_against_search(spark, k, least):
     assert {(r.seed, r.node, r.place, r.steps, r.evidence, tuple(r.path)) for r in got} == want
 
 
+@pytest.mark.parametrize("hubs", [3, 0])
+def test_hubs_give_what_rounds_give(spark, monkeypatch, hubs):
+    """Edges between items and users: by hubs (few of them, or too many) as by rounds; users aren't joined with seeds."""
+    rng = random.Random(11)
+    sides = [(f"k{rng.randint(0, 2)}", f"u{rng.randint(0, 5)}") for _ in range(60)]
+    rows = [(*(p if rng.random() < 0.5 else p[::-1]), rng.randint(0, 25)) for p in sides]
+    edges = spark.createDataFrame(rows, "src string, dst string, t long")
+    seeds = spark.createDataFrame([(f"u{i}", f"u{i}", i * 2) for i in range(4)], "seed string, node string, t long")
+    monkeypatch.setattr(paths, "HUBS", hubs)
+    is_hub = lambda c: c.startswith("k")
+    for steps in (1, 4, 5):
+        want = sorted(map(tuple, paths.arrivals(edges, seeds, steps).collect()))
+        assert sorted(map(tuple, paths.fronts(edges, seeds, steps, is_hub).collect())) == want
+        fewest = {}
+        for seed, node, n, _ in want:
+            fewest[seed, node] = min(n, fewest.get((seed, node), n))
+        counts = collections.Counter((seed, n, "hub" if node[0] == "k" else "spoke") for (seed, node), n in fewest.items() if n)
+        assert {(r.seed, r.steps, r.kind): r.n for r in paths.fronts(edges, seeds, steps, is_hub, counted=True).collect()} == counts
+    pairs = edges.groupBy("src", "dst").agg(F.min("t").alias("t"), F.count("*").alias("evidence"))
+    for k in (1, 3):
+        columns = ["seed", "node", "place", "steps", "evidence", "path"]
+        want = paths.best_paths(pairs, seeds, k, 3).select(columns).collect()
+        assert want and sorted(map(repr, paths.best_by_hubs(pairs, seeds, k, is_hub).select(columns).collect())) == sorted(map(repr, want))
+
+
 def test_late_windows_settle(spark):
     """Whatever the delays, the last generation is a full recount, and watermarks never fall."""
     rng = random.Random(4)
