@@ -105,3 +105,22 @@ def test_masks_refuse(spark):
         masks.refuse(rules, frozenset(queries.AXIOMS | {"bought"}))
     with pytest.raises(ValueError):
         masks.refuse(rules, frozenset(queries.AXIOMS - {"error"}))
+
+
+def test_wire_lines_read_events_once(spark, sf):
+    """Spoilt, repeated and colliding lines are made in one pass over the numbered events (with its table of edges)."""
+    from gapwright.plans.queries import wire_lines
+
+    plan = wire_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.split("== Initial Plan ==")[-1].count("FileScan parquet") <= 2
+
+
+def test_ascii_is_text_if_printable():
+    import unicodedata
+
+    from gapwright.functions import canon
+
+    for c in map(chr, range(0x250)):
+        assert canon.is_text(f"a{c}") == (unicodedata.is_normalized("NFC", f"a{c}") and unicodedata.category(c) != "Cc")
+    with pytest.raises(canon.CanonError, match="not_json"):
+        canon.loads("\ufeff{}")
