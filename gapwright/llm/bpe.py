@@ -1,7 +1,8 @@
 """Byte-level BPE through a table of distinct words.
 
 1. Split. Spark's tasks cut texts into words (a word carries the blank before it) where the tokenizer's own pre-tokenizer
-   always cuts, by Arrow's kernels and a batch at once, and Spark adds their counts up: one row a distinct word.
+   always cuts, by Arrow's kernels and a batch at once, and add them up: first a task its own, then a bucket of hashes
+   what the tasks have of it (a compressed row from each). That gives one row a distinct word.
 2. Encode. Every distinct word is encoded once, into a written table.
 3. Join back. The most frequent words (at most HEAD of them and HEAD_BYTES bytes: a checked broadcast) become numbers in
    the tasks that split a document. Only its other words leave them, as rows of (text, place among its rare words, word)
@@ -25,6 +26,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,18 @@ _CUTS = rf"(?= [^{_WHITE}])|(?<=[{_LATIN}])(?=[.,;:])"
 _UNEVEN = rf" (?:\z|[{_WHITE}])"
 _MARK = "\0"
 WORDS = "word string, n long, ids array<int>"
+#: Distinct words that a task holds before it hands them on, buckets of words at least, rows of packed words.
+HELD, BUCKETS, PACKED = 1_000_000, 512, "bucket int, many int, blob binary"
+_CODEC = "zstd"
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, all first bytes first."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def split_words(texts: pa.Array, specials: tuple[str, ...] | None) -> pa.ListArray:
@@ -106,18 +120,13 @@ def piece_rows(spark, tokenizer: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces, pa.binary())}))
 
 
-def encoded(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n) with ``ids``. Each word is in one row, so it is encoded once."""
-
-    def run(batches):
-        whole = encoder(tokenizer).whole
-        for b in batches:
-            found = [whole(w) for w in b.column(0).to_pylist()]
-            ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
-            ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["word", "n", "ids"])
-
-    return words.mapInArrow(run, WORDS)
+def encoded(counted: pa.Table, whole):
+    """Rows of WORDS of (word, n): each word is in one row, so it is encoded once. ``whole``: an encoder's."""
+    for b in counted.to_batches(max_chunksize=PART):
+        found = [whole(w) for w in b.column(0).to_pylist()]
+        ends = np.cumsum([0] + [len(x) // 4 for x in found]).astype(np.int32)
+        ids = np.frombuffer(b"".join(found), "<u4").astype(np.int32)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["word", "n", "ids"])
 
 
 def decoded(words: DataFrame, tokenizer: str) -> DataFrame:
@@ -159,18 +168,91 @@ def decoded(words: DataFrame, tokenizer: str) -> DataFrame:
     return rows.mapInArrow(run, WORDS + ", piece binary")
 
 
-def word_table(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(word, n, ids), a row a distinct word. docs: ``text``. A task counts the words of a batch before they leave it."""
-    specials = specials_of(tokenizer)
-
-    def run(batches):
+class Counts:
+    """Counts of words, added up whenever more than ``most`` wait."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.waiting = most, [], 0
+
+    def add(self, words: pa.Array, n: pa.Array) -> None:
+        self.held.append(pa.table({"word": words, "n": n}))
+        self.waiting += len(words)
+        if self.waiting > self.most:
+            self.held = [self.total()]
+            self.waiting = self.held[0].num_rows
+
+    def full(self) -> bool:
+        """Whether adding up no longer helps."""
+        return self.waiting > self.most // 2
+
+    def total(self) -> pa.Table:
+        return pa.concat_tables(self.held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+
+    def taken(self) -> pa.Table | None:
+        out = self.total() if self.held else None
+        self.held, self.waiting = [], 0
+        return out
+
+
+def packed(counted: pa.Table, buckets: int) -> pa.RecordBatch:
+    """Rows of PACKED, one for each bucket of words' hashes: lengths and counts of its words, then their bytes."""
+    words = counted.column("word").combine_chunks().cast(pa.binary())
+    hashes = [np.fromiter(map(zlib.crc32, words.slice(at, 65_536).to_pylist()), np.int64) for at in range(0, len(words), 65_536)]
+    bucket = np.concatenate([*hashes, np.zeros(0, np.int64)]) % buckets
+    order = np.argsort(bucket, kind="stable")
+    bucket, words, counts = bucket[order], words.take(pa.array(order)), counted.column("n").to_numpy()[order]
+    offsets, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :], memoryview(words.buffers()[2] or b"")
+    starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
+    ends, codec, blobs = np.append(starts[1:], len(bucket)), pa.Codec(_CODEC, 3), []
+    for at, to in zip(starts.tolist(), ends.tolist()):
+        sizes = np.diff(offsets[at : to + 1]).astype(np.int64)
+        raw = planes(np.concatenate([sizes, counts[at:to] >> 32, counts[at:to]]) & 0xFFFFFFFF) + bytes(data[offsets[at] : offsets[to]])
+        blobs.append(len(raw).to_bytes(8, "little") + codec.compress(raw, asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array(ends - starts, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "many", "blob"])
+
+
+def unpacked(many: int, blob: bytes) -> tuple[pa.Array, pa.Array]:
+    """Words and counts of a row of PACKED."""
+    raw = pa.Codec(_CODEC).decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    sizes, high, low = unplaned(raw[: 12 * many]).astype(np.int64).reshape(3, many)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), many, [None, pa.py_buffer(offsets), pa.py_buffer(raw[12 * many :])])
+    return words, pa.array(high << 32 | low)
+
+
+def word_table(docs: DataFrame, tokenizer: str, buckets: int | None = None) -> DataFrame:
+    """(word, n, ids), a row a distinct word. docs: ``text``. A task adds its words up and hands them on packed, a row for
+    each bucket of hashes; a bucket is added up where Spark brings its rows together. There are as many buckets as tasks,
+    so a bucket holds about what a task has counted."""
+    specials, most = specials_of(tokenizer), HELD
+    texts = docs.select("text")
+    buckets = buckets or max(BUCKETS, texts.rdd.getNumPartitions())
+
+    def count(batches):
+        held = Counts(most)
         for b in batches:
             for at in range(0, b.num_rows, PART):
                 counted = pc.value_counts(split_words(b.column(0).slice(at, PART), specials).flatten())
-                yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"])
+                held.add(counted.field("values"), counted.field("counts"))
+                if held.full():
+                    yield packed(held.taken(), buckets)
+        if held.held:
+            yield packed(held.taken(), buckets)
+
+    def add_up(batches):
+        held, now, whole = Counts(most), None, encoder(tokenizer).whole
+        for b in batches:
+            for bucket, many, blob in zip(*(c.to_pylist() for c in b.columns)):
+                if bucket != now and held.held:
+                    yield from encoded(held.taken(), whole)
+                now = bucket
+                held.add(*unpacked(many, blob))
+        if held.held:
+            yield from encoded(held.taken(), whole)
 
-    rows = docs.select("text").mapInArrow(run, "word string, n long")
-    return encoded(rows.groupBy("word").agg(F.sum("n").alias("n")), tokenizer)
+    rows = texts.mapInArrow(count, PACKED)
+    met = rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    return met.mapInArrow(add_up, WORDS)
 
 
 def head_cut(words: DataFrame, most: int, most_bytes: int) -> int:
@@ -196,6 +278,24 @@ class Head:
         one = lambda c: pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
         self.words, self.ids, self.pieces = one("word"), one("ids"), one("piece")
 
+    def __reduce__(self):
+        """Compressed, since a broadcast is a file in every executor; pieces that are the words themselves go once."""
+        same = self.pieces.equals(self.words.cast(pa.binary()))
+        table = pa.table({"word": self.words, "ids": self.ids} | ({} if same else {"piece": self.pieces}))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
+            out.write_table(table)
+        return _head, (sink.getvalue().to_pybytes(),)
+
+
+def _head(data: bytes) -> Head:
+    table = pa.ipc.open_stream(data).read_all()
+    head = Head.__new__(Head)
+    one = lambda c: pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], table.schema.field(c).type)
+    head.words, head.ids = one("word"), one("ids")
+    head.pieces = one("piece") if "piece" in table.column_names else head.words.cast(pa.binary())
+    return head
+
 
 def _numbered(texts: pa.Array, head: Head, specials):
     """Of each text: numbers of its words in the head, or from len(head) on the place among its own rare words; these; and
@@ -221,18 +321,26 @@ def _numbered(texts: pa.Array, head: Head, specials):
         yield numbers[offsets[row] : offsets[row + 1]], own, key
 
 
-_CODEC = "zstd"
-
-
 def squeeze_ints(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit integers, first bytes first: what is rare in the high bytes compresses away."""
-    data = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return len(data).to_bytes(8, "little") + pa.Codec(_CODEC).compress(data, asbytes=True)
+    """Unsigned integers below 2 ** 52, small ones being the most frequent: each goes as the number of its bits, which
+    compresses well, and the bits below its first one, as they are."""
+    x = values.astype(np.int64) + 1
+    width = np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1
+    below = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+    bits = (np.repeat(x, width) >> below & 1).astype(np.uint8)
+    widths = pa.Codec(_CODEC).compress(width.astype(np.uint8).tobytes(), asbytes=True)
+    return len(x).to_bytes(4, "little") + len(widths).to_bytes(4, "little") + widths + np.packbits(bits).tobytes()
 
 
 def unsqueeze_ints(data: bytes) -> np.ndarray:
-    raw = pa.Codec(_CODEC).decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    n, at = int.from_bytes(data[:4], "little"), 8 + int.from_bytes(data[4:8], "little")
+    width = np.frombuffer(pa.Codec(_CODEC).decompress(data[8:at], n, asbytes=True), np.uint8).astype(np.int64)
+    ends = np.cumsum(width)
+    total = int(ends[-1]) if n else 0
+    below = np.arange(total) - np.repeat(ends - width, width)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8, offset=at), count=total).astype(np.int64) << below
+    sums = np.concatenate([[0], np.cumsum(bits)])
+    return sums[ends] - sums[ends - width] + (1 << width) - 1
 
 
 def rare_rows(docs: DataFrame, tokenizer: str, shared) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import json
+import pickle
 import re
 import wave
 import zlib
@@ -255,6 +256,24 @@ def test_bpe_words(spark):
     assert bpe.unsqueeze_ints(bpe.squeeze_ints(values)).tolist() == values.tolist()
 
 
+def test_bpe_packs_words(spark, monkeypatch):
+    """A task hands on a row for each bucket and no row for each word, in parts where it holds many; words stay whole."""
+    monkeypatch.setattr(bpe, "HELD", 40)
+    words = ["", "\0", " a", "\u00df\U0001d4b3"] + [f"w{i}" for i in range(300)]
+    batch = bpe.packed(pa.table({"word": words, "n": [2**40 + i for i in range(len(words))]}), 16)
+    assert batch.num_rows == 16
+    found = {w: n for r in batch.to_pylist() for w, n in zip(*(x.to_pylist() for x in bpe.unpacked(r["many"], r["blob"])))}
+    assert found == {w: 2**40 + i for i, w in enumerate(words)}
+    for pieces in ([b"a", b"b"], [b"a", b"x"]):
+        head = bpe.Head(pa.table({"word": ["a", "b"], "n": [2, 1], "ids": [[1], [2, 3]], "piece": pieces}))
+        again = pickle.loads(pickle.dumps(head))
+        assert again.words.equals(head.words) and again.ids.equals(head.ids) and again.pieces.to_pylist() == pieces
+    docs = documents(spark, [(i, " ".join(f"v{i * j % 701}" for j in range(90))) for i in range(60)] + [(-1, None)])
+    want = collections.Counter(w for x in bpe.split_words(pa.array([r.text for r in docs.collect()], pa.string()), bpe.specials_of(BYTE)).to_pylist() for w in x)
+    table = bpe.word_table(docs, BYTE, 7).collect()
+    assert len(table) == len(want) and {r.word: r.n for r in table} == want
+
+
 def test_token_files(spark):
     folder = shared_dir(spark)
     index = token_files.write_tokens(documents(spark), WORD, folder, shards=3)
