@@ -23,6 +23,7 @@ carried; an empty table gives no rows; other columns are dropped; bytes that are
 
 from __future__ import annotations
 
+import base64
 import functools
 import json
 import re
@@ -376,6 +377,13 @@ def numbered(docs: DataFrame, tokenizer: str, shared) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("key", T.BinaryType()), id_field, T.StructField("codes", T.BinaryType())]))
 
 
+def answer(text: str) -> tuple[int, list[int]]:
+    """Place and ids of a rare word, as ``encode`` sends them."""
+    place, ids = text.split(":")
+    raw = base64.b64decode(ids)
+    return int(place), [int.from_bytes(raw[at : at + 3]) for at in range(0, len(raw), 3)]
+
+
 def put_together(rows: DataFrame, tokenizer: str, shared) -> DataFrame:
     """(doc_id, ids, text) of (doc_id, codes, answers)."""
     id_field = rows.schema["doc_id"]
@@ -394,7 +402,7 @@ def put_together(rows: DataFrame, tokenizer: str, shared) -> DataFrame:
                     if found:
                         c = codes[row]
                         c[c >= size] += base
-                        found = sorted((x["place"], x["ids"]) for x in found)
+                        found = sorted(answer(x) for x in found)
                         if [x[0] for x in found] != list(range(len(found))):
                             raise ValueError("a text's rare words came back twice or not at all")
                         extra_ids += [x[1] for x in found]
@@ -427,8 +435,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     cut = head_cut(table, head, head_bytes)
     frequent = table.where(F.col("n") >= cut)
     shared = spark.sparkContext.broadcast(Head(decoded(frequent, tokenizer).toArrow()))  # bounded by head_cut
-    met = rare_rows(asked, tokenizer, shared).join(table.where(F.col("n") < cut).select("word", "ids"), "word")
-    answers = met.groupBy("key").agg(F.collect_set(F.struct("place", "ids")).alias("answers"))
+    # An answer is a short string, place:ids of three bytes each in base64: it goes through two shuffles.
+    if len(piece_table(tokenizer)) > 1 << 24:
+        raise ValueError("ids of over three bytes")
+    ids = F.base64(F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 6, "0")), "")))
+    met = rare_rows(asked, tokenizer, shared).join(table.where(F.col("n") < cut).select("word", ids.alias("ids")), "word")
+    answers = met.groupBy("key").agg(F.collect_set(F.concat_ws(":", "place", "ids")).alias("answers"))
     return put_together(numbered(asked, tokenizer, shared).join(answers, "key", "left").select("doc_id", "codes", "answers"), tokenizer, shared)
 
 
