@@ -53,7 +53,7 @@ _UNEVEN = rf" (?:\z|[{_WHITE}])"
 _MARK = "\0"
 WORDS = "word string, n long, ids array<int>"
 #: Distinct words that a task holds before it hands them on, buckets of words at least, rows of packed words.
-HELD, BUCKETS, PACKED = 1_000_000, 512, "bucket int, many int, blob binary"
+HELD, BUCKETS, PACKED = 1_000_000, 256, "bucket int, many int, blob binary"
 _CODEC = "zstd"
 
 
@@ -204,7 +204,7 @@ def packed(counted: pa.Table, buckets: int) -> pa.RecordBatch:
     bucket, words, counts = bucket[order], words.take(pa.array(order)), counted.column("n").to_numpy()[order]
     offsets, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :], memoryview(words.buffers()[2] or b"")
     starts = np.nonzero(np.diff(bucket, prepend=-1))[0]
-    ends, codec, blobs = np.append(starts[1:], len(bucket)), pa.Codec(_CODEC, 3), []
+    ends, codec, blobs = np.append(starts[1:], len(bucket)), pa.Codec(_CODEC, 9), []
     for at, to in zip(starts.tolist(), ends.tolist()):
         sizes = np.diff(offsets[at : to + 1]).astype(np.int64)
         raw = planes(np.concatenate([sizes, counts[at:to] >> 32, counts[at:to]]) & 0xFFFFFFFF) + bytes(data[offsets[at] : offsets[to]])
@@ -431,7 +431,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     ship(spark)
     scratch = Scratch(spark)
     asked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    table = scratch.put("words", word_table(asked, tokenizer))
+    table = scratch.put("words", word_table(asked, tokenizer), _CODEC)
     cut = head_cut(table, head, head_bytes)
     frequent = table.where(F.col("n") >= cut)
     shared = spark.sparkContext.broadcast(Head(decoded(frequent, tokenizer).toArrow()))  # bounded by head_cut
