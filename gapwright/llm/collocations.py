@@ -1,8 +1,8 @@
 """Phrases of two to four words by the stripes pattern, ranked by how much likelier they are than their parts.
 
 A stripe belongs to a prefix of one to three words of one language: how often the prefix occurs, and an associative
-counter of the next words. Tasks build stripes over their own texts and hand them on when they hold many; stripes of a
-prefix are then merged elementwise. Everything is read off them: a phrase's frequency is an entry, the frequencies of
+counter of the next words. Tasks build stripes over their own texts and hand them on when they hold many, a row for each
+bucket of prefixes; stripes of a prefix are then merged elementwise. Everything is read off them: a phrase's frequency is an entry, the frequencies of
 its parts are prefix totals, and what may subsume a phrase is the largest entry of its own stripe and of the stripes
 that it ends. A phrase is subsumed by a longer one only if it is by one of a single word more, since that one lies
 between them and is at least as frequent.
@@ -14,7 +14,7 @@ are of the words themselves.
 
 A prefix has at most as many next words as it has occurrences. That of one with over PART of them (another bitmap) is
 cut by a hash of the next word into parts, as many as there are PARTs of frequent words; so a part is bounded. A task
-merges sorted stripes batch by batch and carries the last one on.
+merges sorted buckets piece by piece and carries the last one on, added up whenever it has grown by CARRIED bytes.
 
 Defined results: a null text is empty, a null language is ``und`` (an empty one is its own); rows are counted as often as they come; ties are
 broken by the phrase; a language without frequent phrases, or an empty table, gives no rows. Only the text and the
@@ -24,7 +24,7 @@ language are read.
 from __future__ import annotations
 
 import functools
-from collections import Counter
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -42,12 +42,15 @@ LONGEST, LEAST, FACTOR, SHARE, TOP = 4, 30, 2_000_000, 80, 2000
 SPLITS, NO_LANG = b".,;:!?\n\x0b\x0c\r", "und"
 #: Entries that a task holds before it hands them on, bytes of text that it works on at once, next words in a part.
 HELD, CHUNK, PART = 2_000_000, 6_000_000, 65_536
+#: Buckets of prefixes in a language, rows that are merged at once, bytes of a bucket that are carried before they are added up.
+BUCKETS, PIECE, CARRIED = 2048, 512, 64_000_000
 LEAST_BITS, MOST_BITS = 20, 28
 #: A byte that no UTF-8 text has marks the end of a piece.
 _END = b"\xff"
 _PLAIN = bytes(0xFF if b in SPLITS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: A stripe on its way: next words with blanks between, their counts as 64-bit integers.
-STRIPE = "lang string, prefix string, part int, total long, nexts string, counts binary"
+#: Stripes on their way, those of a bucket of prefixes in a row: line breaks between the prefixes and blanks between the
+#: next words, which have neither; parts and numbers of next words are 32-bit integers, totals and counts 64-bit ones.
+PACKED = "lang string, bucket int, prefixes string, parts binary, totals binary, sizes binary, nexts string, counts binary"
 MERGED = "lang string, prefix string, part int, total long, nexts array<string>, counts array<long>"
 NAMES = ["lang", "prefix", "part", "total", "nexts", "counts"]
 
@@ -60,11 +63,13 @@ class Tokens:
         number = {lang: k for k, lang in enumerate(self.names)}
         parts = pc.split_pattern(pa.array([text.translate(_PLAIN).replace(_END, b" \xff ") + b" \xff" for _, text in docs], pa.binary()), b" ")
         coded = parts.flatten().dictionary_encode()
-        self.distinct = coded.dictionary.to_pylist()
+        self.distinct = coded.dictionary
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         langs = np.repeat(np.array([number[lang] for lang, _ in docs], np.int64), np.diff(parts.offsets.to_numpy()))
-        words = np.array([w != b"" for w in self.distinct], bool)[codes]  # blanks in a row have nothing between
+        words = pc.not_equal(self.distinct, b"").to_numpy(zero_copy_only=False)[codes]  # blanks in a row have nothing between
         self.codes, self.langs = codes[words], langs[words]
+        self.end = int(np.nonzero(pc.equal(self.distinct, _END).to_numpy(zero_copy_only=False))[0][0])
+        self.word_hashes, self.lang_hashes = byte_hashes(self.distinct), byte_hashes(pa.array(self.names, pa.string()))
 
     def __len__(self) -> int:
         return len(self.codes)
@@ -82,21 +87,25 @@ class Tokens:
         table[found] = np.arange(len(found))
         return found, table[pairs]
 
-    def _named(self, pairs: np.ndarray):
-        size = len(self.distinct)
-        return ((self.names[x // size], self.distinct[x % size]) for x in pairs.tolist())
-
-    def counts(self):
-        """(language, word, n) of the words, without marks."""
+    def counts(self) -> pa.RecordBatch:
+        """lang, word, n of the words, without marks."""
         found, where = self._spread(0, len(self))
-        for (lang, word), n in zip(self._named(found), np.bincount(where, minlength=len(found)).tolist()):
-            if word != _END:
-                yield lang, word, n
-
-    def places(self, at: int, to: int, place) -> np.ndarray:
-        """``place(language, word)`` of the words from ``at`` to ``to``, asked once for each distinct one; 0 for a mark."""
+        n = np.bincount(where, minlength=len(found))
+        kept = found % len(self.distinct) != self.end
+        found, n = found[kept], n[kept]
+        langs, words = pa.array(self.names, pa.string()).take(pa.array(found // len(self.distinct))), self.distinct.take(pa.array(found % len(self.distinct)))
+        return pa.RecordBatch.from_arrays([langs, words.cast(pa.string()), pa.array(n)], names=["lang", "word", "n"])
+
+    def places(self, at: int, to: int, known, place) -> np.ndarray:
+        """``place(language, word, hash)`` of the words from ``at`` to ``to`` whose hashes ``known`` holds, asked once for each
+        distinct one; 0 for the others and for a mark."""
         found, where = self._spread(at, to)
-        return np.array([0 if word == _END else place(lang, word) for lang, word in self._named(found)], np.int64)[where]
+        lang, code = found // len(self.distinct), found % len(self.distinct)
+        own = extended(self.lang_hashes[lang], self.word_hashes[code])
+        some = np.nonzero((code != self.end) & _holds(*known, extended(np.zeros(len(own), np.uint64), own)))[0]
+        out = np.zeros(len(found), np.int64)
+        out[some] = [place(self.names[x], word, h) for x, word, h in zip(lang[some].tolist(), self.distinct.take(pa.array(code[some])).to_pylist(), own[some].tolist())]
+        return out[where]
 
 
 def chunks(batches, size: int):
@@ -118,38 +127,60 @@ def extended(hashes: np.ndarray, more: np.ndarray) -> np.ndarray:
     return mix(hashes * np.uint64(0x9E3779B97F4A7C15) + more)
 
 
-def phrase_hash(lang: str, words: list[bytes]) -> np.ndarray:
-    h = np.zeros(1, np.uint64)
-    for w in words:
-        h = extended(h, np.array([word_hash(lang, w)], np.uint64))
+#: A number for each byte: a word's hash adds them up, each times an odd number of its place.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+
+
+def byte_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings or binaries, without nulls."""
+    words = words.cast(pa.binary())
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data, size = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], np.diff(at)
+    odd = mix(np.arange(1, size.max() + 1, dtype=np.uint64)) | np.uint64(1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * odd[np.arange(len(data)) - np.repeat(at[:-1] - at[0], size)])])
+    return mix(sums[at[1:] - at[0]] - sums[at[:-1] - at[0]] + size.astype(np.uint64))
+
+
+def phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
+    """Hashes of phrases of words with blanks between, as ``extended`` makes them word by word."""
+    words = pc.split_pattern(phrases, " ")
+    at, coded = words.offsets.to_numpy().astype(np.int64), langs.dictionary_encode()
+    own = extended(np.repeat(byte_hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)], np.diff(at)), byte_hashes(words.flatten()))
+    at, size = at - at[0], np.diff(at)
+    h = np.zeros(len(size), np.uint64)
+    for k in range(size.max(initial=0)):
+        some = size > k
+        h[some] = extended(h[some], own[at[:-1][some] + k])
     return h
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word)
+def summed(counts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    """Rows (lang, word, n) with equal ones added up."""
+    if not counts:
+        return []
+    table = pa.Table.from_batches(counts).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+    return table.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"]).combine_chunks().to_batches()
 
 
 def word_totals(docs: DataFrame) -> DataFrame:
     """lang, word, n of all words. ``docs``: lang and text."""
 
-    chunk = CHUNK
+    chunk, most = CHUNK, HELD // 3
 
     def run(batches):
-        held: dict[str, Counter] = {}
-
-        def out():
-            for lang, counts in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["lang", "word", "n"])
-            held.clear()
-
+        held, rows = [], 0
         for tokens in chunks(batches, chunk):
-            for lang, word, n in tokens.counts():
-                held.setdefault(lang, Counter())[word] += n
-            if sum(map(len, held.values())) > HELD // 3:
-                yield from out()
-        yield from out()
+            held.append(tokens.counts())
+            rows += held[-1].num_rows
+            if rows > most:
+                held = summed(held)
+                rows = sum(b.num_rows for b in held)
+                if rows > most // 2:
+                    yield from held
+                    held, rows = [], 0
+        yield from summed(held)
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -160,8 +191,7 @@ def frequent_bits(phrases: DataFrame, many: int):
 
     def run(batches):
         for batch in batches:
-            found = [phrase_hash(lang, phrase.encode().split(b" "))[0] for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            at = np.array(found, np.uint64) & np.uint64((1 << power) - 1)
+            at = phrase_hashes(batch.column(0), batch.column(1)) & np.uint64((1 << power) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + 1)], names=["at"])
 
     places = phrases.select("lang", "phrase").mapInArrow(run, "at long")
@@ -211,23 +241,23 @@ class Stripes:
         self.waiting = 0
         self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def place_of(self, lang: str, word: bytes) -> int:
+    def place_of(self, lang: str, word: bytes, h: int) -> int:
         held = self.place.get((lang, word))
         if held is None:
             held = self.place[lang, word] = len(self.text)
             self.text.append(word)
-            self.hashes.append(word_hash(lang, word))
+            self.hashes.append(h)
             self.lang_of.append(lang)
         return held
 
     def add(self, tokens: Tokens, at: int, count: int) -> None:
         """Count the phrases that start at the ``count`` words from ``at`` on; they may end in the words behind."""
-        here = tokens.places(at, at + count + LONGEST - 1, self.place_of)
+        here = tokens.places(at, at + count + LONGEST - 1, self.known[0], self.place_of)
         ids = np.append(here, np.zeros(LONGEST, np.int64))
         starts = np.arange(len(ids)) < count
         own = np.array(self.hashes, np.uint64)[ids]
         h = extended(np.zeros(len(ids), np.uint64), own)
-        ok = (ids > 0) & _holds(*self.known[0], h)
+        ok = ids > 0  # places are those of frequent words alone
         for k in range(1, self.level):  # whether a frequent phrase of k + 1 words starts here
             h = extended(h[:-1], own[k:])
             ok = ok[:-1] & ok[1:] & _holds(*self.known[k], h)
@@ -256,42 +286,128 @@ class Stripes:
         self.raw, self.waiting = [], 0
 
     def out(self):
-        """Rows of STRIPE, the parts of a prefix apart; part 0 carries its total."""
+        """Rows of PACKED, the parts of a prefix apart; part 0 carries its total."""
         self._settle()
         if not len(self.keys):
             return
         code, nexts, counts = self.keys >> _BITS, self.keys & _MASK, self.counts
+        first = np.nonzero(np.diff(code, prepend=-1))[0]  # of each prefix
         # the places of a prefix's words, first to last
-        whole = np.fromiter(self.number, np.int64, len(self.number))[code] if self.level == 3 else code
+        whole = np.fromiter(self.number, np.int64, len(self.number))[code[first]] if self.level == 3 else code[first]
         places = [whole >> _BITS * k & _MASK for k in range(self.level - 1, -1, -1)]
         hashes = np.array(self.hashes, np.uint64)
+        h = np.zeros(len(first), np.uint64)
+        for p in places:
+            h = extended(h, hashes[p])
+        prefix = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
         part = np.zeros(len(code), np.int64)
-        if self.parts > 1:
-            h = np.zeros(len(code), np.uint64)
-            for p in places:
-                h = extended(h, hashes[p])
-            part = np.where(_holds(*self.wide, h) & (nexts > 0), (hashes[nexts] % np.uint64(self.parts)).astype(np.int64), 0)
-            if part.any():
-                order = np.lexsort((nexts, part, code))
-                code, nexts, part, counts, places = code[order], nexts[order], part[order], counts[order], [p[order] for p in places]
-        starts = np.nonzero((np.diff(code, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))[0]
+        if self.parts > 1 and (wide := _holds(*self.wide, h)).any():
+            part = np.where(wide[prefix] & (nexts > 0), (hashes[nexts] % np.uint64(self.parts)).astype(np.int64), 0)
+            order = np.lexsort((nexts, part, prefix))
+            prefix, nexts, part, counts = prefix[order], nexts[order], part[order], counts[order]
+        starts = np.nonzero((np.diff(prefix, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))[0]
+        total = np.where(nexts[starts] > 0, 0, counts[starts])  # a total comes first in its part 0
+        entry = nexts > 0
+        ends = np.concatenate([[0], np.cumsum(entry)])
+        at, size = ends[starts], np.diff(ends[np.append(starts, len(prefix))])
+        nexts, counts, prefix, part = nexts[entry], counts[entry], prefix[starts], part[starts]
+        bucket = (extended(h[prefix], part.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+        langs = pa.array(self.lang_of, pa.string()).dictionary_encode()
+        lang = langs.indices.to_numpy()[places[0][prefix]]
+        order = np.lexsort((bucket, lang))
+        at, size, total, prefix, part, row = at[order], size[order], total[order], prefix[order], part[order], (lang * BUCKETS + bucket)[order]
+        moved = np.repeat(at - np.cumsum(size) + size, size) + np.arange(len(nexts))
+        nexts, counts = nexts[moved], counts[moved]
         text = pa.array(self.text, pa.binary()).cast(pa.string())
-        langs = pa.array(self.lang_of, pa.string())
-        for k in range(0, len(starts), 50_000):
-            here = starts[k : k + 50_000]
-            stop = starts[k + 50_000] if k + 50_000 < len(starts) else len(code)
-            inside = slice(here[0], stop)
-            entry = nexts[inside] > 0  # a total comes first in its part 0
-            offsets = np.concatenate([[0], np.cumsum(entry)])[np.append(here - here[0], stop - here[0])].astype(np.int32)
-            packed = pa.Array.from_buffers(pa.binary(), len(here), [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(counts[inside][entry].tobytes())])
-            yield pa.RecordBatch.from_arrays([
-                langs.take(pa.array(places[0][here])),
-                pc.binary_join_element_wise(*[text.take(pa.array(p[here])) for p in places], " "),
-                pa.array(part[here], pa.int32()),
-                pa.array(np.where(nexts[here] > 0, 0, counts[here])),
-                pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), text.take(pa.array(nexts[inside][entry]))), " "),
-                packed,
-            ], names=NAMES)
+        prefixes = pc.binary_join_element_wise(*[text.take(pa.array(p[prefix])) for p in places], " ")
+        here = np.nonzero(np.diff(row, prepend=-1))[0]
+        made = packed(langs.dictionary.take(pa.array(row[here] // BUCKETS)), row[here] % BUCKETS, here, Rows(None, prefixes, part, total, size, text.take(pa.array(nexts)), counts))
+        for k in range(0, made.num_rows, PIECE):
+            yield made.slice(k, PIECE)
+
+
+@dataclass
+class Rows:
+    """Stripes: language, prefix, part and total of each, its number of next words, and all next words with their counts."""
+
+    langs: pa.Array | None
+    prefixes: pa.Array
+    parts: np.ndarray
+    totals: np.ndarray
+    sizes: np.ndarray
+    words: pa.Array
+    counts: np.ndarray
+
+    def take(self, some: np.ndarray) -> "Rows":
+        """The stripes of a mask."""
+        held, mask = np.repeat(some, self.sizes), pa.array(some)
+        return Rows(self.langs.filter(mask), self.prefixes.filter(mask), self.parts[some], self.totals[some], self.sizes[some], self.words.filter(pa.array(held)), self.counts[held])
+
+
+def together(several: list[Rows]) -> Rows:
+    joined = lambda name: (pa.concat_arrays if name in ("langs", "prefixes", "words") else np.concatenate)([getattr(r, name) for r in several])
+    return several[0] if len(several) == 1 else Rows(*[joined(f.name) for f in fields(Rows)])
+
+
+def _numbers(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.int64)
+
+
+def _bytes(values: np.ndarray, at: np.ndarray, kind) -> pa.Array:
+    """Binaries of the stretches between ``at``."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * np.dtype(kind).itemsize).astype(np.int32)), pa.py_buffer(values.astype(kind).tobytes())])
+
+
+def _words(column: pa.Array) -> pa.Array:
+    """The words of strings with blanks between; an empty string has none."""
+    return pc.split_pattern(column.filter(pc.not_equal(column, "")), " ").flatten()
+
+
+def packed(langs: pa.Array, buckets: np.ndarray, first: np.ndarray, r: Rows) -> pa.RecordBatch:
+    """Rows of PACKED from stripes in order; ``first``: the first stripe of each row."""
+    at = np.append(first, len(r.sizes))
+    entries = np.concatenate([[0], np.cumsum(r.sizes)])[at]
+    texts = lambda values, at, between: pc.binary_join(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), values), between)
+    columns = [langs, pa.array(buckets.astype(np.int32)), texts(r.prefixes, at, "\n"), _bytes(r.parts, at, np.int32), _bytes(r.totals, at, np.int64), _bytes(r.sizes, at, np.int32), texts(r.words, entries, " "), _bytes(r.counts, entries, np.int64)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "bucket", "prefixes", "parts", "totals", "sizes", "nexts", "counts"])
+
+
+def unpacked(b: pa.RecordBatch) -> Rows:
+    prefixes = pc.split_pattern(b.column(2), "\n")
+    langs = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(prefixes.offsets.to_numpy()))))
+    return Rows(langs, prefixes.flatten(), _numbers(b.column(3), np.int32), _numbers(b.column(4), np.int64), _numbers(b.column(5), np.int32), _words(b.column(6)), _numbers(b.column(7), np.int64))
+
+
+def added(r: Rows, least: int) -> Rows | None:
+    """``r`` with stripes of equal language, prefix and part added elementwise; entries below ``least`` go, and stripes with
+    none left and a total below it."""
+    codes = lambda x: x.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    lang, prefix, parts = r.langs.dictionary_encode(), r.prefixes.dictionary_encode(), int(r.parts.max(initial=0)) + 1
+    key = (codes(lang) * len(prefix.dictionary) + codes(prefix)) * parts + r.parts
+    found, stripe = np.unique(key, return_inverse=True)
+    totals = np.zeros(len(found), np.int64)
+    np.add.at(totals, stripe, r.totals)
+    words = r.words.dictionary_encode()
+    spread = max(len(words.dictionary), 1)
+    entry, where = np.unique(np.repeat(stripe, r.sizes) * spread + codes(words), return_inverse=True)
+    sums = np.zeros(len(entry), np.int64)
+    np.add.at(sums, where, r.counts)
+    kept = sums >= least
+    of, entry, sums = entry[kept] // spread, entry[kept] % spread, sums[kept]
+    sizes = np.bincount(of, minlength=len(found))
+    shown = np.nonzero((sizes > 0) | (totals >= least))[0]
+    if not len(shown):
+        return None
+    whole = found[shown] // parts
+    return Rows(lang.dictionary.take(pa.array(whole // len(prefix.dictionary))), prefix.dictionary.take(pa.array(whole % len(prefix.dictionary))), found[shown] % parts, totals[shown], sizes[shown], words.dictionary.take(pa.array(entry)), sums)
+
+
+def listed(r: Rows | None) -> pa.RecordBatch | None:
+    """Rows of MERGED."""
+    if r is None:
+        return None
+    offsets = pa.array(np.concatenate([[0], np.cumsum(r.sizes)]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([r.langs, r.prefixes, pa.array(r.parts.astype(np.int32)), pa.array(r.totals), pa.ListArray.from_arrays(offsets, r.words), pa.ListArray.from_arrays(offsets, pa.array(r.counts))], names=NAMES)
 
 
 def stripes(docs: DataFrame, level: int, known: list, wide, parts: int) -> DataFrame:
@@ -309,70 +425,54 @@ def stripes(docs: DataFrame, level: int, known: list, wide, parts: int) -> DataF
                     held.reset()
         yield from held.out()
 
-    return docs.mapInArrow(run, STRIPE)
+    return docs.mapInArrow(run, PACKED)
 
 
 class Merge:
-    """Adds up sorted stripes. The last prefix of a batch may go on in the next, so it is carried, whole."""
+    """Adds up sorted stripes (NAMES: next words with blanks between, counts as 64-bit integers). The last one of a batch may
+    go on in the next, so it is carried, whole."""
 
     def __init__(self, least: int):
-        self.least = least
-        self.key, self.total, self.words, self.counts = None, 0, pa.array([], pa.string()), np.zeros(0, np.int64)
+        self.least, self.held = least, None
 
     def batch(self, b: pa.RecordBatch | None):
         """Rows of MERGED that ``b`` completes; None ends."""
         if b is None:
-            return self._rows([self.key], np.array([self.total]), self.words, np.zeros(len(self.counts), np.int64), self.counts) if self.key else None
-        keys = list(zip(*(b.column(k).to_pylist() for k in range(3))))
-        change = np.array([True] + [x != y for x, y in zip(keys, keys[1:])])
-        goes_on = keys[0] == self.key
-        group = np.cumsum(change) - 1 + (0 if goes_on or self.key is None else 1)
-        firsts = [keys[i] for i in np.nonzero(change)[0]]
-        names = firsts if goes_on or self.key is None else [self.key, *firsts]
-        totals = np.bincount(group, b.column(3).to_numpy(zero_copy_only=False).astype(np.float64), len(names)).astype(np.int64)
-        totals[0] += self.total
+            return listed(added(self.held, self.least)) if self.held else None
         raw = b.column(5).to_pylist()
-        lengths = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
-        some = pa.array(lengths > 0)
-        words = pa.chunked_array([self.words, pc.split_pattern(b.column(4).filter(some), " ").flatten()]).combine_chunks()
-        counts = np.concatenate([self.counts, np.frombuffer(b"".join(raw), np.int64)])
-        of = np.concatenate([np.zeros(len(self.counts), np.int64), np.repeat(group, lengths)])
-        coded = words.dictionary_encode()
-        spread = max(len(coded.dictionary), 1)
-        unique, where = np.unique(of * spread + coded.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-        sums = np.bincount(where, counts.astype(np.float64), len(unique)).astype(np.int64)
-        of, code, last = unique // spread, unique % spread, len(names) - 1
-        end = of == last
-        self.key, self.total = names[last], int(totals[last])
-        self.words, self.counts = coded.dictionary.take(pa.array(code[end])), sums[end]
-        done = ~end & (sums >= self.least)
-        return self._rows(names[:last], totals[:last], coded.dictionary.take(pa.array(code[done])), of[done], sums[done])
-
-    def _rows(self, names, totals, words, of, sums):
-        kept = sums >= self.least
-        words, of, sums = words.filter(pa.array(kept)), of[kept], sums[kept]
-        many = np.bincount(of, minlength=len(names))
-        shown = np.nonzero((many > 0) | (totals >= self.least))[0]
-        if not len(shown):
-            return None
-        offsets = pa.array(np.concatenate([[0], np.cumsum(many[shown])]).astype(np.int32))
-        column = lambda k, kind: pa.array([names[i][k] for i in shown], kind)
-        return pa.RecordBatch.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.int32()), pa.array(totals[shown]), pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(sums))], names=NAMES)
+        new = Rows(b.column(0), b.column(1), b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(), np.array([len(x) // 8 for x in raw], np.int64), _words(b.column(4)), np.frombuffer(b"".join(raw), np.int64))
+        new = together([self.held, new] if self.held else [new])
+        last = pc.and_(pc.equal(new.langs, new.langs[-1]), pc.equal(new.prefixes, new.prefixes[-1])).to_numpy(zero_copy_only=False) & (new.parts == new.parts[-1])
+        self.held = added(new.take(last), 0)
+        return listed(added(new.take(~last), self.least))
+
+
+def buckets_merged(batches, least: int):
+    """Rows of MERGED from rows of PACKED in the order of language and bucket."""
+    carried, key, limit = [], None, CARRIED
+    for whole in batches:
+        for at in range(0, whole.num_rows, PIECE):
+            b = whole.slice(at, PIECE)
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            tail = next((k + 1 for k in range(len(keys) - 1, -1, -1) if keys[k] != keys[-1]), 0)
+            if tail or keys[0] != key:  # what was carried is whole, with the rows of its bucket here
+                done = [unpacked(x) for x in [*carried, b.slice(0, tail)] if x.num_rows]
+                if done and (made := listed(added(together(done), least))) is not None:
+                    yield made
+                carried, key, limit = [], keys[-1], CARRIED
+            carried.append(b.slice(tail))
+            if sum(x.nbytes for x in carried) > limit:
+                r = added(together([unpacked(x) for x in carried]), 0)
+                carried = [packed(pa.array([key[0]], pa.string()), np.array([key[1]]), np.zeros(1, np.int64), r)]
+                limit = CARRIED + carried[0].nbytes
+    if carried and (made := listed(added(together([unpacked(x) for x in carried]), least))) is not None:
+        yield made
 
 
 def merged(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """Stripes with equal prefix and part, added elementwise; entries and totals below ``least`` go."""
-
-    def run(batches):
-        held = Merge(least)
-        for b in batches:
-            if b.num_rows and (made := held.batch(b)) is not None:
-                yield made
-        if (made := held.batch(None)) is not None:
-            yield made
-
-    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "prefix", "part")
-    return dealt.sortWithinPartitions("lang", "prefix", "part").mapInArrow(run, MERGED)
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "bucket")
+    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(lambda batches: buckets_merged(batches, least), MERGED)
 
 
 def exact(x: Column | str) -> Column:

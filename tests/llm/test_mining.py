@@ -231,6 +231,45 @@ def test_merge_carries_over_batches():
         assert got == {k: v for k, v in held.items() if v[1] or v[0] >= 12}
 
 
+def test_stripes_go_by_bucket():
+    """A task hands on a row for each bucket of prefixes, however many prefixes; pieces, carried and repacked buckets add up."""
+    import pyarrow as pa
+
+    n = 3000
+    texts = [(lang, " ".join(f"w{(7 * i + i * i) % n}" for i in range(n)).encode()) for lang in ("en", "de", "en")]
+    words = pa.array([f"w{i}" for i in range(n)])
+    bits = np.zeros(1 << 17, np.uint8)
+    for lang in ("en", "de"):
+        for h in collocations.phrase_hashes(pa.array([lang] * n), words).tolist():
+            bits[(h & (1 << 20) - 1) >> 3] |= 1 << (h & 7)
+    rows = []
+    for part in (texts[:2], texts[2:]):
+        held = collocations.Stripes(1, [(bits, 20)], (bits, 20), 3, 10**6)
+        for tokens in collocations.chunks([pa.RecordBatch.from_arrays([pa.array([x for x, _ in part]), pa.array([t for _, t in part], pa.binary())], names=["lang", "text"])], 10**6):
+            held.add(tokens, 0, len(tokens))
+        rows += list(held.out())
+    table = pa.Table.from_batches(rows).sort_by([("lang", "ascending"), ("bucket", "ascending")]).combine_chunks()
+    assert table.num_rows <= 3 * collocations.BUCKETS < 3 * n
+    want: dict = defaultdict(Counter)
+    for lang, text in texts:
+        ws = text.decode().split()
+        for a, b in zip(ws, ws[1:] + [None]):
+            want[lang, a][b] += 1
+    want = {k: (sum(c.values()), {w: x for w, x in c.items() if w and x >= 2}) for k, c in want.items()}
+    held = collocations.PIECE, collocations.CARRIED
+    for piece, carried in (held, (1, 10), (7, 10)):
+        collocations.PIECE, collocations.CARRIED = piece, carried
+        try:
+            got: dict = defaultdict(lambda: [0, {}])
+            for b in collocations.buckets_merged(table.to_batches(max_chunksize=100), 2):
+                for r in b.to_pylist():
+                    got[r["lang"], r["prefix"]][0] += r["total"]
+                    got[r["lang"], r["prefix"]][1].update(zip(r["nexts"], r["counts"]))
+        finally:
+            collocations.PIECE, collocations.CARRIED = held
+        assert {k: tuple(v) for k, v in got.items()} == {k: v for k, v in want.items() if v[0] >= 2 or v[1]}
+
+
 @pytest.mark.parametrize("name", ["op11_secrets", "op12_spelling", "op13_collocations"])
 def test_empty_tables(spark, name):
     made = {"op11_secrets": secrets.secrets_query, "op12_spelling": spelling.spelling_query, "op13_collocations": collocations.collocations_query}[name]
