@@ -16,6 +16,10 @@ from array import array
 CACHE = 500_000
 #: Marks that stand alone behind a letter, whatever follows a blank.
 TAIL = ".,;:"
+_TAILS = frozenset(TAIL)
+#: A word and marks, and perhaps a line break and a word: these are four pre-tokens where letters, marks and blanks are told
+#: apart, whatever stands around (an apostrophe isn't among the marks).
+_MARKED = re.compile(r"([^\W\d_]+)([!?.,;:*#$%&|<>]+)(?:\n([^\W\d_]+))?")
 #: A blank before one of these isn't cut: what counts as white space differs between Unicode versions.
 _ODD = "\\s\u180e\u200b\u2060\ufeff"
 _CUT = re.compile(f" (?=[^{_ODD}])")
@@ -29,27 +33,38 @@ _LOADED: dict[str, "TextEncoder"] = {}
 class _Pieces(dict):
     """Piece -> its ids as little-endian unsigned 32-bit integers, made when first asked for."""
 
-    def __init__(self, encode, prefix=""):
+    def __init__(self, encode, prefix="", plain=None):
         super().__init__()
-        self.encode, self.prefix, self.older = encode, prefix, {}
+        #: ``plain``: the cache of pieces without a blank, where a word, its marks and what follows are known to be parted.
+        self.encode, self.prefix, self.plain, self.older = encode, prefix, plain, {}
 
     def __missing__(self, piece):
         ids = self.older.get(piece)
         if ids is None:
-            text = piece.decode("utf-8", "replace") if isinstance(piece, bytes) else piece
-            if len(text) > 1 and text[-1] in TAIL and text[-2] < "\u0250" and text[-2].isalpha():
+            text = piece if piece.__class__ is str else piece.decode("utf-8", "replace")
+            # A word of plain letters or digits has no mark at its end.
+            if text[-1:] in _TAILS and len(text) > 1 and text[-2] < "\u0250" and text[-2].isalpha():
                 ids = self[piece[:-1]] + self.bare(text[-1])  # a letter and a mark are always parted
-            else:
-                ids = self.encode(self.prefix + text)
+            elif self.plain is None or (ids := self.parted(text)) is None:
+                ids = self.encode(self.prefix, text)
         if len(self) >= CACHE // 2:
             self.older = dict(self)
             self.clear()
         self[piece] = ids
         return ids
 
+    def parted(self, text: str) -> bytes | None:
+        """Ids of a word with marks behind it, each part by itself; None of anything else."""
+        if text.isalpha() or not (found := _MARKED.fullmatch(text)):
+            return None
+        word, marks, after = found.groups()
+        if max(text) >= "\u0250" or not word.isalpha() or after and not after.isalpha():
+            return None
+        return self[word] + self.plain[marks] + (self.plain["\n"] + self.plain[after] if after else b"")
+
     @functools.cache
     def bare(self, mark: str) -> bytes:
-        return self.encode(mark)
+        return self.encode("", mark)
 
     __hash__ = object.__hash__
 
@@ -67,7 +82,9 @@ class TextEncoder:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec.get("added_tokens") or []]
         self.kind = self._kind(spec)
-        self.first, self.rest, self.words = _Pieces(self.whole), _Pieces(self.whole, " "), _Pieces(self.whole)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.first, self.words = _Pieces(self.piece), _Pieces(self.piece)
+        self.rest = _Pieces(self.piece, " ", self.first)
 
     @staticmethod
     def _kind(spec: dict) -> str:
@@ -83,20 +100,24 @@ class TextEncoder:
             return "word"
         return "whole"
 
+    def piece(self, prefix: str, bare: str) -> bytes:
+        """Ids of a word with a blank before it, or nothing (``prefix``)."""
+        # A word of Latin letters alone is one pre-token that no normalizer changes: it goes straight to the model. So is one
+        # of digits where only blanks, letters, digits and marks are told apart.
+        kind = self.kind
+        if bare.isascii():
+            if kind == "blank" and (bare.isalpha() or bare.isdigit()) or kind == "word" and bare.isalpha() and bare.islower():
+                return array("I", [t.id for t in self.tokenize(_BLANK + bare if prefix else bare)]).tobytes()
+        elif kind != "whole" and bare.isalpha() and max(bare) < "\u0250" and (kind == "blank" or bare == bare.lower()):
+            return array("I", [t.id for t in self.tokenize((prefix + bare).encode("utf-8").decode("latin-1").translate(_SHOWN))]).tobytes()
+        return self.whole(prefix + bare)
+
     def whole(self, text: str) -> bytes:
-        # A word of Latin letters alone is one pre-token that no normalizer changes: it goes straight to the model.
-        bare = text[1:] if self.kind == "blank" and text[:1] == " " else text
-        if self.kind != "whole" and bare.isalpha() and max(bare) < "\u0250" and (self.kind == "blank" or bare == bare.lower()):
-            if bare.isascii():
-                shown = bare if bare is text else _BLANK + bare
-            else:
-                shown = text.encode("utf-8").decode("latin-1").translate(_SHOWN)
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def task_cache(self) -> "_Pieces":
         """A cache of words that goes with the task."""
-        return _Pieces(self.whole)
+        return _Pieces(self.piece)
 
     def encode(self, text: str) -> bytes:
         if self.kind == "word":
