@@ -110,9 +110,12 @@ class TextEncoder:
                 return array("I", [t.id for t in self.tokenize(_BLANK + bare if prefix else bare)]).tobytes()
         elif kind != "whole" and bare.isalpha() and max(bare) < "\u0250" and (kind == "blank" or bare == bare.lower()):
             return array("I", [t.id for t in self.tokenize((prefix + bare).encode("utf-8").decode("latin-1").translate(_SHOWN))]).tobytes()
-        return self.whole(prefix + bare)
+        return self.library(prefix + bare)
 
     def whole(self, text: str) -> bytes:
+        return self.piece(" ", text[1:]) if self.kind == "blank" and text[:1] == " " else self.piece("", text)
+
+    def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def task_cache(self) -> "_Pieces":

@@ -59,9 +59,10 @@ def test_words_with_marks_behind_them(file):
         text = "".join(pick.choices(parts, k=pick.randint(1, 9)))
         assert enc.encode(text) == whole(text), text
     if enc.kind == "blank":
-        asked, plain = [], enc.whole
-        enc.whole = lambda text: asked.append(text) or plain(text)
+        asked, plain = [], enc.library
+        enc.library = lambda text: asked.append(text) or plain(text)
         word = lambda: "".join(pick.choices("abcdefgß", k=8))
         text = " ".join([f"{word()}&&&" for _ in range(300)] + [f"{word()}.\n{word()}" for _ in range(300)])
         assert enc.encode(text) == whole(text)
         assert len(asked) <= 4, asked[:9]
+        assert enc.whole(" abcdefgh") == whole(" abcdefgh") and len(asked) <= 4
