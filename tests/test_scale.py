@@ -97,6 +97,29 @@ def test_silent_steps_are_not_multiplied(spark, tmp_path):
     assert high.facts["bought"].count() <= spark.read.parquet(f"{folder}/events.parquet").where("event_type = 'purchase'").count() * 2
 
 
+def test_corridors_text_is_constant(spark, tmp_path):
+    """Only purchases have several blocker sets; the text of the others is no work of every row."""
+    plan = plan_of(QUERIES["corridors"](spark, small_table(tmp_path)))
+    assert plan.count("array_join") == 1
+
+
+def test_silent_steps_are_dealt_out(spark, tmp_path, monkeypatch):
+    """The product of windows and entities is cut into tasks by its rows, and its rows repeat each other in a file."""
+    monkeypatch.setattr(masks, "TASK_ROWS", 50_000, raising=False)
+    pools = spark.createDataFrame([("user", f"u{i}") for i in range(300)] + [("item", f"i{i}") for i in range(3)], "kind string, entity_id string").coalesce(1)
+    rng = random.Random(2)
+    windows = spark.createDataFrame([(i * 600 + rng.randrange(300), i * 600 + 400) for i in range(1100)], "lo long, hi long").coalesce(1)
+    made = masks.product(masks.Silent(windows, ("user",), 64), pools)
+    made.write.parquet(f"{tmp_path}/made")
+    tasks = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 330_000 and max(tasks) <= 100_000
+    assert sum(f.stat().st_size for f in (tmp_path / "made").glob("*.parquet")) < 330_000 / 2
+    want = pools.where("kind = 'user'").crossJoin(windows).select(F.array("entity_id").alias("args"), F.col("lo").alias("tick"), F.lit(64).cast("long").alias("mask"))
+    assert made.exceptAll(want).isEmpty() and want.exceptAll(made).isEmpty()
+    two = masks.product(masks.Silent(windows.limit(5), ("user", "item"), 0), pools)
+    assert two.distinct().count() == two.count() == 300 * 3 * 5
+
+
 def test_masks_refuse(spark):
     rules = queries.table_of_rules()
     with pytest.raises(ValueError):
