@@ -120,6 +120,25 @@ def test_silent_steps_are_dealt_out(spark, tmp_path, monkeypatch):
     assert two.distinct().count() == two.count() == 300 * 3 * 5
 
 
+def dark_table(folder) -> str:
+    """300 users, and an error log with some 90 windows of silence."""
+    rng, at, rows = random.Random(3), 0, []
+    for _ in range(3000):
+        at += 600 if rng.random() < 0.03 else rng.randrange(5, 12)
+        rows.append(("error", rng.randrange(300), at))
+    return events_at(folder, rows + [("view", u, 50 + u) for u in range(300)])
+
+
+@pytest.mark.parametrize("name", ["fixpoint_pmax_users", "fixpoint_pmax", "fixpoint_pmax_observed"])
+def test_lists_of_facts_are_dealt_out(spark, tmp_path, monkeypatch, name):
+    """Hidden steps of all users are as many tasks as they need, and equal to the SQL's."""
+    monkeypatch.setattr(masks, "TASK_ROWS", 4000, raising=False)
+    folder = dark_table(tmp_path)
+    assert len(against_sql(spark, folder, name)) > 20_000
+    tasks = QUERIES[name](spark, folder).groupBy(F.spark_partition_id()).count().agg(F.max("count").alias("most")).collect()
+    assert tasks[0].most <= 10_000
+
+
 def test_masks_refuse(spark):
     rules = queries.table_of_rules()
     with pytest.raises(ValueError):
