@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import Scratch, ship
-from .common import mix, skewed_left_join
+from .common import mix, released, skewed_left_join
 
 #: Words of a phrase at most, occurrences at least, the score's factor, the share that subsumes, rows a
 #: language, what splits pieces, the language of a null.
@@ -182,7 +182,7 @@ def word_totals(docs: DataFrame) -> DataFrame:
                     held, rows = [], 0
         yield from summed(held)
 
-    return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(released(run), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def frequent_bits(phrases: DataFrame, many: int):
@@ -194,7 +194,7 @@ def frequent_bits(phrases: DataFrame, many: int):
             at = phrase_hashes(batch.column(0), batch.column(1)) & np.uint64((1 << power) - 1)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + 1)], names=["at"])
 
-    places = phrases.select("lang", "phrase").mapInArrow(run, "at long")
+    places = phrases.select("lang", "phrase").mapInArrow(released(run), "at long")
     blocks = places.groupBy(F.bitmap_bucket_number("at").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     bits = np.zeros(1 << power - 3, np.uint8)
     for r in blocks.toLocalIterator():  # at most 2 ** (MOST_BITS - 15) blocks of 4 KB
@@ -425,7 +425,7 @@ def stripes(docs: DataFrame, level: int, known: list, wide, parts: int) -> DataF
                     held.reset()
         yield from held.out()
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(released(run), PACKED)
 
 
 class Merge:
@@ -472,7 +472,7 @@ def buckets_merged(batches, least: int):
 def merged(rows: DataFrame, least: int = LEAST) -> DataFrame:
     """Stripes with equal prefix and part, added elementwise; entries and totals below ``least`` go."""
     dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "bucket")
-    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(lambda batches: buckets_merged(batches, least), MERGED)
+    return dealt.sortWithinPartitions("lang", "bucket").mapInArrow(released(lambda batches: buckets_merged(batches, least)), MERGED)
 
 
 def exact(x: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +19,19 @@ HOT_SHARE = 1000
 SLICE = 512
 
 
+def released(run: Callable) -> Callable:
+    """``run`` for mapInArrow, and when its task ends, the memory that it has freed goes back to the system: an idle worker,
+    and the next task of a smaller step, would keep it."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+            trim(0)
+
+    return whole
+
+
 def with_columns_from_text(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], make: Callable) -> DataFrame:
     """``df`` with ``fields`` appended. ``make()`` runs in each task and gives ``f(list of str) -> list of columns``;
     a null text is an empty one. Columns of these names are replaced, all others are kept as they are."""
@@ -37,7 +51,7 @@ def with_columns_from_text(df: DataFrame, text_col: str, fields: list[tuple[str,
                 added = [pa.array(c, kind) for c, (_, _, kind) in zip(columns, fields)]
                 yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(names))] + added, names=names + new)
 
-    return df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`").alias(source)).mapInArrow(run, out)
+    return df.select(*[F.col(f"`{n}`") for n in names], F.col(f"`{text_col}`").alias(source)).mapInArrow(released(run), out)
 
 
 class WordHashes(dict):

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import Scratch, ship, written
-from .common import WordHashes, mix, skewed_join, skewed_left_join, with_columns_from_text
+from .common import WordHashes, mix, released, skewed_join, skewed_left_join, with_columns_from_text
 
 SHINGLE, PERCENT, TABLES, ROWS, FAN = 5, 80, 12, 3, 1000
 #: Ids are broadcast up to so many (8 bytes each), and shuffled beyond.
@@ -268,7 +268,7 @@ def compared(rows: DataFrame, tables: int, percent: int) -> DataFrame:
             yield pairs(rest)
 
     kind = rows.schema["doc_id"].dataType
-    return rows.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return rows.mapInArrow(released(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def candidates(space: Scratch, halves: DataFrame, signed: DataFrame, percent: int, tables: int) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship, written
+from .common import released
 from .tokens import encoder
 
 CAPACITY, END = 2048, 1
@@ -54,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     seen[n] += 1
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(start, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(total, pa.int64()), pa.array([part] * len(ids), pa.int64()), pa.array(own, pa.int64())], names=schema.names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(run), schema)
 
 
 def best_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gapwright.llm import bpe, line_dedup, media, minhash, packing, quality_classifier, quality_rules, token_files, toxicity, warc
+from gapwright.llm import bpe, common, line_dedup, media, minhash, packing, quality_classifier, quality_rules, token_files, toxicity, warc
 from gapwright.session import shared_dir
 
 from .cases import BASE, LINE, LONG_LINE, NEAR, ROWS, documents, empty
@@ -24,6 +24,20 @@ from .cases import BASE, LINE, LONG_LINE, NEAR, ROWS, documents, empty
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def test_released_after_the_last_batch(monkeypatch):
+    """A task's batches come as they are, and its memory goes back once, when they are through."""
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append("released")
+
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    got = common.released(lambda batches: (x * 2 for x in batches))(iter([1, 2]))
+    assert (next(got), next(got), done) == (2, 4, [])
+    assert list(got) == [] and done == ["released"]
+
+
 def test_media_round_trip(spark):
     rows = media.media_query(documents(spark)).collect()
     assert len(rows) == len(ROWS) and media.media_query(empty(spark)).count() == 0
